@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, packing, urls
+from tidemark.llm import coding, language, licenses, packing, urls
 
 
 def queries() -> dict:
     return {
+        "op1_token_file": coding.op1_token_file,
+        "op2_license_scan": licenses.op2_license_scan,
         "op5_url_filter": urls.op5_url_filter,
         "op7_language": language.op7_language,
         "op8_packing": packing.op8_packing,
@@ -14,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.SQL}
