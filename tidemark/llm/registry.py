@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import coding, language, licenses, packing, urls
+from tidemark.llm import coding, jaccard, language, licenses, packing, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_url_filter": urls.op5_url_filter,
         "op7_language": language.op7_language,
         "op8_packing": packing.op8_packing,
+        "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     }
 
 
