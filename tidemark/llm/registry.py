@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import coding, jaccard, language, licenses, packing, suffixes, urls
+from tidemark.llm import coding, contamination, jaccard, language, licenses, packing, suffixes, urls
 
 
 def queries() -> dict:
     return {
         "op1_token_file": coding.op1_token_file,
         "op2_license_scan": licenses.op2_license_scan,
+        "op3_decontamination": contamination.op3_decontamination,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_url_filter": urls.op5_url_filter,
         "op7_language": language.op7_language,
