@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import coding, contamination, jaccard, language, licenses, packing, suffixes, urls
+from tidemark.llm import coding, contamination, jaccard, language, licenses, media, packing, quality, suffixes, urls
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_decontamination": contamination.op3_decontamination,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_url_filter": urls.op5_url_filter,
+        "op6_media_chunks": media.op6_media_chunks,
         "op7_language": language.op7_language,
         "op8_packing": packing.op8_packing,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
+        "op10_quality": quality.op10_quality,
     }
 
 
