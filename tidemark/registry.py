@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("signals",)
 
 
 def _all(attribute: str) -> dict:
