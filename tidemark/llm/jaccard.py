@@ -12,6 +12,9 @@ Two allocations exist and the cheaper is taken by the band's sizes:
 A set whose signatures leave H + 1 segments that no other set shares has no partner; most documents end here. Of the rest
 each probes its H + 1 segments with the fewest sharers and finds all others through the index of all segments.
 
+Of these, sets with more tokens of their own, in no other candidate, than a partner may differ in are dropped, and a pair
+whose own tokens add up to more than it may differ in is not verified; nor is a pair whose parity sketches differ in more bits than that.
+
 Sharers of one signature are not paired with each other: they are verified against one leader, joined with it if they
 link, and only sharers that are still in different components after that are paired. Equal sets count as one throughout.
 Signatures are found with numpy in tasks that Spark deals out by hash; a signature that one batch of documents holds very
@@ -37,6 +40,9 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 40
 #: Entries of one signature in one batch from which they travel as one.
 OFTEN = 32
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 8
+_ODD = [f"odd{i}" for i in range(SKETCH)]
 
 
 @functools.cache
@@ -291,16 +297,49 @@ def expand(docs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, n and the set as bytes of sorted 64-bit hashes."""
+    """doc_id, n, the set as bytes of sorted 64-bit hashes, and its parity sketch.
+
+    The sketch has a bit for each of 64 * SKETCH cells, set where the cell has an odd number of tokens. A token that only one
+    of two sets has flips one bit, so the bits in which two sketches differ are never more than the tokens.
+    """
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for ids, shingle, at in _each(batch):
                 edge = (8 * at).astype(np.int32)
                 held = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edge), pa.py_buffer(shingle.tobytes())])
-                yield pa.record_batch([pa.array(ids), pa.array(np.diff(at)), held], names=["doc_id", "n", "set"])
+                cell = (shingle >> np.uint64(9)) % np.uint64(64 * SKETCH)
+                row = np.repeat(np.arange(len(ids)), np.diff(at))
+                odd = np.zeros((len(ids), SKETCH), np.uint64)
+                np.bitwise_xor.at(odd, (row, (cell // np.uint64(64)).astype(np.int64)), np.uint64(1) << (cell % np.uint64(64)))
+                yield pa.record_batch([pa.array(ids), pa.array(np.diff(at)), held, *[pa.array(odd[:, i].copy().view(np.int64)) for i in range(SKETCH)]], names=["doc_id", "n", "set", *_ODD])
+
+    return docs.mapInArrow(run, "doc_id long, n long, set binary, " + ", ".join(f"{c} long" for c in _ODD))
+
+
+def _may_link(a: str, b: str) -> str:
+    """SQL that is true of all pairs that link: of sizes, tokens of their own, and sketches, in columns with these suffixes."""
+    odd = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in _ODD)
+    return f"least(n{a}, n{b}) * 100 >= greatest(n{a}, n{b}) * 80 AND (own{a} + own{b}) * 9 <= n{a} + n{b} AND ({odd}) * 9 <= n{a} + n{b}"
+
+
+def _facts(held: DataFrame, name: str, suffix: str) -> DataFrame:
+    return held.select(F.col("doc_id").alias(name), *[F.col(c).alias(c + suffix) for c in ("n", "own", *_ODD)])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set binary")
+
+def _alone(held: DataFrame) -> DataFrame:
+    """``held`` and own: how many shingles of each set no other set of the table has; any partner differs in these."""
+
+    def tokens(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            ids, sizes = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
+            for at in range(0, len(ids), 256):
+                raw = b"".join(x.as_py() for x in batch.column("set").slice(at, 256))
+                yield pa.record_batch([pa.array(np.frombuffer(raw, np.int64)), pa.array(np.repeat(ids[at : at + 256], sizes[at : at + 256]))], names=["token", "doc_id"])
+
+    single = held.mapInArrow(tokens, "token long, doc_id long").groupBy("token").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    own = single.groupBy("doc_id").agg(F.count("*").alias("own"))
+    return _shared.written(held.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "held")
 
 
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -318,8 +357,8 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
             keep = np.flatnonzero(ok)
             yield pa.record_batch([a.take(pa.array(keep)), b.take(pa.array(keep))], names=["a", "b"])
 
-    sized = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 80).select("a", "b")
+    sized = pairs.join(_facts(held, "a", "_a"), "a").join(_facts(held, "b", "_b"), "b")
+    fit = sized.where(_may_link("_a", "_b")).select("a", "b")
     full = fit.join(held.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
@@ -340,8 +379,9 @@ def join(docs: DataFrame) -> DataFrame:
     # any batch's stand-in for copies speaks for the whole class
     wanted = _shared.written(own.select(F.col("rep").alias("doc_id"), "band").distinct(), "suspects")
     texts = _shared.written(known.join(wanted.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    held = _shared.written(members(texts), "members")
-    open_ = expand(texts).join(wanted, ["doc_id", "band"])
+    held = _alone(_shared.written(members(texts), "members"))
+    alive = held.where("own * 9 <= n + n * 1.25").select("doc_id")
+    open_ = expand(texts.join(alive, "doc_id", "left_semi")).join(wanted, ["doc_id", "band"])
     rows = open_.select("doc_id", "band", "need", F.explode(F.arrays_zip("seg", "sig")).alias("z")).select("doc_id", "band", "need", "z.seg", "z.sig")
     rows = _shared.written(rows, "signatures")
     counted = rows.groupBy("sig").agg(F.count("*").alias("sharers")).where("sharers > 1")
@@ -351,7 +391,7 @@ def join(docs: DataFrame) -> DataFrame:
     packed = shared.groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("sharers", "sig"))).alias("z"))
     probes = packed.join(mine, ["doc_id", "band"]).where(F.size("z") > F.greatest(F.lit(0), F.col("all") - F.col("need")))
     take = F.least(F.size("z"), F.greatest(F.lit(0), F.col("need") - (F.col("all") - F.size("z")))).cast("int")
-    chosen = probes.select("doc_id", F.explode(F.transform("z", lambda x, i: F.struct(x["sig"].alias("sig"), (i < take).alias("probe")))).alias("p")).select("doc_id", "p.sig", "p.probe")
+    chosen = probes.select("doc_id", F.explode(F.transform("z", lambda x, i: F.struct(x["sig"].alias("sig"), x["sharers"].alias("sharers"), (i < take).alias("probe")))).alias("p")).select("doc_id", "p.sig", "p.sharers", "p.probe")
     index = _shared.written(chosen, "index")
     edges = _rounds(index, held)
     roots = components(edges.select("a", "b"))
@@ -362,29 +402,38 @@ def join(docs: DataFrame) -> DataFrame:
     return out.unionByName(none)
 
 
-def _rounds(index: DataFrame, held: DataFrame) -> DataFrame:
-    """Links of the sharers of each signature: with a leader first, then between those still in different components."""
-    group = index.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("probe").alias("any"), F.count("*").alias("size")).where("any AND size > 1")
-    stars = index.join(group.select("sig", "leader"), "sig").where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = _shared.written(stars, "stars")
-    edges = _shared.written(_links(stars, held), "links")
-    for turn in (1, 2):
-        roots = components(edges)
-        label = F.coalesce("root", "doc_id")
-        now = index.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", "probe", label.alias("root"))
-        mixed = now.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("any"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")).alias("m")).where("any AND r0 != r1")
-        left = now.join(mixed.select("sig", F.col("m.doc_id").alias("leader")), "sig")
-        if turn == 1:
-            heads = left.where("doc_id = leader").select("sig", F.col("root").alias("head"))
-            pairs = left.join(heads, "sig").where("root != head").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
+def _rounds(index: DataFrame, held: DataFrame, stars: int = 3) -> DataFrame:
+    """Links of the sharers of each signature: with a leader first, then between those still in different components.
+
+    A signature's leader is its sharer that shares most in all, the likely centre of a group of near copies; in the next
+    turns the leader is chosen among those that are not yet in the first one's component. Every turn is linear in the index.
+    """
+    weight = index.groupBy("doc_id").agg(F.sum("sharers").alias("weight"))
+    rows = _shared.written(index.join(weight, "doc_id").select("sig", "doc_id", "probe", F.struct("weight", "doc_id").alias("rank")), "ranked")
+    seen = edges = None
+    for turn in range(stars + 1):
+        if edges is None:
+            now = rows.withColumn("root", F.col("doc_id"))
+        else:
+            roots = components(edges).withColumnRenamed("node", "doc_id")
+            now = _shared.written(rows.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "now")
+        mixed = now.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("any"), F.max(F.struct("rank", "root")).alias("first")).where("any AND r0 != r1")
+        left = now.join(mixed.select("sig", F.col("first.root").alias("head"), F.col("first.rank.doc_id").alias("leader")), "sig")
+        if turn < stars:
+            if turn:  # another leader, outside the first one's component
+                other = left.where("root != head").groupBy("sig").agg(F.max(F.struct("rank", "root")).alias("first"))
+                left = now.join(other.select("sig", F.col("first.root").alias("head"), F.col("first.rank.doc_id").alias("leader")), "sig")
+            pairs = left.where("root != head").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
         else:
-            x = left.select("sig", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("probe").alias("pa"))
-            y = left.select("sig", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("probe").alias("pb"))
-            pairs = x.join(y, "sig").where("a < b AND ra != rb AND (pa OR pb)").select("a", "b")
-        pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
+            full = left.select("sig", "doc_id", "root", "probe").join(_facts(held, "doc_id", ""), "doc_id")
+            side = lambda n: full.select("sig", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "root", "probe", "n", "own", *_ODD)])
+            fit = _may_link("_a", "_b")
+            pairs = side("a").join(side("b"), "sig").where(f"doc_id_a < doc_id_b AND root_a != root_b AND (probe_a OR probe_b) AND {fit}").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti")
         pairs = _shared.written(pairs, "pairs")
-        edges = _shared.written(edges.unionByName(_links(pairs, held)), "links")
-        stars = stars.unionByName(pairs)
+        found = _links(pairs, held)
+        edges = _shared.written(found if edges is None else edges.unionByName(found), "links")
+        seen = pairs if seen is None else seen.unionByName(pairs)
     return edges
 
 
