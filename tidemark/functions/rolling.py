@@ -62,7 +62,8 @@ def quantile(c: Column | str, q: float, n: int, least: int | None = None) -> Col
 
 def corr(x: Column | str, y: Column | str, n: int) -> Column:
     both = F.when(col(x).isNotNull() & col(y).isNotNull(), 1)
-    return F.when(F.count(both).over(frame(n)) >= n, F.corr(col(x), col(y)).over(frame(n)))
+    spread = F.stddev_pop(col(x)).over(frame(n)) * F.stddev_pop(col(y)).over(frame(n))
+    return F.when((F.count(both).over(frame(n)) >= n) & (spread != 0), F.covar_pop(col(x), col(y)).over(frame(n)) / spread)
 
 
 def mean_deviation(c: Column | str, n: int) -> Column:

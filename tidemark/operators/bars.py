@@ -169,7 +169,7 @@ def episodes(pos: DataFrame, cost: float = 0.0, close_last: bool = True) -> Data
 def tail_fraction(df: DataFrame, start: float) -> DataFrame:
     """Rows of each symbol from the given share of its length on."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return df.withColumn("__r", F.row_number().over(by_symbol()) - 1).where(F.col("__r") >= F.floor(n * start)).drop("__r")
+    return df.withColumn("__r", F.row_number().over(by_symbol()) - 1).withColumn("__n", n).where(F.col("__r") >= F.floor(F.col("__n") * start)).drop("__r", "__n")
 
 
 def dropoff_events(pos: DataFrame, screens: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ("signals",)
+MODULES: tuple[str, ...] = ("bars", "signals")
 
 
 def _all(attribute: str) -> dict:
