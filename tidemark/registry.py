@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ("bars", "signals")
+MODULES: tuple[str, ...] = ("bars", "panel", "signals")
 
 
 def _all(attribute: str) -> dict:
