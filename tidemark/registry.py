@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ("bars", "evaluate", "panel", "signals")
+MODULES: tuple[str, ...] = ("bars", "evaluate", "features", "panel", "signals")
 
 
 def _all(attribute: str) -> dict:
