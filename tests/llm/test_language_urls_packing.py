@@ -102,3 +102,13 @@ def test_unlisted_urls_follow_the_models(spark):
     rows += [(1000, "http://z.org/good/7"), (1001, "http://z.org/fr/bad/7"), (1002, None)]
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.RULES).collect()}
     assert got[1000] == "allow" and got[1001] == "block" and got[1002] == "allow"
+
+
+def test_random_texts_equal_the_library():
+    rng = np.random.default_rng(9)
+    alphabet = list("abcXYZ019 .,'\n\t éß—日😀") + ["  ", " \n", "don't", "'s ", " ", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(800)]
+    e = _tokens.Encoder(_tokens.default_path())
+    for at in range(0, 800, 100):
+        for text, got in zip(texts[at : at + 100], e.encode(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*e.library.encode(text, add_special_tokens=False).ids, 0], repr(text)

@@ -10,11 +10,12 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that its memory starts anew.
-MEMORY = 250_000
+MEMORY = 600_000
 _UNSAFE = re.compile(r"\s ")
 
 
@@ -26,36 +27,42 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by piece without the space before it
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte-level token has a character for each byte
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text (null: empty) its ids and the end id, as little-endian unsigned 32-bit integers."""
-        cut, whole, new = [], [], {}
+        cut: list[list[str] | None] = []
         for text in texts:
-            if not text:
-                cut.append([])
-            elif _UNSAFE.search(text):
-                cut.append(None)
-                whole.append(text)
-            else:
-                head, *rest = text.split(" ")
-                pieces = [" " + x for x in rest]
-                if head:
-                    pieces.insert(0, head)
-                cut.append(pieces)
-                new.update((x, None) for x in pieces if x not in self.known)
-        if new:
-            if len(self.known) + len(new) > MEMORY:
-                self.known = {}
-                new = dict.fromkeys(x for pieces in cut if pieces for x in pieces)
-            todo = list(new)
-            for at in range(0, len(todo), 4096):
-                part = todo[at : at + 4096]
-                for piece, got in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[piece] = np.array(got.ids, "<u4").tobytes()
+            cut.append([] if not text else None if _UNSAFE.search(text) else text.split(" "))
+        new = set(chain.from_iterable(pieces[1:] for pieces in cut if pieces)) - self.known.keys()
+        if new and len(self.known) + len(new) > MEMORY:
+            self.known = {}
+            new = set(chain.from_iterable(pieces[1:] for pieces in cut if pieces))
+        self._learn(list(new))
         known, end = self.known.__getitem__, self.end
-        rest = iter(np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in whole)
-        return [(next(rest) if pieces is None else b"".join(map(known, pieces))) + end for pieces in cut]
+        return [(self._alone(text) if pieces is None else self._alone(pieces[0]) + b"".join(map(known, pieces[1:])) if pieces else b"") + end for text, pieces in zip(texts, cut, strict=True)]
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many to a call: joined by the spaces before them they are cut where they were joined."""
+        loose = [x for x in pieces if not x or x[-1].isspace()]  # a space may not follow these
+        firm = [x for x in pieces if x and not x[-1].isspace()]
+        for x in loose:
+            self.known[x] = self._alone(" " + x)
+        for at in range(0, len(firm), 16384):
+            groups = [firm[i : i + 128] for i in range(at, min(at + 16384, len(firm)), 128)]
+            for group, got in zip(groups, self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, "<u4")
+                ends = np.cumsum([len(x.encode()) + 1 for x in group])
+                edge = [0, *(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1).tolist()]
+                raw = ids.tobytes()
+                for i, x in enumerate(group):
+                    self.known[x] = raw[4 * edge[i] : 4 * edge[i + 1]]
 
 
 @functools.lru_cache(maxsize=2)
