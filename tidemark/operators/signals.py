@@ -295,7 +295,7 @@ def roc(df, n: int = 10, up: float = 5.0, down: float = -5.0):
 
 @register("trix")
 def trix(df, n: int = 15):
-    df = ewm(ewm(ewm(df, C, "e1", span=n), "e1", "e2", span=n), "e2", "e3", span=n).withColumn("trix", 100 * change("e3"))
+    df = ewm(ewm(ewm(df, C, "e1", span=n), "e1", "e2", span=n), "e2", "e3", span=n).withColumn("trix", F.round(100 * change("e3"), 9))  # a flat series has no trend, whatever the last bits of its means
     return signals(df, (F.col("trix") > 0) & rising("trix"), F.col("trix") < 0)
 
 

@@ -88,7 +88,7 @@ _rule("F21_obv", "obv", [a("bars", "d", s=f"CASE WHEN close > {P} THEN volume WH
 _rule("F22_efi", "efi", [a("bars", "d", fo=f"(close - {P}) * volume"), a("d", "e", s=q_roll("avg", "fo", 20))], f"fo > 0 AND {up('s')}", "fo < 0")
 _rule("F23_roc", "roc", [a("bars", "d", x=f"100 * (close / nullif({q_lag('close', 10)}, 0) - 1)")], "x > 5", "x < -5")
 E3 = [plus("bars", "t1", {"e1": ("close", 2 / 16)}), plus("t1", "t2", {"e2": ("e1", 2 / 16)}), plus("t2", "t3", {"e3": ("e2", 2 / 16)})]
-_rule("F24_trix", "trix", [*E3, a("t3", "t4", x=f"100 * (e3 / {q_lag('e3')} - 1)")], f"x > 0 AND {up('x')}", "x < 0")
+_rule("F24_trix", "trix", [*E3, a("t3", "t4", x=f"round(100 * (e3 / {q_lag('e3')} - 1), 9)")], f"x > 0 AND {up('x')}", "x < 0")
 S3 = [plus("bars", "t1", {"e1": ("close", 2 / 11)}), plus("t1", "t2", {"e2": ("e1", 2 / 11)}), plus("t2", "t3", {"e3": ("e2", 2 / 11)})]
 _rule("F25_supertrend", "supertrend", [*S3, a("t3", "t4", u="(high + low) / 2 - 3 * e3 / 100", l="(high + low) / 2 + 3 * e3 / 100"), a("t4", "t5", side=f"CASE WHEN close > {q_lag('u')} THEN 1 WHEN close < {q_lag('l')} THEN -1 END"), a("t5", "t6", st=f"last_value(side IGNORE NULLS) {D.SOFAR}")], "st = 1", "st = -1")
 _rule("F26_chandelier_flip", "chandelier_flip", [a("bars", "d", tr=TR), plus("d", "e", {"x": ("tr", 2 / 23)}), a("e", "f", u=f"coalesce(close > {q_roll('max', 'high', 22)} - 3 * x, false)::INT")], f"{q_lag('u')} = 0 AND u = 1", f"{q_lag('u')} = 1 AND u = 0")
