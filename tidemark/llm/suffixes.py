@@ -7,9 +7,11 @@ first WINDOW bytes of a suffix matter, so a suffix is repeated if a neighbour in
    core occurs once has no repeated window. Cores meet in tasks dealt out by hash; most stretches end here.
 2. Stretches equal as a whole (named by 128 bits) are repeated as a whole. Where a core has several different stretches,
    one of each goes on, as only parts of them may be repeated.
-3. Their suffixes are sorted. Every task sorts runs of its own, front-codes them and cuts them at splitters drawn from a
-   bounded sample; ranges are exchanged, and a loser tree that carries common prefixes merges a range's runs. Neighbours
-   that share WINDOW bytes mark their suffixes as repeated.
+3. Their suffixes are sorted. Every task sorts runs of its own, parted by the hash of the suffix's core, and front-codes
+   them; equal suffixes have equal cores at equal distance, so they are in the same part, and neighbouring suffixes of one
+   text are too, which lets a run be packed tightly. Of a core with over MANY stretches each distance is a part of its own.
+   Parts are exchanged, and a loser tree that carries common prefixes merges a part's runs. Neighbours that share WINDOW
+   bytes mark their suffixes as repeated.
 4. Marks return to all equal stretches, and texts are cut.
 
 A core that one batch holds very often is known to be repeated there; its stretches go on directly and one entry tells the
@@ -31,8 +33,10 @@ from tidemark.llm import _anchors, _merge, _shared, _text
 WINDOW = _anchors.WINDOW
 #: Stretches of one core in one batch from which they go on directly.
 OFTEN = 32
-#: Suffixes of one run, and of the sample that gives the splitters.
-RUN, SAMPLE = 100_000, 20_000
+#: Suffixes of one run.
+RUN = 100_000
+#: Different stretches of a core beyond which its suffixes are parted by distance too.
+MANY = 500
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -44,7 +48,10 @@ _STRETCH = "core long, whole long, name long, first long, windows int"
 
 
 def stretches(named: DataFrame, parts: int) -> DataFrame:
-    """core, whole, name, first, windows of every stretch whose core occurs twice or more."""
+    """core, whole, name, first, windows of every stretch whose core occurs twice or more.
+
+    windows is their number, and in the higher half the distance from the first window to the anchor.
+    """
     parts *= 2
     fields = ("core", "whole", "name", "first", "windows")
     kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
@@ -57,7 +64,7 @@ def stretches(named: DataFrame, parts: int) -> DataFrame:
             for a, b, part, own in _text.slices(data, offsets):
                 h = _text.Hashes(part)
                 row, x, z, s = _anchors.stretches(part, own, h)
-                found.append((h.of(s, s + _anchors.CORE), _text.Hashes(part, 1).of(x, z + WINDOW), ids[a:b][row], x - own[row], z - x + 1))
+                found.append((h.of(s, s + _anchors.CORE), _text.Hashes(part, 1).of(x, z + WINDOW), ids[a:b][row], x - own[row], (z - x + 1) + ((s - x) << 16)))
             if not found:
                 continue
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -106,15 +113,15 @@ def stretches(named: DataFrame, parts: int) -> DataFrame:
     return salted.groupBy("bucket", "salt").applyInArrow(meet, _STRETCH)
 
 
-def _suffixes(arrow: Iterator[pa.RecordBatch], most: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(windows as an array of bytes, tags class * 256 + place) of the stretches of documents, in sorted runs."""
-    strings, tags, size = [], [], 0
+def _suffixes(arrow: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows as an array of bytes, tags class * 256 + place, parts) of the stretches of documents, in runs sorted by part."""
+    strings, tags, groups, size = [], [], [], 0
 
-    def run() -> tuple[np.ndarray, np.ndarray]:
-        rows = np.concatenate(strings)
-        tag = np.concatenate(tags)
+    def run() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, tag, group = np.concatenate(strings), np.concatenate(tags), np.concatenate(groups)
         order = np.argsort(rows.view(f"S{WINDOW}").ravel(), kind="stable")
-        return rows[order], tag[order]
+        order = order[np.argsort(group[order], kind="stable")]
+        return rows[order], tag[order], group[order]
 
     for batch in arrow:
         data, offsets = _text.buffers(batch.column("text"))
@@ -122,49 +129,34 @@ def _suffixes(arrow: Iterator[pa.RecordBatch], most: int = RUN) -> Iterator[tupl
             text = data[offsets[i] : offsets[i + 1]]
             views = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
             for one in asked.as_py():
-                at = np.arange(one["first"], one["first"] + one["windows"])
-                strings.append(views[at])
-                tags.append((one["class"] << 8) + np.arange(len(at)))
-                size += len(at)
-                if size >= most:
+                place = np.arange(one["windows"] & 0xFFFF)
+                strings.append(views[one["first"] + place])
+                tags.append((one["class"] << 8) + place)
+                distance = (one["windows"] >> 16) - place if one["many"] else np.full(len(place), -1)
+                with np.errstate(over="ignore"):
+                    groups.append((_text.mix(np.full(len(place), one["core"], np.int64).view(np.uint64) + distance.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32))
+                size += len(place)
+                if size >= RUN:
                     yield run()
-                    strings, tags, size = [], [], 0
+                    strings, tags, groups, size = [], [], [], 0
     if size:
         yield run()
 
 
-def repeated(texts: DataFrame, parts: int) -> DataFrame:
-    """class, places: of each class (``asked``: array of class, first, windows beside text) its windows that occur twice.
+def repeated(texts: DataFrame, tasks: int) -> DataFrame:
+    """class, places: of each class (``asked``: array of class, core, many, first, windows beside text) its windows that occur twice.
 
     ``asked`` holds one stretch of each class. NUL bytes sort before all others, as in any byte string.
     """
-    spark = texts.sparkSession
-    total = texts.select(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + x["windows"]))).first()[0] or 0
-    ranges = max(1, min(4 * parts, total // 20_000))
-    each = SAMPLE / max(1, total)
-
-    def draw(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            data, offsets = _text.buffers(batch.column("text"))
-            found = []
-            for i, asked in enumerate(batch.column("asked")):
-                for one in asked.as_py():
-                    spot = int(_text.mix(np.array([one["class"]], np.int64).view(np.uint64))[0])
-                    if (spot >> 11) / (1 << 53) < each * one["windows"]:
-                        at = offsets[i] + one["first"] + spot % one["windows"]
-                        found.append(data[at : at + WINDOW].tobytes())
-            yield pa.record_batch([pa.array(found, pa.binary())], names=["s"])
-
-    drawn = sorted(bytes(r["s"]) for r in texts.mapInArrow(draw, "s binary").limit(2 * SAMPLE).collect()) if ranges > 1 else []
-    splitters = np.array([drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else [], f"S{WINDOW}")
+    total = texts.select(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + x["windows"].bitwiseAND(0xFFFF)))).first()[0] or 0
+    parts = max(1, min(4 * tasks, total // 20_000))
 
     def sort(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, tag in _suffixes(arrow):
-            edge = np.concatenate([[0], np.searchsorted(rows.view(f"S{WINDOW}").ravel(), splitters, "left"), [len(rows)]])
-            for r in range(len(edge) - 1):
-                if edge[r] < edge[r + 1]:
-                    run, tags = _merge.pack(rows[edge[r] : edge[r + 1]], tag[edge[r] : edge[r + 1]])
-                    yield pa.record_batch([pa.array(np.full(1, r, np.int32)), pa.array([run]), pa.array([tags])], names=["range", "run", "tags"])
+        for rows, tag, group in _suffixes(arrow, parts):
+            edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                run, tags = _merge.pack(rows[a:b], tag[a:b])
+                yield pa.record_batch([pa.array([int(group[a])], pa.int32()), pa.array([run]), pa.array([tags])], names=["part", "run", "tags"])
 
     def merge(table: pa.Table) -> pa.Table:
         import zstandard
@@ -184,24 +176,25 @@ def repeated(texts: DataFrame, parts: int) -> DataFrame:
         edge = np.append(start, len(tag)).astype(np.int32)
         return pa.table([pa.array(own), pa.ListArray.from_arrays(pa.array(edge), pa.array((tag & 255).astype(np.int16)))], names=["class", "places"])
 
-    runs = texts.mapInArrow(sort, "range int, run binary, tags binary")
-    met = runs.groupBy("range").applyInArrow(merge, "class long, places array<short>")
+    runs = texts.mapInArrow(sort, "part int, run binary, tags binary")
+    met = runs.groupBy("part").applyInArrow(merge, "class long, places array<short>")
     return met.groupBy("class").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def covered(named: DataFrame) -> DataFrame:
     """name, spans: for each text with repeated bytes, array of (start, end) that may touch or overlap."""
-    spark, parts = named.sparkSession, _shared.tasks(named.sparkSession)
+    parts = _shared.tasks(named.sparkSession)
     held = _shared.written(stretches(named, parts), "stretches")
     kinds = held.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("name", "first", "windows")).alias("one"))
     kinds = _shared.written(kinds.withColumn("class", F.monotonically_increasing_id()), "kinds")
-    several = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-    open_ = kinds.join(several, "core").groupBy(F.col("one.name").alias("name")).agg(F.collect_list(F.struct("class", F.col("one.first").alias("first"), F.col("one.windows").alias("windows"))).alias("asked"))
+    several = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > MANY).alias("many"))
+    open_ = kinds.join(several, "core").groupBy(F.col("one.name").alias("name")).agg(F.collect_list(F.struct("class", "core", "many", F.col("one.first").alias("first"), F.col("one.windows").alias("windows"))).alias("asked"))
     texts = _shared.written(named.join(open_, "name").dropDuplicates(["name"]).select("text", "asked"), "asked")
     found = repeated(texts, parts)
     single = kinds.where("n = 1").select("core", "whole", "class").join(found, "class").select("core", "whole", "places")
     many = kinds.where("n > 1").select("core", "whole", F.lit(None).cast("array<short>").alias("places"))
-    spans = F.when(F.col("places").isNull(), F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("end")))).otherwise(
+    windows = F.col("windows").bitwiseAND(0xFFFF)
+    spans = F.when(F.col("places").isNull(), F.array(F.struct(F.col("first").alias("start"), (F.col("first") + windows + WINDOW - 1).alias("end")))).otherwise(
         F.transform("places", lambda p: F.struct((F.col("first") + p).cast("long").alias("start"), (F.col("first") + p + WINDOW).cast("long").alias("end")))
     )
     marked = held.join(single.unionByName(many), ["core", "whole"]).select("name", spans.alias("spans"))
