@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 
@@ -37,32 +37,39 @@ class Encoder:
         cut: list[list[str] | None] = []
         for text in texts:
             cut.append([] if not text else None if _UNSAFE.search(text) else text.split(" "))
-        new = set(chain.from_iterable(pieces[1:] for pieces in cut if pieces)) - self.known.keys()
+        # in these texts only the last piece can be empty or end in white space
+        loose = {pieces[-1] for pieces in cut if pieces and len(pieces) > 1 and (not pieces[-1] or pieces[-1][-1].isspace())}
+        new = self._unknown(cut)
         if new and len(self.known) + len(new) > MEMORY:
             self.known = {}
-            new = set(chain.from_iterable(pieces[1:] for pieces in cut if pieces))
-        self._learn(list(new))
+            new = self._unknown(cut)
+        self._learn(list(new - loose))
+        for x in new & loose:  # a space may not follow these
+            self.known[x] = self._alone(" " + x)
         known, end = self.known.__getitem__, self.end
         return [(self._alone(text) if pieces is None else self._alone(pieces[0]) + b"".join(map(known, pieces[1:])) if pieces else b"") + end for text, pieces in zip(texts, cut, strict=True)]
 
+    def _unknown(self, cut: list[list[str] | None]) -> set[str]:
+        return set(filterfalse(self.known.__contains__, chain.from_iterable(pieces[1:] for pieces in cut if pieces)))
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many to a call: joined by the spaces before them they are cut where they were joined."""
-        loose = [x for x in pieces if not x or x[-1].isspace()]  # a space may not follow these
-        firm = [x for x in pieces if x and not x[-1].isspace()]
-        for x in loose:
-            self.known[x] = self._alone(" " + x)
-        for at in range(0, len(firm), 16384):
-            groups = [firm[i : i + 128] for i in range(at, min(at + 16384, len(firm)), 128)]
-            for group, got in zip(groups, self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        """Encodes new pieces, many to a call: joined by the spaces before them they are cut where they were joined.
+
+        Pieces hold no space, so each space of the joined bytes starts one; tokens are found by their count of bytes.
+        """
+        for at in range(0, len(pieces), 16384):
+            groups = [pieces[i : i + 128] for i in range(at, min(at + 16384, len(pieces)), 128)]
+            joined = [" " + " ".join(g) for g in groups]
+            for group, text, got in zip(groups, joined, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, "<u4")
-                ends = np.cumsum([len(x.encode()) + 1 for x in group])
-                edge = [0, *(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1).tolist()]
+                data = np.frombuffer(text.encode(), np.uint8)
+                starts = np.append(np.flatnonzero(data == 0x20), len(data))
+                edge = (4 * np.searchsorted(np.cumsum(self.size[ids]), starts, "right")).tolist()
                 raw = ids.tobytes()
-                for i, x in enumerate(group):
-                    self.known[x] = raw[4 * edge[i] : 4 * edge[i + 1]]
+                self.known.update(zip(group, [raw[a:b] for a, b in pairwise(edge)], strict=True))
 
 
 @functools.lru_cache(maxsize=2)
