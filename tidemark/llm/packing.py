@@ -29,19 +29,16 @@ BUFFER = 1 << 17
 
 def cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Indexes into ``at`` (increasing places, first 0, no gap over ``window``) of the cuts of least cost, both ends included."""
-    place, cost = at.tolist(), penalty.tolist()
-    best, back = [0.0] * len(place), [0] * len(place)
+    place, step = at.tolist(), (penalty + window).tolist()
+    back, key = [0] * len(place), [0.0] * len(place)  # key: best + at
     queue: deque[int] = deque([0])
-    key = [0.0] * len(place)
     for i in range(1, len(place)):
         low = place[i] - window
         while place[queue[0]] < low:
             queue.popleft()
-        j = queue[0]
-        back[i] = j
-        best[i] = window - place[i] + cost[i] + key[j]
-        k = key[i] = best[i] + place[i]
-        while queue and key[queue[-1]] >= k:
+        j = back[i] = queue[0]
+        k = key[i] = step[i] + key[j]
+        while key[queue[-1]] >= k:  # ends at j at the latest, as penalties are not negative
             queue.pop()
         queue.append(i)
     out = [len(place) - 1]
@@ -52,16 +49,17 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
 
 def boundaries(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, spacing: int, sentence_cost: float, hard_cost: float) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may stand, with penalties. ``ends``: where documents end."""
-    inside = np.flatnonzero(sentence[ids]) + 1
-    soft = np.union1d(inside, ends)
-    soft = np.union1d(soft, [0, len(ids)])
-    gaps = np.diff(soft)
-    long = np.flatnonzero(gaps > spacing)
-    hard = [np.arange(soft[g] + spacing, soft[g + 1], spacing) for g in long]
-    at = np.union1d(soft, np.concatenate(hard)) if hard else soft
-    cost = np.full(len(at), hard_cost)
-    cost[np.searchsorted(at, soft)] = sentence_cost
-    cost[np.searchsorted(at, np.union1d(ends, [0, len(ids)]))] = 0
+    free = np.zeros(len(ids) + 1, bool)
+    free[ends] = free[0] = free[-1] = True
+    soft = free.copy()
+    soft[1:] |= sentence[ids]
+    place = np.flatnonzero(soft)
+    more = (np.diff(place) - 1) // spacing  # cuts between one soft place and the next
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    allowed = soft.copy()
+    allowed[np.repeat(place[:-1], more) + spacing * (nth + 1)] = True
+    at = np.flatnonzero(allowed)
+    cost = np.where(free[at], 0.0, np.where(soft[at], sentence_cost, hard_cost))
     return at, cost
 
 
