@@ -50,8 +50,7 @@ class Models:
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64)
-        self.guess = [np.full(lanes * SLOTS, -1, np.int32) for _ in (1, 2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int32) for _ in (1, 2)]
+        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in (1, 2)]  # (guess + 1) * 8 + sure: one look a table
         self.chance = [np.full(lanes * 8, 2048, np.int32), np.full(lanes * 16, 1024, np.int32)]
         self.second = np.full(lanes * 16, 1024, np.int32)
         self.weight = [np.full(lanes, 1 << 15, np.int32) for _ in (1, 2)]
@@ -68,8 +67,9 @@ class Models:
         base = self.base
         self.at1 = base * SLOTS + ((self.last * 40503) >> 3) % SLOTS
         self.at2 = base * SLOTS + ((self.last * 40503 + self.before * 60493) >> 4) % SLOTS
-        g1, g2 = self.guess[0][self.at1], self.guess[1][self.at2]
-        self.s1, self.s2 = self.sure[0][self.at1], self.sure[1][self.at2]
+        e1, e2 = self.table[0][self.at1], self.table[1][self.at2]
+        g1, g2 = (e1 >> 3) - 1, (e2 >> 3) - 1
+        self.s1, self.s2 = e1 & 7, e2 & 7
         same = g1 == g2
         self.c2 = base * 8 + self.s2
         self.c1 = base * 16 + 2 * self.s1 + same
@@ -92,9 +92,9 @@ class Models:
         self.chance[0][self.c2] = np.clip(self.p2 + ((bit - self.p2) >> 4), 16, 4080)
         self.chance[1][self.c1] = np.clip(self.p1 + ((bit - self.p1) >> 4), 16, 4080)
         self.second[self.c1] = np.where(hit2, self.q, np.clip(self.q + ((hit1.astype(np.int32) * 4095 - self.q) >> 4), 16, 3000))
-        self.guess[0][self.at1], self.guess[1][self.at2] = ids, ids
-        self.sure[0][self.at1] = np.where(hit1, np.minimum(self.s1 + 1, 7), 0)
-        self.sure[1][self.at2] = np.where(hit2, np.minimum(self.s2 + 1, 7), 0)
+        entry = (ids + 1) << 3
+        self.table[0][self.at1] = entry + np.where(hit1, np.minimum(self.s1 + 1, 7), 0)
+        self.table[1][self.at2] = entry + np.where(hit2, np.minimum(self.s2 + 1, 7), 0)
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
