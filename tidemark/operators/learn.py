@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -35,12 +39,14 @@ def score(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("strength", F.when(F.col("cls") == 1, F.col("conf")).when(F.col("cls") == 0, -F.col("conf")).otherwise(0.0)).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk_forward(df: DataFrame, columns: list[str], splits: list[tuple[int, int, int, int]], number: str = "rn", **options) -> DataFrame:
-    """Predictions on each fold's test rows; splits are (train_end, val_start, test_start, test_end) in row numbers."""
+def walk_forward(df: DataFrame, columns: list[str], splits: DataFrame, number: str = "rn", **options) -> DataFrame:
+    """Predictions on each fold's test rows; splits has symbol, fold and the folds' bounds in row numbers, as from ``wf_splits``."""
+    placed = df.join(splits, "symbol")
     out = None
-    for fold, (train_end, _, test_start, test_end) in enumerate(splits):
-        model = three_class(df.where(F.col(number) < train_end), columns, **options)
-        one = score(model, df.where((F.col(number) >= test_start) & (F.col(number) < test_end)), columns).withColumn("fold", F.lit(fold))
+    for (fold,) in splits.select("fold").distinct().orderBy("fold").collect():  # a few
+        rows = placed.where(F.col("fold") == fold)
+        model = three_class(rows.where(F.col(number) < F.col("train_end")), columns, **options)
+        one = score(model, rows.where((F.col(number) >= F.col("test_start")) & (F.col(number) < F.col("test_end"))), columns)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -53,17 +59,67 @@ def one_vs_rest(train: DataFrame, test: DataFrame, columns: list[str], side: int
     return out.withColumn("p", vector_to_array("probability")[1]), BinaryClassificationEvaluator().evaluate(out)
 
 
-def pooled_against_own(df: DataFrame, columns: list[str], symbols: list, number: str = "rn", cut: float = 0.7, **options) -> DataFrame:
-    """Accuracy of one model over all symbols and of each listed symbol's own model on the same test rows, paired."""
+def _tree(x: np.ndarray, hot: np.ndarray, depth: int, rng: np.random.Generator):
+    """A leaf's class shares, or (column, threshold, left, right); hot holds each row's weight in its class's column."""
+    total = hot.sum(0)
+    best = (1 - 1e-12) * (total.sum() - (total**2).sum() / total.sum())
+    cut = None
+    if depth:
+        for c in rng.permutation(x.shape[1])[: math.ceil(math.sqrt(x.shape[1]))]:
+            order = np.argsort(x[:, c], kind="stable")
+            value, left = x[order, c], np.cumsum(hot[order], axis=0)[:-1]
+            right = total - left
+            loss = sum(p.sum(1) - (p**2).sum(1) / p.sum(1) for p in (left, right))
+            loss[value[1:] == value[:-1]] = np.inf
+            if len(loss) and loss.min() < best:
+                k = int(loss.argmin())
+                best, cut = loss[k], (int(c), value[k])
+    if cut is None:
+        return total / total.sum()
+    low = x[:, cut[0]] <= cut[1]
+    return (*cut, _tree(x[low], hot[low], depth - 1, rng), _tree(x[~low], hot[~low], depth - 1, rng))
+
+
+def _shares(tree, x: np.ndarray) -> np.ndarray:
+    if isinstance(tree, np.ndarray):
+        return np.tile(tree, (len(x), 1))
+    column, threshold, left, right = tree
+    return np.where((x[:, column] <= threshold)[:, None], _shares(left, x), _shares(right, x))
+
+
+def forest(x: np.ndarray, y: np.ndarray, tested: np.ndarray, trees: int = 20, depth: int = 5, seed: int = 1) -> np.ndarray:
+    """Classes told for ``tested`` by a random forest as in ``three_class``, for one symbol's rows: Gini, resampled rows, the root of the columns at each node."""
+    rng = np.random.default_rng(seed)
+    known, place, count = np.unique(y, return_inverse=True, return_counts=True)
+    weight = len(y) / (len(known) * count[place])
+    told = 0
+    for _ in range(trees):
+        times = rng.poisson(1.0, len(y))
+        pick = np.flatnonzero(times) if times.any() else np.arange(len(y))
+        hot = np.zeros((len(pick), len(known)))
+        hot[np.arange(len(pick)), place[pick]] = weight[pick] * np.maximum(1, times[pick])
+        told = told + _shares(_tree(x[pick], hot, depth, rng), tested)
+    return known[told.argmax(1)]
+
+
+def pooled_against_own(df: DataFrame, columns: list[str], number: str = "rn", cut: float = 0.7, **options) -> DataFrame:
+    """Accuracy of one model over all symbols and of every symbol's own model on the same test rows, paired."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     df = df.withColumn("__s", F.col(number) / n)
     train, test = df.where(F.col("__s") < cut), df.where(F.col("__s") >= cut)
     hit = F.avg((F.col("cls") == F.col("label")).cast("double"))
     pooled = score(three_class(train, columns, **options), test, columns).groupBy("symbol").agg(hit.alias("x"))
-    own = None
-    for s in symbols:
-        one = score(three_class(train.where(F.col("symbol") == s), columns, **options), test.where(F.col("symbol") == s), columns).groupBy("symbol").agg(hit.alias("y"))
-        own = one if own is None else own.unionByName(one)
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.dropna(subset=columns).sort_values(number)
+        x, y, early = rows[columns].to_numpy(float), rows["label"].to_numpy(), (rows["__s"] < cut).to_numpy()
+        if not early.any() or early.all():
+            return pd.DataFrame({"symbol": [], "y": []})
+        right = forest(x[early], y[early], x[~early], **options) == y[~early]
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "y": [right.mean()]})
+
+    kind = df.schema["symbol"].dataType.simpleString()
+    own = df.select("symbol", number, "label", "__s", *columns).groupBy("symbol").applyInPandas(fitted, f"symbol {kind}, y double")
     return sign_test(pooled.join(own, "symbol").withColumn("all", F.lit("all")), "all")
 
 

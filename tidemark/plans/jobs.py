@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.operators import bars as B
+from tidemark.operators import evaluate as V
 from tidemark.operators import learn as L
 from tidemark.plans import _data as D
 from tidemark.plans._data import EVENT
@@ -110,15 +111,18 @@ def _(s, d):
     return s.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-def panel(s, d):
+def numbered(s, d):
     b = B.triple_barrier(D.part_bars(s, d), 6, 0.3, 0.2)
-    b = b.withColumn("ret", R.change("close")).withColumn("mom", R.change("close", 5)).withColumn("vr", F.col("volume") / R.sma("volume", 10)).withColumn("rn", F.row_number().over(R.by_symbol()) - 1)
-    return b.dropna(subset=["ret", "mom", "vr"])
+    return b.withColumn("ret", R.change("close")).withColumn("mom", R.change("close", 5)).withColumn("vr", F.col("volume") / R.sma("volume", 10)).withColumn("rn", F.row_number().over(R.by_symbol()) - 1)
+
+
+def panel(s, d):
+    return numbered(s, d).dropna(subset=["ret", "mom", "vr"])
 
 
 COLS = ["ret", "mom", "vr"]
-query("M01_walk_forward")(lambda s, d: L.walk_forward(panel(s, d), COLS, [(200, 210, 230, 300), (280, 290, 310, 380)], trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n")))
+query("M01_walk_forward")(lambda s, d: L.walk_forward(panel(s, d), COLS, V.wf_splits(numbered(s, d), 10, 70, 10, 2), trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n")))
 query("M02_one_vs_rest")(lambda s, d: L.one_vs_rest(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, 1, 3)[0].groupBy("symbol").agg(F.avg("p").alias("p")))
-query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, [1, 2, 3], trees=3, depth=3))
+query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, trees=3, depth=3))
 query("M04_compare_depths")(lambda s, d: s.createDataFrame(sorted(L.compare_depths(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, (2, 4), trees=3)[0].items()), "depth int, macro_f1 double"))
 query("M05_score")(lambda s, d: L.score(L.three_class(panel(s, d).where("rn < 300"), COLS, 3, 3), panel(s, d).where("rn >= 300"), COLS).select("symbol", "ts", "cls", "conf", "strength"))
