@@ -58,6 +58,41 @@ def test_components_equal_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_one_id_with_several_texts_keeps_the_links_of_each(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, None), (4, "one two three"), (5, "one two three"), (6, "")]
+    rows += [(7, "k l m n o p q r s t"), (7, "k l m n o p q r s t"), (8, "k l m n o p q r s t z")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 4, 1), (2, 5, 1), (3, 5, 1), (4, 0, 4), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 6, 7), (8, 7, 7)}
+
+
+def test_a_third_of_rows_are_copies_and_ids_are_null(spark):
+    rows = corpus(4, 120)
+    rows += [(1000 + i, "the same text that is copied over and over in this table") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == brute(rows)
+
+
+def test_allocation_follows_the_counts():
+    none, many = (jaccard.allocate(np.full(len(jaccard.limits()[0]), n)) for n in (0, 10**7))
+    assert set(none) == {1}
+    assert 2 in many[:12] and set(many[20:40]) == {1}
+
+
+@pytest.mark.parametrize("units", [1, 2])
+def test_pigeonhole_holds_for_each_allocation(units):
+    rng = np.random.default_rng(3)
+    allocated = tuple([units] * len(jaccard.limits()[0]))
+    for _ in range(150):
+        n = int(rng.integers(1, 120))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) // 9 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 9 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both) and len(y):
+            row, _, _, sig, _ = jaccard.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), allocated)
+            assert len(np.intersect1d(sig[row == 0], sig[row == 1]))
+
+
 def test_many_near_copies(spark):
     rng = random.Random(5)
     base = [f"v{i}" for i in range(150)]

@@ -4,7 +4,7 @@ Two sets of sizes x and y link when 100 * intersection >= 80 * union, that is wh
 tokens. Sizes fall in bands; the scheme of a band serves all pairs whose smaller set is in it, so a set takes part in the
 scheme of its own band and in those below whose sizes it may still meet. A scheme hashes tokens into m segments. Of any
 m segments of which H + 1 differences would be needed to touch each, one at least is equal in both sets (pigeonhole).
-Two allocations exist and the cheaper is taken by the band's sizes:
+Two allocations exist; the cheaper one is taken for each band by the number of sets counted in it (``allocate``):
   one unit a segment     m = H + 1 and some spare segments; a segment is indexed as a whole;
   two units a segment    m = (H + 1) / 2; a segment is indexed as a whole and with each one of its tokens deleted, so
                          that segments with one difference meet too. Signatures grow with the set's size, so this is
@@ -15,8 +15,9 @@ each probes its H + 1 segments with the fewest sharers and finds all others thro
 Of these, sets with more tokens of their own, in no other candidate, than a partner may differ in are dropped, and a pair
 whose own tokens add up to more than it may differ in is not verified; nor is a pair whose parity sketches differ in more bits than that.
 
-Sharers of one signature are not paired with each other: they are verified against one leader, joined with it if they
-link, and only sharers that are still in different components after that are paired. Equal sets count as one throughout.
+Sharers of one signature are not paired with each other: they are verified against one leader and joined with it if they
+link. Sets that are still in different components after that meet once under each leader that they have in common. Equal
+sets count as one class throughout.
 Signatures are found with numpy in tasks that Spark deals out by hash; a signature that one batch of documents holds very
 often travels as one entry.
 """
@@ -36,32 +37,73 @@ from tidemark.llm.graph import components
 
 WORDS = 5  # of a shingle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Bands whose largest size is at most this use two units a segment.
-SMALL = 40
 #: Entries of one signature in one batch from which they travel as one.
 OFTEN = 32
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 8
 _ODD = [f"odd{i}" for i in range(SKETCH)]
+#: Turns of leaders before sets that still share signatures are held against each other.
+STARS = 1
 
 
 @functools.cache
-def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(least size, largest size, segments, units a segment) of each band, for sizes up to 2**40."""
+def limits() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least size, largest size, most differences of a pair) of each band, for sizes up to 2**40."""
     low = [1]
     while low[-1] < 1 << 40:
         low.append(max(low[-1] + 1, -(-low[-1] * 8 // 5)))
     low = np.array(low, np.int64)
     high = np.append(low[1:] - 1, 1 << 41)
-    most = (high + high * 5 // 4) // 9
-    units = np.where(high <= SMALL, 2, 1)
-    m = np.where(units == 2, -(-(most + 1) // 2), most + 1 + -(-most // 8))
-    return low, high, m, units
+    return low, high, (high + high * 5 // 4) // 9
+
+
+def _segments(units: np.ndarray) -> np.ndarray:
+    most = limits()[2]
+    return np.where(units == 2, -(-(most + 1) // 2), most + 1 + -(-most // 8))
+
+
+def allocate(sets: np.ndarray) -> tuple[int, ...]:
+    """Units a segment of each band, the cheaper ones where ``sets`` is how many sets each band has.
+
+    The cost of a set is its signatures and the sets that it meets by chance: those with the same empty segment, which one
+    unit a segment indexes only where filled segments are too few, or, with one-deletion neighbourhoods, with a segment of
+    at most one token. The chances are those of tokens thrown at segments at random.
+    """
+    low, high, most = limits()
+    size = (low + np.minimum(high, 1 << 40)) / 2
+    meets = sets + np.append(sets[1:], 0)
+    cost = []
+    for unit in (1, 2):
+        m = _segments(np.full(len(low), unit))
+        load = size / m
+        empty = np.exp(-np.minimum(load, 700))
+        if unit == 1:
+            few, term, spare = np.zeros(len(low)), np.exp(-np.minimum(m * empty, 700)), m - most - 1
+            for k in range(int(spare[spare < 64].max()) + 1):
+                few += np.where(k <= spare, term, 0)
+                term = term * m * empty / (k + 1)
+            short = np.where(spare < 64, np.clip(1 - few, 0, 1), spare < m * empty)
+            alike = m * (short * np.maximum(empty, (spare + 1) / m)) ** 2
+        else:
+            alike = m * (empty * (1 + load)) ** 2
+        cost.append(m + (unit == 2) * size + meets * alike)
+    return tuple(np.where(cost[1] < cost[0], 2, 1).tolist())
+
+
+@functools.cache
+def bands(units: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least size, largest size, segments, units a segment) of each band."""
+    low, high, _ = limits()
+    return low, high, _segments(np.array(units)), np.array(units)
+
+
+#: The allocation for some thousands of sets in each band.
+USUAL = allocate(np.full(len(limits()[0]), 5000))
 
 
 def schemes(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, band) of the schemes that sets of sizes n take part in: their own band's and those below that reach them."""
-    low, high, _, _ = bands()
+    low, high, _ = limits()
     own = np.searchsorted(low, n, "right") - 1
     out = [(np.flatnonzero(n > 0), own[n > 0])]
     for down in (1, 2):
@@ -74,7 +116,7 @@ def schemes(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def allowed(n: np.ndarray, band: np.ndarray) -> np.ndarray:
     """Most differences of a set of size n from a partner in a scheme."""
-    high = bands()[1][band]
+    high = limits()[1][band]
     return (n + np.minimum(n * 5 // 4, high * 5 // 4)) // 9
 
 
@@ -113,14 +155,14 @@ def set_keys(shingle: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return tuple((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
 
 
-def signatures(shingle: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(shingle: np.ndarray, at: np.ndarray, allocated: tuple[int, ...] = USUAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, band, segment, signature, whether the segment has tokens) of sets.
 
     Empty segments are left out where the others are enough for the pigeonhole: then the set is found by its others, and a
     partner for which they are not enough is found by this set's.
     """
     n = np.diff(at)
-    _, _, segments, units = bands()
+    _, _, segments, units = bands(allocated)
     found = []
     for rows, band in schemes(n):
         size = n[rows]
@@ -154,7 +196,7 @@ def signatures(shingle: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def needs(n: np.ndarray, row: np.ndarray, band: np.ndarray, seg: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def needs(n: np.ndarray, row: np.ndarray, band: np.ndarray, seg: np.ndarray, filled: np.ndarray, allocated: tuple[int, ...] = USUAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each (row, band), named row * 64 + band in order: the segments to probe, and the shared ones that a partner implies.
 
     With one unit a segment and H + 1 filled segments, H + 1 are probed and all but H are shared with any partner. Else all
@@ -164,7 +206,7 @@ def needs(n: np.ndarray, row: np.ndarray, band: np.ndarray, seg: np.ndarray, fil
     key, start = np.unique(cell >> 36, return_index=True)
     held = np.add.reduceat(filled[at].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
     most = allowed(n[key // 64], key % 64)
-    enough = (bands()[3][key % 64] == 1) & (held >= most + 1)
+    enough = (bands(allocated)[3][key % 64] == 1) & (held >= most + 1)
     return key, np.where(enough, most + 1, 1 << 30), np.where(enough, held - most, 1)
 
 
@@ -176,19 +218,21 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key_a, key_b: size and name of each document's set."""
+    """doc_id, mark (hash of the text), n, key_a, key_b: size and name of each row's set."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
+            marks, done = batch.column("mark"), 0
             for ids, shingle, at in _each(batch):
                 a, b = set_keys(shingle, at)
-                yield pa.record_batch([pa.array(ids), pa.array(np.diff(at)), pa.array(a), pa.array(b)], names=["doc_id", "n", "key_a", "key_b"])
+                yield pa.record_batch([pa.array(ids), marks.slice(done, len(ids)), pa.array(np.diff(at)), pa.array(a), pa.array(b)], names=["doc_id", "mark", "n", "key_a", "key_b"])
+                done += len(ids)
 
-    return docs.mapInArrow(run, "doc_id long, n long, key_a long, key_b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, key_a long, key_b long")
 
 
-def suspects(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, band of sets that may have a partner in that scheme: fewer than H + 1 segments are theirs alone."""
+def suspects(docs: DataFrame, parts: int, allocated: tuple[int, ...] = USUAL) -> DataFrame:
+    """key_a, band of sets that may have a partner in that scheme: fewer than H + 1 segments are theirs alone."""
     parts *= 2
 
     def deal(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +246,13 @@ def suspects(docs: DataFrame, parts: int) -> DataFrame:
                     if k not in met:  # copies within the batch: one stands for all
                         met.add(k)
                         fresh[i] = True
-                row, band, seg, sig, filled = signatures(shingle, at)
+                row, band, seg, sig, filled = signatures(shingle, at, allocated)
                 keep = fresh[row]
                 ahead = sum(map(len, ids))
                 rows.append((row[keep] + ahead, band[keep], seg[keep], sig[keep]))
-                key, need, spare = needs(np.diff(at), row, band, seg, filled)
+                key, need, spare = needs(np.diff(at), row, band, seg, filled, allocated)
                 spares.append((spare, key + 64 * ahead))
-                ids.append(own_ids)
+                ids.append(a)
             if not rows:
                 continue
             row, band, seg, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -239,7 +283,7 @@ def suspects(docs: DataFrame, parts: int) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(1, p, np.int32)), pa.array([doc[k // 64].tobytes()]), pa.array([(k % 64).astype(np.uint8).tobytes()]), pa.array([mark.tobytes()]), pa.array([np.ascontiguousarray(six.T).tobytes()])], names=["bucket", "docs", "band", "row", "sig"])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        names = ["doc_id", "band", "shared", "spare"]
+        names = ["key_a", "band", "shared", "spare"]
         docs_, band_, mark_, sig_ = ([x.as_py() for x in table.column(c)] for c in ("docs", "band", "row", "sig"))
         d = np.concatenate([np.frombuffer(x, np.int64) for x in docs_])
         if key[0].as_py() < 0:
@@ -270,19 +314,19 @@ def suspects(docs: DataFrame, parts: int) -> DataFrame:
     dealt = docs.mapInArrow(deal, "bucket int, docs binary, band binary, row binary, sig binary")
     # what was met often needs no meeting: each such row is a group of its own
     salted = dealt.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(4 * parts)).cast("int")).otherwise(0))
-    met = salted.groupBy("bucket", "salt").applyInArrow(meet, "doc_id long, band int, shared long, spare long")
-    return met.groupBy("doc_id", "band").agg(F.sum("shared").alias("shared"), F.max("spare").alias("spare")).where("shared >= spare").select("doc_id", "band")
+    met = salted.groupBy("bucket", "salt").applyInArrow(meet, "key_a long, band int, shared long, spare long")
+    return met.groupBy("key_a", "band").agg(F.sum("shared").alias("shared"), F.max("spare").alias("spare")).where("shared >= spare").select("key_a", "band")
 
 
-def expand(docs: DataFrame) -> DataFrame:
+def expand(docs: DataFrame, allocated: tuple[int, ...] = USUAL) -> DataFrame:
     """doc_id, band, need, n, set (sorted hashes), and the signatures with their segments of each (document, scheme)."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("band", pa.int32()), ("need", pa.int64()), ("n", pa.int64()), ("seg", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
         for batch in arrow:
             for ids, shingle, at in _each(batch):
-                row, band, seg, sig, filled = signatures(shingle, at)
-                _, need, _ = needs(np.diff(at), row, band, seg, filled)
+                row, band, seg, sig, filled = signatures(shingle, at, allocated)
+                _, need, _ = needs(np.diff(at), row, band, seg, filled, allocated)
                 key = row * 64 + band
                 order = np.argsort(key, kind="stable")
                 seg, sig = seg[order], sig[order].view(np.int64)
@@ -367,21 +411,30 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     A text without words, or null, has an empty set, links with nothing and is a component of its own. Rows with the same
-    doc_id are taken as one node each with that id, so they share a component. An empty table gives no rows.
+    doc_id are one node whatever their texts are: each row links by its own text, and all of them share a component. Rows
+    without doc_id have no component. An empty table gives no rows; other columns are ignored.
     """
     spark, parts = docs.sparkSession, _shared.tasks(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
     info = _shared.written(describe(known), "sets")
-    classes = info.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"))
-    doubtful = suspects(known, parts)
-    own = doubtful.join(info.join(classes, ["key_a", "key_b", "n"]).select("doc_id", "rep"), "doc_id")
+    # equal sets are one class, named by a number; one row's text stands for it
+    classes = info.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("copies"))
+    classes = _shared.written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    low = limits()[0]
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in low.tolist()]), lambda x: x <= F.col("n"))) - 1
+    sizes = np.zeros(len(low))
+    for r in classes.groupBy(band.alias("band")).count().collect():  # a row for each band of sizes at most
+        sizes[r["band"]] = r["count"]
+    allocated = allocate(sizes)
     # any batch's stand-in for copies speaks for the whole class
-    wanted = _shared.written(own.select(F.col("rep").alias("doc_id"), "band").distinct(), "suspects")
-    texts = _shared.written(known.join(wanted.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    wanted = _shared.written(suspects(known, parts, allocated).join(classes, "key_a").select(F.col("rep").alias("doc_id"), "band").distinct(), "suspects")
+    chosen = wanted.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "one"), "doc_id").select(F.col("doc_id").alias("rep"), F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
+    texts = known.withColumn("mark", F.xxhash64("text")).join(chosen, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = _shared.written(texts.select(F.col("rep").alias("doc_id"), "text"), "texts")
     held = _alone(_shared.written(members(texts), "members"))
     alive = held.where("own * 9 <= n + n * 1.25").select("doc_id")
-    open_ = expand(texts.join(alive, "doc_id", "left_semi")).join(wanted, ["doc_id", "band"])
+    open_ = expand(texts.join(alive, "doc_id", "left_semi"), allocated).join(wanted, ["doc_id", "band"])
     rows = open_.select("doc_id", "band", "need", F.explode(F.arrays_zip("seg", "sig")).alias("z")).select("doc_id", "band", "need", "z.seg", "z.sig")
     rows = _shared.written(rows, "signatures")
     counted = rows.groupBy("sig").agg(F.count("*").alias("sharers")).where("sharers > 1")
@@ -391,30 +444,54 @@ def join(docs: DataFrame) -> DataFrame:
     packed = shared.groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("sharers", "sig"))).alias("z"))
     probes = packed.join(mine, ["doc_id", "band"]).where(F.size("z") > F.greatest(F.lit(0), F.col("all") - F.col("need")))
     take = F.least(F.size("z"), F.greatest(F.lit(0), F.col("need") - (F.col("all") - F.size("z")))).cast("int")
-    chosen = probes.select("doc_id", F.explode(F.transform("z", lambda x, i: F.struct(x["sig"].alias("sig"), x["sharers"].alias("sharers"), (i < take).alias("probe")))).alias("p")).select("doc_id", "p.sig", "p.sharers", "p.probe")
-    index = _shared.written(chosen, "index")
-    edges = _rounds(index, held)
-    roots = components(edges.select("a", "b"))
-    part = info.join(classes, ["key_a", "key_b", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    out = part.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    picked = probes.select("doc_id", F.explode(F.transform("z", lambda x, i: F.struct(x["sig"].alias("sig"), x["sharers"].alias("sharers"), (i < take).alias("probe")))).alias("p")).select("doc_id", "p.sig", "p.sharers", "p.probe")
+    edges = _rounds(_shared.written(picked, "index"), held)
+    out = _told(info, classes, edges, parts)
     unnamed = docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(0).cast("long"))
     none = describe(unnamed).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none)
 
 
-def _rounds(index: DataFrame, held: DataFrame, stars: int = 3) -> DataFrame:
+def _told(info: DataFrame, classes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+    """The result for each row of ``info``, from the links between classes."""
+    name = F.struct("key_a", "key_b", "n")
+    twice = _shared.written(info.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo != hi").select("doc_id"), "twice")
+    repeats = not twice.isEmpty()  # an id with several texts joins their classes
+    if repeats:
+        own = info.where("n > 0").join(twice, "doc_id").join(classes.select("key_a", "key_b", "n", "rep"), ["key_a", "key_b", "n"]).select("doc_id", "rep").distinct()
+        first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        edges = edges.unionByName(own.join(first, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")))
+    linked = classes.join(components(edges), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    least = linked.groupBy("root").agg(F.min("one.doc_id").alias("component_id"), F.sum("copies").alias("held"))
+    # a set that one row has and nothing links needs no looking up; it is its own component
+    known = _shared.written(linked.join(least.where("held > 1"), "root").select("key_a", "key_b", "n", "copies", "component_id"), "told")
+    # a class with over 1 / (4 * parts) of all rows is one of at most 4 * parts classes, which every task can hold
+    total = F.lit(classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    large = known.where(F.col("copies") * 4 * parts > total).select("key_a", "key_b", "n", F.col("component_id").alias("large"))
+    rest = known.where(F.col("copies") * 4 * parts <= total).select("key_a", "key_b", "n", "component_id")
+    rows = info.join(F.broadcast(large), ["key_a", "key_b", "n"], "left").withColumn("key_a", F.when(F.col("large").isNull(), F.col("key_a")).otherwise(F.xxhash64("doc_id", "mark")))
+    rows = rows.withColumn("size", F.when(F.col("large").isNull(), F.col("n")).otherwise(-1))
+    out = rows.join(rest.withColumnRenamed("n", "size"), ["key_a", "key_b", "size"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("large", "component_id").alias("component_id"))
+    if repeats:
+        whole = out.join(twice, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("whole", "component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _rounds(index: DataFrame, held: DataFrame, stars: int = STARS) -> DataFrame:
     """Links of the sharers of each signature: with a leader first, then between those still in different components.
 
     A signature's leader is its sharer that shares most in all, the likely centre of a group of near copies; in the next
     turns the leader is chosen among those that are not yet in the first one's component. Every turn is linear in the index.
+    Sets that still share a signature across components meet under that signature's leader: two sets may share a hundred
+    signatures, but these have few leaders, and the sizes, own tokens and sketches are held against each other there.
     """
     weight = index.groupBy("doc_id").agg(F.sum("sharers").alias("weight"))
     rows = _shared.written(index.join(weight, "doc_id").select("sig", "doc_id", "probe", F.struct("weight", "doc_id").alias("rank")), "ranked")
     seen = edges = None
     for turn in range(stars + 1):
-        if edges is None:
-            now = rows.withColumn("root", F.col("doc_id"))
-        else:
+        now = rows.withColumn("root", F.col("doc_id"))
+        if edges is not None:
             roots = components(edges).withColumnRenamed("node", "doc_id")
             now = _shared.written(rows.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "now")
         mixed = now.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("any"), F.max(F.struct("rank", "root")).alias("first")).where("any AND r0 != r1")
@@ -425,10 +502,11 @@ def _rounds(index: DataFrame, held: DataFrame, stars: int = 3) -> DataFrame:
                 left = now.join(other.select("sig", F.col("first.root").alias("head"), F.col("first.rank.doc_id").alias("leader")), "sig")
             pairs = left.where("root != head").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
         else:
-            full = left.select("sig", "doc_id", "root", "probe").join(_facts(held, "doc_id", ""), "doc_id")
-            side = lambda n: full.select("sig", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "root", "probe", "n", "own", *_ODD)])
+            met = left.groupBy("leader", "doc_id").agg(F.max("root").alias("root"), F.max("probe").alias("probe"))
+            full = met.join(_facts(held, "doc_id", ""), "doc_id")
+            side = lambda n: full.select("leader", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "root", "probe", "n", "own", *_ODD)])
             fit = _may_link("_a", "_b")
-            pairs = side("a").join(side("b"), "sig").where(f"doc_id_a < doc_id_b AND root_a != root_b AND (probe_a OR probe_b) AND {fit}").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+            pairs = side("a").join(side("b"), "leader").where(f"doc_id_a < doc_id_b AND root_a != root_b AND (probe_a OR probe_b) AND {fit}").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti")
         pairs = _shared.written(pairs, "pairs")
         found = _links(pairs, held)
