@@ -66,6 +66,17 @@ def test_one_id_with_several_texts_keeps_the_links_of_each(spark):
     assert got == {(1, 4, 1), (2, 5, 1), (3, 5, 1), (4, 0, 4), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 6, 7), (8, 7, 7)}
 
 
+def test_leaders_are_rows(spark):
+    a, b = "a b c d e f g h i j k", "p q r s t u v w x y z"
+    rows = [(1, a), (1, b), (2, a + " 1"), (3, b + " 2"), (None, a), (None, "own text of a row without id"), (4, None), (4, ""), (5, b), (5, b), (6, "lone text here"), (6, "lone text here")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, mark int")
+    got = jaccard.leaders(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "own text of a row without id"), (4, None), (4, ""), (6, "lone text here")], key=str)
+    assert jaccard.leaders(df.limit(0)).count() == 0
+
+
 def test_a_third_of_rows_are_copies_and_ids_are_null(spark):
     rows = corpus(4, 120)
     rows += [(1000 + i, "the same text that is copied over and over in this table") for i in range(60)]

@@ -68,6 +68,27 @@ def test_quality_of_planted_documents(spark):
     assert quality.classify(df.limit(0), marks).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(8)
+    item = " ".join(rng.choices(WORDS, k=30))
+    plain = [" ".join(rng.choices(WORDS, k=80)) for _ in range(40)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(plain)]
+    held = " ".join(rng.choices(WORDS, k=60)) + " " + item
+    docs += [(1, held, "en", "s", 1), (None, held + " more", "en", "s", 1), (None, plain[0] + " and", "en", "s", 1), (2, plain[2], "en", "s", 1), (3, None, None, None, None), (3, "", "en", "s", 0)]
+    path = str(tmp_path)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    texts = [sorted((str(r.doc_id), r.text or "") for r in f(spark, df, path).collect()) for f in stages[:-1]]
+    whole = sorted((str(d), t or "") for d, t, *_ in docs)
+    assert texts[0] == [x for x in whole if x[1]]  # texts without letters go, all others stay
+    assert len(texts[1]) == len(docs) - 3 and ("1", held) in texts[1] and ("1", plain[1]) in texts[1] and texts[1].count(("2", plain[2])) == 1 and ("3", "") in texts[1]
+    assert ("1", plain[1]) in texts[2] and not any(t == "" for _, t in texts[2])
+    assert texts[3] == [x for x in whole if item not in x[1]]
+    for f in stages:
+        assert f(spark, df.limit(0), path).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(6)
     item = " ".join(rng.choices(WORDS, k=30))

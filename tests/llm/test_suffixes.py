@@ -55,6 +55,44 @@ def test_many_copies_and_repeated_rows(spark, monkeypatch):
     assert suffixes.cut(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = corpus(5)[30][1] * 2, corpus(6)[31][1] * 2
+    rows = [(1, a), (1, b), (1, "short"), (2, "head " + a), (3, b + " tail"), (1, None), (None, a[:260]), (None, b[-260:])]
+    got = suffixes.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows)
+
+
+def test_a_core_with_many_stretches_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 3)
+    monkeypatch.setattr(suffixes, "FEW", 50)
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=330))
+    rows = []
+    for i in range(60):
+        head, tail = ("".join(rng.choices("ijklmnop ", k=60)) for _ in range(2))
+        own = list(passage)
+        if i % 3:
+            own[rng.randrange(330)] = "#"
+        rows.append((i, head + "".join(own) + tail))
+    got = suffixes.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows)
+
+
+def test_names_of_strings_tell_periodic_texts_apart():
+    # strings on which plain polynomial hashes modulo 2**64 collide
+    thue = [0]
+    while len(thue) < 2048:
+        thue += [1 - x for x in thue]
+    x = np.array(thue, np.uint8)
+    y = 1 - x
+    whole = np.array([0]), np.array([2048])
+    from tidemark.llm import _text
+
+    assert _text.Strings(x).of(*whole)[0] != _text.Strings(y).of(*whole)[0]
+    z = np.concatenate([y[:50], x, y])
+    assert _text.Strings(z).of(np.array([50]), np.array([2098]))[0] == _text.Strings(x).of(*whole)[0]
+
+
 def test_loser_tree_equals_sorting():
     rng = np.random.default_rng(0)
     for _ in range(200):

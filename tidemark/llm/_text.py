@@ -88,6 +88,36 @@ class Hashes:
             return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+_OTHER = np.uint64(0xD6E8FEB86659FD93)  # odd, and no power of the other base in reach
+
+
+@functools.cache
+def _other_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    back = np.uint64(pow(int(_OTHER), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_OTHER, back))
+
+
+class Strings:
+    """Hashes of substrings of 8 bytes or more by the 8-byte strings in them, each mixed on its own, with another base."""
+
+    def __init__(self, data: np.ndarray):
+        n = max(0, len(data) - 7)
+        size = SLICE + 1 if n <= SLICE + 1 else n
+        self.up, self.down = _other_powers(size) if size == SLICE + 1 else _other_powers.__wrapped__(size)
+        own = np.ascontiguousarray(data)
+        with np.errstate(over="ignore"):
+            terms = np.ndarray((n,), np.uint64, own.data, 0, (1,)) * _BASE if n else np.zeros(0, np.uint64)
+            terms ^= terms >> np.uint64(29)
+            terms *= self.up[:n]
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end - 7] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def table(allowed) -> np.ndarray:
     """Truth for each byte value."""
     out = np.zeros(256, bool)

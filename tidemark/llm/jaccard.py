@@ -414,9 +414,34 @@ def join(docs: DataFrame) -> DataFrame:
     doc_id are one node whatever their texts are: each row links by its own text, and all of them share a component. Rows
     without doc_id have no component. An empty table gives no rows; other columns are ignored.
     """
-    spark, parts = docs.sparkSession, _shared.tasks(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where(F.col("doc_id").isNotNull())
+    out = _components(docs.where(F.col("doc_id").isNotNull()), True).select("doc_id", "n_shingles", F.coalesce("component.doc_id", "doc_id").alias("component_id"))
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(0).cast("long"))
+    none = describe(unnamed).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(none)
+
+
+#: Stands for a missing doc_id where rows are nodes; it comes last.
+_NO_ID = (1 << 63) - 1
+
+
+def leaders(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their components, whole: of linked rows the one with the smallest (doc_id, hash of text).
+
+    Here a row is a node of its own, so that two texts under one doc_id, or without doc_id, do not stand for each other. Of
+    rows that repeat doc_id and text one stays, where the text has words. Rows without words all stay.
+    """
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__mark", F.xxhash64(F.col("text").cast("string")))
+    found = _components(keyed.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text")), False)
+    stay = found.where("n_shingles > 0 AND (component IS NULL OR (component.doc_id = doc_id AND component.mark = mark))").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    kept = keyed.join(stay, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    bare = found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return kept.unionByName(keyed.join(bare, ["__id", "__mark"], "left_semi")).select(docs.columns)
+
+
+def _components(known: DataFrame, ids: bool) -> DataFrame:
+    """doc_id, mark, n_shingles, component (the least (doc_id, mark) of all that the row reaches; null: itself alone)."""
+    spark, parts = known.sparkSession, _shared.tasks(known.sparkSession)
     info = _shared.written(describe(known), "sets")
     # equal sets are one class, named by a number; one row's text stands for it
     classes = info.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("copies"))
@@ -445,37 +470,35 @@ def join(docs: DataFrame) -> DataFrame:
     probes = packed.join(mine, ["doc_id", "band"]).where(F.size("z") > F.greatest(F.lit(0), F.col("all") - F.col("need")))
     take = F.least(F.size("z"), F.greatest(F.lit(0), F.col("need") - (F.col("all") - F.size("z")))).cast("int")
     picked = probes.select("doc_id", F.explode(F.transform("z", lambda x, i: F.struct(x["sig"].alias("sig"), x["sharers"].alias("sharers"), (i < take).alias("probe")))).alias("p")).select("doc_id", "p.sig", "p.sharers", "p.probe")
-    edges = _rounds(_shared.written(picked, "index"), held)
-    out = _told(info, classes, edges, parts)
-    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(0).cast("long"))
-    none = describe(unnamed).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(none)
+    return _told(info, classes, _rounds(_shared.written(picked, "index"), held), parts, ids)
 
 
-def _told(info: DataFrame, classes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
-    """The result for each row of ``info``, from the links between classes."""
-    name = F.struct("key_a", "key_b", "n")
-    twice = _shared.written(info.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo != hi").select("doc_id"), "twice")
-    repeats = not twice.isEmpty()  # an id with several texts joins their classes
+def _told(info: DataFrame, classes: DataFrame, edges: DataFrame, parts: int, ids: bool) -> DataFrame:
+    """The result for each row of ``info``, from the links between classes; with ``ids``, rows of one doc_id are one node."""
+    repeats = False
+    if ids:
+        name = F.struct("key_a", "key_b", "n")
+        twice = _shared.written(info.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo != hi").select("doc_id"), "twice")
+        repeats = not twice.isEmpty()  # an id with several texts joins their classes
     if repeats:
         own = info.where("n > 0").join(twice, "doc_id").join(classes.select("key_a", "key_b", "n", "rep"), ["key_a", "key_b", "n"]).select("doc_id", "rep").distinct()
         first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
         edges = edges.unionByName(own.join(first, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")))
     linked = classes.join(components(edges), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
-    least = linked.groupBy("root").agg(F.min("one.doc_id").alias("component_id"), F.sum("copies").alias("held"))
+    least = linked.groupBy("root").agg(F.min("one").alias("component"), F.sum("copies").alias("held"))
     # a set that one row has and nothing links needs no looking up; it is its own component
-    known = _shared.written(linked.join(least.where("held > 1"), "root").select("key_a", "key_b", "n", "copies", "component_id"), "told")
+    known = _shared.written(linked.join(least.where("held > 1"), "root").select("key_a", "key_b", "n", "copies", "component"), "told")
     # a class with over 1 / (4 * parts) of all rows is one of at most 4 * parts classes, which every task can hold
     total = F.lit(classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
-    large = known.where(F.col("copies") * 4 * parts > total).select("key_a", "key_b", "n", F.col("component_id").alias("large"))
-    rest = known.where(F.col("copies") * 4 * parts <= total).select("key_a", "key_b", "n", "component_id")
+    large = known.where(F.col("copies") * 4 * parts > total).select("key_a", "key_b", "n", F.col("component").alias("large"))
+    rest = known.where(F.col("copies") * 4 * parts <= total).select("key_a", "key_b", "n", "component")
     rows = info.join(F.broadcast(large), ["key_a", "key_b", "n"], "left").withColumn("key_a", F.when(F.col("large").isNull(), F.col("key_a")).otherwise(F.xxhash64("doc_id", "mark")))
     rows = rows.withColumn("size", F.when(F.col("large").isNull(), F.col("n")).otherwise(-1))
-    out = rows.join(rest.withColumnRenamed("n", "size"), ["key_a", "key_b", "size"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("large", "component_id").alias("component_id"))
+    out = rows.join(rest.withColumnRenamed("n", "size"), ["key_a", "key_b", "size"], "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("large", "component").alias("component"))
     if repeats:
-        whole = out.join(twice, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
-        out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("whole", "component_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        whole = out.join(twice, "doc_id").groupBy("doc_id").agg(F.min("component").alias("whole"))
+        out = out.join(whole, "doc_id", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    return out
 
 
 def _rounds(index: DataFrame, held: DataFrame, stars: int = STARS) -> DataFrame:

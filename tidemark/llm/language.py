@@ -129,11 +129,11 @@ def fit(labelled: DataFrame, per_language: int = 700, windows_each: int = 4) ->
     return train(windows[keep], label, languages) if keep.any() else None
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score and the columns of ``docs`` that are not among these."""
+def predict(docs: DataFrame, net: Network | None, row: str = "doc_id") -> DataFrame:
+    """``row``, lang_pred, score of each row of ``docs``; the column named by ``row`` is only carried along."""
     letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     if net is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(row, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def score(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.languages, "und"], object)
@@ -149,16 +149,21 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 told[a:b], sure[a:b] = total.argmax(1), np.clip(total.max(1), 0, 1)
             lettered = np.asarray(batch.column("lettered"))
             told[~lettered], sure[~lettered] = len(names) - 1, 0
-            yield pa.record_batch([batch.column("doc_id"), pa.array(names[told], pa.string()), pa.array(sure)], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([batch.column("row"), pa.array(names[told], pa.string()), pa.array(sure)], names=["row", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), letters.alias("lettered")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    kind = docs.schema[row].dataType.simpleString()
+    return docs.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"), letters.alias("lettered")).mapInArrow(score, f"row {kind}, lang_pred string, score double").withColumnRenamed("row", row)
+
+
+def learned(docs: DataFrame) -> Network | None:
+    """The network fitted on the labelled rows that are not held out."""
+    lettered = F.col("text").rlike(r"\p{L}")
+    return fit(docs.where(~held_out() & F.col("lang").isNotNull() & lettered).select("doc_id", "text", "lang"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; learns from the labelled rows that are not held out."""
-    lettered = F.col("text").rlike(r"\p{L}")
-    net = fit(docs.where(~held_out() & F.col("lang").isNotNull() & lettered).select("doc_id", "text", "lang"))
-    return predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, learned(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,27 +5,31 @@ first WINDOW bytes of a suffix matter, so a suffix is repeated if a neighbour in
 
 1. Anchors (``_anchors``) cut all windows into stretches. Equal windows have anchors with equal cores, so a stretch whose
    core occurs once has no repeated window. Cores meet in tasks dealt out by hash; most stretches end here.
-2. Stretches equal as a whole (named by 128 bits) are repeated as a whole. Where a core has several different stretches,
+2. Stretches equal as a whole (named by 64 bits of their core and 64 of all their 8-byte strings, by unlike hashes) are
+   repeated as a whole. Where a core has several different stretches,
    one of each goes on, as only parts of them may be repeated.
 3. Their suffixes are sorted. Every task sorts runs of its own, parted by the hash of the suffix's core, and front-codes
    them; equal suffixes have equal cores at equal distance, so they are in the same part, and neighbouring suffixes of one
-   text are too, which lets a run be packed tightly. Of a core with over MANY stretches each distance is a part of its own.
+   text are too, which lets a run be packed tightly. A core with over MANY stretches is dealt out further, by blocks of
+   BLOCK distances and the bytes that all windows of such a block share, which equal windows have in common.
    Parts are exchanged, and a loser tree that carries common prefixes merges a part's runs. Neighbours that share WINDOW
    bytes mark their suffixes as repeated.
 4. Marks return to all equal stretches, and texts are cut.
 
 A core that one batch holds very often is known to be repeated there; its stretches go on directly and one entry tells the
-other batches. A null text is empty. Rows with the same doc_id and text get the same result; rows without doc_id are told
-apart by text. An empty table gives no rows; other columns are ignored.
+other batches. A null text is empty. Every row is a document: rows that repeat a doc_id and text lose what they share and
+get the same result each; rows with one doc_id and other texts, and rows without doc_id, are told apart by text. An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _anchors, _merge, _shared, _text
@@ -35,36 +39,45 @@ WINDOW = _anchors.WINDOW
 OFTEN = 32
 #: Suffixes of one run.
 RUN = 100_000
-#: Different stretches of a core beyond which its suffixes are parted by distance too.
-MANY = 500
+#: Different stretches of a core beyond which its suffixes are dealt out by blocks of distances too.
+MANY, BLOCK = 500, 16
+#: Suffixes of a part: at least, while there are fewer parts than tasks can take, and at most.
+FEW, MOST = 20_000, 400_000
+
+
+def mark(text: Column) -> Column:
+    """32 bits of a text, null as empty, that tell texts under one doc_id apart."""
+    return (F.crc32(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int")
 
 
 def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and what tells rows apart: name (the doc_id; without one, 64 bits of the text) and mark (32 bits of the text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) - F.abs(F.xxhash64("text") / 8).cast("long")).alias("name"), F.col("doc_id"), text.alias("text"))
+    rows = docs.select("doc_id", text.alias("text"))
+    return rows.withColumn("name", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("mark", mark(F.col("text")))
 
 
-_STRETCH = "core long, whole long, name long, first long, windows int"
+_STRETCH = "core long, whole long, name long, first long, windows int, mark int"
 
 
 def stretches(named: DataFrame, parts: int) -> DataFrame:
-    """core, whole, name, first, windows of every stretch whose core occurs twice or more.
+    """core, whole, name, first, windows, mark of every stretch whose core occurs twice or more.
 
     windows is their number, and in the higher half the distance from the first window to the anchor.
     """
     parts *= 2
-    fields = ("core", "whole", "name", "first", "windows")
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
+    fields = ("core", "whole", "name", "first", "windows", "mark")
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
 
     def deal(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             data, offsets = _text.buffers(batch.column("text"))
-            ids = np.asarray(batch.column("name"))
+            ids, marks = np.asarray(batch.column("name")), np.asarray(batch.column("mark"))
             found = []
             for a, b, part, own in _text.slices(data, offsets):
                 h = _text.Hashes(part)
                 row, x, z, s = _anchors.stretches(part, own, h)
-                found.append((h.of(s, s + _anchors.CORE), _text.Hashes(part, 1).of(x, z + WINDOW), ids[a:b][row], x - own[row], (z - x + 1) + ((s - x) << 16)))
+                found.append((h.of(s, s + _anchors.CORE), _text.Strings(part).of(x, z + WINDOW), ids[a:b][row], x - own[row], (z - x + 1) + ((s - x) << 16), marks[a:b][row]))
             if not found:
                 continue
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -108,7 +121,7 @@ def stretches(named: DataFrame, parts: int) -> DataFrame:
             columns = [c[keep] for c in columns]
         return pa.table([pa.array(c) for c in columns], names=fields)
 
-    dealt = named.mapInArrow(deal, "bucket int, core binary, whole binary, name binary, first binary, windows binary, often binary")
+    dealt = named.mapInArrow(deal, "bucket int, core binary, whole binary, name binary, first binary, windows binary, mark binary, often binary")
     salted = dealt.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("name", "first"), F.lit(4 * parts)).cast("int")).otherwise(0))
     return salted.groupBy("bucket", "salt").applyInArrow(meet, _STRETCH)
 
@@ -132,9 +145,15 @@ def _suffixes(arrow: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[np.
                 place = np.arange(one["windows"] & 0xFFFF)
                 strings.append(views[one["first"] + place])
                 tags.append((one["class"] << 8) + place)
-                distance = (one["windows"] >> 16) - place if one["many"] else np.full(len(place), -1)
-                with np.errstate(over="ignore"):
-                    groups.append((_text.mix(np.full(len(place), one["core"], np.int64).view(np.uint64) + distance.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32))
+                group = np.full(len(place), one["core"], np.int64).view(np.uint64)
+                if one["many"]:
+                    distance = (one["windows"] >> 16) - place
+                    anchor = one["first"] + (one["windows"] >> 16)
+                    for k in range(int(distance[-1]) // BLOCK, int(distance[0]) // BLOCK + 1):
+                        common = zlib.crc32(text[max(0, anchor - BLOCK * k) : anchor - BLOCK * k + WINDOW - BLOCK + 1])
+                        with np.errstate(over="ignore"):
+                            group[distance // BLOCK == k] += np.uint64((k << 32) + common + 1)
+                groups.append((_text.mix(group) % np.uint64(parts)).astype(np.int32))
                 size += len(place)
                 if size >= RUN:
                     yield run()
@@ -149,7 +168,7 @@ def repeated(texts: DataFrame, tasks: int) -> DataFrame:
     ``asked`` holds one stretch of each class. NUL bytes sort before all others, as in any byte string.
     """
     total = texts.select(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + x["windows"].bitwiseAND(0xFFFF)))).first()[0] or 0
-    parts = max(1, min(4 * tasks, total // 20_000))
+    parts = max(1, min(4 * tasks, total // FEW), total // MOST)
 
     def sort(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, tag, group in _suffixes(arrow, parts):
@@ -182,23 +201,30 @@ def repeated(texts: DataFrame, tasks: int) -> DataFrame:
 
 
 def covered(named: DataFrame) -> DataFrame:
-    """name, spans: for each text with repeated bytes, array of (start, end) that may touch or overlap."""
+    """name, mark, spans: for each text with repeated bytes, array of (start, end) that may touch or overlap."""
     parts = _shared.tasks(named.sparkSession)
     held = _shared.written(stretches(named, parts), "stretches")
-    kinds = held.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("name", "first", "windows")).alias("one"))
+    kinds = held.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "first", "windows")).alias("one"))
     kinds = _shared.written(kinds.withColumn("class", F.monotonically_increasing_id()), "kinds")
     several = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > MANY).alias("many"))
-    open_ = kinds.join(several, "core").groupBy(F.col("one.name").alias("name")).agg(F.collect_list(F.struct("class", "core", "many", F.col("one.first").alias("first"), F.col("one.windows").alias("windows"))).alias("asked"))
-    texts = _shared.written(named.join(open_, "name").dropDuplicates(["name"]).select("text", "asked"), "asked")
+    asked = F.struct("class", "core", "many", F.col("one.first").alias("first"), F.col("one.windows").alias("windows"))
+    open_ = kinds.join(several, "core").groupBy(F.col("one.name").alias("name"), F.col("one.mark").alias("mark")).agg(F.collect_list(asked).alias("asked"))
+    texts = _shared.written(named.join(open_, ["name", "mark"]).dropDuplicates(["name", "mark"]).select("text", "asked"), "asked")
     found = repeated(texts, parts)
+    places = F.lit(None).cast("array<short>").alias("places")
     single = kinds.where("n = 1").select("core", "whole", "class").join(found, "class").select("core", "whole", "places")
-    many = kinds.where("n > 1").select("core", "whole", F.lit(None).cast("array<short>").alias("places"))
+    # a stretch that is over 1 / (4 * parts) of all is one of at most 4 * parts, which every task can hold
+    total = F.lit(kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    frequent = kinds.where((F.col("n") > 1) & (F.col("n") * 4 * parts > total)).select("core", "whole", F.lit(True).alias("frequent"))
+    many = kinds.where((F.col("n") > 1) & (F.col("n") * 4 * parts <= total)).select("core", "whole", places)
+    told = held.join(F.broadcast(frequent), ["core", "whole"], "left")
     windows = F.col("windows").bitwiseAND(0xFFFF)
     spans = F.when(F.col("places").isNull(), F.array(F.struct(F.col("first").alias("start"), (F.col("first") + windows + WINDOW - 1).alias("end")))).otherwise(
         F.transform("places", lambda p: F.struct((F.col("first") + p).cast("long").alias("start"), (F.col("first") + p + WINDOW).cast("long").alias("end")))
     )
-    marked = held.join(single.unionByName(many), ["core", "whole"]).select("name", spans.alias("spans"))
-    return marked.groupBy("name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rest = told.where("frequent IS NULL").join(single.unionByName(many), ["core", "whole"]).select("name", "mark", "first", "windows", "places")
+    marked = rest.unionByName(told.where("frequent").select("name", "mark", "first", "windows", places)).select("name", "mark", spans.alias("spans"))
+    return marked.groupBy("name", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,12 +238,9 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; may split a character), and the removed spans."""
+    """doc_id, mark (32 bits of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes; may split a character), and the removed spans."""
     named = _named(docs)
-    name_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) - F.abs(F.xxhash64("text") / 8).cast("long"))
-    marked = covered(named)
-    rows = docs.select(name_of.alias("name"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = rows.join(marked, "name", "left").select("doc_id", "text", "spans")
+    joined = named.join(covered(named), ["name", "mark"], "left").select("doc_id", "mark", "text", "spans")
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -235,10 +258,10 @@ def cut(docs: DataFrame) -> DataFrame:
                 removed.append(sum(b - a for a, b in gone))
                 spans.append([{"start": a, "end": b} for a, b in gone])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+    return joined.mapInArrow(run, f"doc_id {kind}, mark int, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
