@@ -12,32 +12,48 @@ LEAST_SURE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts whose language is unsure. Rows without doc_id go with the first kind."""
-    told = language.identify(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") != "und", F.col("score"))).alias("sure"))
-    return docs.join(told.where(F.col("sure") >= LEAST_SURE).select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Drops texts without letters, null ones included, and texts whose best language is unsure.
+
+    Rows are judged by their text alone: rows that repeat a text share its fate, and rows without doc_id are judged too.
+    """
+    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
+    told = language.predict(rows, language.learned(docs), "__row")
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of linked documents the one with the smallest doc_id, once."""
-    kept = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one row of each group of linked rows: that with the smallest doc_id. Texts without words, or null, all stay.
+
+    Two texts under one doc_id, and rows without doc_id, are rows of their own; of rows that repeat both one stays.
+    """
+    return jaccard.leaders(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; a text of which nothing is left goes. What is cut within a character is mended."""
-    left = suffixes.cut(docs.select("doc_id", "text")).where("octet_length(kept) > 0")
-    kept = left.select("doc_id", F.expr("make_valid_utf8(cast(kept AS string))").alias("text"))
-    rest = docs.drop("text", "n_chars")
-    return rest.join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Cuts repeated passages out of the texts; a text of which nothing is left goes, so do null and empty ones.
+
+    What is cut within a character is mended. Rows that repeat a doc_id and text repeat each other's passages.
+    """
+    left = suffixes.cut(docs.select("doc_id", "text")).where("octet_length(kept) > 0").dropDuplicates(["doc_id", "mark"])
+    kept = left.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.expr("make_valid_utf8(cast(kept AS string))").alias("__kept"))
+    rows = docs.withColumn("__of", suffixes.mark(F.col("text")))
+    both = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__mark")))
+    return both.withColumn("text", F.col("__kept")).withColumn("n_chars", F.length("__kept").cast("long")).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    bad = contamination.contaminated(docs, _shared.read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Drops the rows whose text holds a benchmark item; null and empty texts hold none and stay.
+
+    Rows are judged by their text alone, so rows without doc_id are judged and another text under the same doc_id stays.
+    """
+    named = docs.select("text", F.struct("doc_id", suffixes.mark(F.col("text")).alias("mark")).alias("doc_id"))
+    found = contamination.contaminated(named, _shared.read(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.mark").alias("__mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (suffixes.mark(F.col("text")) == F.col("__mark"))
+    return docs.join(found, same, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences; a null or empty text is a document of the end id alone, repeated rows come as often."""
     return packing.pack(docs, _tokens.default_path())
 
 
