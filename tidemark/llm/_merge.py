@@ -28,29 +28,11 @@ def pack(rows: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes]:
     return z.compress(head + shared.tobytes() + kept.tobytes()), z.compress(np.ascontiguousarray(tags).tobytes())
 
 
-class Run:
-    """A front-coded run, read one string at a time. ``shared`` is the present string's prefix in common with the last one."""
-
-    __slots__ = ("at", "body", "shared", "size", "spot", "string", "width")
-
-    def __init__(self, packed: bytes, width: int):
-        raw = zstandard.ZstdDecompressor().decompress(packed)
-        self.size = int(np.frombuffer(raw[:4], np.uint32)[0])
-        self.shared = raw[4 : 4 + self.size]
-        self.body = raw[4 + self.size :]
-        self.width = width
-        self.at = self.spot = 0
-        self.string = b""
-        self.step(0)
-
-    def step(self, at: int) -> None:
-        """Moves to string ``at``, the next one."""
-        self.at = at
-        if at < self.size:
-            own = self.shared[at]
-            end = self.spot + self.width - own
-            self.string = self.string[:own] + self.body[self.spot : end]
-            self.spot = end
+def _unpacked(packed: bytes) -> tuple[int, bytes, bytes]:
+    """(strings, prefix of each in common with the one before, what follows these prefixes) of a front-coded run."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    size = int.from_bytes(raw[:4], "little")
+    return size, raw[4 : 4 + size], raw[4 + size :]
 
 
 def merged(packed: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
@@ -60,7 +42,10 @@ def merged(packed: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
     last string that passed there. A new contender arrives with its prefix in common with that same string. The longer
     prefix is the smaller string and nothing is compared; only at equal prefixes are the bytes after them compared.
     """
-    runs = [Run(p, width) for p in packed]
+    runs = [_unpacked(p) for p in packed]
+    sizes, shares, bodies = ([r[i] for r in runs] for i in range(3))
+    strings = [body[:width] for body in bodies]
+    spots, places = [width] * len(runs), [0] * len(runs)
     k = 1
     while k < len(runs):
         k *= 2
@@ -72,14 +57,14 @@ def merged(packed: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
             return b, a, 0
         if b < 0:
             return a, b, 0
-        x, y = runs[a].string, runs[b].string
-        if x == y:
-            return (a, b, width) if a < b else (b, a, width)
-        while x[p] == y[p]:
-            p += 1
+        x, y = strings[a], strings[b]
+        if x[p] == y[p]:  # the highest bit in which the rest differs tells the first unlike byte
+            p = width - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() + 7 >> 3)
+            if p == width:
+                return (a, b, p) if a < b else (b, a, p)
         return (a, b, p) if x[p] < y[p] else (b, a, p)
 
-    winners = [i if i < len(runs) and runs[i].size else -1 for i in range(k)]
+    winners = [i if i < len(runs) and sizes[i] else -1 for i in range(k)]
     node = k
     while node > 1:
         node //= 2
@@ -89,33 +74,42 @@ def merged(packed: list[bytes], width: int) -> Iterator[tuple[int, int, int]]:
             loser[node + i], prefix[node + i] = lost, p
             following.append(w)
         winners = following
+    paths = []
+    for i in range(k):
+        node, path = (i + k) // 2, []
+        while node:
+            path.append(node)
+            node //= 2
+        paths.append(tuple(path))
     top, known = winners[0], 0
     while top >= 0:
-        run = runs[top]
-        yield top, run.at, known
-        node = (top + k) // 2
-        at = run.at + 1
-        if at < run.size:
-            run.step(at)
-            now, known = top, run.shared[at]
+        at = places[top]
+        yield top, at, known
+        at += 1
+        path = paths[top]
+        if at < sizes[top]:
+            known = shares[top][at]
+            spot = spots[top]
+            spots[top] = end = spot + width - known
+            strings[top] = strings[top][:known] + bodies[top][spot:end]
+            places[top] = at
+            now = top
         else:
-            now, known = -1, -1
-        while node:
+            now = known = -1
+        for node in path:
             other = loser[node]
-            if other >= 0:
-                p = prefix[node]
-                if now < 0 or p > known:
-                    loser[node], prefix[node] = now, known
-                    now, known = other, p
-                elif p == known:
-                    if p < width:
-                        w, lost, shared = least(now, other, p)
-                        loser[node], prefix[node] = lost, shared
-                        if w != now:
-                            now, known = other, p
-                    elif other < now:
-                        loser[node] = now
-                        now = other
-            node //= 2
+            if other < 0:
+                continue
+            p = prefix[node]
+            if p > known:
+                loser[node], prefix[node] = now, known
+                now, known = other, p
+            elif p == known:
+                if p < width:
+                    w, loser[node], prefix[node] = least(now, other, p)
+                    if w != now:
+                        now, known = other, p
+                elif other < now:
+                    loser[node] = now
+                    now = other
         top = now
-

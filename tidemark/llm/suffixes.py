@@ -138,26 +138,36 @@ def _suffixes(arrow: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[np.
 
     for batch in arrow:
         data, offsets = _text.buffers(batch.column("text"))
-        for i, asked in enumerate(batch.column("asked")):
+        asked = batch.column("asked")
+        first, windows, own, core, many = (np.asarray(asked.flatten().field(f)) for f in ("first", "windows", "class", "core", "many"))
+        count, ahead = windows & 0xFFFF, windows >> 16
+        part = _text.mix(core.view(np.uint64)) % np.uint64(parts)
+        edge = np.asarray(asked.offsets) - asked.offsets[0].as_py()
+        for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
             text = data[offsets[i] : offsets[i + 1]]
             views = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
-            for one in asked.as_py():
-                place = np.arange(one["windows"] & 0xFFFF)
-                strings.append(views[one["first"] + place])
-                tags.append((one["class"] << 8) + place)
-                group = np.full(len(place), one["core"], np.int64).view(np.uint64)
-                if one["many"]:
-                    distance = (one["windows"] >> 16) - place
-                    anchor = one["first"] + (one["windows"] >> 16)
-                    for k in range(int(distance[-1]) // BLOCK, int(distance[0]) // BLOCK + 1):
-                        common = zlib.crc32(text[max(0, anchor - BLOCK * k) : anchor - BLOCK * k + WINDOW - BLOCK + 1])
-                        with np.errstate(over="ignore"):
-                            group[distance // BLOCK == k] += np.uint64((k << 32) + common + 1)
-                groups.append((_text.mix(group) % np.uint64(parts)).astype(np.int32))
-                size += len(place)
+            while x < y:
+                z = x + max(1, int(np.searchsorted(np.cumsum(count[x:y]), RUN)))  # a very long text takes several runs
+                held = count[x:z]
+                of = np.repeat(np.arange(x, z), held)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
+                strings.append(views[first[of] + place])
+                tags.append((own[of] << 8) + place)
+                group = part[of]
+                for j in np.flatnonzero(many[x:z]) + x:
+                    mine = np.flatnonzero(of == j)
+                    distance, anchor = ahead[j] - place[mine], first[j] + ahead[j]
+                    for block in range(int(distance[-1]) // BLOCK, int(distance[0]) // BLOCK + 1):
+                        begin = anchor - BLOCK * block
+                        common = zlib.crc32(text[max(0, begin) : begin + WINDOW - BLOCK + 1])
+                        key = (int(core[j]) + (block << 32) + common + 1) % (1 << 64)
+                        group[mine[distance // BLOCK == block]] = _text.mix(np.array([key], np.uint64))[0] % np.uint64(parts)
+                groups.append(group.astype(np.int32))
+                size += len(of)
                 if size >= RUN:
                     yield run()
                     strings, tags, groups, size = [], [], [], 0
+                x = z
     if size:
         yield run()
 
@@ -183,14 +193,13 @@ def repeated(texts: DataFrame, tasks: int) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         packed = [x.as_py() for x in table.column("run")]
         tags = [np.frombuffer(z.decompress(x.as_py()), np.int64) for x in table.column("tags")]
-        marks = [np.zeros(len(t), bool) for t in tags]
-        before = (0, 0)
+        marks = [bytearray(len(t)) for t in tags]
+        run0 = at0 = 0
         for run, at, shared in _merge.merged(packed, WINDOW):
             if shared == WINDOW:
-                marks[run][at] = True
-                marks[before[0]][before[1]] = True
-            before = (run, at)
-        tag = np.sort(np.concatenate([t[m] for t, m in zip(tags, marks, strict=True)]))
+                marks[run][at] = marks[run0][at0] = 1
+            run0, at0 = run, at
+        tag = np.sort(np.concatenate([t[np.frombuffer(m, bool)] for t, m in zip(tags, marks, strict=True)]))
         own, start = np.unique(tag >> 8, return_index=True)
         edge = np.append(start, len(tag)).astype(np.int32)
         return pa.table([pa.array(own), pa.ListArray.from_arrays(pa.array(edge), pa.array((tag & 255).astype(np.int16)))], names=["class", "places"])
