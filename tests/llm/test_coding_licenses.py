@@ -52,14 +52,20 @@ def test_license_cases(spark):
         (7, "Éall rights reserved"),
         (8, "General Public License GENERAL public license " + "word " * 50000),
         (None, "released under MIT license"),
+        (9, "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following\n// conditions are met:"),
+        (10, "this wor\u212a is licensed under a creative commons attribution license " + "\u212a " * 3),
+        (11, " ".join(w + " filler" * 40 for w in "this work is licensed under a creative commons attribution license".split())),
+        (12, "word " * 500 + "released under\nthe mit\nlicense" + " word" * 45),
     ]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS label")).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == 10 and [r.doc_id for r in got].count(6) == 2
+    assert len(got) == 14 and [r.doc_id for r in got].count(6) == 2
     assert (by[1].n_words, by[1].labels, by[1].score, by[1].first_word) == (0, "", 0.0, None)
     assert (by[3].n_words, by[3].n_base, by[3].first_word, by[3].last_word) == (6, 3, 0, 4)
     assert by[4].base_labels == "reserved" and by[4].first_word == 1
     assert by[5].labels == "apache" and by[5].base_labels == "" and by[5].score == 1.0
     assert by[7].base_labels == "" and by[8].n_base == 2 and by[8].last_word == 3
+    assert by[9].labels == "bsd" and by[9].base_labels == "" and by[12].labels == "mit"
+    assert by[10].score == 0.9 and by[11].labels == "" and by[11].score == 0.0
     assert by[None].labels == "mit" and by[None].score == 0.8
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

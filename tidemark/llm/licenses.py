@@ -1,9 +1,10 @@
 """License scan by DataFrame functions alone: listed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words; a template is a set of words with a label. The join finds every
-pair in which the block holds at least ``threshold`` of the template's words. Words are ordered by the number of blocks
-that hold them, rarest first, counted over all documents; words that no template has cannot add to an overlap and need no
-place in that order. With o = ceil(threshold * template size):
+A block is a window of WIDTH words at every STEP words of a text, whatever lines they stand on, as the set of its words, so
+every notice of up to STEP + 1 words lies in one whole; a template is a set of words with a label. The join finds every pair
+in which the block holds at least ``threshold`` of the template's words. Words are ordered by the number of texts that hold
+them, rarest first, counted over all documents; words that no template has cannot add to an overlap and need no place in
+that order. A text without enough of them has no blocks to look at. With o = ceil(threshold * template size):
   prefix filter      a pair shares one of the first size - o + 1 words of the template,
   length filter      the block has at least o words,
   positional filter  after the first shared prefix word, at most 1 + min(template words, block words) still to come can
@@ -26,21 +27,30 @@ from tidemark.llm import _shared
 
 #: Fixed values of the task.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Label and words of each template.
+#: Label and words of each template, of at most STEP + 1 words.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("reserved", "all rights reserved"),
 ]
+#: Words of a block, and from one block's start to the next.
+WIDTH, STEP = 64, 32
 THRESHOLD = 0.8
 #: The ASCII characters that are not digits or letters.
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BREAK_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case and nothing else; a null text is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
 def _half_spaces(c: Column) -> Column:
@@ -49,7 +59,7 @@ def _half_spaces(c: Column) -> Column:
 
 def phrases(text: Column, listed: list[tuple[str, str]]) -> dict[str, Column]:
     """n_words, n_base, first_word, last_word and the array base_labels; every word stands between two spaces of its own."""
-    bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BREAK, "  "))
+    bare = F.trim(F.regexp_replace(_lowered(text), _BREAK, "  "))
     spaced = F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
     return {"spaced": spaced}
 
@@ -74,19 +84,19 @@ def _found(listed: list[tuple[str, str]]) -> list[Column]:
     ]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, key and the distinct words of each line that has any."""
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), _BREAK_IN_LINE, " ")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split(plain, "\n")).alias("line"))
-    return lines.select("doc_id", "key", F.array_distinct(F.split(F.trim("line"), " ")).alias("words"))
+def _worded(docs: DataFrame, known: list[str]) -> DataFrame:
+    """doc_id, key, the words of each text in order, and which of the ``known`` words it holds."""
+    words = F.split(F.trim(F.regexp_replace(_lowered(F.col("text").cast("string")), _BREAK, " ")), " ")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), words.alias("all"))
+    return rows.withColumn("has", F.array_intersect("all", F.array(*map(F.lit, known))))
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """doc_id, key, label, containment of every (block, template) pair that meets the threshold."""
     spark = docs.sparkSession
     known = sorted({w for _, t in templates for w in t.split()})
-    held = blocks(docs).withColumn("shared", F.array_intersect("words", F.array(*map(F.lit, known))))
-    counted = held.select(F.explode("shared").alias("word")).groupBy("word").count().collect()  # a row for each template word at most
+    texts = _worded(docs, known)
+    counted = texts.select(F.explode("has").alias("word")).groupBy("word").count().collect()  # a row for each template word at most
     often = {r["word"]: r["count"] for r in counted}
     order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
     index = []
@@ -98,6 +108,10 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float)
     least = min(r[5] for r in index)
     first = F.array(*map(F.lit, sorted({r[0] for r in index})))
     rank = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
+    near = texts.where((F.size("has") >= least) & F.arrays_overlap("has", first))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - STEP), F.lit(STEP))
+    held = near.select("doc_id", "key", F.explode(F.transform(starts, lambda i: F.slice("all", i, WIDTH))).alias("block"))
+    held = held.select("doc_id", "key", F.array_distinct("block").alias("words")).withColumn("shared", F.array_intersect("words", F.array(*map(F.lit, known))))
     narrow = held.where((F.size("shared") >= least) & F.arrays_overlap("shared", first))
     narrow = narrow.withColumn("later", F.array_sort(F.transform("shared", lambda w: rank[w])))
     pairs = narrow.withColumn("word", F.explode(F.array_intersect("shared", first))).join(F.broadcast(prefixes), "word")
@@ -134,13 +148,13 @@ def _sql() -> str:
     return rf"""
 WITH phrase(own, label) AS (VALUES {listed}),
 template(own, label) AS (VALUES {templates}),
-doc AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+doc AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 worded AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS w FROM doc),
 place AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(own)] = own)) AS spot FROM worded, phrase
   WHERE list_contains(w, own[1])),
 base AS (SELECT r, count(*) AS n, min(spot) AS a, max(spot) AS b, list(DISTINCT label) AS l FROM place GROUP BY r),
-line AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM doc),
-block AS (SELECT r, regexp_extract_all(line, '{word}') AS w FROM line),
+start AS (SELECT r, w AS v, unnest(range(0, greatest(len(w) - {STEP}, 1), {STEP})) AS i FROM worded),
+block AS (SELECT r, list_slice(v, i + 1, i + {WIDTH}) AS w FROM start),
 hit AS (SELECT r, label, len(list_intersect(list_distinct(w), own)) / len(own) AS c FROM block, template
   WHERE len(list_intersect(list_distinct(w), own)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
 best AS (SELECT r, max(c) AS c, list(DISTINCT label) AS l FROM hit GROUP BY r)
