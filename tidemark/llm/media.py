@@ -5,7 +5,8 @@ bytes cuts it: after at least LEAST bytes wherever the hash's low bits are zero,
 digests meet in Spark; of equal chunks the first by (name, place) owns the bytes, and only owners store them. A stored row
 is a document's ordered list of digests and sizes and the bytes it owns. Reading back, rows that refer to chunks of others
 fetch these by a join on the digest; every chunk is checked against its digest before the payload is put together. The
-stored form whose size and sha256 are reported is the chunk list followed by the chunks it names, the same for equal texts.
+stored form whose size and sha256 are reported is the chunk list as it lies in the store, read back: the chunks' sizes and
+digests in order, the same for equal texts.
 
 A null text is empty (a payload of 192 spaces). Rows that repeat a document get the same result each; documents with the
 same id and other texts are kept apart. Extra columns are ignored. An empty table gives no rows.
@@ -27,6 +28,7 @@ from tidemark.llm import _shared, _text
 
 UNIT = 192
 LEAST, MASK, MOST = 512, (1 << 11) - 1, 8192
+LEVEL = 10  # of compression of what is shuffled and stored
 _GEAR = (_text.byte_values(7) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -92,21 +94,22 @@ def store(docs: DataFrame, path: str) -> None:
                     digest.append(d)
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(place, pa.int32()), pa.array(digest, pa.binary())], names=["name", "place", "digest"])
 
-    listed = _shared.written(named.mapInArrow(cut, "name string, place int, digest binary"), "chunks")
+    # cut again wherever it is needed: that is cheaper than a table of all chunks
+    listed = named.mapInArrow(cut, "name string, place int, digest binary")
     owners = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("name", "place")).alias("owner")).where("n > 1").select("digest", "owner")
     marks = listed.join(owners, "digest").select("name", "place", (F.col("owner") == F.struct("name", "place")).alias("own"))
     marks = marks.groupBy("name").agg(F.collect_set(F.struct("place", "own")).alias("marks"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def squeeze(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=6)
+        z = zstandard.ZstdCompressor(level=LEVEL)
         for batch in arrow:
             data, offsets = _text.buffers(batch.column("text"))
             packed = [z.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column("name"), batch.column("doc_id"), pa.array(packed, pa.binary())], names=["name", "doc_id", "packed"])
 
     def save(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, back = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        z, back = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in arrow:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "digests", "sizes", "owned", "shared", "body")}
             for packed, marked in zip(batch.column("packed"), batch.column("marks"), strict=True):
@@ -169,11 +172,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
                     if hashlib.blake2b(piece, digest_size=16).digest() != row["digests"][16 * i : 16 * i + 16]:
                         raise ValueError(f"chunk {i} of a stored payload is damaged")
                     pieces.append(piece)
-                head = len(pieces).to_bytes(4, "little") + np.array(row["sizes"], "<u4").tobytes() + row["digests"]
+                stored = np.array(row["sizes"], "<u4").tobytes() + row["digests"]
                 payload = b"".join(pieces)
                 out["payload"].append(payload)
-                out["media_bytes"].append(len(head) + len(payload))
-                out["media_sha256"].append(hashlib.sha256(head + payload).hexdigest())
+                out["media_bytes"].append(len(stored))
+                out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
                 out["n_chunks"].append(len(pieces))
             yield pa.record_batch([ids, batch.column("n_bytes"), pa.array(out["payload"], pa.binary()), pa.array(out["media_bytes"], pa.int64()), pa.array(out["media_sha256"], pa.string()), pa.array(out["n_chunks"], pa.int64())], names=["doc_id", "n_bytes", *out])
 
