@@ -66,11 +66,11 @@ def corr(x: Column | str, y: Column | str, n: int) -> Column:
     return F.when((F.count(both).over(frame(n)) >= n) & (spread != 0), F.covar_pop(col(x), col(y)).over(frame(n)) / spread)
 
 
-def mean_deviation(c: Column | str, n: int) -> Column:
-    """Mean absolute deviation from the frame's own mean."""
+def mean_deviation(c: Column | str, n: int, least: int | None = None) -> Column:
+    """Mean absolute deviation from the frame's own mean; null until ``least`` (n by default) rows are not null."""
     values = F.collect_list(col(c)).over(frame(n))
     mean = F.avg(col(c)).over(frame(n))
-    return F.when(F.count(col(c)).over(frame(n)) >= n, F.aggregate(values, F.lit(0.0), lambda s, x: s + F.abs(x - mean)) / F.size(values))
+    return F.when(F.count(col(c)).over(frame(n)) >= (n if least is None else least), F.aggregate(values, F.lit(0.0), lambda s, x: s + F.abs(x - mean)) / F.size(values))
 
 
 def percent_rank(c: Column | str, n: int, least: int) -> Column:

@@ -49,9 +49,13 @@ def chrono_split(df: DataFrame, train: float = 0.8, val: float = 0.05) -> DataFr
 
 
 def xs_momentum(bars: DataFrame, tiers: DataFrame, lookback: int, hold: int, share: float = 0.1, least: int = 1) -> DataFrame:
-    """Per fold and tier: mean return of the top less the bottom share by past return, inverse-volatility weights."""
+    """Per fold and tier: mean return of the top less the bottom share by past return, inverse-volatility weights.
+
+    Folds are every ``hold``-th of the dates that any symbol has, numbered from 1, so that all symbols are ranked on one date.
+    """
+    days = bars.select("ts").distinct().withColumn("u", F.lit(1)).withColumn("k", F.dense_rank().over(Window.partitionBy("u").orderBy("ts"))).drop("u")  # a row a date
     df = bars.withColumn("r", change("close")).withColumn("mom", change("close", lookback)).withColumn("vol", F.stddev_samp("r").over(frame(lookback))).withColumn("next", F.lead("close", hold).over(by_symbol()) / F.col("close") - 1)
-    df = df.withColumn("k", F.row_number().over(by_symbol())).where((F.col("k") % hold == 0) & F.col("mom").isNotNull() & F.col("next").isNotNull() & (F.col("vol") > 0)).join(tiers, "symbol")
+    df = df.join(days, "ts").where((F.col("k") % hold == 0) & F.col("mom").isNotNull() & F.col("next").isNotNull() & (F.col("vol") > 0)).join(tiers, "symbol")
     w = Window.partitionBy("tier", "k")
     n = F.greatest(F.lit(least), F.floor(F.lit(share) * F.count(F.lit(1)).over(w)))
     df = df.withColumn("n", n).withColumn("up", F.row_number().over(w.orderBy(F.col("mom").desc(), "symbol"))).withColumn("down", F.row_number().over(w.orderBy("mom", "symbol")))
@@ -297,14 +301,14 @@ def vol_scale(returns: DataFrame, target: float, window: int = 20, least: float
 
 
 def sizing(trades: DataFrame, scheme: str, fraction: float, cap: int = 5) -> DataFrame:
-    """Equity after each trade (symbol, trade, ret): fixed; doubling after losses up to a cap; or 1 unit after a win, 2 after a loss."""
+    """Equity after each trade (symbol, trade, ret): fixed; doubling after losses, at most ``cap`` units; or 1 unit after a win, 2 after a loss."""
     w = Window.partitionBy("symbol").orderBy("trade")
     df = trades.withColumn("__loss", (F.col("ret") <= 0).cast("int"))
     df = df.withColumn("__wins", F.sum(1 - F.col("__loss")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     after = F.sum("__loss").over(Window.partitionBy("symbol", "__wins").orderBy("trade").rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("__streak", after)
     before = F.coalesce(F.lag("__streak").over(w), F.lit(0))
-    units = {"fixed": F.lit(1.0), "doubling": F.pow(F.lit(2.0), F.least(before, F.lit(cap))), "grid": F.when(before > 0, 2.0).otherwise(1.0)}[scheme]
+    units = {"fixed": F.lit(1.0), "doubling": F.least(F.pow(F.lit(2.0), before), F.lit(float(cap))), "grid": F.when(before > 0, 2.0).otherwise(1.0)}[scheme]
     df = df.withColumn("units", units).withColumn("__g", 1 + fraction * F.col("units") * F.col("ret"))
     ruined = F.max((F.col("__g") <= 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
     equity = F.exp(F.sum(F.ln(F.when(F.col("__g") > 0, F.col("__g")))).over(w.rowsBetween(Window.unboundedPreceding, 0)))

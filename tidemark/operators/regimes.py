@@ -25,8 +25,8 @@ def efficiency(n: int):
 
 def simple_gate(m: DataFrame, adx: float = 20, vol: float = 0.25, warm: int = 25) -> DataFrame:
     df = directional(m).withColumn("r", change("close")).withColumn("vol", std("r", 20)).withColumn("k", F.row_number().over(by_symbol()))
-    chop = (F.col("adx") < adx) | (F.col("vol") < vol)
-    return df.withColumn("regime", F.when(F.col("k") <= warm, "trend").when(F.coalesce(chop, F.lit(False)), "chop").otherwise("trend"))
+    known = F.col("adx").isNotNull() & F.col("vol").isNotNull()  # what is not known yet counts as a trend
+    return df.withColumn("regime", F.when((F.col("k") > warm) & known & ((F.col("adx") < adx) | (F.col("vol") < vol)), "chop").otherwise("trend"))
 
 
 def rule_regime(m: DataFrame, adx: float = 22, er: float = 0.35, vol: float = 0.22, warm: int = 30) -> DataFrame:
@@ -37,8 +37,9 @@ def rule_regime(m: DataFrame, adx: float = 22, er: float = 0.35, vol: float = 0.
     return df.withColumn("regime", F.when(F.col("raw") == F.coalesce(lag("raw"), F.col("raw")), F.col("raw")).otherwise(F.coalesce(lag("raw"), F.col("raw"))))
 
 
-def method_regime(m: DataFrame, method: str) -> DataFrame:
-    """regime by ``ma`` (50 over 200), ``choppiness`` (over 61.8), ``kaufman`` (efficiency over 0.3), ``adaptive`` (over its median) or ``bbwp`` (width rank)."""
+def method_regime(m: DataFrame, method: str, er: float = 0.35) -> DataFrame:
+    """regime by ``ma`` (50 over 200), ``choppiness`` (over 61.8), ``kaufman`` (efficiency of ``er`` at least), ``adaptive`` (the more, the more
+    volatile) or ``bbwp`` (width rank). What is not known yet counts as a trend."""
     df = m.withColumn("__d", diff("close"))
     if method == "ma":
         trend = sma("close", 50) > sma("close", 200)
@@ -48,22 +49,24 @@ def method_regime(m: DataFrame, method: str) -> DataFrame:
         span = roll(F.max, "high", 14) - roll(F.min, "low", 14)
         trend = ~(100 * F.log10(F.when(span > 0, roll(F.sum, "tr", 14) / span)) / F.log10(F.lit(14.0)) > 61.8)
     elif method == "kaufman":
-        trend = efficiency(10) > 0.3
+        trend = efficiency(10) >= er
     elif method == "adaptive":
-        df = df.withColumn("er", efficiency(10)).withColumn("mid", quantile("er", 0.5, 100, 20))
-        trend = F.col("er") > F.col("mid")
+        df = df.withColumn("r", change("close")).withColumn("er", efficiency(10)).withColumn("vol", std("r", 20, 5))
+        trend = F.col("er") >= er * (1 + 2 * F.col("vol"))
     elif method == "bbwp":
         df = bollinger(df).withColumn("wp", percent_rank("width", 50, 5))
         trend = ~(F.col("wp") < 0.2)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return df.withColumn("regime", F.when(F.coalesce(trend, F.lit(False)), "trend").otherwise("chop"))
+    return df.withColumn("regime", F.when(F.coalesce(trend, F.lit(True)), "trend").otherwise("chop"))
 
 
-def four_state(bars: DataFrame, n: int = 20, past: int = 720) -> DataFrame:
-    df = bars.withColumn("r", change("close")).withColumn("vol", std("r", n)).withColumn("mid", quantile("vol", 0.5, past, 1))
-    high, up = F.coalesce(F.col("vol") > F.col("mid"), F.lit(False)), F.coalesce(F.col("close") > sma("close", n), F.lit(False))
-    return df.withColumn("regime", F.concat(F.when(high, "high").otherwise("low"), F.lit("_"), F.when(up, "up").otherwise("down")))
+def four_state(bars: DataFrame, n: int = 24, days: int = 144, past: int = 720, band: int = 20) -> DataFrame:
+    """Volatility over ``n`` bars against the median of its own mean, and the close's distance from its mean in band deviations."""
+    df = bars.withColumn("r", change("close")).withColumn("vol", std("r", n)).withColumn("calm", sma("vol", days)).withColumn("mid", quantile("calm", 0.5, past, 1))
+    high = F.coalesce(F.col("vol") > F.col("mid"), F.lit(False))
+    far = F.coalesce(F.abs((F.col("close") - sma("close", n)) / (std("close", band) + 1e-10)) > 1, F.lit(False))
+    return df.withColumn("regime", F.concat(F.when(high, "high_vol").otherwise("low_vol"), F.lit("_"), F.when(far, "trend").otherwise("range")))
 
 
 def counter_regime(m: DataFrame, threshold: float, k: int) -> DataFrame:

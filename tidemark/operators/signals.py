@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import change, cross_down, cross_up, diff, ewm, flag, lag, mean_deviation, percent_rank, quantile, roll, running, sma, std, up_share
-from tidemark.operators.bars import true_range
 
 Rule = Callable[[DataFrame], DataFrame]
 RULES: dict[str, Rule] = {}
@@ -39,6 +38,15 @@ def signals(df: DataFrame, entry: Column, exit_: Column) -> DataFrame:
     return df.withColumn("entry", flag(entry)).withColumn("exit", flag(exit_))
 
 
+#: Keeps denominators from being zero (fixed value of the rules).
+TINY = 1e-12
+
+
+def true_range() -> Column:
+    """The first bar of a symbol has no close before it and ranges from low to high."""
+    return F.greatest(F.col(H) - F.col(L), F.abs(F.col(H) - lag(C)), F.abs(F.col(L) - lag(C)))
+
+
 def rising(c: str) -> Column:
     return F.col(c) > lag(c)
 
@@ -56,23 +64,23 @@ def donchian(df, n: int = 40):
 @register("cci")
 def cci(df, n: int = 20):
     df = df.withColumn("typical", (F.col(H) + F.col(L) + F.col(C)) / 3)
-    d = mean_deviation("typical", n)
-    df = df.withColumn("cci", F.when(d != 0, (F.col("typical") - sma("typical", n)) / (0.015 * d)))
+    away = F.round(F.col("typical") - sma("typical", n, 1), 9)  # a flat series has no deviation, whatever the last bits of its mean
+    df = df.withColumn("cci", away / (0.015 * mean_deviation("typical", n, 1) + TINY))
     return signals(df, (F.col("cci") > 0) & rising("cci"), (F.col("cci") < 0) & falling("cci"))
 
 
 @register("rei")
 def rei(df, n: int = 14):
-    up, down = diff(C), -diff(C)
-    df = df.withColumn("up", F.when(up > 0, up).otherwise(0.0)).withColumn("down", F.when(down > 0, down).otherwise(0.0)).withColumn("range", F.col(H) - F.col(L))
-    r = sma("range", n)
-    df = df.withColumn("rei", F.when(r != 0, 100 * (roll(F.sum, "up", n) - roll(F.sum, "down", n)) / r))
+    up, down = diff(H), -diff(L)
+    df = df.withColumn("up", F.when((up > 0) & (up > down), up).otherwise(0.0)).withColumn("down", F.when((down > 0) & (down > up), down).otherwise(0.0)).withColumn("range", F.col(H) - F.col(L))
+    moved = F.round(roll(F.sum, "up", n, 1) - roll(F.sum, "down", n, 1), 9)
+    df = df.withColumn("rei", 100 * moved / (sma("range", n, 1) + TINY))
     return signals(df, (F.col("rei") > 0) & rising("rei"), F.col("rei") < -20)
 
 
 def _williams(df, n):
-    top, low = roll(F.max, H, n), roll(F.min, L, n)
-    return df.withColumn("wr", F.when(top != low, -100 * (top - F.col(C)) / (top - low)))
+    top, low = roll(F.max, H, n, 1), roll(F.min, L, n, 1)
+    return df.withColumn("wr", -100 * (top - F.col(C)) / (top - low + TINY))
 
 
 @register("williams_r")
@@ -105,13 +113,13 @@ def bop(df, n: int = 20):
 
 @register("mtf_confirm")
 def mtf_confirm(df, fast: int = 50, slow: int = 200):
-    df = df.withColumn("fast", sma(C, fast)).withColumn("slow", sma(C, slow))
+    df = df.withColumn("fast", sma(C, fast, 1)).withColumn("slow", sma(C, slow, 1))
     return signals(df, (F.col("fast") > F.col("slow")) & (F.col(C) > F.col("fast")), F.col(C) < F.col("fast"))
 
 
 def atr(df: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
     """Adds the true range ``tr`` and its simple mean."""
-    return df.withColumn("tr", true_range()).withColumn(out, sma("tr", n))
+    return df.withColumn("tr", true_range()).withColumn(out, sma("tr", n, 1))
 
 
 def directional(df: DataFrame, n: int = 14, smooth: str = "sma") -> DataFrame:
@@ -132,7 +140,7 @@ def directional(df: DataFrame, n: int = 14, smooth: str = "sma") -> DataFrame:
 
 @register("chandelier")
 def chandelier(df, n: int = 22, k: float = 3.0):
-    df = atr(df, n).withColumn("stop", roll(F.max, H, n) - k * F.col("atr"))
+    df = atr(df, n).withColumn("stop", roll(F.max, H, n, 1) - k * F.col("atr"))
     return signals(df, F.lit(False), F.col(C) < lag("stop"))
 
 
@@ -152,7 +160,7 @@ def rsi_wilder(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
     d = diff(C)
     df = df.withColumn("gain", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).withColumn("loss", F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))
     df = ewm(ewm(df, "gain", "g", alpha=1 / n), "loss", "l", alpha=1 / n)
-    return df.withColumn(out, F.when(F.col("l") != 0, 100 - 100 / (1 + F.col("g") / F.col("l"))).when(F.col("g") > 0, 100.0))
+    return df.withColumn(out, 100 - 100 / (1 + F.col("g") / (F.col("l") + TINY)))
 
 
 def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
@@ -177,8 +185,8 @@ def rsi_jump(df, n: int = 14, low: float = 45, high: float = 55, leave: float =
 
 @register("stochastic")
 def stochastic(df, n: int = 14):
-    top, low = roll(F.max, H, n), roll(F.min, L, n)
-    df = df.withColumn("k", F.when(top != low, 100 * (F.col(C) - low) / (top - low)))
+    top, low = roll(F.max, H, n, 1), roll(F.min, L, n, 1)
+    df = df.withColumn("k", 100 * (F.col(C) - low) / (top - low + TINY))
     return signals(df, cross_up("k", 20), cross_up("k", 80))
 
 
@@ -188,14 +196,13 @@ def mfi(df, n: int = 14):
     up = F.when(F.col("typical") > lag("typical"), F.col("flow")).otherwise(0.0)
     down = F.when(F.col("typical") < lag("typical"), F.col("flow")).otherwise(0.0)
     df = df.withColumn("up", up).withColumn("down", down)
-    u, d = roll(F.sum, "up", n), roll(F.sum, "down", n)
-    df = df.withColumn("mfi", F.when(d != 0, 100 - 100 / (1 + u / d)))
+    df = df.withColumn("mfi", 100 - 100 / (1 + roll(F.sum, "up", n, 1) / (roll(F.sum, "down", n, 1) + TINY)))
     return signals(df, cross_up("mfi", 20), cross_up("mfi", 80))
 
 
 @register("inverse_fisher_rsi")
 def inverse_fisher_rsi(df, n: int = 14, smooth: int = 5):
-    df = rsi_wilder(df, n).withColumn("v", 0.1 * (F.col("rsi") - 50)).withColumn("sv", sma("v", smooth))
+    df = rsi_wilder(df, n).withColumn("v", (F.col("rsi") / 100 - 0.5) * 2).withColumn("sv", sma("v", smooth, 1))
     df = df.withColumn("ifr", (F.exp(2 * F.col("sv")) - 1) / (F.exp(2 * F.col("sv")) + 1))
     return signals(df, cross_up("ifr", -0.5), cross_up("ifr", 0.5))
 
@@ -206,49 +213,49 @@ def _recapture(df, ma: str, also: Column | None = None):
 
 
 @register("ma_recapture")
-def ma_recapture(df, n: int = 50):
-    return _recapture(df.withColumn("ma", sma(C, n)), "ma")
+def ma_recapture(df, n: int = 30):
+    return _recapture(df.withColumn("ma", sma(C, n, 1)), "ma")
 
 
 @register("ma_recapture_ema")
-def ma_recapture_ema(df, n: int = 50):
+def ma_recapture_ema(df, n: int = 30):
     return _recapture(ewm(df, C, "ma", span=n), "ma")
 
 
 @register("ma_recapture_rising")
-def ma_recapture_rising(df, n: int = 50):
-    df = df.withColumn("ma", sma(C, n))
+def ma_recapture_rising(df, n: int = 30):
+    df = df.withColumn("ma", sma(C, n, 1))
     return _recapture(df, "ma", rising("ma"))
 
 
 @register("ma_recapture_dual")
 def ma_recapture_dual(df, fast: int = 30, slow: int = 50):
-    df = df.withColumn("ma", sma(C, fast)).withColumn("slow", sma(C, slow))
+    df = df.withColumn("ma", sma(C, fast, 1)).withColumn("slow", sma(C, slow, 1))
     return _recapture(df, "ma", F.col(C) > F.col("slow"))
 
 
 @register("ma_recapture_low_vol")
-def ma_recapture_low_vol(df, n: int = 50, vol: int = 20, past: int = 100):
-    df = df.withColumn("ma", sma(C, n)).withColumn("r", change(C)).withColumn("vol", std("r", vol)).withColumn("mid", quantile("vol", 0.5, past, 20))
+def ma_recapture_low_vol(df, n: int = 30, vol: int = 20):
+    df = df.withColumn("ma", sma(C, n, 1)).withColumn("r", change(C)).withColumn("vol", std("r", vol, 5)).withColumn("mid", quantile("vol", 0.5, 2 * vol, vol))
     return _recapture(df, "ma", F.col("vol") < F.col("mid"))
 
 
 @register("ma_recapture_vol_expand")
-def ma_recapture_vol_expand(df, n: int = 50, vol: int = 20):
-    df = df.withColumn("ma", sma(C, n)).withColumn("r", change(C)).withColumn("vol", std("r", vol))
-    return _recapture(df, "ma", F.col("vol") > lag("vol", 5))
+def ma_recapture_vol_expand(df, n: int = 30, vol: int = 20):
+    df = df.withColumn("ma", sma(C, n, 1)).withColumn("r", change(C)).withColumn("vol", std("r", vol, 5))
+    return _recapture(df, "ma", F.col("vol") > lag("vol"))
 
 
 @register("ma_recapture_high_volume")
-def ma_recapture_high_volume(df, n: int = 50, vol: int = 20):
-    df = df.withColumn("ma", sma(C, n)).withColumn("mv", sma(V, vol))
+def ma_recapture_high_volume(df, n: int = 30, vol: int = 20):
+    df = df.withColumn("ma", sma(C, n, 1)).withColumn("mv", sma(V, vol, vol // 2))
     return _recapture(df, "ma", F.col(V) > F.col("mv"))
 
 
 @register("ma_recapture_surge")
-def ma_recapture_surge(df, n: int = 50, vol: int = 20, times: float = 1.5):
-    df = df.withColumn("ma", sma(C, n)).withColumn("mv", sma(V, vol))
-    return _recapture(df, "ma", F.col(V) > times * F.col("mv"))
+def ma_recapture_surge(df, n: int = 30, vol: int = 20, times: float = 1.5):
+    df = df.withColumn("ma", sma(C, n, 1)).withColumn("mv", sma(V, vol, vol // 2))
+    return _recapture(df, "ma", F.col(V) >= times * F.col("mv"))
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -277,13 +284,13 @@ def mr_bounce(df, n: int = 14):
 @register("obv")
 def obv(df, n: int = 20):
     d = diff(C)
-    df = df.withColumn("signed", F.when(d > 0, F.col(V)).when(d < 0, -F.col(V)).otherwise(0.0)).withColumn("obv", running(F.sum, "signed")).withColumn("ma", sma("obv", n))
+    df = df.withColumn("signed", F.when(d > 0, F.col(V)).when(d < 0, -F.col(V)).otherwise(0.0)).withColumn("obv", running(F.sum, "signed")).withColumn("ma", sma("obv", n, 1))
     return signals(df, (F.col("obv") > F.col("ma")) & rising("obv"), (F.col("obv") < F.col("ma")) & falling("obv"))
 
 
 @register("efi")
 def efi(df, n: int = 20):
-    df = df.withColumn("force", diff(C) * F.col(V)).withColumn("smooth", sma("force", n))
+    df = df.withColumn("force", F.coalesce(diff(C), F.lit(0.0)) * F.col(V)).withColumn("smooth", sma("force", n, 1))
     return signals(df, (F.col("force") > 0) & rising("smooth"), F.col("force") < 0)
 
 
@@ -301,36 +308,41 @@ def trix(df, n: int = 15):
 
 @register("supertrend")
 def supertrend(df, n: int = 10, k: float = 3.0):
-    """The state is the last side passed. The band names follow the source of the rule, in which the upper one lies below."""
-    df = ewm(ewm(ewm(df, C, "e1", span=n), "e1", "e2", span=n), "e2", "e3", span=n)
+    """The state is the last side passed, at first none; signals are its turns. The upper band lies below, as the rule has it."""
+    df = _thrice(df, n)
     mid = (F.col(H) + F.col(L)) / 2
-    df = df.withColumn("upper", mid - k * F.col("e3") / 100).withColumn("lower", mid + k * F.col("e3") / 100)
+    df = df.withColumn("upper", mid - k * F.col("e3")).withColumn("lower", mid + k * F.col("e3"))
     side = F.when(F.col(C) > lag("upper"), 1).when(F.col(C) < lag("lower"), -1)
-    df = df.withColumn("side", side).withColumn("state", running(lambda c: F.last(c, ignorenulls=True), "side"))
-    return signals(df, F.col("state") == 1, F.col("state") == -1)
+    df = df.withColumn("side", side).withColumn("state", F.coalesce(running(lambda c: F.last(c, ignorenulls=True), "side"), F.lit(0)))
+    return signals(df, (F.col("state") == 1) & rising("state"), (F.col("state") == -1) & falling("state"))
+
+
+def _thrice(df: DataFrame, n: int) -> DataFrame:
+    """Adds e3, the exponential mean of the exponential mean of the close's."""
+    return ewm(ewm(ewm(df, C, "e1", span=n), "e1", "e2", span=n), "e2", "e3", span=n)
 
 
 @register("chandelier_flip")
-def chandelier_flip(df, n: int = 22, k: float = 3.0):
-    df = ewm(df.withColumn("tr", true_range()), "tr", "e", span=n)
-    df = df.withColumn("up", flag(F.col(C) > roll(F.max, H, n) - k * F.col("e")))
+def chandelier_flip(df, n: int = 22, k: float = 3.0, smooth: int = 10):
+    df = _thrice(df, smooth)
+    df = df.withColumn("up", flag(F.col(C) > roll(F.max, H, n, 1) - k * F.col("e3")))
     return signals(df, (lag("up") == 0) & (F.col("up") == 1), (lag("up") == 1) & (F.col("up") == 0))
 
 
 @register("ichimoku")
 def ichimoku(df, a: int = 9, b: int = 26, c: int = 52):
-    mid = lambda n: (roll(F.max, H, n) + roll(F.min, L, n)) / 2
+    mid = lambda n: (roll(F.max, H, n, 1) + roll(F.min, L, n, 1)) / 2
     df = df.withColumn("tenkan", mid(a)).withColumn("kijun", mid(b)).withColumn("span_b", mid(c)).withColumn("span_a", (F.col("tenkan") + F.col("kijun")) / 2)
     return signals(df, (F.col("tenkan") > F.col("kijun")) & (F.col(C) > F.greatest("span_a", "span_b")), F.col(C) < F.col("kijun"))
 
 
 @register("liquid_cross")
 def liquid_cross(df, fast: int = 10, slow: int = 30, q: float = 0.4, adv: int = 20):
-    """A moving-average cross of symbols whose traded value is over a quantile of the day's cross-section."""
-    df = df.withColumn("fast", sma(C, fast)).withColumn("slow", sma(C, slow)).withColumn("value", F.col(C) * F.col(V)).withColumn("adv", sma("value", adv))
+    """A moving-average cross of symbols whose mean volume is over a quantile of the day's cross-section."""
+    df = df.withColumn("fast", sma(C, fast)).withColumn("slow", sma(C, slow)).withColumn("adv", sma(V, adv))
     floor = df.groupBy("ts").agg(F.percentile("adv", F.lit(q)).alias("adv_floor"))
     df = df.join(floor, "ts")
-    return signals(df, (F.col("fast") > F.col("slow")) & rising("fast") & (F.col("adv") >= F.col("adv_floor")), F.col("fast") < F.col("slow"))
+    return signals(df, (F.col("fast") > F.col("slow")) & rising("fast") & (F.col("adv") > F.col("adv_floor")), F.col("fast") < F.col("slow"))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9) -> DataFrame:
@@ -342,18 +354,29 @@ def _side(up: Column, down: Column) -> Column:
     return F.when(F.coalesce(up, F.lit(False)), 1).when(F.coalesce(down, F.lit(False)), -1).otherwise(0)
 
 
+def _bars_of_symbol() -> Column:
+    return F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+
+
 def directional_rules(df: DataFrame) -> DataFrame:
-    """Adds six rules of -1, 0 and 1: averages with volume, RSI with volume, volume breakout, channel, MACD, momentum."""
-    df = rsi_simple(df).withColumn("s20", sma(C, 20)).withColumn("s50", sma(C, 50)).withColumn("v20", sma(V, 20)).withColumn("hi", roll(F.max, H, 20)).withColumn("lo", roll(F.min, L, 20)).withColumn("mom", change(C, 14))
+    """Adds six rules of -1, 0 and 1: averages with volume, RSI with volume, volume breakout, channel, MACD, momentum.
+
+    A rule is silent for symbols with fewer bars than its longest look back; where an average is still missing, the rules of
+    two sides are on the lower one.
+    """
+    df = rsi_wilder(df).withColumn("s20", sma(C, 20)).withColumn("s50", sma(C, 50)).withColumn("v20", sma(V, 20)).withColumn("hi", roll(F.max, H, 20)).withColumn("lo", roll(F.min, L, 20)).withColumn("mom", change(C, 14)).withColumn("bars", _bars_of_symbol())
     df = macd(df)
-    loud = F.col(V) > F.col("v20")
+    loud, louder = F.col(V) > 1.2 * F.col("v20"), F.col(V) > 1.5 * F.col("v20")
+    over = F.coalesce(F.col("s20") > F.col("s50"), F.lit(False))
+    above = F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False))
+    enough = lambda n, c: F.when(F.col("bars") >= n, c).otherwise(0)
     return (
-        df.withColumn("sma_cross", _side((F.col("s20") > F.col("s50")) & loud, (F.col("s20") < F.col("s50")) & loud))
-        .withColumn("rsi_volume", _side((F.col("rsi") > 55) & loud, (F.col("rsi") < 45) & loud))
-        .withColumn("volume_breakout", _side((F.col(V) > 2 * F.col("v20")) & (F.col(C) > lag(C)), (F.col(V) > 2 * F.col("v20")) & (F.col(C) < lag(C))))
-        .withColumn("channel", _side(F.col(C) > lag("hi"), F.col(C) < lag("lo")))
-        .withColumn("macd_side", _side(F.col("macd") > F.col("macd_signal"), F.col("macd") < F.col("macd_signal")))
-        .withColumn("momentum", _side(F.col("mom") > 0, F.col("mom") < 0))
+        df.withColumn("sma_cross", enough(50, _side(over & loud, ~over & loud)))
+        .withColumn("rsi_volume", enough(56, _side((F.col("rsi") > 55) & loud, (F.col("rsi") < 45) & loud)))
+        .withColumn("volume_breakout", enough(20, _side((F.col(C) > lag("hi")) & louder, (F.col(C) < lag("lo")) & louder)))
+        .withColumn("channel", enough(20, _side(F.col(C) > lag("hi"), F.col(C) < lag("lo"))))
+        .withColumn("macd_side", enough(35, _side(above, ~above)))
+        .withColumn("momentum", enough(14, _side(F.col("mom") > 0, F.col("mom") < 0)))
     )
 
 
@@ -369,17 +392,17 @@ def triple_up_share(df: DataFrame, a: int = 14, b: int = 28, c: int = 56) -> Dat
     return sticky(df.withColumn("side", _side(up, down)), "side", "held")
 
 
-def momentum_variants(df: DataFrame, n: int = 14) -> DataFrame:
+def momentum_variants(df: DataFrame, n: int = 14, short: int = 10, long: int = 30, times: float = 1.2) -> DataFrame:
     """Adds six momentum sides: plain, flat when volatile, RSI-filtered, double, volume-confirmed, adaptive."""
-    df = rsi_simple(df).withColumn("r", change(C)).withColumn("mom", change(C, n)).withColumn("mom2", change(C, 2 * n)).withColumn("vol", std("r", 20)).withColumn("v20", sma(V, 20)).withColumn("am", F.abs("mom"))
+    df = rsi_wilder(df).withColumn("r", change(C)).withColumn("mom", change(C, n)).withColumn("m1", change(C, short)).withColumn("m2", change(C, long)).withColumn("vol", std("r", 20)).withColumn("v20", sma(V, 20)).withColumn("am", F.abs("mom"))
     df = df.withColumn("vol100", sma("vol", 100)).withColumn("q", quantile("am", 0.4, 100))
     up, down = F.col("mom") > 0, F.col("mom") < 0
     return (
         df.withColumn("baseline", _side(up, down))
         .withColumn("vol_scaled", F.when(F.col("vol") > 2.5 * F.col("vol100"), 0).otherwise(_side(up, down)))
-        .withColumn("rsi_filter", _side(up & (F.col("rsi") < 70), down & (F.col("rsi") > 30)))
-        .withColumn("double", _side(up & (F.col("mom2") > 0), down & (F.col("mom2") < 0)))
-        .withColumn("volume_confirm", _side(up & (F.col(V) > F.col("v20")), down & (F.col(V) > F.col("v20"))))
+        .withColumn("rsi_filter", _side(up & (F.col("rsi") > 50), down & (F.col("rsi") < 50)))
+        .withColumn("double", _side((F.col("m1") > 0) & (F.col("m2") > 0), (F.col("m1") < 0) & (F.col("m2") < 0)))
+        .withColumn("volume_confirm", _side(up & (F.col(V) > times * F.col("v20")), down & (F.col(V) > times * F.col("v20"))))
         .withColumn("adaptive", _side(up & (F.col("am") > F.col("q")), down & (F.col("am") > F.col("q"))))
     )
 
@@ -403,13 +426,15 @@ def slow_momentum(df, n: int = 60):
 
 
 def strength(df: DataFrame, rule: str) -> DataFrame:
-    """Adds a ranking strength: depth of Williams %R, REI, distance above the channel, or distance above the average."""
+    """Adds a ranking strength: depth and turn of Williams %R, level and turn of REI, percent above the channel, or share above the average."""
+    gained = lambda c, k: F.greatest(F.lit(0.0), k * F.coalesce(diff(c), F.lit(0.0)))
     if rule == "williams_r":
-        return williams_r(df).withColumn("strength", (100 + F.col("wr")) / 100)
+        return williams_r(df).withColumn("strength", gained("wr", 2.0) - F.col("wr"))
     if rule == "rei":
-        return rei(df).withColumn("strength", F.col("rei") / 100)
+        return rei(df).withColumn("strength", F.col("rei") + gained("rei", 0.5))
     if rule == "donchian":
-        return donchian(df).withColumn("strength", F.col(C) / lag("top") - 1)
+        top = lag("top")
+        return donchian(df).withColumn("strength", 100 * (F.col(C) - top) / (top + TINY))
     return ewm(df, C, "ma", span=50).withColumn("strength", F.col(C) / F.col("ma") - 1)
 
 

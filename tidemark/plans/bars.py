@@ -155,8 +155,8 @@ query("C03_merge_full", f"WITH {VENUE}, j AS (SELECT symbol, ts, a.close AS f, b
     lambda s, d: A.merge_full(D.venue_bars(s, d).where("venue = 'F'").select("symbol", "ts", F.col("close").alias("f")), D.venue_bars(s, d).where("venue = 'O'").select("symbol", "ts", F.col("close").alias("o")), ["symbol", "ts"]).select("symbol", "ts", R.fill_forward("f").alias("f"), R.fill_forward("o").alias("o"))
 )
 query("C04_common_times", f"WITH {DAILY} SELECT symbol, ts, close FROM bars WHERE ts IN (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars))")(lambda s, d: A.common_times(D.daily(s, d)).select("symbol", "ts", "close"))
-query("C08_enrich", "SELECT s_suppkey, s_name, coalesce(n, 0) AS n_lines, coalesce(round(v, 2), 0.0) AS value FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 = 0 GROUP BY 1) ON l_suppkey = s_suppkey")(
-    lambda s, d: D.table(s, d, "supplier").join(D.table(s, d, "lineitem").where("l_returnflag = 'R' AND l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("v")), "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce(F.round("v", 2), F.lit(0.0)).alias("value"))
+query("C08_enrich", "SELECT s_suppkey, s_name, coalesce(n, 0) AS n_lines, coalesce(round(v, 2), 0.0) AS value FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_suppkey = s_suppkey")(
+    lambda s, d: D.table(s, d, "supplier").join(D.table(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("v")), "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce(F.round("v", 2), F.lit(0.0)).alias("value"))
 )
 query("C09_best_of", "SELECT o_custkey, o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS k FROM orders) WHERE k = 1")(lambda s, d: A.best_of(D.table(s, d, "orders"), "o_custkey", {"F": 0, "O": 1}, "o_orderstatus", "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey"))
 query("C10_best_match", "SELECT c_nationkey, s_suppkey FROM (SELECT c.c_nationkey, s.s_suppkey, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY (s.s_acctbal > 5000) DESC, s.s_acctbal DESC, s.s_suppkey) AS k FROM (SELECT DISTINCT c_nationkey FROM customer) c JOIN supplier s ON s.s_nationkey = c.c_nationkey) WHERE k = 1")(

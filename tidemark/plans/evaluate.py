@@ -38,7 +38,7 @@ query("G03_wf_slices", f"WITH {PART}, d AS (SELECT ts, row_number() OVER (ORDER
 query("G04_chrono_split", f"WITH {DAILY}, k AS (SELECT symbol, (row_number() {OVER} - 1) / count(*) OVER (PARTITION BY symbol) AS s FROM bars) SELECT symbol, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8 + 0.05 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM k GROUP BY 1, 2")(lambda s, d: V.chrono_split(D.daily(s, d)).groupBy("symbol", "part").agg(F.count("*").alias("n")))
 query(
     "G05_xs_momentum",
-    f"WITH {PART}, {TIER}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r FROM parts), m AS (SELECT *, close / nullif({q_lag('close', 40)}, 0) - 1 AS mom, stddev_samp(r) {q_frame(40)} AS vol, lead(close, 20) {OVER} / close - 1 AS nx, row_number() {OVER} AS k FROM r), j AS (SELECT m.*, tier FROM m JOIN tiers USING (symbol) WHERE k % 20 = 0 AND mom IS NOT NULL AND nx IS NOT NULL AND vol > 0), w AS (SELECT *, greatest(1, floor(0.1 * count(*) OVER (PARTITION BY tier, k))) AS n, row_number() OVER (PARTITION BY tier, k ORDER BY mom DESC, symbol) AS u, row_number() OVER (PARTITION BY tier, k ORDER BY mom, symbol) AS dn FROM j), x AS (SELECT *, CASE WHEN u <= n THEN 1 WHEN dn <= n THEN -1 END AS side, 1 / vol AS iv FROM w), l AS (SELECT tier, k AS fold, sum(CASE WHEN side = 1 THEN iv * nx END) / sum(CASE WHEN side = 1 THEN iv END) AS lg, sum(CASE WHEN side = -1 THEN iv * nx END) / sum(CASE WHEN side = -1 THEN iv END) AS sh FROM x WHERE side IS NOT NULL GROUP BY 1, 2) SELECT tier, fold, round(lg, 6) AS long, round(sh, 6) AS short, round(lg - sh, 6) AS spread FROM l",
+    f"WITH {PART}, {TIER}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r FROM parts), m AS (SELECT *, close / nullif({q_lag('close', 40)}, 0) - 1 AS mom, stddev_samp(r) {q_frame(40)} AS vol, lead(close, 20) {OVER} / close - 1 AS nx, dense_rank() OVER (ORDER BY ts) AS k FROM r), j AS (SELECT m.*, tier FROM m JOIN tiers USING (symbol) WHERE k % 20 = 0 AND mom IS NOT NULL AND nx IS NOT NULL AND vol > 0), w AS (SELECT *, greatest(1, floor(0.1 * count(*) OVER (PARTITION BY tier, k))) AS n, row_number() OVER (PARTITION BY tier, k ORDER BY mom DESC, symbol) AS u, row_number() OVER (PARTITION BY tier, k ORDER BY mom, symbol) AS dn FROM j), x AS (SELECT *, CASE WHEN u <= n THEN 1 WHEN dn <= n THEN -1 END AS side, 1 / vol AS iv FROM w), l AS (SELECT tier, k AS fold, sum(CASE WHEN side = 1 THEN iv * nx END) / sum(CASE WHEN side = 1 THEN iv END) AS lg, sum(CASE WHEN side = -1 THEN iv * nx END) / sum(CASE WHEN side = -1 THEN iv END) AS sh FROM x WHERE side IS NOT NULL GROUP BY 1, 2) SELECT tier, fold, round(lg, 6) AS long, round(sh, 6) AS short, round(lg - sh, 6) AS spread FROM l",
 )(lambda s, d: rounded(V.xs_momentum(D.part_bars(s, d), tiers(s, d), 40, 20), 6, "long", "short", "spread"))
 query(
     "G06_xs_composite",
@@ -117,7 +117,7 @@ def _(s, d):
 
 
 query("G25_vol_scale", f"WITH {RETS}, v AS (SELECT symbol, ts, CASE WHEN count(ret) {q_frame(20)} >= 20 THEN stddev_pop(ret) {q_frame(20)} * sqrt(365) END AS s FROM rr) SELECT symbol, ts, round(CASE WHEN s IS NULL THEN 1 WHEN s = 0 THEN 1.5 ELSE least(1.5, greatest(0.25, 0.2 / s)) END, 6)::DOUBLE AS scale FROM v")(lambda s, d: rounded(V.vol_scale(returns(s, d), 0.2), 6, "scale").select("symbol", "ts", "scale"))
-TR = f"{RETS}, t0 AS (SELECT symbol, row_number() {OVER} AS trade, ret FROM rr), t1 AS (SELECT *, (ret <= 0)::INT AS l, sum((ret > 0)::INT) OVER (PARTITION BY symbol ORDER BY trade ROWS UNBOUNDED PRECEDING) AS w FROM t0), t2 AS (SELECT *, sum(l) OVER (PARTITION BY symbol, w ORDER BY trade ROWS UNBOUNDED PRECEDING) AS st FROM t1), t3 AS (SELECT *, pow(2, least(coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY trade), 0), 3)) AS u FROM t2)"
+TR = f"{RETS}, t0 AS (SELECT symbol, row_number() {OVER} AS trade, ret FROM rr), t1 AS (SELECT *, (ret <= 0)::INT AS l, sum((ret > 0)::INT) OVER (PARTITION BY symbol ORDER BY trade ROWS UNBOUNDED PRECEDING) AS w FROM t0), t2 AS (SELECT *, sum(l) OVER (PARTITION BY symbol, w ORDER BY trade ROWS UNBOUNDED PRECEDING) AS st FROM t1), t3 AS (SELECT *, least(pow(2, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY trade), 0)), 3) AS u FROM t2)"
 query("G26_sizing", f"WITH {TR} SELECT symbol, trade, u AS units, round(sum(ln(1 + 0.1 * u * ret)) OVER (PARTITION BY symbol ORDER BY trade ROWS UNBOUNDED PRECEDING), 6) AS log_equity FROM t3")(lambda s, d: V.sizing(returns(s, d).withColumn("trade", F.row_number().over(R.by_symbol())), "doubling", 0.1, 3).select("symbol", "trade", "units", F.round(F.ln("equity"), 6).alias("log_equity")))
 query("G27_pooled_panel", f"WITH {q_pred()} SELECT symbol, count(*) AS n, sum(label) AS labels FROM pr GROUP BY 1")(lambda s, d: predicted(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("label").alias("labels")))
 query("G28_monthly_returns", f"WITH {DAILY}, m AS (SELECT symbol, date_trunc('month', ts) AS month, arg_max(close, ts) AS eq FROM bars GROUP BY 1, 2), r AS (SELECT symbol, eq / lag(eq) OVER (PARTITION BY symbol ORDER BY month) - 1 AS r FROM m) SELECT symbol, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS least, round(max(r), 6) AS most, round(quantile_cont(r, 0.25), 6) AS q25, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75 FROM r GROUP BY 1")(lambda s, d: rounded(V.describe_returns(V.monthly_returns(D.daily(s, d).withColumn("equity", F.col("close")))), 6, "mean", "std", "least", "most", "q25", "q50", "q75"))

@@ -99,8 +99,8 @@ def _(s, d):
 @query("A03_read_transactions", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-02-01' AND DATE '1996-03-31'")
 def _(s, d):
     path = folder(s, "tx")
-    o = D.table(s, d, "orders").where("year(o_orderdate) = 1996").withColumn("date", F.to_date("o_orderdate"))
-    o.repartition(1).write.partitionBy("date").parquet(path)
+    o = D.table(s, d, "orders").withColumn("date", F.to_date("o_orderdate"))
+    o.repartition("date").write.partitionBy("date").parquet(path)
     return T.read_transactions(s, path, "1996-02-01", "1996-03-31").select("o_orderkey", "o_totalprice")
 
 
