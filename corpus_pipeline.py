@@ -11,14 +11,23 @@ from tidemark.llm import _shared, _tokens, contamination, jaccard, language, pac
 LEAST_SURE = 0.4
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Texts under a doc_id that tells several texts of one id apart: (__id, __mark)."""
+    return docs.select("text", F.struct(F.col("doc_id").alias("__id"), suffixes.mark(F.col("text")).alias("__mark")).alias("doc_id"))
+
+
+def _same(docs: DataFrame):
+    return docs["doc_id"].eqNullSafe(F.col("__id")) & (suffixes.mark(docs["text"]) == F.col("__mark"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters, null ones included, and texts whose best language is unsure.
 
     Rows are judged by their text alone: rows that repeat a text share its fate, and rows without doc_id are judged too.
     """
-    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
-    told = language.predict(rows, language.learned(docs), "__row")
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("__row.*")
+    told = language.predict(_named(docs), language.learned(docs))
+    sure = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("doc_id.*").distinct()
+    return docs.join(sure, _same(docs), "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +55,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows are judged by their text alone, so rows without doc_id are judged and another text under the same doc_id stays.
     """
-    named = docs.select("text", F.struct("doc_id", suffixes.mark(F.col("text")).alias("mark")).alias("doc_id"))
-    found = contamination.contaminated(named, _shared.read(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.mark").alias("__mark")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (suffixes.mark(F.col("text")) == F.col("__mark"))
-    return docs.join(found, same, "left_anti").select(docs.columns)
+    found = contamination.contaminated(_named(docs), _shared.read(spark, sf_dir, "benchmark")).select("doc_id.*").distinct()
+    return docs.join(found, _same(docs), "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
