@@ -50,10 +50,10 @@ def mark(text: Column) -> Column:
     return (F.crc32(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int")
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and what tells rows apart: name (the doc_id; without one, 64 bits of the text) and mark (32 bits of the text)."""
+def _named(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, row (``carried`` columns), text, and what tells rows apart: name (the doc_id; without one, 64 bits of the text) and mark (32 bits of the text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = docs.select("doc_id", F.struct("doc_id", *[c for c in carried if c != "doc_id"]).alias("row"), text.alias("text"))
     return rows.withColumn("name", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("mark", mark(F.col("text")))
 
 
@@ -212,6 +212,7 @@ def repeated(texts: DataFrame, tasks: int) -> DataFrame:
 def covered(named: DataFrame) -> DataFrame:
     """name, mark, spans: for each text with repeated bytes, array of (start, end) that may touch or overlap."""
     parts = _shared.tasks(named.sparkSession)
+    named = named.select("name", "mark", "text")
     held = _shared.written(stretches(named, parts), "stretches")
     kinds = held.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "first", "windows")).alias("one"))
     kinds = _shared.written(kinds.withColumn("class", F.monotonically_increasing_id()), "kinds")
@@ -246,10 +247,13 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (32 bits of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes; may split a character), and the removed spans."""
-    named = _named(docs)
-    joined = named.join(covered(named), ["name", "mark"], "left").select("doc_id", "mark", "text", "spans")
+def cut(docs: DataFrame, *carried: str) -> DataFrame:
+    """n_bytes, n_removed, n_spans, kept (the remaining bytes; may split a character), and the removed spans of each row.
+
+    Beside them row, a struct of doc_id and the ``carried`` columns, and doc_id.
+    """
+    named = _named(docs, *carried)
+    joined = named.select("row", "name", "mark", "text").join(covered(named), ["name", "mark"], "left").select("row", "text", "spans")
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -267,10 +271,11 @@ def cut(docs: DataFrame) -> DataFrame:
                 removed.append(sum(b - a for a, b in gone))
                 spans.append([{"start": a, "end": b} for a, b in gone])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.record_batch([batch.column("row"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, mark int, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+    kind = named.schema["row"].dataType.simpleString()
+    out = joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+    return out.select("row.doc_id", *out.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
