@@ -43,11 +43,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     What is cut within a character is mended. Rows that repeat a doc_id and text repeat each other's passages.
     """
-    left = suffixes.cut(docs.select("doc_id", "text")).where("octet_length(kept) > 0").dropDuplicates(["doc_id", "mark"])
-    kept = left.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.expr("make_valid_utf8(cast(kept AS string))").alias("__kept"))
-    rows = docs.withColumn("__of", suffixes.mark(F.col("text")))
-    both = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__mark")))
-    return both.withColumn("text", F.col("__kept")).withColumn("n_chars", F.length("__kept").cast("long")).select(docs.columns)
+    left = suffixes.cut(docs, *[c for c in docs.columns if c not in ("text", "n_chars")]).where("octet_length(kept) > 0")
+    text = F.expr("make_valid_utf8(cast(kept AS string))")
+    return left.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
