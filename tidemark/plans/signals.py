@@ -130,4 +130,5 @@ _wide("F31_momentum_variants", S.momentum_variants, ["baseline", "vol_scaled", "
 _wide("F35_strength_donchian", lambda b: S.strength(b, "donchian").withColumn("strength", F.round("strength", 6)), ["strength"], [a("bars", "d", t=q_roll("max", "high", 40, 1))], [f"round(100 * (close - {q_lag('t')}) / ({q_lag('t')} + 1e-12), 6)"])
 _wide("F35_strength_ema", lambda b: S.strength(b, "ema").withColumn("strength", F.round("strength", 6)), ["strength"], [plus("bars", "d", {"ma": ("close", 2 / 51)})], ["round(close / ma - 1, 6)"])
 _wide("F35_strength_williams", lambda b: S.strength(b, "williams_r").withColumn("strength", F.round("strength", 6)), ["strength"], WR, [f"round(greatest(0, 2 * coalesce(wr - {q_lag('wr')}, 0)) - wr, 6)"])
-_wide("F35_strength_rei", lambda b: S.strength(b, "rei").withColumn("strength", F.round("strength", 4) + F.lit(0.0)), ["strength"], REI, [f"round(rei + greatest(0, 0.5 * coalesce(rei - {q_lag('rei')}, 0)), 4) + 0"])
+# a flat range makes REI huge, so its logarithm is compared
+_wide("F35_strength_rei", lambda b: S.strength(b, "rei").withColumn("log_strength", F.round(F.signum("strength") * F.log1p(F.abs("strength")), 6) + F.lit(0.0)), ["log_strength"], [*REI, a("e", "f", g=f"rei + greatest(0, 0.5 * coalesce(rei - {q_lag('rei')}, 0))")], ["round(sign(g) * ln(1 + abs(g)), 6) + 0"])
