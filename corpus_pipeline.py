@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are judged by their text alone: rows that repeat a text share its fate, and rows without doc_id are judged too.
     """
+    _shared.tidy(spark)
     told = language.predict(_named(docs), language.learned(docs))
     sure = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("doc_id.*").distinct()
     return docs.join(sure, _same(docs), "left_semi").select(docs.columns)
@@ -35,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Two texts under one doc_id, and rows without doc_id, are rows of their own; of rows that repeat both one stays.
     """
+    _shared.tidy(spark)
     return jaccard.leaders(docs)
 
 
@@ -43,6 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     What is cut within a character is mended. Rows that repeat a doc_id and text repeat each other's passages.
     """
+    _shared.tidy(spark)
     left = suffixes.cut(docs, *[c for c in docs.columns if c not in ("text", "n_chars")]).where("octet_length(kept) > 0")
     text = F.expr("make_valid_utf8(cast(kept AS string))")
     return left.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -53,12 +56,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows are judged by their text alone, so rows without doc_id are judged and another text under the same doc_id stays.
     """
+    _shared.tidy(spark)
     found = contamination.contaminated(_named(docs), _shared.read(spark, sf_dir, "benchmark")).select("doc_id.*").distinct()
     return docs.join(found, _same(docs), "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences; a null or empty text is a document of the end id alone, repeated rows come as often."""
+    _shared.tidy(spark)
     return packing.pack(docs, _tokens.default_path())
 
 
