@@ -157,10 +157,11 @@ def with_trail(df: DataFrame, n: int = 14, k: float = 2.0) -> DataFrame:
 
 
 def rsi_wilder(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
+    """Exponential means; a series that has not moved yet has none."""
     d = diff(C)
     df = df.withColumn("gain", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).withColumn("loss", F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))
     df = ewm(ewm(df, "gain", "g", alpha=1 / n), "loss", "l", alpha=1 / n)
-    return df.withColumn(out, 100 - 100 / (1 + F.col("g") / (F.col("l") + TINY)))
+    return df.withColumn(out, F.when((F.col("g") > 0) | (F.col("l") > 0), 100 - 100 / (1 + F.col("g") / (F.col("l") + TINY))))
 
 
 def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:

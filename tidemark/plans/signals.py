@@ -49,7 +49,7 @@ def plus(source, name, ewms: dict[str, tuple[str, float]]):
 P = q_lag("close")
 TR = f"CASE WHEN {P} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {P}), abs(low - {P})) END"
 GAIN = {"gain": f"CASE WHEN {P} IS NOT NULL THEN greatest(close - {P}, 0) END", "loss": f"CASE WHEN {P} IS NOT NULL THEN greatest({P} - close, 0) END"}
-WILDER = [a("bars", "d", **GAIN), plus("d", "e", {"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}), a("e", "f", rsi="100 - 100 / (1 + g / (l + 1e-12))")]
+WILDER = [a("bars", "d", **GAIN), plus("d", "e", {"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}), a("e", "f", rsi="CASE WHEN g > 0 OR l > 0 THEN 100 - 100 / (1 + g / (l + 1e-12)) END")]
 SIMPLE = [a("bars", "d", **GAIN), a("d", "e", g=q_roll("avg", "gain", 14), l=q_roll("avg", "loss", 14)), a("e", "f", rsi="CASE WHEN l IS NOT NULL THEN coalesce(100 - 100 / (1 + g / nullif(l, 0)), 50) END")]
 WR = [a("bars", "d", t=q_roll("max", "high", 14, 1), b=q_roll("min", "low", 14, 1)), a("d", "e", wr="-100 * (t - close) / (t - b + 1e-12)")]
 
