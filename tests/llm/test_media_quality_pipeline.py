@@ -68,6 +68,60 @@ def test_quality_of_planted_documents(spark):
     assert quality.classify(df.limit(0), marks).count() == 0
 
 
+def test_pseudo_labels_are_counted_over_all_unlabelled_rows(spark):
+    rng = random.Random(11)
+    docs = [(i if i % 9 else None, " ".join(rng.choices(WORDS, k=rng.randrange(1, 40))) if i % 13 else None, rng.choice(["en", None]), rng.choice("ab")) for i in range(300)] + [(7, "same text", "en", "a")] * 200
+    drawn = np.arange(0, 300, 4)
+    weights = [np.random.default_rng(i).normal(size=n) for i, n in enumerate(quality.CELLS)]
+    edges = [(-0.5, 0.5), (-1.0, float("inf"))]
+    got = quality._counted(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5), drawn, weights, edges)
+    want = [np.zeros((2, n + 1), np.int64) for n in quality.CELLS]
+    for d, text, lang, source in docs:
+        if d is not None and d in drawn:
+            continue
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        at = np.array([0, len(data)])
+        views = [quality.text_view(data, at), quality.page_view([source], [lang], data, at)]
+        odds = [sum(w[c] * x for c, x in zip(v.cell, v.value, strict=True)) for v, w in zip(views, weights, strict=True)]
+        for to in (0, 1):
+            low, high = edges[1 - to]
+            label = 1 if odds[1 - to] >= high else 0 if odds[1 - to] <= low else None
+            if label is not None:
+                want[to][label, -1] += 1
+                for c in [int(c) for c, x in zip(views[to].cell, views[to].value, strict=True) if x > 0]:
+                    want[to][label, c] += 1
+    for a, b in zip(got, want, strict=True):
+        assert b.sum() and not np.argwhere(a != b).tolist(), [(a[tuple(i)], b[tuple(i)]) for i in np.argwhere(a != b)[:5]]
+
+
+def test_sure_bounds_equal_plain_search():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        z, y = rng.integers(-6, 7, 40).astype(float), rng.integers(0, 2, 40)
+        low, high = quality.bounds(z, y, 0.4, 0.7)
+        fits = [t for t in set(z) if (y[z >= t] == 1).mean() >= 0.7 and (z > t).sum() < max(1, 0.4 * y.sum())]
+        assert high == min(fits, default=np.inf)
+        fits = [t for t in set(z) if (y[z <= t] == 0).mean() >= 0.7 and (z < t).sum() < max(1, 0.4 * (1 - y).sum())]
+        assert low == max(fits, default=-np.inf)
+
+
+def test_a_view_teaches_the_other_words_that_no_label_shows(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = rng.choices(WORDS, k=40)
+        if bad:  # the page tells bad documents; unlabelled ones use a word of their own
+            words[::6] = ["junk" if i < 400 else "fresh"] * len(words[::6])
+        docs.append((i, " ".join(words), "en", "spam" if bad else "src"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    pair = quality.learn(df, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, y int"))
+    assert pair.exchanged[0][0][0] > 100  # the page view marked bad documents for the text view
+    text = "wort1 fresh wort2 fresh".encode(), "wort1 wort3 wort2 wort4".encode()
+    odds = [quality.text_view(np.frombuffer(t, np.uint8), np.array([0, len(t)])).dot(pair.weights[0])[0] for t in text]
+    assert odds[0] < odds[1]
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     rng = random.Random(8)
     item = " ".join(rng.choices(WORDS, k=30))
