@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import coding, contamination, jaccard, language, licenses, media, packing, quality, suffixes, urls
+from tidemark.llm import bpe, coding, contamination, jaccard, language, licenses, media, packing, quality, suffixes, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_quality": quality.op10_quality,
+        "op11_bpe": bpe.op11_bpe,
     }
 
 
