@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, coding, contamination, jaccard, language, licenses, media, packing, quality, suffixes, trie, urls
+from tidemark.llm import bpe, coding, collocations, contamination, jaccard, language, licenses, media, packing, quality, suffixes, trie, urls
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_quality": quality.op10_quality,
         "op11_bpe": bpe.op11_bpe,
+        "op12_collocations": collocations.op12_collocations,
         "op13_conversation_trie": trie.op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.SQL, "op13_conversation_trie": trie.SQL}
+    return {"op2_license_scan": licenses.SQL, "op12_collocations": collocations.SQL, "op13_conversation_trie": trie.SQL}
