@@ -134,10 +134,96 @@ def test_strengths_rank_the_deepest_first(spark):
     assert [got[t] for t in sorted(got)] == pytest.approx(want)
 
 
-def test_unknown_values_count_as_a_trend(spark):
-    m = regimes.market(frame(spark, {"a": bars(70), "b": bars(70, 5)}))
-    for method in ("ma", "choppiness", "kaufman", "adaptive", "bbwp"):
-        rows = regimes.method_regime(m, method).orderBy("ts").collect()
-        assert rows[0].regime == "trend" and {r.regime for r in rows} <= {"trend", "chop"}
-    assert {r.regime for r in regimes.method_regime(m, "ma").collect()} == {"trend"}
-    assert {r.regime for r in regimes.simple_gate(m).orderBy("ts").limit(25).collect()} == {"trend"}
+def regime_by_definition(c, method):
+    """Of a close series, bar by bar: measures over two-bar highs and lows."""
+
+    def rolled(x, i, n, least, f):
+        w = [v for v in last(x, i, n) if v is not None]
+        return f(w) if len(w) >= least else None
+
+    def deviation(w):
+        m = mean(w)
+        return math.sqrt(sum((v - m) ** 2 for v in w) / (len(w) - 1)) if len(w) > 1 else None
+
+    n = len(c)
+    hi, lo = [None] + [max(a, b) for a, b in zip(c, c[1:], strict=False)], [None] + [min(a, b) for a, b in zip(c, c[1:], strict=False)]
+    plus, minus, tr = [0.0] * n, [0.0] * n, [None] * n
+    for i in range(1, n):
+        tr[i] = max(hi[i] - lo[i], abs(hi[i] - c[i - 1]), abs(lo[i] - c[i - 1]))
+        if i > 1:
+            u, d = hi[i] - hi[i - 1], lo[i - 1] - lo[i]
+            plus[i], minus[i] = u if u > d and u > 0 else 0.0, d if d > u and d > 0 else 0.0
+    dx = []
+    for i in range(n):
+        t = rolled(tr, i, 14, 14, mean)
+        p, m = (100 * rolled(x, i, 14, 14, mean) / (t + TINY) if t is not None else None for x in (plus, minus))
+        dx.append(abs(p - m) / (p + m + TINY) * 100 if t is not None else None)
+    adx = [rolled(dx, i, 14, 14, mean) for i in range(n)]
+    r = [None] + [b / a - 1 for a, b in zip(c, c[1:], strict=False)]
+    path = [None] + [abs(b - a) for a, b in zip(c, c[1:], strict=False)]
+    vol = [rolled(r, i, 20, 20 if method == "gate" else 5, deviation) for i in range(n)]
+    er = [abs(c[i] - c[i - 20]) / (sum(last(path, i, 20)) + TINY) if i >= 20 else None for i in range(n)]
+    if method == "gate":
+        return ["trend" if i < 25 or adx[i] is None or vol[i] is None or not (adx[i] < 20 or vol[i] < 0.25) else "chop" for i in range(n)]
+    early = [i < 30 or None in (adx[i], vol[i], er[i]) for i in range(n)]
+    if method == "rule":
+        raw = [early[i] or (adx[i] >= 22 and er[i] >= 0.35 and vol[i] <= 0.22) for i in range(n)]
+        kept = [early[i] or (raw[i] if raw[i] == raw[i - 1] == raw[i - 2] else raw[i - 1]) for i in range(n)]
+        return ["trend" if x else "chop" for x in kept]
+    out = []
+    for i in range(n):
+        if early[i]:
+            out.append("trend")
+            continue
+        if method == "ma":
+            up = i >= 200 and mean(last(c, i, 50)) > mean(last(c, i, 200))
+        elif method == "kaufman":
+            up = er[i] >= 0.35
+        elif method == "adaptive":
+            up = er[i] >= 0.35 * (1 + 2 * vol[i])
+        else:
+            gaps = [h - x for h, x in zip(last(hi, i, 14), last(lo, i, 14), strict=True)]
+            span = max(max(last(hi, i, 14)) - min(last(lo, i, 14)), TINY)
+            up = not 100 * (math.log10(sum(gaps) + TINY) - math.log10(span)) / math.log10(14) > 61.8
+        out.append("trend" if up else "chop")
+    return out
+
+
+def test_regimes_equal_their_definitions(spark):
+    rng, c = random.Random(8), [100.0]
+    for i in range(279):
+        c.append(c[-1] * (1 + rng.uniform(-0.02, 0.02) + (0.012 if i % 90 > 45 else 0)))
+    m = regimes.market(frame(spark, {"a": [{"open": x, "high": x, "low": x, "close": x, "volume": 1.0} for x in c]}))
+    read = lambda df: [r.regime for r in df.orderBy("ts").collect()]
+    assert read(regimes.simple_gate(m)) == regime_by_definition(c, "gate")
+    assert read(regimes.rule_regime(m)) == regime_by_definition(c, "rule")
+    for method in ("ma", "kaufman", "adaptive", "choppiness"):
+        want = regime_by_definition(c, method)
+        assert read(regimes.method_regime(m, method)) == want
+        assert method == "choppiness" or len(set(want)) == 2
+    assert set(read(regimes.method_regime(m, "ma"))[:200]) == {"trend", "chop"}  # a trend for 30 bars, then chop until the long mean is known
+    assert read(regimes.method_regime(m, "bbwp"))[:30] == ["trend"] * 30
+
+
+def test_a_flat_series_is_oversold_from_its_second_bar_on(spark):
+    flat = [{"open": 100.0, "high": 100.0, "low": 100.0, "close": 100.0, "volume": 1.0}] * 30
+    got = signals.apply_rule(frame(spark, {"a": flat}), "rsi").orderBy("ts").collect()
+    assert [r.entry for r in got] == [0] + [1] * 29 and not any(r.exit for r in got)
+    got = signals.apply_rule(frame(spark, {"a": flat}), "bop").orderBy("ts").collect()
+    assert not any(r.entry for r in got) and {r.bop for r in got} == {0.0}
+
+
+def test_barriers_fall_back_to_a_fixed_share_without_a_range(spark):
+    from tidemark.operators import bars as B
+
+    path = [100.0] * 16 + [100.3, 100.5, 99.0, 98.0]
+    b = [{"open": x, "high": x, "low": x, "close": x, "volume": 1.0} for x in path]
+    got = [r.label for r in B.triple_barrier_atr(frame(spark, {"a": b}), 3).orderBy("ts").collect()]
+    want, tr = [], [0.0] + [abs(y - x) for x, y in zip(path, path[1:], strict=False)]
+    for i, x in enumerate(path):
+        atr = mean(last(tr, i, 14)) if i >= 13 else 0.0
+        atr = atr if atr > 0 else x * 0.004
+        ahead = path[i + 1 : i + 4]
+        hit = next((int(y >= x + 1.5 * atr) for y in ahead if y >= x + 1.5 * atr or y <= x - 1.5 * atr), 2)
+        want.append(hit if len(ahead) == 3 else 2)
+    assert got == want and {0, 2} <= set(want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, col, flag, lag
+from tidemark.functions.rolling import by_symbol, col, flag, lag, roll
 
 
 def ohlcv(ticks: DataFrame, rule: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -107,11 +107,13 @@ def triple_barrier(bars: DataFrame, horizon: int, take: float, stop: float) -> D
     return bars.withColumn("label", F.when(F.lead("ts", horizon).over(by_symbol()).isNotNull(), label).otherwise(2))
 
 
-def triple_barrier_atr(bars: DataFrame, horizon: int, take: float, stop: float, atr: str = "atr") -> DataFrame:
-    """The same with levels at multiples of each row's average true range; rows without one are flat."""
+def triple_barrier_atr(bars: DataFrame, horizon: int, take: float = 1.5, stop: float = 1.5, n: int = 14, fixed: float = 0.004) -> DataFrame:
+    """The same with levels at multiples of each row's mean true range over n full bars; of ``fixed`` times the close where there is none or it is 0."""
     c = F.col("close")
-    label = _barrier(horizon, c + take * F.col(atr), c - stop * F.col(atr), False)
-    return bars.withColumn("label", F.when(F.lead("ts", horizon).over(by_symbol()).isNotNull() & F.col(atr).isNotNull(), label).otherwise(2))
+    df = bars.withColumn("__tr", true_range()).withColumn("__a", roll(F.avg, "__tr", n) / (c + 1e-10) * c)
+    df = df.withColumn("__a", F.when(F.col("__a") > 0, F.col("__a")).otherwise(c * fixed))
+    label = _barrier(horizon, c + take * F.col("__a"), c - stop * F.col("__a"), False)
+    return df.withColumn("label", F.when(F.lead("ts", horizon).over(by_symbol()).isNotNull(), label).otherwise(2)).drop("__tr", "__a")
 
 
 def label_grid(bars: DataFrame, grid: list[tuple[float, float]], horizon: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import by_symbol, change, diff, frame, lag, percent_rank, quantile, roll, running, sma, std
-from tidemark.operators.signals import bollinger, directional
+from tidemark.operators.signals import bollinger
+
+TINY = 1e-12
 
 
 def market(bars: DataFrame) -> DataFrame:
@@ -17,53 +20,70 @@ def market(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ts").agg(F.avg("open").alias("open"), F.avg("high").alias("high"), F.avg("low").alias("low"), F.avg("close").alias("close"), F.sum("volume").alias("volume")).withColumn("symbol", F.lit("market"))
 
 
-def efficiency(n: int):
-    """Net move over the path's length."""
-    path = roll(F.sum, F.abs(F.col("__d")), n)
-    return F.when(path != 0, F.abs(F.col("close") - lag("close", n)) / path)
+def measured(m: DataFrame, n: int = 14, calm: int = 20, least: int = 5) -> DataFrame:
+    """Adds what the regimes look at, from the closes alone: adx over two-bar highs and lows, vol (deviation of returns over ``calm`` bars,
+    ``least`` of them known), er (net move over the path's length, ``calm`` bars), hi and lo (of two bars), and k, the bar's number from 0."""
+    df = m.withColumns({"hi": roll(F.max, "close", 2), "lo": roll(F.min, "close", 2), "r": change("close"), "__d": F.abs(diff("close")), "k": F.row_number().over(by_symbol()) - 1})
+    up, down, p = diff("hi"), -diff("lo"), lag("close")
+    df = df.withColumns(
+        {
+            "__t": F.greatest(F.col("hi") - F.col("lo"), F.abs(F.col("hi") - p), F.abs(F.col("lo") - p)),
+            "__p": F.when((up > down) & (up > 0), up).otherwise(0.0),
+            "__m": F.when((down > up) & (down > 0), down).otherwise(0.0),
+            "vol": std("r", calm, least),
+            "er": F.abs(diff("close", calm)) / (roll(F.sum, "__d", calm, 1) + TINY),
+        }
+    )
+    df = df.withColumns({"__p": 100 * sma("__p", n) / (sma("__t", n) + TINY), "__m": 100 * sma("__m", n) / (sma("__t", n) + TINY)})
+    df = df.withColumn("__x", F.abs(F.col("__p") - F.col("__m")) / (F.col("__p") + F.col("__m") + TINY) * 100)
+    return df.withColumn("adx", sma("__x", n)).drop("__d", "__t", "__p", "__m", "__x")
 
 
 def simple_gate(m: DataFrame, adx: float = 20, vol: float = 0.25, warm: int = 25) -> DataFrame:
-    df = directional(m).withColumn("r", change("close")).withColumn("vol", std("r", 20)).withColumn("k", F.row_number().over(by_symbol()))
-    known = F.col("adx").isNotNull() & F.col("vol").isNotNull()  # what is not known yet counts as a trend
-    return df.withColumn("regime", F.when((F.col("k") > warm) & known & ((F.col("adx") < adx) | (F.col("vol") < vol)), "chop").otherwise("trend"))
+    """Chop under either threshold; the first bars, and those without a measure yet, are a trend."""
+    df = measured(m, least=20)
+    known = F.col("adx").isNotNull() & F.col("vol").isNotNull()
+    return df.withColumn("regime", F.when((F.col("k") >= warm) & known & ((F.col("adx") < adx) | (F.col("vol") < vol)), "chop").otherwise("trend"))
 
 
-def rule_regime(m: DataFrame, adx: float = 22, er: float = 0.35, vol: float = 0.22, warm: int = 30) -> DataFrame:
-    """Trend when directional, efficient and calm; a change stands once two bars in a row agree, else the one before stays."""
-    df = directional(m).withColumn("__d", diff("close")).withColumn("r", change("close")).withColumn("vol", std("r", 20)).withColumn("er", efficiency(10)).withColumn("k", F.row_number().over(by_symbol()))
-    raw = F.when(F.col("k") <= warm, "trend").when(F.coalesce((F.col("adx") >= adx) & (F.col("er") >= er) & (F.col("vol") <= vol), F.lit(False)), "trend").otherwise("chop")
-    df = df.withColumn("raw", raw)
-    return df.withColumn("regime", F.when(F.col("raw") == F.coalesce(lag("raw"), F.col("raw")), F.col("raw")).otherwise(F.coalesce(lag("raw"), F.col("raw"))))
+def _unknown(warm: int):
+    return (F.col("k") < warm) | F.col("adx").isNull() | F.col("vol").isNull() | F.col("er").isNull()
 
 
-def method_regime(m: DataFrame, method: str, er: float = 0.35) -> DataFrame:
-    """regime by ``ma`` (50 over 200), ``choppiness`` (over 61.8), ``kaufman`` (efficiency of ``er`` at least), ``adaptive`` (the more, the more
-    volatile) or ``bbwp`` (width rank). What is not known yet counts as a trend."""
-    df = m.withColumn("__d", diff("close"))
+def rule_regime(m: DataFrame, adx: float = 22, er: float = 0.35, vol: float = 0.22, warm: int = 30) -> DataFrame:
+    """Trend when directional, efficient and calm. A regime stands once the two bars before agree with it; else that of the bar
+    before stays, so that every change comes a bar late."""
+    df = measured(m)
+    df = df.withColumn("raw", F.when(_unknown(warm) | ((F.col("adx") >= adx) & (F.col("er") >= er) & (F.col("vol") <= vol)), "trend").otherwise("chop"))
+    agreed = (lag("raw") == F.col("raw")) & (lag("raw", 2) == F.col("raw"))
+    return df.withColumn("regime", F.when(_unknown(warm), "trend").when(agreed, F.col("raw")).otherwise(lag("raw")))
+
+
+def method_regime(m: DataFrame, method: str, er: float = 0.35, warm: int = 30) -> DataFrame:
+    """regime by ``ma`` (50 over 200; chop before 200 bars), ``choppiness`` (over 61.8), ``kaufman`` (efficiency of ``er`` at least),
+    ``adaptive`` (the more, the more volatile) or ``bbwp`` (width rank). The first bars, and those without measures, are a trend."""
+    df = measured(m)
     if method == "ma":
-        trend = sma("close", 50) > sma("close", 200)
+        trend = (F.col("k") >= 200) & F.coalesce(sma("close", 50) > sma("close", 200), F.lit(False))
     elif method == "choppiness":
-        p = lag("close")
-        df = df.withColumn("tr", F.when(p.isNull(), 0.0).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p), F.abs(F.col("low") - p))))
-        span = roll(F.max, "high", 14) - roll(F.min, "low", 14)
-        trend = ~(100 * F.log10(F.when(span > 0, roll(F.sum, "tr", 14) / span)) / F.log10(F.lit(14.0)) > 61.8)
+        df = df.withColumn("__g", F.col("hi") - F.col("lo"))
+        span = F.greatest(roll(F.max, "hi", 14, 1) - roll(F.min, "lo", 14, 1), F.lit(TINY))
+        trend = ~(100 * (F.log10(roll(F.sum, "__g", 14, 1) + TINY) - F.log10(span)) / math.log10(14) > 61.8)
     elif method == "kaufman":
-        trend = efficiency(10) >= er
+        trend = F.col("er") >= er
     elif method == "adaptive":
-        df = df.withColumn("r", change("close")).withColumn("er", efficiency(10)).withColumn("vol", std("r", 20, 5))
         trend = F.col("er") >= er * (1 + 2 * F.col("vol"))
     elif method == "bbwp":
         df = bollinger(df).withColumn("wp", percent_rank("width", 50, 5))
-        trend = ~(F.col("wp") < 0.2)
+        trend = ~F.coalesce(F.col("wp") < 0.2, F.lit(False))
     else:
         raise ValueError(f"unknown method {method!r}")
-    return df.withColumn("regime", F.when(F.coalesce(trend, F.lit(True)), "trend").otherwise("chop"))
+    return df.withColumn("regime", F.when(_unknown(warm) | trend, "trend").otherwise("chop"))
 
 
 def four_state(bars: DataFrame, n: int = 24, days: int = 144, past: int = 720, band: int = 20) -> DataFrame:
-    """Volatility over ``n`` bars against the median of its own mean, and the close's distance from its mean in band deviations."""
-    df = bars.withColumn("r", change("close")).withColumn("vol", std("r", n)).withColumn("calm", sma("vol", days)).withColumn("mid", quantile("calm", 0.5, past, 1))
+    """Deviation of log returns over ``n`` bars against the median of its own mean, and the close's distance from its mean in band deviations."""
+    df = bars.withColumn("r", F.ln(F.col("close") / lag("close"))).withColumn("vol", std("r", n)).withColumn("calm", sma("vol", days)).withColumn("mid", quantile("calm", 0.5, past, 1))
     high = F.coalesce(F.col("vol") > F.col("mid"), F.lit(False))
     far = F.coalesce(F.abs((F.col("close") - sma("close", n)) / (std("close", band) + 1e-10)) > 1, F.lit(False))
     return df.withColumn("regime", F.concat(F.when(high, "high_vol").otherwise("low_vol"), F.lit("_"), F.when(far, "trend").otherwise("range")))
@@ -89,6 +109,19 @@ def benchmark_regime(bars: DataFrame, benchmark: str, n: int = 20) -> DataFrame:
     return df.groupBy("ts").agg((F.max(F.when(F.col("symbol") == benchmark, F.col("r"))) - F.percentile(F.when(F.col("symbol") != benchmark, F.col("r")), F.lit(0.5))).alias("gap")).withColumn("regime", F.when(F.col("gap") > 0, "benchmark").when(F.col("gap") <= 0, "others"))
 
 
+def features_by_regime(regime: DataFrame, features: tuple[str, ...] = ("adx", "vol", "er"), first: int = 25) -> DataFrame:
+    """Per regime the rows from bar ``first`` on that have all features, and mean and median of each."""
+    whole = regime.where(F.col("k") >= first).dropna(subset=list(features))
+    stats = [f(c).alias(f"{name}_{c}") for c in features for name, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, F.lit(0.5))))]
+    return whole.groupBy("regime").agg(F.count("*").alias("rows"), *stats)
+
+
+def transitions(regime: DataFrame) -> DataFrame:
+    """Per symbol: rows, changes of regime, and changes a hundred rows."""
+    df = regime.withColumn("__c", (lag("regime") != F.col("regime")).cast("int"))
+    return df.groupBy("symbol").agg(F.count("*").alias("rows"), F.coalesce(F.sum("__c"), F.lit(0)).alias("changes"), (100 * F.coalesce(F.sum("__c"), F.lit(0)) / F.count("*")).alias("change_rate"))
+
+
 def diagnostics(regime: DataFrame) -> DataFrame:
     """Per regime: share of rows, runs, and mean, median and longest run."""
     changed = F.when(lag("regime") == F.col("regime"), 0).otherwise(1)

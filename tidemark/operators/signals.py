@@ -61,10 +61,15 @@ def donchian(df, n: int = 40):
     return signals(df, F.col(C) > lag("top"), F.col(C) < lag("bottom"))
 
 
+def _settled(x: Column, price: str) -> Column:
+    """0 where a difference of sums is within the last bits of the price, as on a flat series."""
+    return F.when(F.abs(x) > 1e-12 * F.abs(price), x).when(x.isNotNull(), 0.0)
+
+
 @register("cci")
 def cci(df, n: int = 20):
     df = df.withColumn("typical", (F.col(H) + F.col(L) + F.col(C)) / 3)
-    away = F.round(F.col("typical") - sma("typical", n, 1), 9)  # a flat series has no deviation, whatever the last bits of its mean
+    away = _settled(F.col("typical") - sma("typical", n, 1), "typical")
     df = df.withColumn("cci", away / (0.015 * mean_deviation("typical", n, 1) + TINY))
     return signals(df, (F.col("cci") > 0) & rising("cci"), (F.col("cci") < 0) & falling("cci"))
 
@@ -73,7 +78,7 @@ def cci(df, n: int = 20):
 def rei(df, n: int = 14):
     up, down = diff(H), -diff(L)
     df = df.withColumn("up", F.when((up > 0) & (up > down), up).otherwise(0.0)).withColumn("down", F.when((down > 0) & (down > up), down).otherwise(0.0)).withColumn("range", F.col(H) - F.col(L))
-    moved = F.round(roll(F.sum, "up", n, 1) - roll(F.sum, "down", n, 1), 9)
+    moved = _settled(roll(F.sum, "up", n, 1) - roll(F.sum, "down", n, 1), H)
     df = df.withColumn("rei", 100 * moved / (sma("range", n, 1) + TINY))
     return signals(df, (F.col("rei") > 0) & rising("rei"), F.col("rei") < -20)
 
@@ -106,8 +111,7 @@ def tsi(df, n: int = 13):
 
 @register("bop")
 def bop(df, n: int = 20):
-    r = F.col(H) - F.col(L)
-    df = df.withColumn("bop", F.when(r != 0, (F.col(C) - F.col(L)) / r)).withColumn("smooth", sma("bop", n))
+    df = df.withColumn("bop", (F.col(C) - F.col(L)) / (F.col(H) - F.col(L) + TINY)).withColumn("smooth", F.round(sma("bop", n), 12))  # equal means stay equal
     return signals(df, (F.col("bop") > 0) & rising("smooth"), F.col("bop") < -0.2)
 
 
@@ -157,11 +161,11 @@ def with_trail(df: DataFrame, n: int = 14, k: float = 2.0) -> DataFrame:
 
 
 def rsi_wilder(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
-    """Exponential means; a series that has not moved yet has none."""
+    """Exponential means from the second bar on; 0 while nothing was gained, on a flat series too."""
     d = diff(C)
     df = df.withColumn("gain", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).withColumn("loss", F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))
     df = ewm(ewm(df, "gain", "g", alpha=1 / n), "loss", "l", alpha=1 / n)
-    return df.withColumn(out, F.when((F.col("g") > 0) | (F.col("l") > 0), 100 - 100 / (1 + F.col("g") / (F.col("l") + TINY))))
+    return df.withColumn(out, 100 - 100 / (1 + F.col("g") / (F.col("l") + TINY)))
 
 
 def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
@@ -338,10 +342,10 @@ def ichimoku(df, a: int = 9, b: int = 26, c: int = 52):
 
 
 @register("liquid_cross")
-def liquid_cross(df, fast: int = 10, slow: int = 30, q: float = 0.4, adv: int = 20):
-    """A moving-average cross of symbols whose mean volume is over a quantile of the day's cross-section."""
+def liquid_cross(df, fast: int = 20, slow: int = 50, q: float = 0.7, adv: int = 20):
+    """A moving-average cross of symbols whose mean volume is over a quantile of the day's cross-section, in which a missing mean counts as 0."""
     df = df.withColumn("fast", sma(C, fast)).withColumn("slow", sma(C, slow)).withColumn("adv", sma(V, adv))
-    floor = df.groupBy("ts").agg(F.percentile("adv", F.lit(q)).alias("adv_floor"))
+    floor = df.groupBy("ts").agg(F.percentile(F.coalesce("adv", F.lit(0.0)), F.lit(q)).alias("adv_floor"))
     df = df.join(floor, "ts")
     return signals(df, (F.col("fast") > F.col("slow")) & rising("fast") & (F.col("adv") > F.col("adv_floor")), F.col("fast") < F.col("slow"))
 
@@ -387,10 +391,30 @@ def sticky(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def triple_up_share(df: DataFrame, a: int = 14, b: int = 28, c: int = 56) -> DataFrame:
+    """held: 1 from the first bar on at which over half of the moves of each length rose."""
     df = df.withColumn("r", change(C))
-    shares = [up_share("r", n) for n in (a, b, c)]
-    up, down = reduce(lambda x, y: x & y, [s > 0.5 for s in shares]), reduce(lambda x, y: x & y, [s < 0.5 for s in shares])
-    return sticky(df.withColumn("side", _side(up, down)), "side", "held")
+    return sticky(df.withColumn("side", flag(reduce(lambda x, y: x & y, [up_share("r", n) > 0.5 for n in (a, b, c)]))), "side", "held")
+
+
+def sticky_rules(df: DataFrame) -> DataFrame:
+    """Adds six rules that hold their last side: averages crossing, triple up-share, channel, momentum, volume breakout, MACD.
+
+    Only the channel has a side of -1; a rule is silent for symbols with fewer bars than its longest look back.
+    """
+    df = macd(triple_up_share(df.withColumn("bars", _bars_of_symbol()))).withColumns({"s20": sma(C, 20), "s50": sma(C, 50), "v20": sma(V, 20), "hi": roll(F.max, H, 20), "lo": roll(F.min, L, 20), "mom": change(C, 10)})
+    over = df.withColumn("over", flag(F.col("s20") > F.col("s50")))
+    sides = {
+        "sma_cross": (50, F.when((F.col("over") == 1) & (lag("over") == 0), 1).otherwise(0)),
+        "triple": (56, F.col("held")),
+        "channel": (20, F.when(F.col(C) < lag("lo"), -1).when(F.col(C) > lag("hi"), 1).otherwise(0)),
+        "momentum": (11, flag(F.col("mom") > 0)),
+        "volume_breakout": (20, flag(F.col(V) > 1.5 * lag("v20"))),
+        "macd": (35, flag(F.col("macd") > F.col("macd_signal"))),
+    }
+    df = over.withColumns({f"__{k}": F.when(F.col("bars") >= n, c).otherwise(0) for k, (n, c) in sides.items()})
+    for k in sides:
+        df = sticky(df, f"__{k}", k)
+    return df.drop(*[f"__{k}" for k in sides])
 
 
 def momentum_variants(df: DataFrame, n: int = 14, short: int = 10, long: int = 30, times: float = 1.2) -> DataFrame:
@@ -409,14 +433,17 @@ def momentum_variants(df: DataFrame, n: int = 14, short: int = 10, long: int = 3
 
 
 @register("donchian_ensemble")
-def donchian_ensemble(df, lengths: tuple[int, ...] = (20, 40, 60, 90), filter_sma: int | None = 50):
+def donchian_ensemble(df, lengths: tuple[int, ...] = (20, 40, 60, 90), filter_sma: int | None = 50, filter_volume: bool = False):
+    """A breakout of any of the channels, not under a mean of the close, or on no less volume than the bar before, if asked for."""
     for n in lengths:
         df = df.withColumn(f"t{n}", roll(F.max, H, n, 1)).withColumn(f"b{n}", roll(F.min, L, n, 1))
     entry = F.greatest(*[flag(F.col(C) > lag(f"t{n}")) for n in lengths]) == 1
     exit_ = F.greatest(*[flag(F.col(C) < lag(f"b{n}")) for n in lengths]) == 1
     if filter_sma:
         df = df.withColumn("ma", sma(C, filter_sma))
-        entry = entry & (F.col(C) > F.col("ma"))
+        entry = entry & (F.col(C) >= F.col("ma"))
+    if filter_volume:
+        entry = entry & (lag(V) > 0) & (F.col(V) >= lag(V))
     return signals(df, entry, exit_)
 
 
@@ -427,7 +454,7 @@ def slow_momentum(df, n: int = 60):
 
 
 def strength(df: DataFrame, rule: str) -> DataFrame:
-    """Adds a ranking strength: depth and turn of Williams %R, level and turn of REI, percent above the channel, or share above the average."""
+    """Adds a ranking strength: depth and turn of Williams %R, level and turn of REI, percent above the channel, or percent above the mean of span 30."""
     gained = lambda c, k: F.greatest(F.lit(0.0), k * F.coalesce(diff(c), F.lit(0.0)))
     if rule == "williams_r":
         return williams_r(df).withColumn("strength", gained("wr", 2.0) - F.col("wr"))
@@ -436,7 +463,7 @@ def strength(df: DataFrame, rule: str) -> DataFrame:
     if rule == "donchian":
         top = lag("top")
         return donchian(df).withColumn("strength", 100 * (F.col(C) - top) / (top + TINY))
-    return ewm(df, C, "ma", span=50).withColumn("strength", F.col(C) / F.col("ma") - 1)
+    return ewm(df, C, "ma", span=30).withColumn("strength", 100 * (F.col(C) - F.col("ma")) / (F.col("ma") + TINY))
 
 
 def regime_switched(trend: DataFrame, chop: DataFrame, second: DataFrame, regime: DataFrame) -> DataFrame:

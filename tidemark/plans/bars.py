@@ -63,7 +63,8 @@ def q_barrier(h, up, low, stop_first=False):
 
 query("D08_triple_barrier", f"WITH {PART} SELECT symbol, ts, CASE WHEN lead(ts, 6) {OVER} IS NOT NULL THEN {q_barrier(6, 'close * 1.3', 'close * 0.8')} ELSE 2 END AS label FROM parts")(lambda s, d: B.triple_barrier(D.part_bars(s, d), 6, 0.3, 0.2).select("symbol", "ts", "label"))
 TR = f"CASE WHEN {q_lag('close')} IS NULL THEN 0 ELSE greatest(high - low, abs(high - {q_lag('close')}), abs(low - {q_lag('close')})) END"
-query("D09_triple_barrier_atr", f"WITH {PART}, t AS (SELECT *, {TR} AS tr FROM parts), u AS (SELECT *, {q_roll('avg', 'tr', 14)} AS atr FROM t) SELECT symbol, ts, CASE WHEN lead(ts, 6) {OVER} IS NOT NULL AND atr IS NOT NULL THEN {q_barrier(6, 'close + 1.0 * atr', 'close - 1.0 * atr')} ELSE 2 END AS label FROM u")(lambda s, d: B.triple_barrier_atr(S.atr(D.part_bars(s, d)), 6, 1.0, 1.0).select("symbol", "ts", "label"))
+ATR = f"t AS (SELECT *, {TR} AS tr FROM parts), u AS (SELECT *, {q_roll('avg', 'tr', 14)} / (close + 1e-10) * close AS x FROM t), v AS (SELECT *, CASE WHEN x > 0 THEN x ELSE close * 0.004 END AS atr FROM u)"
+query("D09_triple_barrier_atr", f"WITH {PART}, {ATR} SELECT symbol, ts, CASE WHEN lead(ts, 6) {OVER} IS NOT NULL THEN {q_barrier(6, 'close + 1.5 * atr', 'close - 1.5 * atr')} ELSE 2 END AS label FROM v")(lambda s, d: B.triple_barrier_atr(D.part_bars(s, d), 6).select("symbol", "ts", "label"))
 GRID = [(0.1, 0.1), (0.3, 0.2), (0.5, 0.5)]
 query(
     "D10_label_grid",

@@ -58,23 +58,32 @@ def mk(s, d):
     return M.market(D.daily(s, d))
 
 
-TRM = f"CASE WHEN {P} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {P}), abs(low - {P})) END"
-ADX = f"x0 AS (SELECT *, {TRM} AS t, high - {q_lag('high')} AS u, {q_lag('low')} - low AS w, close / nullif({P}, 0) - 1 AS r, abs(close - {P}) AS ad FROM m), x1 AS (SELECT *, CASE WHEN u > w AND u > 0 THEN u ELSE 0 END AS p, CASE WHEN w > u AND w > 0 THEN w ELSE 0 END AS n FROM x0), x2 AS (SELECT *, {q_roll('avg', 't', 14)} AS st, {q_roll('avg', 'p', 14)} AS sp, {q_roll('avg', 'n', 14)} AS sn, {q_roll('stddev_samp', 'r', 20)} AS vol, abs(close - {q_lag('close', 10)}) / nullif({q_roll('sum', 'ad', 10)}, 0) AS er FROM x1), x3 AS (SELECT *, CASE WHEN st <> 0 AND sp + sn <> 0 THEN 100 * abs(sp - sn) / (sp + sn) END AS dx FROM x2), x4 AS (SELECT *, {q_roll('avg', 'dx', 14)} AS adx, row_number() {OVER} AS k FROM x3)"
-query("F60_simple_gate", f"WITH {MK}, {ADX} SELECT ts, CASE WHEN k > 25 AND adx IS NOT NULL AND vol IS NOT NULL AND (adx < 20 OR vol < 0.25) THEN 'chop' ELSE 'trend' END AS regime FROM x4")(lambda s, d: M.simple_gate(mk(s, d)).select("ts", "regime"))
-query("F61_rule_regime", f"WITH {MK}, {ADX}, x5 AS (SELECT *, CASE WHEN k <= 30 THEN 'trend' WHEN coalesce(adx >= 22 AND er >= 0.35 AND vol <= 0.6, false) THEN 'trend' ELSE 'chop' END AS raw FROM x4) SELECT ts, CASE WHEN raw = coalesce({q_lag('raw')}, raw) THEN raw ELSE coalesce({q_lag('raw')}, raw) END AS regime FROM x5")(lambda s, d: M.rule_regime(mk(s, d), vol=0.6).select("ts", "regime"))
+ADX = f"""x0 AS (SELECT *, {q_roll('max', 'close', 2)} AS hi, {q_roll('min', 'close', 2)} AS lo, {P} AS pc, close / nullif({P}, 0) - 1 AS r, abs(close - {P}) AS ad, row_number() {OVER} - 1 AS k FROM m),
+x1 AS (SELECT *, hi - {q_lag('hi')} AS u, {q_lag('lo')} - lo AS w, greatest(hi - lo, abs(hi - pc), abs(lo - pc)) AS t FROM x0),
+x2 AS (SELECT *, CASE WHEN u > w AND u > 0 THEN u ELSE 0 END AS p, CASE WHEN w > u AND w > 0 THEN w ELSE 0 END AS n FROM x1),
+x3 AS (SELECT *, 100 * {q_roll('avg', 'p', 14)} / ({q_roll('avg', 't', 14)} + 1e-12) AS sp, 100 * {q_roll('avg', 'n', 14)} / ({q_roll('avg', 't', 14)} + 1e-12) AS sn, {q_roll('stddev_samp', 'r', 20, 5)} AS vol,
+  {q_roll('stddev_samp', 'r', 20)} AS vol20, abs(close - {q_lag('close', 20)}) / ({q_roll('sum', 'ad', 20, 1)} + 1e-12) AS er FROM x2),
+x4 AS (SELECT *, {q_roll('avg', 'abs(sp - sn) / (sp + sn + 1e-12) * 100', 14)} AS adx FROM x3),
+x5 AS (SELECT *, k < 30 OR adx IS NULL OR vol IS NULL OR er IS NULL AS early FROM x4)"""
+query("F60_simple_gate", f"WITH {MK}, {ADX} SELECT ts, CASE WHEN k >= 25 AND adx IS NOT NULL AND vol20 IS NOT NULL AND (adx < 20 OR vol20 < 0.25) THEN 'chop' ELSE 'trend' END AS regime FROM x4")(lambda s, d: M.simple_gate(mk(s, d)).select("ts", "regime"))
+query("F61_rule_regime", f"WITH {MK}, {ADX}, x6 AS (SELECT *, CASE WHEN early OR (adx >= 22 AND er >= 0.35 AND vol <= 0.6) THEN 'trend' ELSE 'chop' END AS raw FROM x5) SELECT ts, CASE WHEN early THEN 'trend' WHEN {q_lag('raw')} = raw AND {q_lag('raw', 2)} = raw THEN raw ELSE {q_lag('raw')} END AS regime FROM x6")(lambda s, d: M.rule_regime(mk(s, d), vol=0.6).select("ts", "regime"))
 for _name, _sql in {
-    "ma": f"{q_roll('avg', 'close', 50)} > {q_roll('avg', 'close', 200)}",
+    "ma": f"k >= 200 AND coalesce({q_roll('avg', 'close', 50)} > {q_roll('avg', 'close', 200)}, false)",
     "kaufman": "er >= 0.35",
-    "choppiness": f"NOT (100 * log10({q_roll('sum', 't', 14)} / nullif({q_roll('max', 'high', 14)} - {q_roll('min', 'low', 14)}, 0)) / log10(14) > 61.8)",
+    "adaptive": "er >= 0.35 * (1 + 2 * vol)",
+    "choppiness": f"NOT (100 * (log10({q_roll('sum', 'hi - lo', 14, 1)} + 1e-12) - log10(greatest({q_roll('max', 'hi', 14, 1)} - {q_roll('min', 'lo', 14, 1)}, 1e-12))) / log10(14) > 61.8)",
 }.items():
-    query(f"F62_{_name}", f"WITH {MK}, {ADX} SELECT ts, CASE WHEN coalesce({_sql}, true) THEN 'trend' ELSE 'chop' END AS regime FROM x4")(lambda s, d, n=_name: M.method_regime(mk(s, d), n).select("ts", "regime"))
-query("F62_adaptive", f"WITH {MK}, {ADX}, x5 AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS rr FROM x4), x6 AS (SELECT *, {q_roll('stddev_samp', 'rr', 20, 5)} AS v5 FROM x5) SELECT ts, CASE WHEN coalesce(er >= 0.35 * (1 + 2 * v5), true) THEN 'trend' ELSE 'chop' END AS regime FROM x6")(lambda s, d: M.method_regime(mk(s, d), "adaptive").select("ts", "regime"))
-query("F62_bbwp", f"WITH {MK}, b0 AS (SELECT *, 4 * {q_roll('stddev_samp', 'close', 20)} / {q_roll('avg', 'close', 20)} AS w FROM m), b1 AS (SELECT *, list(w) {q_frame(50)} AS v, count(*) {q_frame(50)} AS n, count(w) {q_frame(50)} AS nw FROM b0) SELECT ts, CASE WHEN coalesce(NOT (CASE WHEN nw >= 5 AND w IS NOT NULL THEN len(list_filter(v, lambda x: x <= w + 1e-12)) / n END < 0.2), true) THEN 'trend' ELSE 'chop' END AS regime FROM b1")(lambda s, d: M.method_regime(mk(s, d), "bbwp").select("ts", "regime"))
-query("F63_four_state", f"WITH {PART}, v0 AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS ret FROM parts), v AS (SELECT *, {q_roll('stddev_samp', 'ret', 24)} AS vol, {q_roll('avg', 'close', 24)} AS ma, {q_roll('stddev_samp', 'close', 20)} AS sd FROM v0), c AS (SELECT *, {q_roll('avg', 'vol', 144)} AS calm FROM v), q AS (SELECT *, {q_roll('quantile_cont({}, 0.5)', 'calm', 720, 1)} AS md FROM c) SELECT symbol, ts, CASE WHEN coalesce(vol > md, false) THEN 'high_vol' ELSE 'low_vol' END || '_' || CASE WHEN coalesce(abs((close - ma) / (sd + 1e-10)) > 1, false) THEN 'trend' ELSE 'range' END AS regime FROM q")(lambda s, d: M.four_state(D.part_bars(s, d)).select("symbol", "ts", "regime"))
+    query(f"F62_{_name}", f"WITH {MK}, {ADX} SELECT ts, CASE WHEN early OR {_sql} THEN 'trend' ELSE 'chop' END AS regime FROM x5")(lambda s, d, n=_name: M.method_regime(mk(s, d), n).select("ts", "regime"))
+query("F62_bbwp", f"WITH {MK}, {ADX}, b0 AS (SELECT *, 4 * {q_roll('stddev_samp', 'close', 20)} / {q_roll('avg', 'close', 20)} AS bw FROM x5), b1 AS (SELECT *, list(bw) {q_frame(50)} AS v, count(*) {q_frame(50)} AS bn, count(bw) {q_frame(50)} AS nw FROM b0) SELECT ts, CASE WHEN early OR NOT coalesce(CASE WHEN nw >= 5 AND bw IS NOT NULL THEN len(list_filter(v, lambda x: x <= bw + 1e-12)) / bn END < 0.2, false) THEN 'trend' ELSE 'chop' END AS regime FROM b1")(lambda s, d: M.method_regime(mk(s, d), "bbwp").select("ts", "regime"))
+query("F63_four_state", f"WITH {PART}, v0 AS (SELECT *, ln(close / {q_lag('close')}) AS ret FROM parts), v AS (SELECT *, {q_roll('stddev_samp', 'ret', 24)} AS vol, {q_roll('avg', 'close', 24)} AS ma, {q_roll('stddev_samp', 'close', 20)} AS sd FROM v0), c AS (SELECT *, {q_roll('avg', 'vol', 144)} AS calm FROM v), q AS (SELECT *, {q_roll('quantile_cont({}, 0.5)', 'calm', 720, 1)} AS md FROM c) SELECT symbol, ts, CASE WHEN coalesce(vol > md, false) THEN 'high_vol' ELSE 'low_vol' END || '_' || CASE WHEN coalesce(abs((close - ma) / (sd + 1e-10)) > 1, false) THEN 'trend' ELSE 'range' END AS regime FROM q")(lambda s, d: M.four_state(D.part_bars(s, d)).select("symbol", "ts", "regime"))
 query("F64_counter_regime", f"WITH RECURSIVE {MK}, a AS (SELECT ts, coalesce(abs(close / nullif({P}, 0) - 1) > 0.3, false) AS hot, row_number() {OVER} AS k FROM m), w AS (SELECT k, ts, CASE WHEN hot THEN 1 ELSE 0 END AS c FROM a WHERE k = 1 UNION ALL SELECT a.k, a.ts, CASE WHEN hot THEN w.c + 1 ELSE greatest(0, w.c - 1) END FROM w JOIN a ON a.k = w.k + 1) SELECT ts, c AS counter, CASE WHEN c >= 3 THEN 'chop' ELSE 'trend' END AS regime FROM w")(lambda s, d: M.counter_regime(mk(s, d), 0.3, 3).select("ts", "counter", "regime"))
 query("F65_sma_filter", f"WITH {MK} SELECT ts, CASE WHEN coalesce(close > {q_roll('avg', 'close', 50)}, false) THEN 'on' ELSE 'off' END AS regime FROM m")(lambda s, d: M.sma_filter(mk(s, d)).select("ts", "regime"))
 query("F65_benchmark_regime", f"WITH {DAILY}, r AS (SELECT symbol, ts, close / nullif({q_lag('close', 20)}, 0) - 1 AS r FROM bars), g AS (SELECT ts, max(CASE WHEN symbol = '1-URGENT' THEN r END) - median(CASE WHEN symbol <> '1-URGENT' THEN r END) AS gap FROM r GROUP BY 1) SELECT ts, round(gap, 6) AS gap, CASE WHEN gap > 0 THEN 'benchmark' WHEN gap <= 0 THEN 'others' END AS regime FROM g")(lambda s, d: rounded(M.benchmark_regime(D.daily(s, d), "1-URGENT"), 6, "gap"))
 query("F66_diagnostics", f"WITH {MK}, r AS (SELECT ts, symbol, CASE WHEN coalesce(close > {q_roll('avg', 'close', 50)}, false) THEN 'on' ELSE 'off' END AS regime FROM m), c AS (SELECT *, CASE WHEN {q_lag('regime')} = regime THEN 0 ELSE 1 END AS ch FROM r), u AS (SELECT *, sum(ch) {SOFAR} AS run FROM c), n AS (SELECT run, regime, count(*) AS n FROM u GROUP BY 1, 2) SELECT regime, sum(n) AS rows, count(*) AS runs, round(avg(n), 6) AS mean_run, median(n) AS median_run, max(n) AS longest, round(sum(n) / sum(sum(n)) OVER (), 6) AS share FROM n GROUP BY 1")(lambda s, d: rounded(M.diagnostics(M.sma_filter(mk(s, d))), 6, "mean_run", "share"))
+RULED = f"{MK}, {ADX}, x6 AS (SELECT *, CASE WHEN early OR (adx >= 22 AND er >= 0.35 AND vol <= 0.6) THEN 'trend' ELSE 'chop' END AS raw FROM x5), x7 AS (SELECT *, CASE WHEN early THEN 'trend' WHEN {q_lag('raw')} = raw AND {q_lag('raw', 2)} = raw THEN raw ELSE {q_lag('raw')} END AS regime FROM x6)"
+FEAT = [f"{n}_{c}" for c in ("adx", "vol", "er") for n in ("mean", "median")]
+query("F66_features_by_regime", f"WITH {RULED} SELECT regime, count(*) AS rows, {', '.join(f'round({n}({c}), 6) AS {m}_{c}' for c in ('adx', 'vol', 'er') for n, m in (('avg', 'mean'), ('median', 'median')))} FROM x7 WHERE k >= 25 AND adx IS NOT NULL AND vol IS NOT NULL AND er IS NOT NULL GROUP BY 1")(lambda s, d: rounded(M.features_by_regime(M.rule_regime(mk(s, d), vol=0.6)), 6, *FEAT))
+query("F66_transitions", f"WITH {RULED}, c AS (SELECT *, {q_lag('regime')} <> regime AS c FROM x7) SELECT symbol, count(*) AS rows, coalesce(sum(c::INT), 0)::BIGINT AS changes, round(100.0 * coalesce(sum(c::INT), 0) / count(*), 6) AS change_rate FROM c GROUP BY 1")(lambda s, d: rounded(M.transitions(M.rule_regime(mk(s, d), vol=0.6)), 6, "change_rate"))
 query("F67_market", f"WITH {MK} SELECT ts, round(close, 4) AS close, volume FROM m")(lambda s, d: rounded(mk(s, d), 4, "close").select("ts", "close", "volume"))
 query("F05_hurst")(lambda s, d: M.hurst(mk(s, d)).select("ts", F.round("hurst", 6).alias("hurst"), "regime"))
 

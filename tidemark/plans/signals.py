@@ -49,19 +49,19 @@ def plus(source, name, ewms: dict[str, tuple[str, float]]):
 P = q_lag("close")
 TR = f"CASE WHEN {P} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {P}), abs(low - {P})) END"
 GAIN = {"gain": f"CASE WHEN {P} IS NOT NULL THEN greatest(close - {P}, 0) END", "loss": f"CASE WHEN {P} IS NOT NULL THEN greatest({P} - close, 0) END"}
-WILDER = [a("bars", "d", **GAIN), plus("d", "e", {"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}), a("e", "f", rsi="CASE WHEN g > 0 OR l > 0 THEN 100 - 100 / (1 + g / (l + 1e-12)) END")]
+WILDER = [a("bars", "d", **GAIN), plus("d", "e", {"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}), a("e", "f", rsi="100 - 100 / (1 + g / (l + 1e-12))")]
 SIMPLE = [a("bars", "d", **GAIN), a("d", "e", g=q_roll("avg", "gain", 14), l=q_roll("avg", "loss", 14)), a("e", "f", rsi="CASE WHEN l IS NOT NULL THEN coalesce(100 - 100 / (1 + g / nullif(l, 0)), 50) END")]
 WR = [a("bars", "d", t=q_roll("max", "high", 14, 1), b=q_roll("min", "low", 14, 1)), a("d", "e", wr="-100 * (t - close) / (t - b + 1e-12)")]
 
 _rule("F01_donchian", "donchian", [a("bars", "d", t=q_roll("max", "high", 40, 1), b=q_roll("min", "low", 40, 1))], f"close > {q_lag('t')}", f"close < {q_lag('b')}")
-_rule("F02_cci", "cci", [a("bars", "d", tp="(high + low + close) / 3"), a("d", "d2", m=q_roll("avg", "tp", 20, 1), v=f"list(tp) {q_frame(20)}"), a("d2", "e", cci="round(tp - m, 9) / (0.015 * list_avg(list_transform(v, lambda x: abs(x - m))) + 1e-12)")], f"cci > 0 AND {up('cci')}", f"cci < 0 AND {down('cci')}")
+_rule("F02_cci", "cci", [a("bars", "d", tp="(high + low + close) / 3"), a("d", "d2", m=q_roll("avg", "tp", 20, 1), v=f"list(tp) {q_frame(20)}"), a("d2", "e", cci="CASE WHEN abs(tp - m) > 1e-12 * abs(tp) THEN tp - m ELSE 0 END / (0.015 * list_avg(list_transform(v, lambda x: abs(x - m))) + 1e-12)")], f"cci > 0 AND {up('cci')}", f"cci < 0 AND {down('cci')}")
 _UP, _DOWN = f"(high - {q_lag('high')})", f"({q_lag('low')} - low)"
-REI = [a("bars", "d", u=f"CASE WHEN {_UP} > 0 AND {_UP} > {_DOWN} THEN {_UP} ELSE 0 END", w=f"CASE WHEN {_DOWN} > 0 AND {_DOWN} > {_UP} THEN {_DOWN} ELSE 0 END", r="high - low"), a("d", "d2", su=q_roll("sum", "u", 14, 1), sw=q_roll("sum", "w", 14, 1), mr=q_roll("avg", "r", 14, 1)), a("d2", "e", rei="100 * round(su - sw, 9) / (mr + 1e-12)")]
+REI = [a("bars", "d", u=f"CASE WHEN {_UP} > 0 AND {_UP} > {_DOWN} THEN {_UP} ELSE 0 END", w=f"CASE WHEN {_DOWN} > 0 AND {_DOWN} > {_UP} THEN {_DOWN} ELSE 0 END", r="high - low"), a("d", "d2", su=q_roll("sum", "u", 14, 1), sw=q_roll("sum", "w", 14, 1), mr=q_roll("avg", "r", 14, 1)), a("d2", "e", rei="100 * CASE WHEN abs(su - sw) > 1e-12 * abs(high) THEN su - sw ELSE 0 END / (mr + 1e-12)")]
 _rule("F03_rei", "rei", REI, f"rei > 0 AND {up('rei')}", "rei < -20")
 _rule("F04_williams_r", "williams_r", WR, over("wr", -80), over("wr", -20))
 _rule("F04_williams_r_legacy", "williams_r_legacy", WR, f"wr > -80 AND {up('wr')}", f"wr < -20 AND {down('wr')}")
 _rule("F06_tsi", "tsi", [a("bars", "d", m=f"close - {P}", am=f"abs(close - {P})"), plus("d", "e", {"m1": ("m", 1 / 7), "a1": ("am", 1 / 7)}), plus("e", "f", {"m2": ("m1", 1 / 7), "a2": ("a1", 1 / 7)}), a("f", "g", tsi="CASE WHEN a2 <> 0 THEN round(100 * m2 / a2, 9) END")], f"tsi > 0 AND {up('tsi')}", f"tsi < -10 AND {down('tsi')}")
-_rule("F07_bop", "bop", [a("bars", "d", bop="CASE WHEN high <> low THEN (close - low) / (high - low) END"), a("d", "e", s=q_roll("avg", "bop", 20))], f"bop > 0 AND {up('s')}", "bop < -0.2")
+_rule("F07_bop", "bop", [a("bars", "d", bop="(close - low) / (high - low + 1e-12)"), a("d", "e", s=f"round({q_roll('avg', 'bop', 20)}, 12)")], f"bop > 0 AND {up('s')}", "bop < -0.2")
 _rule("F08_mtf_confirm", "mtf_confirm", [a("bars", "d", f=q_roll("avg", "close", 50, 1), s=q_roll("avg", "close", 200, 1))], "f > s AND close > f", "close < f")
 _rule("F11_chandelier", "chandelier", [a("bars", "d", tr=TR), a("d", "e", stop=f"{q_roll('max', 'high', 22, 1)} - 3 * {q_roll('avg', 'tr', 22, 1)}")], "false", f"close < {q_lag('stop')}")
 _rule("F12_atr_trail", "atr_trail", [a("bars", "d", tr=TR), a("d", "e", stop=f"max(high) {D.SOFAR} - 2 * {q_roll('avg', 'tr', 14, 1)}")], "false", f"close < {q_lag('stop')}")
@@ -96,9 +96,10 @@ _rule("F25_supertrend", "supertrend", [*S3, a("t3", "t4", u="(high + low) / 2 -
 _rule("F26_chandelier_flip", "chandelier_flip", [*S3, a("t3", "f", u=f"coalesce(close > {q_roll('max', 'high', 22, 1)} - 3 * e3, false)::INT")], f"{q_lag('u')} = 0 AND u = 1", f"{q_lag('u')} = 1 AND u = 0")
 MID = {n: f"({q_roll('max', 'high', n, 1)} + {q_roll('min', 'low', n, 1)}) / 2" for n in (9, 26, 52)}
 _rule("F27_ichimoku", "ichimoku", [a("bars", "d", t=MID[9], k=MID[26], b=MID[52])], "t > k AND close > greatest((t + k) / 2, b)", "close < k")
-_rule("F28_liquid_cross", "liquid_cross", [a("bars", "d", f=q_roll("avg", "close", 10), s=q_roll("avg", "close", 30)), a("d", "e", adv=q_roll("avg", "volume", 20)), a("e", "g", fl="quantile_cont(adv, 0.4) OVER (PARTITION BY ts)")], f"f > s AND {up('f')} AND adv > fl", "f < s")
+_rule("F28_liquid_cross", "liquid_cross", [a("bars", "d", f=q_roll("avg", "close", 20), s=q_roll("avg", "close", 50)), a("d", "e", adv=q_roll("avg", "volume", 20)), a("e", "g", fl="quantile_cont(coalesce(adv, 0), 0.7) OVER (PARTITION BY ts)")], f"f > s AND {up('f')} AND adv > fl", "f < s")
 ENS = a("bars", "d", ma=q_roll("avg", "close", 50), **{f"t{n}": q_roll("max", "high", n, 1) for n in (20, 40, 60, 90)}, **{f"b{n}": q_roll("min", "low", n, 1) for n in (20, 40, 60, 90)})
-_rule("F32_donchian_ensemble", "donchian_ensemble", [ENS], "(" + " OR ".join(f"coalesce(close > {q_lag(f't{n}')}, false)" for n in (20, 40, 60, 90)) + ") AND close > ma", " OR ".join(f"coalesce(close < {q_lag(f'b{n}')}, false)" for n in (20, 40, 60, 90)))
+_rule("F32_donchian_ensemble", "donchian_ensemble", [ENS], "(" + " OR ".join(f"coalesce(close > {q_lag(f't{n}')}, false)" for n in (20, 40, 60, 90)) + ") AND close >= ma", " OR ".join(f"coalesce(close < {q_lag(f'b{n}')}, false)" for n in (20, 40, 60, 90)))
+_rule("F32_donchian_volume", "donchian_ensemble", [ENS], "(" + " OR ".join(f"coalesce(close > {q_lag(f't{n}')}, false)" for n in (20, 40, 60, 90)) + f") AND close >= ma AND {q_lag('volume')} > 0 AND volume >= {q_lag('volume')}", " OR ".join(f"coalesce(close < {q_lag(f'b{n}')}, false)" for n in (20, 40, 60, 90)), filter_volume=True)
 _rule("F33_slow_momentum", "slow_momentum", [a("bars", "d", m=f"close / nullif({q_lag('close', 60)}, 0) - 1")], "m > 0", "m <= 0")
 _rule("F34_dispatch_by_alias", "stc", [a("bars", "d", x=f"100 * (close / nullif({q_lag('close', 10)}, 0) - 1)")], "x > 5", "x < -5")
 
@@ -124,11 +125,17 @@ RULES29 = [*WILDER, a("f", "g2", bars="count(*) OVER (PARTITION BY symbol)", s20
 _wide("F29_directional_rules", S.directional_rules, ["sma_cross", "rsi_volume", "volume_breakout", "channel", "momentum"], RULES29[:4], [side("s20 > s50 AND volume > 1.2 * v20", "NOT coalesce(s20 > s50, false) AND volume > 1.2 * v20"), side("rsi > 55 AND volume > 1.2 * v20", "rsi < 45 AND volume > 1.2 * v20"), side(f"volume > 1.5 * v20 AND close > {q_lag('hi')}", f"volume > 1.5 * v20 AND close < {q_lag('lo')}"), side(f"close > {q_lag('hi')}", f"close < {q_lag('lo')}"), side("mom > 0", "mom < 0")])
 _wide("F29_macd", lambda b: S.macd(b).withColumn("macd", F.round("macd", 4)).withColumn("macd_signal", F.round("macd_signal", 4)), ["macd", "macd_signal"], [plus("bars", "g3", {"ef": ("close", 2 / 13), "es": ("close", 2 / 27)}), a("g3", "g4", m="ef - es"), plus("g4", "g5", {"ms": ("m", 0.2)})], ["round(m, 4)", "round(ms, 4)"])
 SH = {n: q_roll("avg({}::DOUBLE)", "up", n) for n in (14, 28, 56)}
-_wide("F30_triple_up_share", S.triple_up_share, ["held"], [a("bars", "d", up=f"CASE WHEN {P} IS NOT NULL THEN (close / {P} - 1 > 0)::INT END"), a("d", "e", x=SH[14], y=SH[28], z=SH[56]), a("e", "f", sd=side("x > 0.5 AND y > 0.5 AND z > 0.5", "x < 0.5 AND y < 0.5 AND z < 0.5"))], [f"coalesce(last_value(nullif(sd, 0) IGNORE NULLS) {D.SOFAR}, 0)"])
+_wide("F30_triple_up_share", S.triple_up_share, ["held"], [a("bars", "d", up=f"CASE WHEN {P} IS NOT NULL THEN (close / {P} - 1 > 0)::INT END"), a("d", "e", x=SH[14], y=SH[28], z=SH[56]), a("e", "f", sd="CASE WHEN x > 0.5 AND y > 0.5 AND z > 0.5 THEN 1 ELSE 0 END")], [f"coalesce(last_value(nullif(sd, 0) IGNORE NULLS) {D.SOFAR}, 0)"])
+S30 = [
+    a("bars", "d", bars="count(*) OVER (PARTITION BY symbol)", up=f"CASE WHEN {P} IS NOT NULL THEN (close / {P} - 1 > 0)::INT END", ov=f"coalesce({q_roll('avg', 'close', 20)} > {q_roll('avg', 'close', 50)}, false)::INT", hi=q_roll("max", "high", 20), lo=q_roll("min", "low", 20), v20=q_roll("avg", "volume", 20), mom=f"close / nullif({q_lag('close', 10)}, 0) - 1"),
+    plus("d", "e", {"ef": ("close", 2 / 13), "es": ("close", 2 / 27)}), a("e", "g", m="ef - es"), plus("g", "h", {"ms": ("m", 0.2)}),
+    a("h", "i", p1=f"CASE WHEN bars >= 50 AND ov = 1 AND {q_lag('ov')} = 0 THEN 1 END", p2=f"CASE WHEN bars >= 56 AND {SH[14]} > 0.5 AND {SH[28]} > 0.5 AND {SH[56]} > 0.5 THEN 1 END", p3=f"CASE WHEN bars >= 20 AND close < {q_lag('lo')} THEN -1 WHEN bars >= 20 AND close > {q_lag('hi')} THEN 1 END", p4="CASE WHEN bars >= 11 AND mom > 0 THEN 1 END", p5=f"CASE WHEN bars >= 20 AND volume > 1.5 * {q_lag('v20')} THEN 1 END", p6="CASE WHEN bars >= 35 AND m > ms THEN 1 END"),
+]
+_wide("F30_sticky_rules", S.sticky_rules, ["sma_cross", "triple", "channel", "momentum", "volume_breakout", "macd"], S30, [f"coalesce(last_value(p{k} IGNORE NULLS) {D.SOFAR}, 0)" for k in range(1, 7)])
 M31 = [*WILDER, a("f", "g2", r=f"close / nullif({P}, 0) - 1", mom=f"close / nullif({q_lag('close', 14)}, 0) - 1", m1=f"close / nullif({q_lag('close', 10)}, 0) - 1", m2=f"close / nullif({q_lag('close', 30)}, 0) - 1", v20=q_roll("avg", "volume", 20)), a("g2", "g3", vol=q_roll("stddev_samp", "r", 20), am="abs(mom)"), a("g3", "g4", v100=q_roll("avg", "vol", 100), q=q_roll("quantile_cont({}, 0.4)", "am", 100))]
 _wide("F31_momentum_variants", S.momentum_variants, ["baseline", "vol_scaled", "rsi_filter", "double", "volume_confirm", "adaptive"], M31, [side("mom > 0", "mom < 0"), f"CASE WHEN vol > 2.5 * v100 THEN 0 ELSE {side('mom > 0', 'mom < 0')} END", side("mom > 0 AND rsi > 50", "mom < 0 AND rsi < 50"), side("m1 > 0 AND m2 > 0", "m1 < 0 AND m2 < 0"), side("mom > 0 AND volume > 1.2 * v20", "mom < 0 AND volume > 1.2 * v20"), side("mom > 0 AND am > q", "mom < 0 AND am > q")])
 _wide("F35_strength_donchian", lambda b: S.strength(b, "donchian").withColumn("strength", F.round("strength", 6)), ["strength"], [a("bars", "d", t=q_roll("max", "high", 40, 1))], [f"round(100 * (close - {q_lag('t')}) / ({q_lag('t')} + 1e-12), 6)"])
-_wide("F35_strength_ema", lambda b: S.strength(b, "ema").withColumn("strength", F.round("strength", 6)), ["strength"], [plus("bars", "d", {"ma": ("close", 2 / 51)})], ["round(close / ma - 1, 6)"])
+_wide("F35_strength_ema", lambda b: S.strength(b, "ema").withColumn("strength", F.round("strength", 6)), ["strength"], [plus("bars", "d", {"ma": ("close", 2 / 31)})], ["round(100 * (close - ma) / (ma + 1e-12), 6)"])
 _wide("F35_strength_williams", lambda b: S.strength(b, "williams_r").withColumn("strength", F.round("strength", 6)), ["strength"], WR, [f"round(greatest(0, 2 * coalesce(wr - {q_lag('wr')}, 0)) - wr, 6)"])
 # a flat range makes REI huge, so its logarithm is compared
 _wide("F35_strength_rei", lambda b: S.strength(b, "rei").withColumn("log_strength", F.round(F.signum("strength") * F.log1p(F.abs("strength")), 6) + F.lit(0.0)), ["log_strength"], [*REI, a("e", "f", g=f"rei + greatest(0, 0.5 * coalesce(rei - {q_lag('rei')}, 0))")], ["round(sign(g) * ln(1 + abs(g)), 6) + 0"])
