@@ -34,8 +34,10 @@ from tidemark.llm import _shared, _text
 WIDTH = 4
 #: Bits of the Bloom filter of frequent pairs (8 MB), a fixed bound of what is sent to every task.
 BITS = 1 << 26
-#: Bytes of text whose graph a task builds at a time.
-CHUNK = 24 << 20
+#: Bytes of text whose graph a task builds at a time; a longer text is taken alone. Numpy holds some 40 times as much.
+CHUNK = 6 << 20
+#: Distinct pairs that a task holds before it hands their counts on.
+HELD = 3_000_000
 #: Parts of a language in which the best are found before they meet.
 SHARES = 16
 STRETCH = "lang string, words string, n long, ended boolean"
@@ -171,9 +173,18 @@ def frequent_pairs(docs: DataFrame, least: int) -> np.ndarray:
     """The Bloom filter, as 64-bit words, of the hashes of pairs that stand ``least`` times or oftener; BITS / 64 words, whatever the input."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            return _text.batches({"h": h.view(np.int64), "n": n}, pa.schema([("h", pa.int64()), ("n", pa.int64())]), 1 << 16)
+
+        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for words in _chunks(parts):
-            h, n = np.unique(words.pair_hashes()[words.joined], return_counts=True)
-            yield from _text.batches({"h": h.view(np.int64), "n": n}, pa.schema([("h", pa.int64()), ("n", pa.int64())]), 1 << 16)
+            more, k = np.unique(words.pair_hashes()[words.joined], return_counts=True)
+            h, at = np.unique(np.concatenate([h, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, k]), len(h)).astype(np.int64)
+            if len(h) >= HELD:
+                yield from out()
+                h, n = h[:0], n[:0]
+        yield from out()
 
     often = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bit = F.explode(F.array(*[F.shiftrightunsigned("h", 26 * i).bitwiseAND(BITS - 1) for i in (0, 1)]))
@@ -220,19 +231,21 @@ def counts(stretch: DataFrame) -> DataFrame:
     A stretch has an edge at each word that WIDTH - 1 others follow; where the piece ends the last words are corrections.
     What begins with a phrase makes up its count.
     """
-    words = F.split("words", " ")
-    places = F.greatest(F.size("w") - F.when(F.col("ended"), 0).otherwise(WIDTH - 1), F.lit(0))
+    single = F.instr("words", " ") == 0  # the end of a piece of one word: nothing to unroll
+    w = F.split("words", " ")
+    places = F.size("w") - F.when(F.col("ended"), 0).otherwise(WIDTH - 1)
     edge = F.explode(F.transform(F.sequence(F.lit(1), places), lambda i: part("w", i, WIDTH)))
-    edges = stretch.withColumn("w", words).select("lang", "n", edge.alias("edge")).groupBy("lang", "edge").agg(F.sum("n").alias("n"))
+    edges = stretch.where(~single).withColumn("w", w).select("lang", "n", edge.alias("words")).groupBy("lang", "words").agg(F.sum("n").alias("n"))
     flow = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: part("w", F.lit(1), k)))
-    return edges.withColumn("w", F.split("edge", " ")).select("lang", "n", flow.alias("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    flows = edges.withColumn("w", w).select("lang", flow.alias("phrase"), "n")
+    return flows.unionByName(stretch.where(single).select("lang", F.col("words").alias("phrase"), "n")).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80) -> DataFrame:
     """The ``top`` phrases of each language by score: see ``op12_collocations`` and the module."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     stretch = _shared.written(paths(docs, least), "phrase-paths")
-    places = F.size(F.split("words", " ")) - F.when(F.col("ended"), 0).otherwise(WIDTH - 1)
+    places = size(F.col("words")) - F.when(F.col("ended"), 0).otherwise(WIDTH - 1)
     total = stretch.groupBy("lang").agg(F.sum(F.col("n") * places).alias("n"))
     known = _shared.written(counts(stretch).where(F.col("f") >= least), "phrase-counts")
     candidates = known.where(F.instr("phrase", " ") > 0).withColumn("size", size(F.col("phrase")))
