@@ -35,9 +35,9 @@ WIDTH = 4
 #: Bits of the Bloom filter of frequent pairs (8 MB), a fixed bound of what is sent to every task.
 BITS = 1 << 26
 #: Bytes of text whose graph a task builds at a time; a longer text is taken alone. Numpy holds some 40 times as much.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 #: Distinct pairs that a task holds before it hands their counts on.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Parts of a language in which the best are found before they meet.
 SHARES = 16
 STRETCH = "lang string, words string, n long, ended boolean"
