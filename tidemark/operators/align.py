@@ -16,18 +16,58 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+#: Most ranges of time into which a series without a key is dealt.
+RANGES = 1000
+
+
+def _range_of(both: DataFrame, on: str) -> DataFrame:
+    """Adds __b, the number of the time range a row is in; ranges hold about equally many rows, equal times stay together."""
+    spark = both.sparkSession
+    n = min(RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    kind = dict(both.dtypes)[on]
+    at = F.unix_micros(F.col(on).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(on).cast("long") if kind == "date" else F.col(on)
+    edges = both.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10000)).first()[0] or []
+    edges = sorted(set(edges))
+    steps, k = [], 1
+    while k <= len(edges):
+        steps.insert(0, k)
+        k *= 2
+    if not edges:
+        return both.withColumn("__b", F.lit(0))
+    # binary search: the edges at or before the row's time
+    table, m = F.array(*[F.lit(x) for x in edges]), len(edges)
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda low, s: F.when((low + s <= m) & (F.get(table, low + s - 1) <= at), low + s).otherwise(low))
+    return both.withColumn("__b", F.coalesce(found, F.lit(0)))
+
+
+def _carried(both: DataFrame, on: str, forward: bool) -> DataFrame:
+    """(__b, __c) for each time range: the last right row of the ranges before it, or the first of those after it. One small row a range."""
+    ends = both.where("__side = 0").groupBy("__b").agg((F.min_by if forward else F.max_by)("__r", on).alias("r"))
+    whole = ends.agg(F.sort_array(F.collect_list(F.struct("__b", "r"))).alias("ends"))
+    beside = (lambda b: F.get(F.filter("ends", lambda x: x["__b"] > b), F.lit(0))) if forward else (lambda b: F.element_at(F.concat(F.array(F.lit(None).cast(whole.schema["ends"].dataType.elementType)), F.filter("ends", lambda x: x["__b"] < b)), -1))
+    return whole.select("ends", F.explode(F.sequence(F.lit(0), F.lit(RANGES))).alias("__b")).select("__b", beside(F.col("__b"))["r"].alias("__c"))
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: str | None = None, direction: str = "backward", on: str = "ts") -> DataFrame:
     """Each left row with the right values of its key at the nearest time at or before it (or at or after it).
 
-    Both sides are laid into one sequence per key, so one shuffle serves and no pair is made. Right rows that share key
-    and time must be unique (see ``dedup``). ``tolerance`` is an interval beyond which nothing is taken.
+    Both sides are laid into one sequence per key, so one shuffle serves and no pair is made. Without keys the one sequence is
+    dealt into ranges of time, and each takes over the row known from the ranges before it. Right rows that share key and
+    time must be unique (see ``dedup``). ``tolerance`` is an interval beyond which nothing is taken.
     """
     spare = [c for c in left.columns if c not in (*keys, on)]
     one = left.select(*keys, on, F.struct(*[F.col(c) for c in spare] or [F.lit(0).alias("_")]).alias("__l"), F.lit(None).cast(right.select(F.struct(on, *values)).schema[0].dataType).alias("__r"), F.lit(1).alias("__side"))
     two = right.select(*keys, on, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), F.struct(on, *values).alias("__r"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(on, "__side") if direction == "backward" else Window.partitionBy(*keys).orderBy(F.col(on).desc(), "__side")
+    both = one.unionByName(two)
+    if not keys:
+        both = _range_of(both, on)
+    w = Window.partitionBy(*(keys or ["__b"])).orderBy(on if direction == "backward" else F.col(on).desc(), "__side")
     found = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = one.unionByName(two).withColumn("__f", found).where("__side = 1")
+    if keys:
+        both = both.withColumn("__f", found).where("__side = 1")
+    else:
+        carried = F.broadcast(_carried(both, on, direction != "backward"))  # RANGES rows at most
+        both = both.withColumn("__f", found).where("__side = 1").join(carried, "__b", "left").withColumn("__f", F.coalesce("__f", "__c"))
     if tolerance:
         far = F.col(on) - F.expr(f"INTERVAL {tolerance}") > F.col(f"__f.{on}") if direction == "backward" else F.col(on) + F.expr(f"INTERVAL {tolerance}") < F.col(f"__f.{on}")
         both = both.withColumn("__f", F.when(~far, F.col("__f")))

@@ -129,15 +129,15 @@ EXOG = "x AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, avg(price) AS v FR
 
 def exog(s, d):
     t = D.event_ticks(s, d).where("symbol = 'error'")
-    return t.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("price").alias("v")).withColumn("k", F.lit(1))
+    return t.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("price").alias("v"))
 
 
-def keyed(s, d):
-    return D.hourly(s, d).where("symbol <> 'error'").withColumn("k", F.lit(1))
+def others(s, d):
+    return D.hourly(s, d).where("symbol <> 'error'")
 
 
-query("C05_asof", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, h.close, round(x.v, 6) AS v, x.ts AS matched_ts FROM hours h ASOF LEFT JOIN x ON h.ts >= x.ts WHERE h.symbol <> 'error'")(lambda s, d: A.asof(keyed(s, d).select("k", "ts", "symbol", "close"), exog(s, d), ["k"], ["v"]).select("symbol", "ts", "close", F.round("v", 6).alias("v"), "matched_ts"))
-query("C05_asof_tolerance", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, CASE WHEN x.ts >= h.ts - INTERVAL '2 hours' THEN round(x.v, 6) END AS v FROM hours h ASOF LEFT JOIN x ON h.ts >= x.ts WHERE h.symbol <> 'error'")(lambda s, d: A.asof(keyed(s, d).select("k", "ts", "symbol"), exog(s, d), ["k"], ["v"], tolerance="2 HOURS").select("symbol", "ts", F.round("v", 6).alias("v")))
+query("C05_asof", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, h.close, round(x.v, 6) AS v, x.ts AS matched_ts FROM hours h ASOF LEFT JOIN x ON h.ts >= x.ts WHERE h.symbol <> 'error'")(lambda s, d: A.asof(others(s, d).select("ts", "symbol", "close"), exog(s, d), [], ["v"]).select("symbol", "ts", "close", F.round("v", 6).alias("v"), "matched_ts"))
+query("C05_asof_tolerance", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, CASE WHEN x.ts >= h.ts - INTERVAL '2 hours' THEN round(x.v, 6) END AS v FROM hours h ASOF LEFT JOIN x ON h.ts >= x.ts WHERE h.symbol <> 'error'")(lambda s, d: A.asof(others(s, d).select("ts", "symbol"), exog(s, d), [], ["v"], tolerance="2 HOURS").select("symbol", "ts", F.round("v", 6).alias("v")))
 DAYS = "days AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP + INTERVAL '1 day' AS te, last(close ORDER BY hours.ts) AS dc FROM hours GROUP BY 1, 2)"
 
 
@@ -149,7 +149,7 @@ def _(s, d):
 
 
 NEAR = "CASE WHEN f.ts IS NULL OR (b.ts IS NOT NULL AND h.ts - b.ts <= f.ts - h.ts) THEN b.v ELSE f.v END"
-query("C07_nearest", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, round({NEAR}, 6) AS v FROM hours h ASOF LEFT JOIN x b ON h.ts >= b.ts ASOF LEFT JOIN x f ON h.ts <= f.ts WHERE h.symbol <> 'error'")(lambda s, d: A.nearest(keyed(s, d).select("k", "ts", "symbol"), exog(s, d), ["k"], "v").select("symbol", "ts", F.round("v", 6).alias("v")))
+query("C07_nearest", f"WITH {HOURLY}, {EXOG} SELECT h.symbol, h.ts, round({NEAR}, 6) AS v FROM hours h ASOF LEFT JOIN x b ON h.ts >= b.ts ASOF LEFT JOIN x f ON h.ts <= f.ts WHERE h.symbol <> 'error'")(lambda s, d: A.nearest(others(s, d).select("ts", "symbol"), exog(s, d), [], "v").select("symbol", "ts", F.round("v", 6).alias("v")))
 query("C01_benchmark_join", f"WITH {DAILY} SELECT b.symbol, b.ts, round(b.close / m.close, 6) AS ratio FROM bars b JOIN bars m ON m.ts = b.ts AND m.symbol = '1-URGENT'")(lambda s, d: D.daily(s, d).join(D.daily(s, d).where("symbol = '1-URGENT'").select("ts", F.col("close").alias("m")), "ts").select("symbol", "ts", F.round(F.col("close") / F.col("m"), 6).alias("ratio")))
 query("C02_attach", f"WITH {DAILY}, {VENUE}, v AS (SELECT symbol, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY venue) AS k FROM venues) WHERE k = 1) SELECT b.symbol, b.ts, b.close, v.close AS other FROM bars b LEFT JOIN v USING (symbol, ts)")(lambda s, d: A.attach(D.daily(s, d).select("symbol", "ts", "close"), D.venue_bars(s, d).select("symbol", "ts", "venue", F.col("close").alias("other")), ["symbol", "ts"], "venue").drop("venue"))
 query("C03_merge_full", f"WITH {VENUE}, j AS (SELECT symbol, ts, a.close AS f, b.close AS o FROM (SELECT * FROM venues WHERE venue = 'F') a FULL JOIN (SELECT * FROM venues WHERE venue = 'O') b USING (symbol, ts)) SELECT symbol, ts, last_value(f IGNORE NULLS) {SOFAR} AS f, last_value(o IGNORE NULLS) {SOFAR} AS o FROM j")(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ("bars", "evaluate", "features", "jobs", "panel", "signals")
+MODULES: tuple[str, ...] = ("bars", "canonical", "evaluate", "features", "jobs", "panel", "signals")
 
 
 def _all(attribute: str) -> dict:
