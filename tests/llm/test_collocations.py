@@ -60,7 +60,7 @@ def test_equals_brute_force(spark):
 
 def test_small_chunks_and_a_full_filter(spark, monkeypatch):
     rows = corpus(3, 120)
-    monkeypatch.setattr(C, "frequent_pairs", lambda docs, least: np.full(C.BITS // 64, 2**64 - 1, np.uint64))  # nothing is cut
+    monkeypatch.setattr(C, "filters", lambda docs, least: (np.full(C.BITS // 64, 2**64 - 1, np.uint64),) * 2)  # nothing is cut
     assert made(spark, rows, 4) == brute(rows, 4)
 
 
@@ -70,26 +70,25 @@ def test_no_rows(spark):
 
 
 def test_compaction_keeps_all_edges():
-    """The unrolled stretches of one chunk are its edges and ends, each once, however the pieces are cut."""
+    """The unrolled stretches of one chunk are what is read at each place, once, whatever is cut."""
     rng = random.Random(4)
     for _ in range(30):
         texts = [" ".join(rng.choices("abc", k=rng.randint(0, 30))) + rng.choice(["", ".", ". a b c d e f"]) for _ in range(rng.randint(1, 12))]
         words = C.Words(pa.array(texts, pa.large_string()), ["en"] * len(texts))
-        cut = ~words.joined | np.array([rng.random() < 0.1 for _ in words.of], bool)
-        got, paths = Counter(), 0
-        for first, last, n, ended in C.stretches(words, cut):
-            for phrase, k in zip(words.phrases(first, last).to_pylist(), n.tolist(), strict=True):
+        n = len(words.of)
+        reads = C.reach(words.pairs() & np.array([rng.random() < 0.95 for _ in range(n)], bool), np.array([rng.random() < 0.9 for _ in range(n)], bool))
+        got = Counter()
+        for first, last, k, ended in C.stretches(words, reads, np.ones(n, bool)):
+            for phrase, c in zip(words.phrases(first, last).to_pylist(), k.tolist(), strict=True):
                 w = phrase.split()
-                paths += not ended
-                for i in range(len(w) - (0 if ended else 3)):
-                    got[tuple(w[i : i + 4])] += k
-        want, w = Counter(), words.phrases(np.arange(len(words.of)), np.arange(len(words.of))).to_pylist()
-        begins = [*np.flatnonzero(cut).tolist(), len(w)]
-        for a, b in zip(begins, begins[1:], strict=False):
-            want.update(tuple(w[i : min(b, i + 4)]) for i in range(a, b))
-        assert got == want
+                for i in range(1 if ended else len(w) - 3):
+                    got[tuple(w if ended else w[i : i + 4])] += c
+        w = words.phrases(np.arange(n), np.arange(n)).to_pylist()
+        assert got == Counter(tuple(w[i : i + r]) for i, r in enumerate(reads.tolist()))
     twice = C.Words(pa.array(["one two three four five six seven"] * 2, pa.large_string()), ["en"] * 2)
-    assert [(len(f), n.tolist()) for f, _, n, ended in C.stretches(twice, ~twice.joined) if not ended] == [(1, [2])]
+    reads = C.reach(twice.pairs(), np.ones(14, bool))
+    assert reads.tolist() == [4, 4, 4, 4, 3, 2, 1] * 2
+    assert [(len(f), k.tolist()) for f, _, k, ended in C.stretches(twice, reads, np.ones(14, bool)) if not ended] == [(1, [2])]
 
 
 def test_query_equals_sql(spark):

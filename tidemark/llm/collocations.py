@@ -4,11 +4,12 @@ Nodes are phrases of WIDTH - 1 words, an edge between two overlapping nodes is a
 edges are counted, and what a piece ends with: a node's count is the flow out of it plus the ends of pieces at it, and so on
 down to single words, so every shorter count follows from the edges and a correction for the ends.
 
-The graph is cut before it is built. A pair of words that stands together fewer than ``least`` times lies inside no
-candidate and inside no part of one, so a piece may end at it, its end being corrected for like any other. Pairs are counted
-by 64-bit hashes and the frequent ones kept in a Bloom filter of a fixed size, BITS: a hash or a bit that two pairs share only
-leaves an edge that could have been cut, and where the filter fills up on a very large corpus more edges are counted. No
-result depends on it. All counting after it is by the words themselves.
+The graph is cut before it is built. A phrase that stands fewer than ``least`` times lies inside no candidate and inside no
+part of one, so what is read at a word may end before it, an end that is corrected for like that of a piece. Pairs, and then
+triples of frequent pairs, are counted by 64-bit hashes, and the frequent ones are kept in Bloom filters of a fixed size,
+BITS, with the words of frequent pairs: a hash or a bit that two of them share only leaves an edge that could have been cut,
+and where a filter fills up on a very large corpus more edges are counted. No result depends on it. All counting after it is
+by the words themselves.
 
 Each task builds the graph of some megabytes of text at a time and compacts its unary paths: an edge whose end has one edge
 in, one out and no end or start of a piece is drawn together with the next. A compacted path is a stretch of text with one
@@ -73,18 +74,23 @@ class Words:
             self.joined[1:] = (breaks[starts[1:]] == breaks[starts[:-1]]) & (row[1:] == row[:-1])
         self.dictionary = coded.dictionary
 
-    def pair_hashes(self) -> np.ndarray:
-        """Of each word and the one before it, by their letters and language; 0 for the first."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the word at each place, and of the two and the three words from it on, by their letters and language; 0 past the end."""
         letters, offsets = _text.buffers(self.dictionary)
         own = _text.Hashes(letters).of(offsets[:-1], offsets[1:]) if len(letters) else np.zeros(0, np.uint64)
         seeds = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "little") for x in self.names] or [0], np.uint64)
         k = len(self.names) or 1
         h = _text.mix(own[self.word // k] ^ seeds[self.word % k]) if len(self.word) else np.zeros(0, np.uint64)
         h = h[self.of]
-        out = np.zeros(len(h), np.uint64)
+        two, three = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
         with np.errstate(over="ignore"):
-            out[1:] = _text.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        return out
+            two[:-1] = _text.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+            three[:-2] = _text.mix(two[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[2:])
+        return h, two, three
+
+    def pairs(self) -> np.ndarray:
+        """Whether the next word follows in the same piece."""
+        return np.append(self.joined[1:], False)[: len(self.of)]
 
     def phrases(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
         """Words first to last (included) with single spaces between them."""
@@ -108,38 +114,41 @@ def _counted(key: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return where[first], n
 
 
-def stretches(words: Words, cut: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(first word, last word, count, whether the piece ends there) of the compacted paths and of the ends of pieces.
+def reach(pair: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    """How many words are read at each place, 1 to WIDTH, by which pairs and triples that begin there are kept."""
+    triple = triple & pair & np.append(pair[1:], False)[: len(pair)]
+    edge = triple & np.append(triple[1:], False)[: len(pair)]
+    return 1 + pair.astype(np.int8) + triple + edge
+
+
+def stretches(words: Words, reads: np.ndarray, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(first word, last word, count, whether it is an end) of the compacted paths, and of what is read at each place where no edge begins.
 
-    ``cut``: words before which a piece begins.
+    ``reads``: see ``reach``. ``wanted``: places whose word is asked for where it is read alone.
     """
-    n = len(words.of)
-    begins = np.flatnonzero(cut)
-    end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))  # of each word's piece
-    left = end - np.arange(n)
-    of = words.of
+    of, n = words.of, len(words.of)
     out = []
-    alone = np.flatnonzero(cut & (left == 1))
-    p, k = _counted(of, alone)
+    p, k = _counted(of, np.flatnonzero((reads == 1) & wanted))
     out.append((p, p, k, True))
-    pairs = np.flatnonzero(left >= 2)
+    pairs = np.flatnonzero(reads >= 2)
     pair = np.full(n, -1, np.int64)
     pair[pairs] = np.unique(of[pairs] << 32 | of[pairs + 1], return_inverse=True)[1]
-    p, k = _counted(pair, np.flatnonzero(cut & (left == 2)))
+    p, k = _counted(pair, np.flatnonzero(reads == 2))
     out.append((p, p + 1, k, True))
-    nodes = np.flatnonzero(left >= 3)
+    nodes = np.flatnonzero(reads >= 3)
     node = np.full(n, -1, np.int64)
     node[nodes] = np.unique(pair[nodes] << 32 | of[nodes + 2], return_inverse=True)[1]
-    p, k = _counted(node, np.flatnonzero(left == 3))
+    p, k = _counted(node, np.flatnonzero(reads == 3))
     out.append((p, p + 2, k, True))
-    places = np.flatnonzero(left >= 4)
+    places = np.flatnonzero(reads == WIDTH)
     if len(places):
         edge, k = _counted(pair << 32 | np.append(pair[2:], [-1, -1]), places)  # two pairs make four words
         m = node.max() + 1
         outward, inward = np.bincount(node[edge], minlength=m), np.bincount(node[edge + 1], minlength=m)
-        bare = np.ones(m, bool)
-        bare[node[left == 3]] = False
-        bare[node[np.flatnonzero(cut & (left >= 3))]] = False
+        bare = np.ones(m, bool)  # of nodes at which nothing ends and nothing begins
+        bare[node[reads == 3]] = False
+        entered = np.append(False, reads[:-1] == WIDTH)
+        bare[node[nodes[~entered[nodes]]]] = False
         unary = bare & (outward == 1) & (inward == 1)
         through = np.zeros(n + 1, bool)
         through[nodes] = unary[node[nodes]]
@@ -169,8 +178,8 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(pa.concat_arrays([x for x, _ in held]), [y for _, ys in held for y in ys])
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> np.ndarray:
-    """The Bloom filter, as 64-bit words, of the hashes of pairs that stand ``least`` times or oftener; BITS / 64 words, whatever the input."""
+def _bloom(docs: DataFrame, least: int, found) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of the hashes that ``found`` gives for a chunk's words, with counts, ``least`` times or oftener; BITS / 64 words, whatever the input."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
@@ -178,9 +187,9 @@ def frequent_pairs(docs: DataFrame, least: int) -> np.ndarray:
 
         h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for words in _chunks(parts):
-            more, k = np.unique(words.pair_hashes()[words.joined], return_counts=True)
-            h, at = np.unique(np.concatenate([h, more]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n, k]), len(h)).astype(np.int64)
+            for more, k in found(words):
+                h, at = np.unique(np.concatenate([h, more]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, k]), len(h)).astype(np.int64)
             if len(h) >= HELD:
                 yield from out()
                 h, n = h[:0], n[:0]
@@ -194,6 +203,25 @@ def frequent_pairs(docs: DataFrame, least: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def filters(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters of the frequent pairs, and of the frequent triples of these with the words of frequent pairs."""
+
+    def all_pairs(words: Words):
+        yield np.unique(words.hashes()[1][words.pairs()], return_counts=True)
+
+    pairs = _bloom(docs, least, all_pairs)
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def triples(words: Words):
+        one, two, three = words.hashes()
+        kept = words.pairs() & holds(sent.value, two)
+        yield np.unique(three[kept & np.append(kept[1:], False)[: len(kept)]], return_counts=True)
+        known = np.unique(one[kept | np.append(False, kept[:-1])[: len(kept)]])
+        yield known, np.full(len(known), least)
+
+    return pairs, _bloom(docs, least, triples)
+
+
 def holds(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), bool)
     for i in (0, 1):
@@ -203,16 +231,21 @@ def holds(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def paths(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, words, n, ended): compacted paths and ends of pieces, with their counts in one task's chunk."""
-    bloom = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, least))
+    """(lang, words, n, ended): compacted paths and ends, with their counts in one task's chunk; words that are not asked for as an empty one."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters(docs, least))
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, rest = sent.value
         for words in _chunks(parts):
-            for first, last, n, ended in stretches(words, ~(words.joined & holds(bloom.value, words.pair_hashes()))):
+            one, two, three = words.hashes()
+            reads, wanted = reach(words.pairs() & holds(pairs, two), holds(rest, three)), holds(rest, one)
+            for first, last, n, ended in stretches(words, reads, wanted):
                 for at in range(0, len(first), 1 << 14):
                     a, b = first[at : at + (1 << 14)], last[at : at + (1 << 14)]
                     lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[a], pa.int32()), pa.array(words.names, pa.string())).cast(pa.string())
                     yield pa.record_batch([lang, words.phrases(a, b), pa.array(n[at : at + (1 << 14)], pa.int64()), pa.array(np.full(len(a), ended))], schema=_FIELDS)
+            left = np.bincount(words.lang[(reads == 1) & ~wanted], minlength=len(words.names))  # only their number counts
+            yield pa.record_batch([pa.array(words.names, pa.string()), pa.array([""] * len(left), pa.large_string()), pa.array(left, pa.int64()), pa.array([True] * len(left))], schema=_FIELDS)
 
     return docs.mapInArrow(build, STRETCH)
 
@@ -226,26 +259,26 @@ def part(words: Column | str, first: Column, many: Column | int) -> Column:
 
 
 def counts(stretch: DataFrame) -> DataFrame:
-    """(lang, phrase, f): how often each phrase of up to WIDTH words stands, but for those that hold a pair that was cut.
+    """(lang, phrase, f): how often each phrase of up to WIDTH words stands, but for those that hold one that was cut.
 
-    A stretch has an edge at each word that WIDTH - 1 others follow; where the piece ends the last words are corrections.
-    What begins with a phrase makes up its count.
+    A path has an edge at each word that WIDTH - 1 others follow; an end is read once, as it is. What is read at all places
+    where a phrase begins makes up its count.
     """
-    single = F.instr("words", " ") == 0  # the end of a piece of one word: nothing to unroll
     w = F.split("words", " ")
-    places = F.size("w") - F.when(F.col("ended"), 0).otherwise(WIDTH - 1)
-    edge = F.explode(F.transform(F.sequence(F.lit(1), places), lambda i: part("w", i, WIDTH)))
-    edges = stretch.where(~single).withColumn("w", w).select("lang", "n", edge.alias("words")).groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    edge = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (WIDTH - 1)), lambda i: part("w", i, WIDTH)))
+    edges = stretch.where(~F.col("ended")).withColumn("w", w).select("lang", edge.alias("words"), "n")
+    longer = edges.unionByName(stretch.where(F.col("ended") & (F.instr("words", " ") > 0)).select("lang", "words", "n"))
     flow = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: part("w", F.lit(1), k)))
-    flows = edges.withColumn("w", w).select("lang", flow.alias("phrase"), "n")
-    return flows.unionByName(stretch.where(single).select("lang", F.col("words").alias("phrase"), "n")).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    flows = longer.groupBy("lang", "words").agg(F.sum("n").alias("n")).withColumn("w", w).select("lang", flow.alias("phrase"), "n")
+    single = stretch.where(F.col("ended") & (F.instr("words", " ") == 0) & (F.col("words") != "")).select("lang", F.col("words").alias("phrase"), "n")
+    return flows.unionByName(single).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80) -> DataFrame:
     """The ``top`` phrases of each language by score: see ``op12_collocations`` and the module."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     stretch = _shared.written(paths(docs, least), "phrase-paths")
-    places = size(F.col("words")) - F.when(F.col("ended"), 0).otherwise(WIDTH - 1)
+    places = F.when(F.col("ended"), 1).otherwise(size(F.col("words")) - (WIDTH - 1))
     total = stretch.groupBy("lang").agg(F.sum(F.col("n") * places).alias("n"))
     known = _shared.written(counts(stretch).where(F.col("f") >= least), "phrase-counts")
     candidates = known.where(F.instr("phrase", " ") > 0).withColumn("size", size(F.col("phrase")))
