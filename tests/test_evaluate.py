@@ -1,0 +1,117 @@
+"""Statistics against plain Python and numpy."""
+
+import math
+import random
+from datetime import datetime, timedelta
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tidemark.operators import evaluate
+
+T0 = datetime(2024, 1, 1)
+
+
+def returns(spark, series):
+    return spark.createDataFrame([(s, T0 + timedelta(days=i), x) for s, xs in series.items() for i, x in enumerate(xs)], "symbol string, ts timestamp_ntz, ret double").repartition(3)
+
+
+def test_sign_test_is_exact():
+    for a in range(0, 40):
+        for b in range(0, 40):
+            n, k = a + b, max(a, b)
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n) if n and 2 * k > n else 1.0
+            assert evaluate._sign_p(a, b) == pytest.approx(want, rel=1e-12)
+    want = 2 * sum(math.comb(3000, i) for i in range(1560, 3001)) / 2**3000
+    assert evaluate._sign_p(1560, 1440) == pytest.approx(want, rel=1e-9)  # beyond any size where an approximation would step in
+    assert 0 < evaluate._sign_p(5_010_000, 4_990_000) < 1e-8
+
+
+def test_spa_equals_its_definition(spark):
+    rng = np.random.default_rng(1)
+    bench = rng.normal(0, 0.01, 120)
+    series = {f"s{k}": (bench + rng.normal(0.0004 * k, 0.01, 120)).tolist() for k in range(6)} | {"same": bench.tolist(), "short": [0.1, 0.2]}
+    b = spark.createDataFrame([(T0 + timedelta(days=i), float(x)) for i, x in enumerate(bench)], "ts timestamp_ntz, bench double")
+    tested = evaluate.spa(returns(spark, series), b)
+    t = {}
+    for s, x in series.items():
+        d = np.array(x) - bench[: len(x)]
+        n = len(d)
+        if n < 3:
+            t[s] = None
+            continue
+        v = max((np.var(d, ddof=1) + 2 * sum(np.cov(d[:-k], d[k:])[0, 1] for k in range(1, 5))) / n, 0)
+        t[s] = d.mean() / math.sqrt(v) if v > 1e-18 else None
+    cut = NormalDist().inv_cdf(0.9 ** (1 / 6))
+    got = {r.symbol: r for r in tested.collect()}
+    for s, want in t.items():
+        assert got[s].t == (None if want is None else pytest.approx(want, rel=1e-9))
+        assert got[s].survives == (want is not None and want > cut)
+    row = evaluate.spa_summary(tested).first()
+    assert (row.n_tested, row.t_crit, row.t_max) == (6, pytest.approx(cut), pytest.approx(max(x for x in t.values() if x is not None)))
+    assert row.survivors == sorted(s for s, x in t.items() if x is not None and x > cut) and row.significant == bool(row.survivors)
+
+
+def test_bootstrap_equals_a_plain_resample_of_the_same_draws(spark):
+    rng = random.Random(3)
+    series = {"a": [rng.gauss(0, 1) for _ in range(50)], "b": [rng.gauss(0.5, 1) for _ in range(50)], "c": [1.0], "d": [2.0] * 7}
+    df = returns(spark, series).withColumnRenamed("symbol", "rule")
+    got = {(r.rule, r.replicate): r for r in evaluate.bootstrap(df, 20, 5, 7).collect()}
+    assert len(got) == 80
+    for n in (50, 1, 7):
+        drawn = {}
+        for r in evaluate.block_draws(spark, 20, n, 5, 7).collect():
+            drawn.setdefault(r.replicate, []).append((r.start, r.length))
+        for k, blocks in drawn.items():
+            places = [(s + i) % n for s, length in blocks for i in range(length)]
+            assert len(places) == n and all(0 <= s < n for s, _ in blocks)
+            for rule, x in series.items():
+                if len(x) == n:
+                    sample = np.array([x[i] for i in places])
+                    s = sample.std(ddof=1) if n > 1 else 0.0
+                    assert got[rule, k].mean == pytest.approx(sample.mean())
+                    assert got[rule, k].sharpe == pytest.approx(sample.mean() / s if s > 1e-9 else 0.0, abs=1e-9)
+    lengths = [length for blocks in drawn.values() for _, length in blocks]
+    assert len(set(lengths)) > 1
+    p = {r.rule: r.p for r in evaluate.bootstrap_p(evaluate.bootstrap(df, 200, 5, 1)).collect()}
+    assert p["b"] < 0.05 < p["a"] and p["c"] == 1.0
+
+
+def test_paired_bootstrap_tells_the_better_side(spark):
+    rng = random.Random(4)
+    rows = [(r, T0 + timedelta(days=i), rng.gauss(m, 1), rng.gauss(0, 1)) for r, m in (("better", 1.0), ("same", 0.0)) for i in range(66)]
+    got = {r.rule: r for r in evaluate.paired_bootstrap(spark.createDataFrame(rows, "rule string, ts timestamp_ntz, x double, y double"), 300, 0).collect()}
+    assert got["better"].p_over > 0.99 and got["better"].p_under < 0.01 and 0.01 < got["same"].p_over < 0.99
+
+
+def test_average_ranks_over_ranges(spark):
+    rng = random.Random(6)
+    x = [float(rng.choice([5, 5, 5, rng.randint(-50, 50)])) for _ in range(700)]
+    df = spark.createDataFrame([(v,) for v in x], "x double").repartition(3)
+    got = {r.x: r["__rank"] for r in evaluate.value_ranks(df, "x").collect()}
+    want = pd.Series(x).rank()
+    assert all(got[v] == w for v, w in zip(x, want, strict=True))
+    y = [v + rng.gauss(0, 20) for v in x]
+    both = spark.createDataFrame(list(zip(x, y, strict=True)), "x double, y double")
+    assert evaluate.corr_pairs(both, ["x", "y"], 0.2).first().rho == pytest.approx(pd.Series(x).rank().corr(pd.Series(y).rank()))
+    assert evaluate.corr_pairs(both.limit(0), ["x", "y"], 0.2).collect() == []
+
+
+def test_scorecard_pairs_slices(spark):
+    rows = [("base", i, 0.0) for i in range(9)] + [("other", i, 1.0 if i < 7 else -1.0) for i in range(8)]
+    got = {r.candidate: r for r in evaluate.scorecard(spark.createDataFrame(rows, "candidate string, slice int, ret double"), "base").collect()}
+    assert (got["other"].wins, got["other"].losses, got["other"].slices) == (7, 1, 8)
+    assert got["other"].p == pytest.approx(2 * 9 / 2**8) and got["base"].p == 1.0
+
+
+def test_scaling_is_1_when_still_and_outside_of_its_regime(spark):
+    df = returns(spark, {"a": [0.0] * 25, "b": [0.02, -0.02] * 13})
+    got = evaluate.vol_scale(df).collect()
+    assert {r.scale for r in got if r.symbol == "a"} == {1.0}
+    assert {round(r.scale, 6) for r in got if r.symbol == "b" and r.ts >= T0 + timedelta(days=19)} == {round(0.15 / (0.02 * math.sqrt(365)), 6)}
+    from pyspark.sql import functions as F
+
+    gated = evaluate.vol_scale(df.withColumn("regime", F.lit("trend")), only_in="chop").collect()
+    assert {r.scale for r in gated} == {1.0}

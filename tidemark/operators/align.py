@@ -20,8 +20,8 @@ def small(df: DataFrame) -> DataFrame:
 RANGES = 1000
 
 
-def _range_of(both: DataFrame, on: str) -> DataFrame:
-    """Adds __b, the number of the time range a row is in; ranges hold about equally many rows, equal times stay together."""
+def ranges(both: DataFrame, on: str) -> DataFrame:
+    """Adds __b, the number of the range of ``on`` (times or numbers) a row is in; ranges hold about equally many rows, equal values stay together."""
     spark = both.sparkSession
     n = min(RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kind = dict(both.dtypes)[on]
@@ -60,7 +60,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
     two = right.select(*keys, on, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), F.struct(on, *values).alias("__r"), F.lit(0).alias("__side"))
     both = one.unionByName(two)
     if not keys:
-        both = _range_of(both, on)
+        both = ranges(both, on)
     w = Window.partitionBy(*(keys or ["__b"])).orderBy(on if direction == "backward" else F.col(on).desc(), "__side")
     found = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if keys:

@@ -6,11 +6,11 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import by_symbol, change, drawdown, frame, lag
-from tidemark.operators.align import small
+from tidemark.operators.align import RANGES, ranges, small
 
 
 def wf_splits(df: DataFrame, val: int, test: int, purge: int, folds: int) -> DataFrame:
@@ -42,10 +42,15 @@ def wf_slices(bars: DataFrame, train: int = 60, step: int = 12, oos: int = 12) -
     return placed.groupBy("slice").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
-def chrono_split(df: DataFrame, train: float = 0.8, val: float = 0.05) -> DataFrame:
+def chrono_split(df: DataFrame, train: float = 0.8, val: float = 0.05, days: int | None = None) -> DataFrame:
+    """part: train, val or test by place in time; with ``days`` training rows so much older than the last one are ``old``."""
     w = Window.partitionBy("symbol")
     share = (F.row_number().over(by_symbol()) - 1) / F.count(F.lit(1)).over(w)
-    return df.withColumn("part", F.when(share < train, "train").when(share < train + val, "val").otherwise("test"))
+    out = df.withColumn("part", F.when(share < train, "train").when(share < train + val, "val").otherwise("test"))
+    if days is None:
+        return out
+    last = F.max(F.when(F.col("part") == "train", F.col("ts"))).over(w)
+    return out.withColumn("part", F.when((F.col("part") == "train") & (F.col("ts") < last - F.expr(f"INTERVAL {days} DAYS")), "old").otherwise(F.col("part")))
 
 
 def xs_momentum(bars: DataFrame, tiers: DataFrame, lookback: int, hold: int, share: float = 0.1, least: int = 1) -> DataFrame:
@@ -130,56 +135,105 @@ def newey_west(returns: DataFrame, lags: int) -> DataFrame:
     return df.groupBy("symbol").agg(n.alias("n"), F.avg("ret").alias("mean"), variance.alias("lrv")).withColumn("t", F.when(F.col("lrv") > 0, F.col("mean") / F.sqrt(F.col("lrv") / F.col("n"))))
 
 
-def spa(returns: DataFrame, bench: DataFrame, lags: int = 4, alpha: float = 0.05) -> DataFrame:
-    """Studentised mean difference from a benchmark (ts, bench) with the Šidák threshold for the number of strategies."""
-    diff = returns.join(bench, "ts").select("symbol", "ts", (F.col("ret") - F.col("bench")).alias("ret"))
-    out = newey_west(diff, lags)
-    m = out.count()  # one row a strategy
+def spa(returns: DataFrame, bench: DataFrame, lags: int = 4, alpha: float = 0.10) -> DataFrame:
+    """Per strategy (symbol): n, mean difference from a benchmark (ts, bench), its variance and studentised value, the threshold, and whether
+    it survives. The variance takes the sample variance and twice the unweighted autocovariances; the threshold is Šidák's for the
+    number of strategies that have a value."""
+    diff = returns.join(bench, "ts").where("ret IS NOT NULL AND bench IS NOT NULL").select("symbol", "ts", (F.col("ret") - F.col("bench")).alias("d"))
+    df = diff.withColumns({f"__{k}": F.lag("d", k).over(by_symbol()) for k in range(1, lags + 1)})
+    n = F.count("d")
+    together = sum((F.coalesce(F.covar_samp("d", f"__{k}"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
+    out = df.groupBy("symbol").agg(n.alias("n"), F.avg("d").alias("mean"), F.greatest((F.var_samp("d") + 2 * together) / n, F.lit(0.0)).alias("variance"))
+    out = out.withColumn("t", F.when((F.col("n") >= 3) & (F.col("variance") > 1e-18), F.col("mean") / F.sqrt("variance")))
+    m = out.agg(F.count("t")).first()[0]  # of one row a strategy
     cut = NormalDist().inv_cdf((1 - alpha) ** (1 / max(1, m)))
     return out.withColumn("threshold", F.lit(cut)).withColumn("survives", F.coalesce(F.col("t") > cut, F.lit(False)))
 
 
-def sign_test(pairs: DataFrame, key: str) -> DataFrame:
-    """wins, losses, ties of (x, y) and the exact two-sided p, computed on result-sized rows."""
-    out = pairs.groupBy(key).agg(*[F.sum(c.cast("int")).alias(n) for n, c in (("wins", F.col("x") > F.col("y")), ("losses", F.col("x") < F.col("y")), ("ties", F.col("x") == F.col("y")))])
+def spa_summary(tested: DataFrame) -> DataFrame:
+    """The step-wise test's one row: whether any strategy survives, which, the largest value, the threshold and how many were tested."""
+    return tested.agg(
+        F.coalesce(F.max("survives"), F.lit(False)).alias("significant"), F.sort_array(F.collect_list(F.when(F.col("survives"), F.col("symbol")))).alias("survivors"), F.max("t").alias("t_max"), F.max(F.when(F.col("t").isNotNull(), F.col("threshold"))).alias("t_crit"), F.count("t").alias("n_tested")
+    )
+
+
+def _sign_p(wins: int, losses: int) -> float:
+    """Exact two-sided binomial p: terms of the tail, from the largest on until they no longer count."""
+    n, k = wins + losses, max(wins, losses)
+    if 2 * k <= n:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total, i = 0.0, k
+    while i <= n and term > 1e-18 * total:
+        total += term
+        term *= (n - i) / (i + 1)
+        i += 1
+    return min(1.0, 2 * total)
+
+
+def sign_p(wins: str, losses: str) -> Column:
+    """``_sign_p`` of result-sized rows."""
 
     @F.pandas_udf("double")
-    def p_value(wins: pd.Series, losses: pd.Series) -> pd.Series:
-        def one(a: int, b: int) -> float:
-            n, k = a + b, max(a, b)
-            if n > 1000:
-                return 2 * NormalDist().cdf(-(abs(a - b) - 1) / math.sqrt(n)) if a != b else 1.0
-            return min(1.0, 2 * sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n) if n else 1.0
+    def p_value(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_sign_p(int(x), int(y)) for x, y in zip(a.fillna(0), b.fillna(0), strict=True)])
+
+    return p_value(wins, losses)
+
+
+def sign_test(pairs: DataFrame, key: str) -> DataFrame:
+    """wins, losses, ties of (x, y) and the exact two-sided p."""
+    out = pairs.groupBy(key).agg(*[F.sum(c.cast("int")).alias(n) for n, c in (("wins", F.col("x") > F.col("y")), ("losses", F.col("x") < F.col("y")), ("ties", F.col("x") == F.col("y")))])
 
-        return pd.Series([one(int(a), int(b)) for a, b in zip(wins, losses, strict=True)])
+    return out.withColumn("p", sign_p("wins", "losses"))
 
-    return out.withColumn("p", p_value("wins", "losses"))
 
+def block_draws(spark: SparkSession, replicates: int, n: int, block: int, seed: int) -> DataFrame:
+    """(replicate, start, length): blocks of a stationary resample of n places. A new block begins at each place with chance 1 / block.
 
-def bootstrap(returns: DataFrame, replicates: int, block: int, seed: int, per_task: int = 50) -> DataFrame:
-    """Mean and Sharpe of stationary-block resamples; groups of replicates are the parallel axis. ``returns``: rule, ts, ret."""
-    spark = returns.sparkSession
-    groups = spark.range(-(-replicates // per_task)).withColumnRenamed("id", "group")
+    Drawn by hash of seed, replicate and place, so a draw is the same on any machine, and two series of one length share it.
+    """
+    u = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("replicate"), t), 11) / float(1 << 53)
+    at = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda t: (u(t) < 1 / block) & (t < n)))
+    cut = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("at", at)
+    blocks = F.transform("at", lambda t, i: F.struct(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("replicate"), t), F.lit(n)).alias("start"), (F.coalesce(F.get("at", i + 1), F.lit(n)) - t).alias("length")))
+    return cut.select("replicate", F.explode(blocks).alias("b")).select("replicate", "b.start", "b.length")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        pdf = pdf.sort_values("ts")
-        x, rule, group = pdf["ret"].to_numpy(), pdf["rule"].iloc[0], int(pdf["group"].iloc[0])
-        out = []
-        for k in range(group * per_task, min(replicates, (group + 1) * per_task)):
-            rng = np.random.default_rng([seed, k])
-            new = rng.random(len(x)) < 1 / block
-            new[0] = True
-            start = rng.integers(0, len(x), len(x))
-            place = np.arange(len(x))
-            first = np.maximum.accumulate(np.where(new, place, 0))
-            sample = x[(start[first] + place - first) % len(x)]
-            s = sample.std()
-            out.append((rule, k, sample.mean(), sample.mean() / s if s else 0.0))
-        return pd.DataFrame(out, columns=["rule", "replicate", "mean", "sharpe"])
+def bootstrap(returns: DataFrame, replicates: int, block: int, seed: int) -> DataFrame:
+    """(rule, replicate, mean, sharpe) of stationary-block resamples of (rule, ts, ret).
 
-    return returns.where("ret IS NOT NULL").crossJoin(small(groups)).groupBy("rule", "group").applyInPandas(run, "rule string, replicate long, mean double, sharpe double")
+    A block's sum is a difference of running sums at its two ends, so that what is shuffled are the blocks, not the series.
+    """
+    order = Window.partitionBy("rule").orderBy("ts")
+    df = returns.where("ret IS NOT NULL").withColumn("place", F.row_number().over(order)).withColumns({"s": F.sum("ret").over(order.rowsBetween(Window.unboundedPreceding, 0)), "q": F.sum(F.col("ret") * F.col("ret")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    whole = df.groupBy("rule").agg(F.count("*").alias("n"), F.max_by("s", "place").alias("all_s"), F.max_by("q", "place").alias("all_q"))
+    sums = df.select("rule", F.col("place").cast("long").alias("place"), "s", "q").unionByName(whole.select("rule", F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    drawn = None
+    for (n,) in whole.select("n").distinct().orderBy("n").collect():  # one draw a length
+        one = block_draws(returns.sparkSession, replicates, n, block, seed).withColumn("n", F.lit(n))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    if drawn is None:
+        return returns.sparkSession.createDataFrame([], "rule string, replicate long, mean double, sharpe double")
+    blocks = drawn.join(whole, "n").withColumn("end", F.col("start") + F.col("length"))
+    blocks = blocks.withColumn("round", F.col("end") > F.col("n")).withColumn("end", F.when(F.col("round"), F.col("end") - F.col("n")).otherwise(F.col("end")))
+    side = lambda x: sums.select("rule", F.col("place").alias(x), F.col("s").alias(f"s_{x}"), F.col("q").alias(f"q_{x}"))
+    blocks = blocks.join(side("start"), ["rule", "start"]).join(side("end"), ["rule", "end"])
+    part = lambda x: F.sum(F.col(f"{x}_end") - F.col(f"{x}_start") + F.when(F.col("round"), F.col(f"all_{x}")).otherwise(0.0))
+    out = blocks.groupBy("rule", "replicate").agg(F.max("n").alias("n"), part("s").alias("s"), part("q").alias("q")).withColumn("mean", F.col("s") / F.col("n"))
+    variance = (F.col("q") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
+    return out.select("rule", "replicate", "mean", F.when((F.col("n") > 1) & (variance > 1e-18), F.col("mean") / F.sqrt(variance)).otherwise(0.0).alias("sharpe"))
+
+
+def bootstrap_p(resamples: DataFrame) -> DataFrame:
+    """Per rule the share of resamples whose Sharpe is not over 0."""
+    return resamples.groupBy("rule").agg(F.count("*").alias("replicates"), F.avg((F.col("sharpe") <= 0).cast("double")).alias("p"))
+
+
+def paired_bootstrap(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per rule of (rule, ts, x, y): shares of resamples of the pairs in which the mean of x less y is over, and under, 0."""
+    out = bootstrap(pairs.select("rule", "ts", (F.col("x") - F.col("y")).alias("ret")), replicates, 1, seed)
+    return out.groupBy("rule").agg(F.count("*").alias("replicates"), F.avg((F.col("mean") > 0).cast("double")).alias("p_over"), F.avg((F.col("mean") < 0).cast("double")).alias("p_under"))
 
 
 def sharpe_moments(returns: DataFrame) -> DataFrame:
@@ -217,12 +271,15 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def scorecard(results: DataFrame, base: str) -> DataFrame:
-    """Candidates over slices (candidate, slice, ret): mean, worst, positive slices, and paired difference from a base."""
+    """Candidates over slices (candidate, slice, ret): mean, worst, positive slices, and paired difference from a base with its exact sign test."""
     b = results.where(F.col("candidate") == base).select("slice", F.col("ret").alias("base"))
     df = results.join(b, "slice", "left")
-    return df.groupBy("candidate").agg(
-        F.count("*").alias("slices"), F.avg("ret").alias("mean"), F.min("ret").alias("worst"), F.percentile("ret", F.lit(0.5)).alias("median"), F.sum((F.col("ret") > 0).cast("int")).alias("positive"), F.avg(F.col("ret") - F.col("base")).alias("delta"), F.sum((F.col("ret") > F.col("base")).cast("int")).alias("wins")
-    )
+    beaten = lambda c: F.sum(c.cast("int"))
+    out = df.groupBy("candidate").agg(
+        F.count("*").alias("slices"), F.avg("ret").alias("mean"), F.min("ret").alias("worst"), F.percentile("ret", F.lit(0.5)).alias("median"), beaten(F.col("ret") > 0).alias("positive"), F.avg(F.col("ret") - F.col("base")).alias("delta"),
+        beaten(F.col("ret") > F.col("base")).alias("wins"), beaten(F.col("ret") < F.col("base")).alias("losses"),
+    )
+    return out.withColumn("p", sign_p("wins", "losses"))
 
 
 def verdict(results: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -257,13 +314,31 @@ def period_metrics(predictions: DataFrame, cuts: list[tuple[str, str]]) -> DataF
     return predictions.groupBy(name.alias("period")).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy")).crossJoin(F.broadcast(whole)).withColumn("lift", F.col("accuracy") - F.col("all")).drop("all")
 
 
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, __rank): the average rank of each distinct value among all rows of the table.
+
+    Values are counted, the counts dealt into ranges of values, and each range starts where those before it end: sums of
+    ranges, a few rows, are sent to all tasks, and only one range is sorted in a task.
+    """
+    counted = ranges(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n")), column)
+    totals = counted.groupBy("__b").agg(F.sum("__n").alias("n")).agg(F.collect_list(F.struct("__b", "n")).alias("t"))
+    before = F.aggregate(F.filter("t", lambda x: x["__b"] < F.col("__b")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    starts = totals.select("t", F.explode(F.sequence(F.lit(0), F.lit(RANGES))).alias("__b")).select("__b", before.alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("__w", within).join(F.broadcast(starts), "__b").select(column, (F.col("__before") + F.col("__w") - (F.col("__n") - 1) / 2).alias("__rank"))
+
+
 def _average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    df = df.dropna(subset=columns).withColumn("__u", F.lit(1))
-    return df.select(*[(F.rank().over(Window.partitionBy("__u").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("__u", c)) - 1) / 2).alias(c) for c in columns])
+    df = df.dropna(subset=columns)
+    whole = df.select(*columns)
+    out = whole
+    for c in columns:
+        out = out.join(small(value_ranks(whole, c)).withColumnRenamed("__rank", f"__rank_{c}"), c)
+    return out.select(*[F.col(f"__rank_{c}").alias(c) for c in columns])
 
 
 def corr_matrix(df: DataFrame, columns: list[str], ranks: bool = False) -> list[list[float]]:
-    """Correlations from one pass of sums; with ``ranks`` of average ranks, which sorts each column over the whole table."""
+    """Correlations from one pass of sums; with ``ranks`` of average ranks."""
     df = _average_ranks(df, columns) if ranks else df.dropna(subset=columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
@@ -294,10 +369,12 @@ def attribution(results: DataFrame) -> DataFrame:
     return wide.withColumn("exit_adds", F.col("full") - F.col("entry")).withColumn("entry_adds", F.col("full") - F.col("exit"))
 
 
-def vol_scale(returns: DataFrame, target: float, window: int = 20, least: float = 0.25, most: float = 1.5, periods: int = 365) -> DataFrame:
-    """scale: the target over the past window's annualised deviation, within bounds; 1 while the window is short."""
+def vol_scale(returns: DataFrame, target: float = 0.15, window: int = 20, least: float = 0.25, most: float = 1.5, periods: int = 365, only_in: str | None = None) -> DataFrame:
+    """scale: the target over the past window's annualised deviation, within bounds; 1 while the window is short or still, and with
+    ``only_in`` wherever the row's ``regime`` is another."""
     s = F.when(F.count("ret").over(frame(window)) >= window, F.stddev_pop("ret").over(frame(window)) * math.sqrt(periods))
-    return returns.withColumn("scale", F.when(s.isNull(), 1.0).when(s == 0, most).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), target / s))))
+    scale = F.when(F.coalesce(s > 0, F.lit(False)), F.least(F.lit(most), F.greatest(F.lit(least), target / s))).otherwise(1.0)
+    return returns.withColumn("scale", scale if only_in is None else F.when(F.col("regime") == only_in, scale).otherwise(1.0))
 
 
 def sizing(trades: DataFrame, scheme: str, fraction: float, cap: int = 5) -> DataFrame:

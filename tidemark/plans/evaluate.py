@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
@@ -31,11 +33,16 @@ def returns(s, d):
     return D.daily(s, d).withColumn("ret", F.ln(F.col("close") / R.lag("close")) / 100).where("ret IS NOT NULL").withColumn("held", F.when(F.col("volume") > 1, 1).otherwise(0))
 
 
+def bench(s, d):
+    return returns(s, d).groupBy("ts").agg(F.avg("ret").alias("bench"))
+
+
 RETS = f"{DAILY}, rets AS (SELECT *, ln(close / {q_lag('close')}) / 100 AS ret, (volume > 1)::INT AS held FROM bars), rr AS (SELECT * FROM rets WHERE ret IS NOT NULL)"
 query("G01_wf_splits", f"WITH {DAILY}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), k AS (SELECT symbol, unnest(range(4)) AS fold, n FROM n) SELECT symbol, fold, n - fold * 300 - 630 AS train_end, n - fold * 300 - 415 AS val_start, n - fold * 300 - 300 AS test_start, n - fold * 300 AS test_end FROM k WHERE n - fold * 300 - 630 > 0".replace("- 630", "- 430").replace("- 415", "- 415"))(lambda s, d: V.wf_splits(D.daily(s, d), 100, 300, 15, 4))
 query("G02_wf_overlap", f"WITH {PART}, n AS (SELECT symbol, count(*) AS n FROM parts GROUP BY 1), z AS (SELECT *, CASE WHEN n >= 1500 THEN 500 WHEN n >= 500 THEN 200 ELSE 60 END AS tr, CASE WHEN n >= 1500 THEN 100 WHEN n >= 500 THEN 50 ELSE 20 END AS te, CASE WHEN n >= 1500 THEN 50 WHEN n >= 500 THEN 25 ELSE 10 END AS st FROM n), k AS (SELECT *, unnest(range(0, ((n - tr - te) // st + 1)::BIGINT)) AS fold FROM z WHERE n >= tr + te) SELECT symbol, fold, fold * st AS first, fold * st + tr AS test_start, fold * st + tr + te AS test_end FROM k")(lambda s, d: V.wf_overlap(D.part_bars(s, d)))
 query("G03_wf_slices", f"WITH {PART}, d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k FROM (SELECT DISTINCT ts FROM parts)), s AS (SELECT range AS slice FROM range(1000)) SELECT slice, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s JOIN d ON k >= 60 + slice * 12 AND k < 72 + slice * 12 GROUP BY slice")(lambda s, d: V.wf_slices(D.part_bars(s, d)))
 query("G04_chrono_split", f"WITH {DAILY}, k AS (SELECT symbol, (row_number() {OVER} - 1) / count(*) OVER (PARTITION BY symbol) AS s FROM bars) SELECT symbol, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8 + 0.05 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM k GROUP BY 1, 2")(lambda s, d: V.chrono_split(D.daily(s, d)).groupBy("symbol", "part").agg(F.count("*").alias("n")))
+query("G04_rolling_window", f"WITH {DAILY}, k AS (SELECT symbol, ts, (row_number() {OVER} - 1) / count(*) OVER (PARTITION BY symbol) AS s FROM bars), l AS (SELECT *, max(CASE WHEN s < 0.8 THEN ts END) OVER (PARTITION BY symbol) AS e FROM k) SELECT symbol, CASE WHEN s < 0.8 THEN CASE WHEN ts < e - INTERVAL '1461 days' THEN 'old' ELSE 'train' END WHEN s < 0.8 + 0.05 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM l GROUP BY 1, 2")(lambda s, d: V.chrono_split(D.daily(s, d), days=1461).groupBy("symbol", "part").agg(F.count("*").alias("n")))
 query(
     "G05_xs_momentum",
     f"WITH {PART}, {TIER}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r FROM parts), m AS (SELECT *, close / nullif({q_lag('close', 40)}, 0) - 1 AS mom, stddev_samp(r) {q_frame(40)} AS vol, lead(close, 20) {OVER} / close - 1 AS nx, dense_rank() OVER (ORDER BY ts) AS k FROM r), j AS (SELECT m.*, tier FROM m JOIN tiers USING (symbol) WHERE k % 20 = 0 AND mom IS NOT NULL AND nx IS NOT NULL AND vol > 0), w AS (SELECT *, greatest(1, floor(0.1 * count(*) OVER (PARTITION BY tier, k))) AS n, row_number() OVER (PARTITION BY tier, k ORDER BY mom DESC, symbol) AS u, row_number() OVER (PARTITION BY tier, k ORDER BY mom, symbol) AS dn FROM j), x AS (SELECT *, CASE WHEN u <= n THEN 1 WHEN dn <= n THEN -1 END AS side, 1 / vol AS iv FROM w), l AS (SELECT tier, k AS fold, sum(CASE WHEN side = 1 THEN iv * nx END) / sum(CASE WHEN side = 1 THEN iv END) AS lg, sum(CASE WHEN side = -1 THEN iv * nx END) / sum(CASE WHEN side = -1 THEN iv END) AS sh FROM x WHERE side IS NOT NULL GROUP BY 1, 2) SELECT tier, fold, round(lg, 6) AS long, round(sh, 6) AS short, round(lg - sh, 6) AS spread FROM l",
@@ -60,11 +67,32 @@ query(
 )(lambda s, d: rounded(rounded(V.performance(returns(s, d)), 6, "total_return", "sharpe", "max_drawdown", "win_share", "exposure", "effective_sharpe"), 4, "calmar"))
 NW = "e AS (SELECT symbol, ts, ret, ret - avg(ret) OVER (PARTITION BY symbol) AS e FROM {src}), l AS (SELECT *, " + ", ".join(f"e * lag(e, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS c{k}" for k in range(1, 5)) + " FROM e), nw AS (SELECT symbol, count(*) AS n, avg(ret) AS mean, sum(e * e) / count(*) + " + " + ".join(f"2 * {1 - k / 5!r} * sum(c{k}) / count(*)" for k in range(1, 5)) + " AS lrv FROM l GROUP BY 1)"
 query("G11_newey_west", f"WITH {RETS}, {NW.replace('{src}', 'rr')} SELECT symbol, n, round(mean, 9) AS mean, round(mean / sqrt(lrv / n), 6) AS t FROM nw")(lambda s, d: V.newey_west(returns(s, d), 4).select("symbol", "n", F.round("mean", 9).alias("mean"), F.round("t", 6).alias("t")))
-query("G12_spa", f"WITH {RETS}, b AS (SELECT ts, avg(ret) AS bench FROM rr GROUP BY 1), df AS (SELECT symbol, rr.ts, ret - bench AS ret FROM rr JOIN b ON b.ts = rr.ts), {NW.replace('{src}', 'df')} SELECT symbol, n, round(mean / sqrt(lrv / n), 6) AS t, mean / sqrt(lrv / n) > 2.3187 AS survives FROM nw")(lambda s, d: V.spa(returns(s, d), returns(s, d).groupBy("ts").agg(F.avg("ret").alias("bench"))).select("symbol", "n", F.round("t", 6).alias("t"), "survives"))
-query("G13_sign_test", f"WITH {VENUE}, p AS (SELECT symbol, a.close AS x, b.close AS y FROM (SELECT * FROM venues WHERE venue = 'F') a JOIN (SELECT * FROM venues WHERE venue = 'O') b USING (symbol, ts)) SELECT symbol, sum((x > y)::INT) AS wins, sum((x < y)::INT) AS losses, sum((x = y)::INT) AS ties FROM p GROUP BY 1")(
-    lambda s, d: V.sign_test(D.venue_bars(s, d).where("venue = 'F'").select("symbol", "ts", F.col("close").alias("x")).join(D.venue_bars(s, d).where("venue = 'O'").select("symbol", "ts", F.col("close").alias("y")), ["symbol", "ts"]), "symbol").drop("p")
-)
-query("G14_bootstrap")(lambda s, d: V.bootstrap(returns(s, d).select(F.col("symbol").alias("rule"), "ts", "ret"), 200, 10, 42))
+COV = " + ".join(f"coalesce(covar_samp(d, l{k}), 0)" for k in range(1, 5))
+SPA = f"{RETS}, b AS (SELECT ts, avg(ret) AS bench FROM rr GROUP BY 1), df AS (SELECT symbol, rr.ts, ret - bench AS d FROM rr JOIN b ON b.ts = rr.ts), l AS (SELECT *, {', '.join(f'lag(d, {k}) {OVER} AS l{k}' for k in range(1, 5))} FROM df), v AS (SELECT symbol, count(d) AS n, avg(d) AS mean, greatest((var_samp(d) + 2 * ({COV})) / count(d), 0) AS v FROM l GROUP BY 1), tt AS (SELECT *, CASE WHEN n >= 3 AND v > 1e-18 THEN mean / sqrt(v) END AS t, {NormalDist().inv_cdf(0.9 ** (1 / 5))!r} AS cut FROM v)"
+query("G12_spa", f"WITH {SPA} SELECT symbol, n, round(mean, 9) AS mean, round(t, 6) AS t, round(cut, 6) AS threshold, coalesce(t > cut, false) AS survives FROM tt")(lambda s, d: rounded(V.spa(returns(s, d), bench(s, d)), 6, "t", "threshold").select("symbol", "n", F.round("mean", 9).alias("mean"), "t", "threshold", "survives"))
+query("G12_spa_summary", f"WITH {SPA} SELECT coalesce(bool_or(t > cut), false) AS significant, array_to_string(coalesce(list(symbol ORDER BY symbol) FILTER (t > cut), []), ',') AS survivors, round(max(t), 6) AS t_max, round(max(cut), 6) AS t_crit, count(t) AS n_tested FROM tt")(lambda s, d: rounded(V.spa_summary(V.spa(returns(s, d), bench(s, d))).withColumn("survivors", F.array_join("survivors", ",")), 6, "t_max", "t_crit"))
+def q_sign(wins, losses):
+    """Exact two-sided p of a sign test, term by term."""
+    n, k = f"({wins} + {losses})::BIGINT", f"greatest({wins}, {losses})::BIGINT"
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))"
+    return f"CASE WHEN 2 * {k} <= {n} THEN 1 ELSE least(1, 2 * list_sum(list_transform(range({k}, {n} + 1), lambda i: {term}))) END"
+
+
+PAIRED = "p AS (SELECT symbol, ts, a.close AS x, b.close AS y FROM (SELECT * FROM venues WHERE venue = 'F') a JOIN (SELECT * FROM venues WHERE venue = 'O') b USING (symbol, ts))"
+
+
+def paired(s, d):
+    return D.venue_bars(s, d).where("venue = 'F'").select("symbol", "ts", F.col("close").alias("x")).join(D.venue_bars(s, d).where("venue = 'O'").select("symbol", "ts", F.col("close").alias("y")), ["symbol", "ts"])
+
+
+query("G13_sign_test", f"WITH {VENUE}, {PAIRED}, c AS (SELECT symbol, sum((x > y)::INT) AS wins, sum((x < y)::INT) AS losses, sum((x = y)::INT) AS ties FROM p GROUP BY 1) SELECT *, round({q_sign('wins', 'losses')}, 6)::DOUBLE AS p FROM c")(lambda s, d: rounded(V.sign_test(paired(s, d), "symbol"), 6, "p"))
+def rules(s, d):
+    return returns(s, d).select(F.col("symbol").alias("rule"), "ts", "ret")
+
+
+query("G14_bootstrap")(lambda s, d: V.bootstrap(rules(s, d), 200, 10, 42))
+query("G14_bootstrap_p")(lambda s, d: V.bootstrap_p(V.bootstrap(rules(s, d), 2000, 5, 0)))
+query("G14_paired_bootstrap")(lambda s, d: V.paired_bootstrap(paired(s, d).select(F.col("symbol").alias("rule"), "ts", "x", "y"), 1000, 0))
 MOM = f"{RETS}, mo AS (SELECT symbol, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS sk, kurtosis(ret) AS ku FROM rr GROUP BY 1)"
 Z = "sqrt(n - 1) / sqrt(1 - sk * sr + (ku + 2) / 4 * sr * sr)"
 query("G15_psr", f"WITH {MOM} SELECT symbol, n, round(sr, 6) AS sr, round(sk, 6) AS skew, round(ku, 4) AS kurt, round(sr * {Z}, 6) AS z FROM mo")(lambda s, d: V.psr(V.sharpe_moments(returns(s, d))).select("symbol", "n", F.round("sr", 6).alias("sr"), F.round("skew", 6).alias("skew"), F.round("kurt", 4).alias("kurt"), F.round("z", 6).alias("z")))
@@ -78,7 +106,7 @@ def slices(s, d):
     return returns(s, d).groupBy(F.col("symbol").alias("candidate"), F.to_date(F.date_trunc("quarter", "ts")).alias("slice")).agg(F.sum("ret").alias("ret"))
 
 
-query("G17_scorecard", f"WITH {RES} SELECT a.candidate, count(*) AS slices, round(avg(a.ret), 6) AS mean, round(min(a.ret), 6) AS worst, round(median(a.ret), 6) AS median, sum((a.ret > 0)::INT) AS positive, round(avg(a.ret - b.ret), 6) AS delta, sum((a.ret > b.ret)::INT) AS wins FROM sl a LEFT JOIN (SELECT slice, ret FROM sl WHERE candidate = '5-LOW') b USING (slice) GROUP BY 1")(lambda s, d: rounded(V.scorecard(slices(s, d), "5-LOW"), 6, "mean", "worst", "median", "delta"))
+query("G17_scorecard", f"WITH {RES}, c AS (SELECT a.candidate, count(*) AS slices, round(avg(a.ret), 6) AS mean, round(min(a.ret), 6) AS worst, round(median(a.ret), 6) AS median, sum((a.ret > 0)::INT) AS positive, round(avg(a.ret - b.ret), 6) AS delta, sum((a.ret > b.ret)::INT) AS wins, sum((a.ret < b.ret)::INT) AS losses FROM sl a LEFT JOIN (SELECT slice, ret FROM sl WHERE candidate = '5-LOW') b USING (slice) GROUP BY 1) SELECT *, round({q_sign('wins', 'losses')}, 6)::DOUBLE AS p FROM c")(lambda s, d: rounded(V.scorecard(slices(s, d), "5-LOW"), 6, "mean", "worst", "median", "delta", "p"))
 query("G18_verdict", "WITH r AS (SELECT l_suppkey % 5 AS family, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount * 10 END AS score, l_tax AS p FROM lineitem) SELECT family, count(score) AS tested, sum((score IS NULL)::INT) AS skipped, round(avg(score), 6) AS mean, CASE WHEN max(p) < 0.05 AND avg(score) > 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM r GROUP BY 1")(lambda s, d: rounded(V.verdict(D.table(s, d, "lineitem").select((F.col("l_suppkey") % 5).alias("family"), F.when(F.col("l_linenumber") != 7, F.col("l_discount") * 10).alias("score"), F.col("l_tax").alias("p"))).drop("p"), 6, "mean"))
 
 
@@ -100,8 +128,9 @@ F1 = " + ".join(f"2.0 * count(*) FILTER (cls = {k} AND label = {k}) / (count(*)
 query("G20_class_metrics", f"WITH {q_pred()} SELECT count(*) AS n, round(avg((cls = label)::INT), 6) AS accuracy, round(({F1}) / 3, 6) AS macro_f1, round(avg((cls <> 2)::INT), 6) AS directional FROM pr")(lambda s, d: rounded(V.class_metrics(predicted(s, d)), 6, "accuracy", "macro_f1", "directional"))
 query("G21_period_metrics", f"WITH {q_pred()}, a AS (SELECT avg((cls = label)::INT) AS a FROM pr) SELECT CASE WHEN ts < TIMESTAMP '1994-01-01' THEN 'early' WHEN ts < TIMESTAMP '1997-01-01' THEN 'middle' ELSE 'later' END AS period, count(*) AS n, round(avg((cls = label)::INT), 6) AS accuracy, round(avg((cls = label)::INT) - any_value(a), 6) AS lift FROM pr, a GROUP BY 1")(lambda s, d: rounded(V.period_metrics(predicted(s, d), [("early", "1994-01-01"), ("middle", "1997-01-01")]), 6, "accuracy", "lift"))
 RANK = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) AS {c}"
-COLS = ["l_quantity", "l_extendedprice", "l_discount"]
-query("G22_corr_pairs", "WITH r AS (SELECT " + ", ".join(RANK.format(c=c) for c in COLS) + " FROM lineitem), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate(COLS) for b in COLS[i + 1 :]) + ") SELECT a, b, rho FROM c WHERE abs(rho) > 0.3")(lambda s, d: rounded(V.corr_pairs(D.table(s, d, "lineitem"), COLS, 0.3), 6, "rho"))
+COLS = ["l_quantity", "l_extendedprice", "l_discount", "value"]
+VALUED = "SELECT *, l_extendedprice * (1 - l_discount) AS value FROM lineitem"
+query("G22_corr_pairs", f"WITH v AS ({VALUED}), r AS (SELECT " + ", ".join(RANK.format(c=c) for c in COLS) + " FROM v), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate(COLS) for b in COLS[i + 1 :]) + ") SELECT a, b, rho FROM c WHERE abs(rho) > 0.05")(lambda s, d: rounded(V.corr_pairs(D.table(s, d, "lineitem").withColumn("value", F.col("l_extendedprice") * (1 - F.col("l_discount"))), COLS, 0.05), 6, "rho"))
 query("G23_vif", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS p FROM lineitem) SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, round(1 / (1 - p * p), 6) AS vif FROM c")(lambda s, d: rounded(V.vif(D.table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6, "vif").select("feature", "vif"))
 
 
@@ -116,7 +145,9 @@ def _(s, d):
     return V.attribution(out)
 
 
-query("G25_vol_scale", f"WITH {RETS}, v AS (SELECT symbol, ts, CASE WHEN count(ret) {q_frame(20)} >= 20 THEN stddev_pop(ret) {q_frame(20)} * sqrt(365) END AS s FROM rr) SELECT symbol, ts, round(CASE WHEN s IS NULL THEN 1 WHEN s = 0 THEN 1.5 ELSE least(1.5, greatest(0.25, 0.2 / s)) END, 6)::DOUBLE AS scale FROM v")(lambda s, d: rounded(V.vol_scale(returns(s, d), 0.2), 6, "scale").select("symbol", "ts", "scale"))
+SCALE = f"v AS (SELECT symbol, ts, CASE WHEN count(ret) {q_frame(20)} >= 20 THEN stddev_pop(ret) {q_frame(20)} * sqrt(365) END AS s FROM rr), w AS (SELECT *, CASE WHEN coalesce(s > 0, false) THEN least(1.5, greatest(0.25, 0.15 / s)) ELSE 1 END AS scale FROM v)"
+query("G25_vol_scale", f"WITH {RETS}, {SCALE} SELECT symbol, ts, round(scale, 6)::DOUBLE AS scale FROM w")(lambda s, d: rounded(V.vol_scale(returns(s, d)), 6, "scale").select("symbol", "ts", "scale"))
+query("G25_regime_gated", f"WITH {RETS}, {SCALE}, g AS (SELECT ts, CASE WHEN month(ts) % 2 = 0 THEN 'chop' ELSE 'trend' END AS regime FROM (SELECT DISTINCT ts FROM rr)) SELECT symbol, ts, round(CASE WHEN regime = 'chop' THEN scale ELSE 1 END, 6)::DOUBLE AS scale FROM w JOIN g USING (ts)")(lambda s, d: rounded(V.vol_scale(returns(s, d).withColumn("regime", F.when(F.month("ts") % 2 == 0, "chop").otherwise("trend")), only_in="chop"), 6, "scale").select("symbol", "ts", "scale"))
 TR = f"{RETS}, t0 AS (SELECT symbol, row_number() {OVER} AS trade, ret FROM rr), t1 AS (SELECT *, (ret <= 0)::INT AS l, sum((ret > 0)::INT) OVER (PARTITION BY symbol ORDER BY trade ROWS UNBOUNDED PRECEDING) AS w FROM t0), t2 AS (SELECT *, sum(l) OVER (PARTITION BY symbol, w ORDER BY trade ROWS UNBOUNDED PRECEDING) AS st FROM t1), t3 AS (SELECT *, least(pow(2, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY trade), 0)), 3) AS u FROM t2)"
 query("G26_sizing", f"WITH {TR} SELECT symbol, trade, u AS units, round(sum(ln(1 + 0.1 * u * ret)) OVER (PARTITION BY symbol ORDER BY trade ROWS UNBOUNDED PRECEDING), 6) AS log_equity FROM t3")(lambda s, d: V.sizing(returns(s, d).withColumn("trade", F.row_number().over(R.by_symbol())), "doubling", 0.1, 3).select("symbol", "trade", "units", F.round(F.ln("equity"), 6).alias("log_equity")))
 query("G27_pooled_panel", f"WITH {q_pred()} SELECT symbol, count(*) AS n, sum(label) AS labels FROM pr GROUP BY 1")(lambda s, d: predicted(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("label").alias("labels")))
