@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidemark.operators.evaluate import class_metrics, sign_test
 
+#: Class labels: short, long, flat. Named in the label's metadata, so that a fit need not look for them.
+CLASSES = {"ml_attr": {"name": "label", "type": "nominal", "vals": ["0", "1", "2"]}}
+
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     """weight: rows over classes times the class's rows."""
@@ -23,7 +28,8 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(k).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))), label)
 
 
-def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
+def assembled(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    df = df.withColumn(label, F.col(label).cast("double").alias(label, metadata=CLASSES))
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
 
 
@@ -39,95 +45,129 @@ def score(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("strength", F.when(F.col("cls") == 1, F.col("conf")).when(F.col("cls") == 0, -F.col("conf")).otherwise(0.0)).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk_forward(df: DataFrame, columns: list[str], splits: DataFrame, number: str = "rn", **options) -> DataFrame:
-    """Predictions on each fold's test rows; splits has symbol, fold and the folds' bounds in row numbers, as from ``wf_splits``."""
-    placed = df.join(splits, "symbol")
-    out = None
-    for (fold,) in splits.select("fold").distinct().orderBy("fold").collect():  # a few
+def at_once(spark: SparkSession, jobs: list[Callable[[], object]], most: int = 8) -> list:
+    """Results of jobs run from driver threads, each in a scheduler pool of its own, so that small fits share the cluster."""
+
+    def one(number: int) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % most}")
+        return jobs[number]()
+
+    if not jobs:
+        return []
+    with ThreadPoolExecutor(min(most, len(jobs))) as pool:
+        # the threads take over the caller's job group and tags
+        return list(pool.map(inheritable_thread_target(spark)(one), range(len(jobs))))
+
+
+def walk_forward(df: DataFrame, columns: list[str], splits: DataFrame, number: str = "rn", folder: str | None = None, **options) -> DataFrame:
+    """Predictions on each fold's test rows; splits has symbol, fold and the folds' bounds in row numbers, as from ``wf_splits``.
+
+    With ``folder`` the rows are written there once, by fold, and read by each fit; the folds are fitted at once.
+    """
+    placed = df.join(splits, "symbol").where(F.col(number) < F.col("test_end"))
+    if folder:
+        placed.write.partitionBy("fold").parquet(folder)
+        placed = df.sparkSession.read.schema(placed.schema).parquet(folder)
+    folds = [r[0] for r in splits.select("fold").distinct().orderBy("fold").collect()]  # a few
+
+    def fit(fold: int) -> DataFrame:
         rows = placed.where(F.col("fold") == fold)
         model = three_class(rows.where(F.col(number) < F.col("train_end")), columns, **options)
-        one = score(model, rows.where((F.col(number) >= F.col("test_start")) & (F.col(number) < F.col("test_end"))), columns)
-        out = one if out is None else out.unionByName(one)
-    return out
+        return score(model, rows.where(F.col(number) >= F.col("test_start")), columns)
+
+    return reduce(DataFrame.unionByName, at_once(df.sparkSession, [partial(fit, k) for k in folds]))
 
 
 def one_vs_rest(train: DataFrame, test: DataFrame, columns: list[str], side: int, rounds: int = 10, seed: int = 1) -> tuple[DataFrame, float]:
     """Scores of a boosted model of one class against the others, and its area under the curve on the test rows."""
-    binary = lambda d: assembled(d.withColumn("label", (F.col("label") == side).cast("int")), columns)
+    binary = lambda d: VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(d.withColumn("label", (F.col("label") == side).cast("int")))
     model = GBTClassifier(maxIter=rounds, seed=seed).fit(binary(train))
     out = model.transform(binary(test))
     return out.withColumn("p", vector_to_array("probability")[1]), BinaryClassificationEvaluator().evaluate(out)
 
 
-def _tree(x: np.ndarray, hot: np.ndarray, depth: int, rng: np.random.Generator):
-    """A leaf's class shares, or (column, threshold, left, right); hot holds each row's weight in its class's column."""
-    total = hot.sum(0)
-    best = (1 - 1e-12) * (total.sum() - (total**2).sum() / total.sum())
-    cut = None
-    if depth:
-        for c in rng.permutation(x.shape[1])[: math.ceil(math.sqrt(x.shape[1]))]:
-            order = np.argsort(x[:, c], kind="stable")
-            value, left = x[order, c], np.cumsum(hot[order], axis=0)[:-1]
-            right = total - left
-            loss = sum(p.sum(1) - (p**2).sum(1) / p.sum(1) for p in (left, right))
-            loss[value[1:] == value[:-1]] = np.inf
-            if len(loss) and loss.min() < best:
-                k = int(loss.argmin())
-                best, cut = loss[k], (int(c), value[k])
-    if cut is None:
-        return total / total.sum()
-    low = x[:, cut[0]] <= cut[1]
-    return (*cut, _tree(x[low], hot[low], depth - 1, rng), _tree(x[~low], hot[~low], depth - 1, rng))
-
-
-def _shares(tree, x: np.ndarray) -> np.ndarray:
-    if isinstance(tree, np.ndarray):
-        return np.tile(tree, (len(x), 1))
-    column, threshold, left, right = tree
-    return np.where((x[:, column] <= threshold)[:, None], _shares(left, x), _shares(right, x))
-
-
-def forest(x: np.ndarray, y: np.ndarray, tested: np.ndarray, trees: int = 20, depth: int = 5, seed: int = 1) -> np.ndarray:
-    """Classes told for ``tested`` by a random forest as in ``three_class``, for one symbol's rows: Gini, resampled rows, the root of the columns at each node."""
-    rng = np.random.default_rng(seed)
-    known, place, count = np.unique(y, return_inverse=True, return_counts=True)
-    weight = len(y) / (len(known) * count[place])
-    told = 0
-    for _ in range(trees):
-        times = rng.poisson(1.0, len(y))
-        pick = np.flatnonzero(times) if times.any() else np.arange(len(y))
-        hot = np.zeros((len(pick), len(known)))
-        hot[np.arange(len(pick)), place[pick]] = weight[pick] * np.maximum(1, times[pick])
-        told = told + _shares(_tree(x[pick], hot, depth, rng), tested)
-    return known[told.argmax(1)]
-
-
-def pooled_against_own(df: DataFrame, columns: list[str], number: str = "rn", cut: float = 0.7, **options) -> DataFrame:
-    """Accuracy of one model over all symbols and of every symbol's own model on the same test rows, paired."""
+#: Symbols whose own models one call may fit; more are refused, as each is a few jobs of its own.
+MOST_OWN = 5000
+
+
+def pooled_against_own(df: DataFrame, columns: list[str], folder: str, number: str = "rn", cut: float = 0.7, **options) -> DataFrame:
+    """Directional accuracy of one model over all symbols and of every symbol's own model, the same estimator, on the same test rows, paired
+    by symbol in a sign test: wins are the pooled model's. A symbol on whose test rows one of the two tells no direction, or whose
+    training rows are of one class, has no pair."""
+    spark = df.sparkSession
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = df.withColumn("__s", F.col(number) / n)
-    train, test = df.where(F.col("__s") < cut), df.where(F.col("__s") >= cut)
-    hit = F.avg((F.col("cls") == F.col("label")).cast("double"))
-    pooled = score(three_class(train, columns, **options), test, columns).groupBy("symbol").agg(hit.alias("x"))
+    early = F.col(number) < cut * n
+    kept = df.select("symbol", number, "label", *columns, early.alias("__early")).dropna(subset=columns)
+    kept.write.partitionBy("symbol").parquet(f"{folder}/rows")
+    rows = spark.read.schema(kept.schema).parquet(f"{folder}/rows")
+    classes = rows.where("__early").groupBy("symbol").agg(F.countDistinct("label").alias("classes")).where("classes > 1").join(rows.where("NOT __early").select("symbol").distinct(), "symbol", "left_semi")
+    symbols = [r[0] for r in classes.orderBy("symbol").limit(MOST_OWN + 1).collect()]
+    if len(symbols) > MOST_OWN:
+        raise ValueError(f"more than {MOST_OWN} symbols")
+
+    def told(train: DataFrame, test: DataFrame) -> DataFrame:
+        out = score(three_class(train, columns, **options), test, columns).where("cls <> 2")
+        return out.groupBy("symbol").agg(F.avg((F.col("cls") == F.col("label")).cast("double")).alias("hit"))
+
+    def own(symbol: object) -> list:
+        mine = rows.where(F.col("symbol") == symbol)
+        return told(mine.where("__early"), mine.where("NOT __early")).collect()  # one row
+
+    hits = [tuple(r) for part in at_once(spark, [partial(own, x) for x in symbols]) for r in part]
+    single = spark.createDataFrame(hits, kept.select("symbol").schema.add("y", "double"))
+    pooled = told(rows.where("__early"), rows.where("NOT __early")).withColumnRenamed("hit", "x")
+    return sign_test(pooled.join(single, "symbol").withColumn("all", F.lit("all")), "all")
 
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=columns).sort_values(number)
-        x, y, early = rows[columns].to_numpy(float), rows["label"].to_numpy(), (rows["__s"] < cut).to_numpy()
-        if not early.any() or early.all():
-            return pd.DataFrame({"symbol": [], "y": []})
-        right = forest(x[early], y[early], x[~early], **options) == y[~early]
-        return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "y": [right.mean()]})
 
-    kind = df.schema["symbol"].dataType.simpleString()
-    own = df.select("symbol", number, "label", "__s", *columns).groupBy("symbol").applyInPandas(fitted, f"symbol {kind}, y double")
-    return sign_test(pooled.join(own, "symbol").withColumn("all", F.lit("all")), "all")
+def tuned(estimator, grid: list[dict], train: DataFrame, val: DataFrame, evaluator, parallelism: int = 4) -> tuple[int, list[float], list]:
+    """Best map of a parameter grid by its score on later rows, all scores, and all models; ties go to the first. The validator's mask is
+    time: what it fits on lies before what it judges by."""
+    models: list = [None] * len(grid)
+
+    def fit(made) -> None:
+        k, model = next(made)
+        models[k] = model
+
+    made = estimator.fitMultiple(train, grid)
+    at_once(train.sparkSession, [partial(fit, made)] * len(grid), parallelism)
+    scores = [evaluator.evaluate(m.transform(val)) for m in models]
+    return max(range(len(grid)), key=lambda k: (scores[k], -k)), scores, models
 
 
 def compare_depths(train: DataFrame, val: DataFrame, columns: list[str], depths: tuple[int, ...], **options) -> tuple[dict[int, float], list[str]]:
     """Macro-F1 on later rows by tree depth, and the columns of the best model whose importance is over the mean."""
-    found, models = {}, {}
-    for depth in depths:
-        models[depth] = three_class(train, columns, depth=depth, **options)
-        found[depth] = class_metrics(score(models[depth], val, columns)).first()["macro_f1"]
+    models = dict(zip(depths, at_once(train.sparkSession, [partial(three_class, train, columns, depth=d, **options) for d in depths]), strict=True))
+    found = {d: class_metrics(score(m, val, columns)).first()["macro_f1"] for d, m in models.items()}
     weights = models[max(found, key=found.get)].featureImportances.toArray()
     return found, [c for c, w in zip(columns, weights, strict=True) if w >= weights.mean()]
+
+
+def gate_scores(model, test: DataFrame, columns: list[str], least: float = 0.5) -> dict:
+    """Accuracy, directional rows, those told with enough confidence, and accuracy on these."""
+    live, sure = F.col("cls") != 2, (F.col("cls") != 2) & (F.col("conf") >= least)
+    hit = (F.col("cls") == F.col("label")).cast("double")
+    return score(model, test, columns).agg(F.avg(hit).alias("accuracy"), F.count(F.when(live, 1)).alias("raw_trades"), F.count(F.when(sure, 1)).alias("gated_trades"), F.avg(F.when(sure, hit)).alias("gated_accuracy")).first().asDict()
+
+
+def model_search(df: DataFrame, columns: list[str], train_end: int, val_end: int, grid: dict[str, list], number: str = "rn", least: int = 2, seed: int = 1, confident: float = 0.5) -> DataFrame:
+    """Cases of a search over row numbers: the plain model, the best of a grid, it with even class weights, and refitted on the better half of
+    its columns by importance (``least`` at least). Each has its score on validation rows and its figures on the test rows after them."""
+    ready = assembled(weighted(df), columns).select(*df.columns, "weight", "features")
+    train, val, test = ready.where(F.col(number) < train_end), ready.where((F.col(number) >= train_end) & (F.col(number) < val_end)), df.where(F.col(number) >= val_end)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
+    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(forest.getParam(name), values)
+    maps = builder.build()
+    best, scores, models = tuned(forest, maps, train, val, judge)
+    weights = models[best].featureImportances.toArray()
+    half = sorted(range(len(columns)), key=lambda i: (-weights[i], i))[: max(least, len(columns) // 2)]
+    pruned = [columns[i] for i in sorted(half)]
+    fewer = VectorAssembler(inputCols=pruned, outputCol="features", handleInvalid="skip")
+    small_train, small_val = fewer.transform(train.drop("features")), fewer.transform(val.drop("features"))
+    plain, even, cut = at_once(df.sparkSession, [lambda: forest.fit(train), lambda: forest.copy({**maps[best], forest.weightCol: "weight"}).fit(train), lambda: forest.fit(small_train, maps[best])])
+    cases = [("baseline", plain, judge.evaluate(plain.transform(val)), columns), ("tuned", models[best], scores[best], columns), ("class_weighted", even, judge.evaluate(even.transform(val)), columns), ("pruned", cut, judge.evaluate(cut.transform(small_val)), pruned)]
+    found = at_once(df.sparkSession, [partial(gate_scores, m, test, used, confident) for _, m, _, used in cases])
+    rows = [(name, float(v), len(used), x["accuracy"], x["raw_trades"], x["gated_trades"], x["gated_accuracy"]) for (name, _, v, used), x in zip(cases, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "case string, val_score double, columns int, accuracy double, raw_trades long, gated_trades long, gated_accuracy double")

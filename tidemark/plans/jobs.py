@@ -121,8 +121,9 @@ def panel(s, d):
 
 
 COLS = ["ret", "mom", "vr"]
-query("M01_walk_forward")(lambda s, d: L.walk_forward(panel(s, d), COLS, V.wf_splits(numbered(s, d), 10, 70, 10, 2), trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n")))
+query("M01_walk_forward")(lambda s, d: L.walk_forward(panel(s, d), COLS, V.wf_splits(numbered(s, d), 10, 70, 10, 2), folder=folder(s, "folds"), trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n")))
 query("M02_one_vs_rest")(lambda s, d: L.one_vs_rest(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, 1, 3)[0].groupBy("symbol").agg(F.avg("p").alias("p")))
-query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, trees=3, depth=3))
+query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, folder(s, "own"), trees=3, depth=3))
 query("M04_compare_depths")(lambda s, d: s.createDataFrame(sorted(L.compare_depths(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, (2, 4), trees=3)[0].items()), "depth int, macro_f1 double"))
+query("M04_model_search")(lambda s, d: L.model_search(panel(s, d), COLS, 250, 350, {"maxDepth": [2, 4], "numTrees": [3, 6]}))
 query("M05_score")(lambda s, d: L.score(L.three_class(panel(s, d).where("rn < 300"), COLS, 3, 3), panel(s, d).where("rn >= 300"), COLS).select("symbol", "ts", "cls", "conf", "strength"))
