@@ -11,6 +11,7 @@ from tidemark.functions import rolling as R
 from tidemark.operators import bars as B
 from tidemark.operators import evaluate as V
 from tidemark.operators import learn as L
+from tidemark.operators import signals as S
 from tidemark.plans import _data as D
 from tidemark.plans._data import EVENT
 from tidemark.plans.bars import rounded
@@ -32,7 +33,12 @@ def query(key, sql=None):
 
 
 def folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    """A new path in the folder that all machines share; one of this machine only where none is named and all runs here, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: no folder that all machines share is known")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -70,6 +76,23 @@ def _(s, d):
     return out.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("H07_latest_signals", f"""WITH {EVENT}, d AS (SELECT symbol, ts, price, max(price) OVER w AS t, min(price) OVER w AS b FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, tie ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+e AS (SELECT symbol, ts, coalesce(price > lag(t) OVER o, false)::INT AS entry, coalesce(price < lag(b) OVER o, false)::INT AS exit, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM d WINDOW o AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, entry, exit FROM e WHERE k = 1""")
+def _(s, d):
+    price, path = F.col("price"), folder(s, "bars")
+    bars = D.event_ticks(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"), F.col("size").alias("volume"))
+    edges = bars.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0] or []
+    for a, b in zip([None, *edges], [*edges, None], strict=True):  # files in the order of time, a micro-batch each
+        part = bars.where((F.lit(a is None) | (F.unix_micros("ts") > F.lit(a))) & (F.lit(b is None) | (F.unix_micros("ts") <= F.lit(b))))
+        part.coalesce(1).write.mode("append").parquet(path)
+    bars = s.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    state, out = folder(s, "state"), folder(s, "signals")
+    each = J.latest_signals(state, out, S.donchian, 100)
+    bars.writeStream.foreachBatch(each).option("checkpointLocation", folder(s, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return J.newest_signals(s.read.parquet(out)).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "entry", "exit")
+
+
 query("U01_norm_symbol", "SELECT s_suppkey, regexp_replace(regexp_replace(upper(trim(s_name || '-usdt')), '[-_/:]', '', 'g'), '(USDT|USDC|USD)$', '') AS symbol FROM supplier")(lambda s, d: D.table(s, d, "supplier").select("s_suppkey", T.norm_symbol(F.concat("s_name", F.lit("-usdt"))).alias("symbol")))
 query("U02_safe_name", "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') AS name FROM part")(lambda s, d: D.table(s, d, "part").select("p_partkey", T.safe_name(F.col("p_type")).alias("name")))
 query("U03_split_pair", "SELECT o_orderkey, string_split(upper(o_orderpriority), '-')[1] AS base, regexp_split_to_array(upper(o_orderpriority), '[-_/]')[2] AS quote FROM orders")(lambda s, d: D.table(s, d, "orders").select("o_orderkey", T.split_pair(F.col("o_orderpriority")).alias("p")).select("o_orderkey", "p.base", "p.quote"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.bars import append_newer, dedup
 from tidemark.operators.quality import log_class
@@ -48,15 +51,15 @@ def venue_deviation(bars: DataFrame, rule: str, delay: str, tolerance: float) ->
 
 def _spike_state(most: float) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ts", "tie"])
-        out = []
-        for r in rows.itertuples():
-            if before and abs(r.price / before - 1) > most:
-                out.append((key[0], r.ts, r.price, r.price / before - 1))
-            before = r.price
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price", "move"])
+        price = rows["price"]
+        before = price.shift(1)
+        before.iloc[0] = state.get[0] if state.exists else None
+        move = price / before.where(before != 0) - 1
+        state.update((float(price.iloc[-1]),))
+        found = pd.DataFrame({"symbol": key[0], "ts": rows["ts"], "price": price, "move": move})[move.abs() > most]
+        if len(found):
+            yield found
 
     return run
 
@@ -92,30 +95,52 @@ def log_alerts(lines: DataFrame, benign: list[str], alert: list[str], worker: li
     return lines.select("value", log_class(F.col("value"), benign, alert, worker, suspect).alias("kind")).where("kind IN ('alert', 'suspect')")
 
 
-def latest_signals(history: str, out: str, rule: Callable[[DataFrame], DataFrame], bars: int) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: appends new bars to a stored history and writes each touched symbol's newest signal."""
+#: Parts into which symbols are dealt in the state of ``latest_signals``.
+SHARDS = 32
+
+
+def _state_before(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
+    """Of each shard the rows that the last batch before ``number`` to touch it has left. Shards and batches are folders, so only these are read."""
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:  # the first batch has no state yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    last = stored.where(F.col("batch") < number).groupBy("shard").agg(F.max("batch").alias("batch")).collect()  # SHARDS rows at most
+    return stored.where(reduce(lambda x, r: x | ((F.col("shard") == r["shard"]) & (F.col("batch") == r["batch"])), last, F.lit(False)))
+
+
+def latest_signals(state: str, out: str, rule: Callable[[DataFrame], DataFrame], bars: int) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: keeps the last ``bars`` bars of every symbol and writes the newest signal of each symbol that a batch touches.
+
+    What a batch leaves lies in folders of its number, which a replay overwrites, and it is made from the batch and from what the
+    batches before it left. So a batch that runs twice, or anew after a lost driver, changes nothing. Bars that are not newer than a
+    symbol's last one are left out.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        touched = batch.select("symbol").distinct()
-        try:
-            old = spark.read.parquet(history)
-        except Exception as e:  # the first batch has no history yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        newer = append_newer(old.join(touched, "symbol", "left_semi"), batch)
-        newer.join(old.select("symbol", "ts"), ["symbol", "ts"], "left_anti").write.mode("append").parquet(history)
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-        recent = spark.read.parquet(history).join(touched, "symbol", "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= bars).drop("__n")
-        newest = dedup(rule(recent), ["symbol"], [F.col("ts")], "last").select("symbol", "ts", "entry", "exit", F.lit(number).alias("batch"))
-        newest.write.mode("append").parquet(out)
+        new = dedup(batch.withColumn("shard", F.pmod(F.xxhash64("symbol"), F.lit(SHARDS)).cast("int")), ["symbol", "ts"], [F.struct(*batch.columns)])
+        schema = StructType([*new.schema.fields, StructField("batch", LongType())])
+        old = _state_before(spark, state, number, schema).drop("batch")
+        touched = F.broadcast(new.select("shard").distinct())  # SHARDS rows at most
+        newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+        kept = append_newer(old.join(touched, "shard", "left_semi"), new).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= bars).drop("__n").withColumn("batch", F.lit(number).cast("long"))
+        write = lambda df, path, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        write(kept.select([f.name for f in schema]), state, "shard", "batch")
+        recent = spark.read.schema(schema).parquet(state).where(F.col("batch") == number).drop("shard", "batch").join(new.select("symbol").distinct(), "symbol", "left_semi")
+        told = dedup(rule(recent), ["symbol"], [F.col("ts")], "last").select("symbol", "ts", "entry", "exit", F.lit(number).cast("long").alias("batch"))
+        write(told, out, "batch")
 
     return run
 
 
+def newest_signals(out: DataFrame) -> DataFrame:
+    """Each symbol's signal of the last batch that touched it."""
+    return dedup(out, ["symbol"], [F.col("batch")], "last")
+
+
 def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
     """Runs a stream until its present input is used up and returns what it wrote."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
