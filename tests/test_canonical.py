@@ -86,3 +86,32 @@ def test_asof_without_a_key_on_empty_sides(spark):
     assert [(r.n, r.v) for r in align.asof(left, right.limit(0), [], ["v"]).collect()] == [("a", None)]
     assert align.asof(left.limit(0), right, [], ["v"]).collect() == []
     assert align.asof(left.limit(0), right.limit(0), [], ["v"]).collect() == []
+
+
+def test_many_series_each_with_its_own_last_value(spark):
+    rng = random.Random(7)
+    left = [(k, t, n) for n, (k, t) in enumerate((rng.choice("ab"), rng.randint(0, 60)) for _ in range(120))]
+    right = [(k, t, float(t) if x == "v" else None, f"w{t}" if x == "w" else None) for k in "ab" for x in "vw" for t in sorted(rng.sample(range(60), 9))]
+    rows = spark.createDataFrame(left, "k string, ts long, n int").repartition(3)
+    series = spark.createDataFrame(right, "k string, ts long, v double, w string").repartition(2)
+    for keys in (["k"], []):
+        own = [r for r in right if keys or r[0] == "a"]
+        df = align.asof_columns(rows, series if keys else series.where("k = 'a'").drop("k"), keys, ["v", "w"])
+        got = {r.n: (r.v, r.w) for r in df.collect()}
+        for k, t, n in left:
+            v = max((r[1:] for r in own if r[1] <= t and r[2] is not None and (not keys or r[0] == k)), default=(None,) * 3)
+            w = max(((r[1], r[3]) for r in own if r[1] <= t and r[3] is not None and (not keys or r[0] == k)), default=(None,) * 2)
+            assert got[n] == (v[1], w[1])
+    assert align.asof_columns(rows, series.limit(0), ["k"], ["v"]).where("v IS NOT NULL").count() == 0
+
+
+def test_chain_features_stay_on_their_chain(spark):
+    from tidemark.operators import features
+
+    b = spark.createDataFrame([(s, T0 + timedelta(days=d)) for s in ("btc", "eth", "dog") for d in range(4)], "symbol string, ts timestamp_ntz")
+    daily = spark.createDataFrame([("c1", T0 + timedelta(days=1), 5.0), ("c2", T0, 7.0)], "chain string, ts timestamp_ntz, tx double")
+    of = spark.createDataFrame([("btc", "c1"), ("eth", "c2")], "symbol string, chain string")
+    got = {(r.symbol, (r.ts - T0).days): (r.oc_c1_tx, r.oc_c2_tx) for r in features.onchain(b, daily, of, ["c1", "c2"], ["tx"], "2 DAYS").collect()}
+    assert [got["btc", d] for d in range(4)] == [(None, None), (5.0, None), (5.0, None), (5.0, None)]
+    assert [got["eth", d] for d in range(4)] == [(None, 7.0), (None, 7.0), (None, 7.0), (None, None)]
+    assert {got["dog", d] for d in range(4)} == {(None, None)}

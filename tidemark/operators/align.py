@@ -74,6 +74,32 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
     return both.select(*keys, on, *[F.col(f"__l.{c}").alias(c) for c in spare], *[F.col(f"__f.{v}").alias(v) for v in values], F.col(f"__f.{on}").alias(f"matched_{on}"))
 
 
+def asof_columns(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: str | None = None, on: str = "ts") -> DataFrame:
+    """Each left row with the last known value of every column on its own: many named series, each with times of its own, in one pass.
+
+    ``right`` holds a series in each of ``values``, null at the times of the others; of one series' rows of one key and time any may be
+    taken, so make them unique. A column's value is dropped where it is older than ``tolerance``.
+    """
+    spare = [c for c in left.columns if c not in (*keys, on)]
+    parts = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(on).alias("at"), F.col(v).alias("value"))) for v in values}
+    shapes = {v: right.select(F.struct(F.col(on).alias("at"), F.col(v).alias("value")).alias("x")).schema["x"].dataType for v in values}
+    one = left.select(*keys, on, F.struct(*[F.col(c) for c in spare] or [F.lit(0).alias("_")]).alias("__l"), *[F.lit(None).cast(shapes[v]).alias(f"__{v}") for v in values], F.lit(1).alias("__side"))
+    two = right.select(*keys, on, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), *[parts[v].alias(f"__{v}") for v in values], F.lit(0).alias("__side"))
+    both = one.unionByName(two)
+    if not keys:
+        both = ranges(both, on)
+    w = Window.partitionBy(*(keys or ["__b"])).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({f"__{v}": F.last(f"__{v}", ignorenulls=True).over(w) for v in values}).where("__side = 1")
+    if not keys:
+        ends = both.where("__side = 0").groupBy("__b").agg(*[F.max_by(f"__{v}", F.when(F.col(f"__{v}").isNotNull(), F.col(on))).alias(v) for v in values])
+        whole = ends.agg(F.sort_array(F.collect_list(F.struct("__b", *values))).alias("ends"))
+        before = lambda v: F.element_at(F.concat(F.array(F.lit(None).cast(shapes[v])), F.transform(F.filter("ends", lambda x: (x["__b"] < F.col("__b")) & x[v].isNotNull()), lambda x: x[v])), -1)
+        carried = whole.select("ends", F.explode(F.sequence(F.lit(0), F.lit(RANGES))).alias("__b")).select("__b", *[before(v).alias(f"__c_{v}") for v in values])
+        found = found.join(F.broadcast(carried), "__b", "left").withColumns({f"__{v}": F.coalesce(f"__{v}", f"__c_{v}") for v in values})  # RANGES rows at most
+    fresh = lambda v: F.col(f"__{v}.value") if tolerance is None else F.when(F.col(f"__{v}.at") >= F.col(on) - F.expr(f"INTERVAL {tolerance}"), F.col(f"__{v}.value"))
+    return found.select(*keys, on, *[F.col(f"__l.{c}").alias(c) for c in spare], *[fresh(v).alias(v) for v in values])
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], value: str, on: str = "ts") -> DataFrame:
     """The value at the nearest time on either side; the earlier one at equal distance."""
     b = asof(left, right, keys, [value], on=on).withColumnsRenamed({value: "__bv", f"matched_{on}": "__bt"})
