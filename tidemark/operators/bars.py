@@ -117,17 +117,13 @@ def triple_barrier_atr(bars: DataFrame, horizon: int, take: float = 1.5, stop: f
 
 
 def label_grid(bars: DataFrame, grid: list[tuple[float, float]], horizon: int) -> DataFrame:
-    """Shares of labels for each (take, stop); a bar that touches both counts as stopped, and last rows use what remains."""
-    out = None
+    """Shares of labels for each (take, stop); a bar that touches both counts as stopped, and last rows use what remains. All cells in one pass."""
     c = F.col("close")
-    for take, stop in grid:
-        label = _barrier(horizon, c * (1 + take), c * (1 - stop), True)
-        one = bars.select(label.alias("label")).agg(
-            F.avg((F.col("label") == 1).cast("double")).alias("long_share"), F.avg((F.col("label") == 0).cast("double")).alias("short_share"), F.avg((F.col("label") == 2).cast("double")).alias("flat_share")
-        )
-        one = one.select(F.lit(take).alias("take"), F.lit(stop).alias("stop"), "*", (1 - F.col("flat_share")).alias("trade_rate"), F.abs(F.col("long_share") - F.col("short_share")).alias("imbalance"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    labels = bars.select(*[_barrier(horizon, c * (1 + take), c * (1 - stop), True).alias(f"__{k}") for k, (take, stop) in enumerate(grid)])
+    share = lambda k, side: F.avg((F.col(f"__{k}") == side).cast("double"))
+    cells = labels.agg(F.array(*[F.struct(F.lit(t).alias("take"), F.lit(s).alias("stop"), share(k, 1).alias("long_share"), share(k, 0).alias("short_share"), share(k, 2).alias("flat_share")) for k, (t, s) in enumerate(grid)]).alias("cells"))
+    out = cells.select(F.explode("cells").alias("c")).select("c.*").where("flat_share IS NOT NULL")
+    return out.withColumns({"trade_rate": 1 - F.col("flat_share"), "imbalance": F.abs(F.col("long_share") - F.col("short_share"))})
 
 
 def forward_returns(bars: DataFrame, horizon: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, change, drawdown, frame, lag
+from tidemark.functions.rolling import by_symbol, change, drawdown, frame, lag, roll, sma
 from tidemark.operators.align import RANGES, ranges, small
 
 
@@ -70,14 +70,34 @@ def xs_momentum(bars: DataFrame, tiers: DataFrame, lookback: int, hold: int, sha
     return df.groupBy("tier", F.col("k").alias("fold")).agg(leg(1).alias("long"), leg(-1).alias("short")).withColumn("spread", F.col("long") - F.col("short"))
 
 
+def composite_score(bars: DataFrame) -> DataFrame:
+    """score: mean of a channel breakout, an oversold RSI, and how low RSI and 7-bar return stand among all of the symbol's own.
+
+    The own ranks look over the symbol's whole history, its future included; with bars that end at the time of a decision they do not.
+    """
+    d = F.col("close") - lag("close")
+    df = bars.withColumns({"__g": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__l": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))), "__m": change("close", 7), "__h": roll(F.max, "high", 20)})
+    rsi = 100 - 100 / (1 + sma("__g", 14) / (sma("__l", 14) + 1e-9))
+    df = df.withColumns({"__u": F.coalesce(F.col("close") > lag("__h"), F.lit(False)).cast("int"), "__o": F.coalesce(rsi < 30, F.lit(False)).cast("int"), "__r": F.round(F.coalesce(rsi, F.lit(0.0)), 9), "__m": F.coalesce("__m", F.lit(0.0))})
+    w = Window.partitionBy("symbol")
+    rank = lambda c: (F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("symbol", c)) - 1) / 2) / F.count(F.lit(1)).over(w)
+    return df.withColumns({"__a": rank("__r"), "__b": rank("__m")}).withColumn("score", (F.col("__o") + F.col("__u") + (1 - F.col("__a")) + (1 - F.col("__b"))) / 4).drop("__g", "__l", "__h", "__u", "__o", "__r", "__m", "__a", "__b")
+
+
 def xs_composite(bars: DataFrame, n: int, cost: float) -> DataFrame:
-    """Each time the top n by the mean of momentum's and inverse deviation's ranks, equal weights held one bar later, less turnover cost."""
-    df = bars.withColumn("r", change("close")).withColumn("mom", change("close", 20)).withColumn("vol", F.stddev_samp("r").over(frame(20)))
+    """Return of the top n by ``composite_score`` at each time, weighted by score and held one bar later, less the cost of turnover, from the
+    first time on that all symbols have. At equal scores all that reach the n-th average rank are held."""
+    df = composite_score(bars).withColumn("score", F.round("score", 9)).withColumn("r", F.coalesce(change("close"), F.lit(0.0)))
     w = Window.partitionBy("ts")
-    df = df.where("mom IS NOT NULL AND vol IS NOT NULL").withColumn("score", F.rank().over(w.orderBy("mom")) + F.rank().over(w.orderBy(F.col("vol").desc())))
-    df = df.withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "symbol"))).withColumn("weight", F.when(F.col("place") <= n, 1.0 / n).otherwise(0.0))
-    df = df.withColumn("held", F.coalesce(lag("weight"), F.lit(0.0))).withColumn("moved", F.abs(F.col("held") - F.coalesce(lag("held"), F.lit(0.0))))
-    return df.groupBy("ts").agg((F.sum(F.col("held") * F.col("r")) - cost * F.sum("moved")).alias("ret"), F.sum("moved").alias("turnover"))
+    place = F.rank().over(w.orderBy(F.col("score").desc())) + (F.count(F.lit(1)).over(Window.partitionBy("ts", "score")) - 1) / 2
+    df = df.withColumn("__p", F.when(place <= n, F.col("score")).otherwise(0.0))
+    total = F.sum("__p").over(w)
+    df = df.withColumn("weight", F.when(total != 0, F.col("__p") / total).otherwise(0.0))
+    df = df.withColumn("held", F.coalesce(lag("weight"), F.lit(0.0))).withColumn("moved", F.abs(F.col("weight") - F.col("held")))
+    every = bars.select("symbol").distinct().agg(F.count("*").alias("__all"))
+    start = bars.groupBy("ts").agg(F.count("*").alias("__k")).crossJoin(F.broadcast(every)).where("__k = __all").agg(F.min("ts").alias("__start"))  # one row
+    out = df.crossJoin(F.broadcast(start)).where(F.col("ts") >= F.col("__start"))
+    return out.groupBy("ts").agg((F.sum(F.col("held") * F.col("r")) - cost * F.sum("moved")).alias("ret"), F.sum("moved").alias("turnover"))
 
 
 def monthly_topn(bars: DataFrame, n: int) -> DataFrame:

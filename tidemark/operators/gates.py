@@ -102,6 +102,18 @@ def value_tiers(df: DataFrame, by: str, names: tuple[str, str, str] = ("small",
     return df.crossJoin(F.broadcast(cut)).withColumn("tier", F.when(F.col(by) <= F.col("__q")[0], names[0]).when(F.col(by) <= F.col("__q")[1], names[1]).otherwise(names[2])).drop("__q")
 
 
+def volume_tiers(universe: DataFrame, by: str, low: float = 0.333, high: float = 0.667) -> DataFrame:
+    """(symbol, tier): large from the upper quantile of a column on, mid from the lower one on, else tail; a missing value counts as 0."""
+    v = F.coalesce(F.col(by), F.lit(0.0))
+    cut = universe.agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("__q"))  # one row
+    return universe.crossJoin(F.broadcast(cut)).select("symbol", F.when(v >= F.col("__q")[1], "large").when(v >= F.col("__q")[0], "mid").otherwise("tail").alias("tier"))
+
+
+def dex_tier_screen(bars: DataFrame, universe: DataFrame, by: str, **options) -> DataFrame:
+    """The liquidity and volatility screen within tiers by a day's volume."""
+    return screen(bars, volume_tiers(universe, by), **options)
+
+
 def gate_or_top(stats: DataFrame, passes: Column, by: str, least: int, n: int) -> DataFrame:
     """Rows that pass; if fewer than ``least`` do, the top ``n`` by a column as well."""
     ok = stats.where(passes).withColumn("via", F.lit("gate"))

@@ -167,6 +167,7 @@ query("C11_prefix_match", "SELECT name, stem FROM (SELECT p_type AS name, n.stem
     lambda s, d: A.prefix_match(D.table(s, d, "part").select(F.col("p_type").alias("name")).distinct(), D.table(s, d, "part").select(F.expr("substring(p_type, 1, cast(4 + p_partkey % 3 AS int))").alias("stem")).distinct()).select("name", "stem")
 )
 query("C12_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: D.table(s, d, "customer").join(D.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
+query("C12_missing_history", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R')")(lambda s, d: D.table(s, d, "part").select("p_partkey").join(D.table(s, d, "lineitem").where("l_quantity >= 48 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"))
 
 
 @query("C13_assign_folds", f"WITH {DAILY}, r AS (SELECT symbol, ts, row_number() {OVER} - 1 AS rn FROM bars) SELECT symbol, ts, fold FROM r JOIN (SELECT range AS fold, range * 300 AS a, range * 300 + 500 AS b FROM range(6)) ON rn >= a AND rn < b")

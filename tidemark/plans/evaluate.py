@@ -11,7 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import evaluate as V
 from tidemark.operators import signals as S
 from tidemark.plans import _data as D
-from tidemark.plans._data import DAILY, OVER, PART, SOFAR, VENUE, q_frame, q_lag
+from tidemark.plans._data import DAILY, OVER, PART, SOFAR, VENUE, q_frame, q_lag, q_roll
 from tidemark.plans.bars import SIG, rounded
 from tidemark.plans.panel import TIER, tiers
 
@@ -47,10 +47,15 @@ query(
     "G05_xs_momentum",
     f"WITH {PART}, {TIER}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r FROM parts), m AS (SELECT *, close / nullif({q_lag('close', 40)}, 0) - 1 AS mom, stddev_samp(r) {q_frame(40)} AS vol, lead(close, 20) {OVER} / close - 1 AS nx, dense_rank() OVER (ORDER BY ts) AS k FROM r), j AS (SELECT m.*, tier FROM m JOIN tiers USING (symbol) WHERE k % 20 = 0 AND mom IS NOT NULL AND nx IS NOT NULL AND vol > 0), w AS (SELECT *, greatest(1, floor(0.1 * count(*) OVER (PARTITION BY tier, k))) AS n, row_number() OVER (PARTITION BY tier, k ORDER BY mom DESC, symbol) AS u, row_number() OVER (PARTITION BY tier, k ORDER BY mom, symbol) AS dn FROM j), x AS (SELECT *, CASE WHEN u <= n THEN 1 WHEN dn <= n THEN -1 END AS side, 1 / vol AS iv FROM w), l AS (SELECT tier, k AS fold, sum(CASE WHEN side = 1 THEN iv * nx END) / sum(CASE WHEN side = 1 THEN iv END) AS lg, sum(CASE WHEN side = -1 THEN iv * nx END) / sum(CASE WHEN side = -1 THEN iv END) AS sh FROM x WHERE side IS NOT NULL GROUP BY 1, 2) SELECT tier, fold, round(lg, 6) AS long, round(sh, 6) AS short, round(lg - sh, 6) AS spread FROM l",
 )(lambda s, d: rounded(V.xs_momentum(D.part_bars(s, d), tiers(s, d), 40, 20), 6, "long", "short", "spread"))
-query(
-    "G06_xs_composite",
-    f"WITH {DAILY}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r, close / nullif({q_lag('close', 20)}, 0) - 1 AS mom FROM bars), v AS (SELECT *, stddev_samp(r) {q_frame(20)} AS vol FROM r), c AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY mom) + rank() OVER (PARTITION BY ts ORDER BY vol DESC) AS score FROM v WHERE mom IS NOT NULL AND vol IS NOT NULL), w AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) <= 2 THEN 0.5 ELSE 0 END AS weight FROM c), h AS (SELECT *, coalesce({q_lag('weight')}, 0) AS held FROM w), m AS (SELECT *, abs(held - coalesce({q_lag('held')}, 0)) AS moved FROM h) SELECT ts, round(sum(held * r) - 0.001 * sum(moved), 6) AS ret, round(sum(moved), 6)::DOUBLE AS turnover FROM m GROUP BY ts",
-)(lambda s, d: rounded(V.xs_composite(D.daily(s, d), 2, 0.001), 6, "ret", "turnover"))
+PC = q_lag("close")
+PCT = "(rank() OVER (PARTITION BY symbol ORDER BY {c}) + (count(*) OVER (PARTITION BY symbol, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol)"
+COMPOSITE = f"""k0 AS (SELECT *, CASE WHEN {PC} IS NOT NULL THEN greatest(close - {PC}, 0) END AS g, CASE WHEN {PC} IS NOT NULL THEN greatest({PC} - close, 0) END AS l, coalesce(close / nullif({q_lag('close', 7)}, 0) - 1, 0) AS m, {q_roll('max', 'high', 20)} AS h, coalesce(close / nullif({PC}, 0) - 1, 0) AS r FROM bars),
+k1 AS (SELECT *, 100 - 100 / (1 + {q_roll('avg', 'g', 14)} / ({q_roll('avg', 'l', 14)} + 1e-9)) AS rsi, coalesce(close > {q_lag('h')}, false)::INT AS u FROM k0),
+k2 AS (SELECT *, coalesce(rsi < 30, false)::INT AS o, round(coalesce(rsi, 0), 9) AS q FROM k1), k3 AS (SELECT *, round((o + u + (1 - {PCT.format(c='q')}) + (1 - {PCT.format(c='m')})) / 4, 9) AS score FROM k2),
+k4 AS (SELECT *, CASE WHEN rank() OVER (PARTITION BY ts ORDER BY score DESC) + (count(*) OVER (PARTITION BY ts, score) - 1) / 2.0 <= 2 THEN score ELSE 0 END AS p FROM k3), k5 AS (SELECT *, CASE WHEN sum(p) OVER (PARTITION BY ts) <> 0 THEN p / sum(p) OVER (PARTITION BY ts) ELSE 0 END AS weight FROM k4),
+k6 AS (SELECT *, coalesce({q_lag('weight')}, 0) AS held FROM k5), k7 AS (SELECT min(ts) AS t0 FROM (SELECT ts FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)))"""
+query("G06_composite_score", f"WITH {DAILY}, {COMPOSITE} SELECT symbol, ts, score FROM k3")(lambda s, d: rounded(V.composite_score(D.daily(s, d)), 9, "score").select("symbol", "ts", "score"))
+query("G06_xs_composite", f"WITH {DAILY}, {COMPOSITE} SELECT ts, round(sum(held * r) - 0.001 * sum(abs(weight - held)), 6) AS ret, round(sum(abs(weight - held)), 6) AS turnover FROM k6, k7 WHERE ts >= t0 GROUP BY ts")(lambda s, d: rounded(V.xs_composite(D.daily(s, d), 2, 0.001), 6, "ret", "turnover"))
 query("G07_monthly_topn", f"WITH {DAILY}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r, date_trunc('month', ts)::DATE AS mo FROM bars), m AS (SELECT *, avg(r) {q_frame(20)} AS m20 FROM r), l AS (SELECT symbol, mo, arg_max(m20, ts) AS sc FROM m WHERE m20 IS NOT NULL GROUP BY 1, 2), c AS (SELECT symbol, (mo + INTERVAL '1 month')::DATE AS nx FROM (SELECT *, row_number() OVER (PARTITION BY mo ORDER BY sc DESC, symbol) AS k FROM l) WHERE k <= 2) SELECT ts, round(avg(r), 6) AS ret, count(r) AS n FROM m JOIN c ON c.symbol = m.symbol AND c.nx = m.mo GROUP BY ts")(lambda s, d: rounded(V.monthly_topn(D.daily(s, d), 2), 6, "ret"))
 query("G08_tier_weights", f"WITH {PART}, {TIER}, j AS (SELECT p.symbol, ts, tier, CASE WHEN month(ts) % 2 = 0 THEN 'up' ELSE 'down' END AS rg FROM parts p JOIN tiers USING (symbol)) SELECT symbol, ts, round((CASE rg WHEN 'up' THEN [0.5, 0.3, 0.2] ELSE [0.2, 0.3, 0.5] END)[tier] / count(*) OVER (PARTITION BY ts, tier), 6)::DOUBLE AS weight FROM j")(lambda s, d: V.tier_weights(D.part_bars(s, d).join(tiers(s, d), "symbol").withColumn("regime", F.when(F.month("ts") % 2 == 0, "up").otherwise("down")), {"up": [0.5, 0.3, 0.2], "down": [0.2, 0.3, 0.5]}).select("symbol", "ts", F.round("weight", 6).alias("weight")))
 

@@ -47,6 +47,17 @@ query(
     "B06_screen",
     f"WITH {PART}, {TIER}, {RS}, t AS (SELECT * FROM a ORDER BY adv DESC, symbol LIMIT 60), j AS (SELECT t.*, tier FROM t JOIN tiers USING (symbol)), k AS (SELECT *, {AR.format(c='adv')} AS ar, {AR.format(c='vol')} AS vr, row_number() OVER (PARTITION BY tier ORDER BY vol DESC, symbol) AS n, count(*) OVER (PARTITION BY tier) AS c FROM j) SELECT symbol, tier, round(adv, 2) AS adv, round(vol, 6) AS vol, round(ar, 6) AS adv_rank, round(vr, 6) AS vol_rank FROM k WHERE n <= greatest(3, floor(0.2 * c))",
 )(lambda s, d: rounded(rounded(G.screen(D.part_bars(s, d), tiers(s, d), top=60), 2, "adv"), 6, "vol", "adv_rank", "vol_rank").select("symbol", "tier", "adv", "vol", "adv_rank", "vol_rank"))
+DEX_TIER = "un AS (SELECT s_suppkey AS symbol, greatest(s_acctbal, 0) AS v FROM supplier), qt AS (SELECT quantile_cont(v, [0.333, 0.667]) AS q FROM un), tiers AS (SELECT symbol, CASE WHEN v >= q[2] THEN 'large' WHEN v >= q[1] THEN 'mid' ELSE 'tail' END AS tier FROM un, qt)"
+
+
+def universe(s, d):
+    return D.table(s, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.greatest("s_acctbal", F.lit(0.0)).alias("volume"))
+
+
+query(
+    "B11_dex_tier",
+    f"WITH {PART}, {DEX_TIER}, {RS}, t AS (SELECT * FROM a ORDER BY adv DESC, symbol LIMIT 60), j AS (SELECT t.*, tier FROM t JOIN tiers USING (symbol)), k AS (SELECT *, {AR.format(c='adv')} AS ar, {AR.format(c='vol')} AS vr, row_number() OVER (PARTITION BY tier ORDER BY vol DESC, symbol) AS n, count(*) OVER (PARTITION BY tier) AS c FROM j) SELECT symbol, tier, round(adv, 2) AS adv, round(vol, 6) AS vol, round(ar, 6) AS adv_rank, round(vr, 6) AS vol_rank FROM k WHERE n <= greatest(3, floor(0.2 * c))",
+)(lambda s, d: rounded(rounded(G.dex_tier_screen(D.part_bars(s, d), universe(s, d), "volume", top=60), 2, "adv"), 6, "vol", "adv_rank", "vol_rank").select("symbol", "tier", "adv", "vol", "adv_rank", "vol_rank"))
 query("B07_pit_screen", f"WITH {DAILY}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r FROM bars), x AS (SELECT symbol, ts, avg(close * volume) {SOFAR} AS adv, stddev_samp(r) {SOFAR} AS vol FROM r), y AS (SELECT *, row_number() {OVER} AS n FROM x WHERE vol IS NOT NULL) SELECT symbol, ts, round(ln(adv), 6) AS log_adv, round(vol, 6) AS vol, ntile(3) OVER (PARTITION BY ts ORDER BY adv DESC, symbol) AS tier FROM y WHERE n >= 20")(lambda s, d: rounded(G.pit_screen(D.daily(s, d)).withColumn("log_adv", F.ln("adv")).drop("adv"), 6, "vol", "log_adv"))
 query("B08_screen_asof", "SELECT symbol, \"asof\" FROM (SELECT l_suppkey AS symbol, date_trunc('month', l_shipdate)::DATE AS \"asof\" FROM lineitem GROUP BY 1, 2) WHERE \"asof\" = (SELECT max(date_trunc('month', l_shipdate))::DATE FROM lineitem WHERE date_trunc('month', l_shipdate) <= DATE '1996-05-20')")(lambda s, d: G.screen_asof(D.table(s, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("asof")).distinct(), "1996-05-20").select("symbol", "asof"))
 PAIRS = "pairs AS (SELECT l_partkey AS token, l_returnflag AS chain, l_linestatus AS dex, l_extendedprice AS liquidity, l_quantity AS volume, l_shipdate AS created FROM lineitem)"
@@ -60,6 +71,8 @@ query("B09_token_screen", f"WITH {PAIRS} SELECT token, max(liquidity) AS liquidi
 query("B10_pool_filter", f"WITH {PAIRS} SELECT token, liquidity, volume, created FROM pairs WHERE volume >= 30 AND liquidity >= 60000 AND date_diff('day', created::DATE, DATE '1998-12-01') >= 900")(lambda s, d: G.pool_filter(pairs(s, d).withColumn("change", F.lit(0.0)), 30, 60000, 900, 0.5, "1998-12-01").select("token", "liquidity", "volume", "created"))
 query("B11_value_tiers", "WITH q AS (SELECT quantile_cont(s_acctbal, [1/3::DOUBLE, 2/3::DOUBLE]) AS q FROM supplier) SELECT s_suppkey, CASE WHEN s_acctbal <= q[1] THEN 'small' WHEN s_acctbal <= q[2] THEN 'mid' ELSE 'large' END AS tier FROM supplier, q".replace("1/3::DOUBLE", repr(1 / 3)).replace("2/3::DOUBLE", repr(2 / 3)))(lambda s, d: G.value_tiers(D.table(s, d, "supplier"), "s_acctbal").select("s_suppkey", "tier"))
 query("B12_gate_or_top", f"WITH {STATS}, ok AS (SELECT symbol, mv FROM st WHERE mv >= 1e9), top AS (SELECT symbol, mv FROM st ORDER BY mv DESC, symbol LIMIT 10) SELECT symbol, round(mv, 2) AS mean_value, 'top' AS via FROM top")(lambda s, d: rounded(G.gate_or_top(G.gate_stats(D.part_bars(s, d)), F.col("mean_value") >= 1e9, "mean_value", 5, 10), 2, "mean_value").select("symbol", "mean_value", "via"))
+query("B12_gate_passes", f"WITH {STATS}, ok AS (SELECT symbol, mv FROM st WHERE mv >= 50000), top AS (SELECT symbol, mv FROM st ORDER BY mv DESC, symbol LIMIT 10) SELECT symbol, round(mv, 5) AS mean_value, 'gate' AS via FROM ok UNION ALL SELECT symbol, round(mv, 5), 'top' FROM top WHERE (SELECT count(*) FROM ok) < 5 AND symbol NOT IN (SELECT symbol FROM ok)")(lambda s, d: rounded(G.gate_or_top(G.gate_stats(D.part_bars(s, d)), F.col("mean_value") >= 50000, "mean_value", 5, 10), 5, "mean_value").select("symbol", "mean_value", "via"))
+query("B12_gate_filled", f"WITH {STATS}, ok AS (SELECT symbol, mv FROM st WHERE mv >= 63000), top AS (SELECT symbol, mv FROM st ORDER BY mv DESC, symbol LIMIT 10) SELECT symbol, round(mv, 5) AS mean_value, 'gate' AS via FROM ok UNION ALL SELECT symbol, round(mv, 5), 'top' FROM top WHERE (SELECT count(*) FROM ok) < 5 AND symbol NOT IN (SELECT symbol FROM ok)")(lambda s, d: rounded(G.gate_or_top(G.gate_stats(D.part_bars(s, d)), F.col("mean_value") >= 63000, "mean_value", 5, 10), 5, "mean_value").select("symbol", "mean_value", "via"))
 query("B13_rank_top", f"WITH {PAIRS} SELECT token, max(liquidity) AS liquidity FROM pairs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")(lambda s, d: G.rank_top(pairs(s, d), "token", "liquidity", 25))
 query("B14_topk", f"WITH {DAILY} SELECT symbol, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY close DESC, symbol) AS k FROM bars) WHERE k <= 2")(lambda s, d: G.topk(D.daily(s, d), 2, ["ts"], [F.col("close").desc(), F.col("symbol")]).select("symbol", "ts", "close"))
 query("B15_candidate_pool", f"WITH {PART}, r AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS r, close * volume AS v FROM parts), x AS (SELECT symbol, ts, {q_roll('avg', 'v', 20)} AS adv, {q_roll('stddev_samp', 'r', 20)} AS vol, close / nullif({q_lag('close', 20)}, 0) - 1 AS ret FROM r), y AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM x) SELECT symbol, round(adv, 2) AS adv, round(vol, 6) AS vol, round(ret, 6) AS ret FROM y WHERE k = 1 AND adv IS NOT NULL ORDER BY y.vol DESC, symbol LIMIT 30")(lambda s, d: rounded(rounded(G.candidate_pool(D.part_bars(s, d), "vol", 30), 2, "adv"), 6, "vol", "ret"))
@@ -75,6 +88,7 @@ WALK = f"{DAILY}, w0 AS (SELECT symbol, ts, CASE WHEN close > open THEN 1 WHEN c
 query("B17_cost_filter", f"WITH RECURSIVE {WALK} SELECT symbol, ts, pos FROM w")(lambda s, d: G.cost_filter(D.daily(s, d).select("symbol", "ts", F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), 0).otherwise(2).alias("desired"), (F.abs(F.col("close") / F.col("open") - 1) - 0.1).alias("margin")), 0.01, 2.0).select("symbol", "ts", "pos"))
 query("B18_rank_signals", f"WITH {PRED}, c AS (SELECT *, greatest(p_short, p_long, p_flat) AS conf, date_trunc('day', ts) AS day FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(conf - p_short) DESC, event_id) AS place FROM c WHERE p_long = conf AND p_flat <> conf AND conf >= 0.6) SELECT event_id, place FROM k WHERE place <= 5")(lambda s, d: G.rank_signals(G.confidence_gate(predictions(s, d), 0.6).select(F.col("event_id").alias("symbol"), F.date_trunc("day", "ts").alias("ts"), "p_short", "conf", F.when(F.col("p_long") == F.col("conf"), 1).otherwise(0).alias("cls")), 0.6, 5).select(F.col("symbol").alias("event_id"), "place"))
 query("B19_market_filter", "SELECT p_partkey, p_name FROM part WHERE p_retailprice >= 1000 AND NOT regexp_matches(lower(p_type), 'steel|tin') AND NOT regexp_matches(lower(p_name), 'steel|tin')")(lambda s, d: G.market_filter(D.table(s, d, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("volume"), F.col("p_type").alias("symbol"), F.col("p_name").alias("name")), 1000, ["steel", "tin"]).select("p_partkey", "p_name"))
+query("B19_market_filter_some", "SELECT p_partkey, p_name FROM part WHERE p_retailprice >= 901 AND NOT regexp_matches(lower(p_type), 'promo|bolt') AND NOT regexp_matches(lower(p_name), 'promo|bolt')")(lambda s, d: G.market_filter(D.table(s, d, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("volume"), F.col("p_type").alias("symbol"), F.col("p_name").alias("name")), 901, ["promo", "bolt"]).select("p_partkey", "p_name"))
 
 query("Q01_spikes", f"WITH {DAILY}, m AS (SELECT *, close / nullif({q_lag('close')}, 0) - 1 AS move FROM bars) SELECT symbol, ts, round(move, 6) AS move, CASE WHEN move > 0 THEN 'up' ELSE 'down' END AS direction FROM m WHERE abs(move) > 0.5")(lambda s, d: Q.spikes(D.daily(s, d), 0.5).select("symbol", "ts", F.round("move", 6).alias("move"), "direction"))
 REC = f"{VENUE}, rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts DESC) AS n FROM venues) WHERE n <= 800), md AS (SELECT symbol, ts, median(close) AS consensus, count(DISTINCT venue) AS nv FROM rv GROUP BY 1, 2 HAVING count(DISTINCT venue) >= 2), dv AS (SELECT rv.*, consensus, abs(close / consensus - 1) AS dev FROM rv JOIN md USING (symbol, ts))"
