@@ -92,3 +92,34 @@ def test_each_spot_is_judged_by_its_own_shares(spark):
     df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")
     got = contamination.contaminated(df, spark.createDataFrame([(9, f"{' '.join(item)}. {' '.join(answer)}")], "item_id long, text string")).collect()
     assert sorted((r.doc_id, round(r.common_share, 2), round(r.answer_share, 2)) for r in got) == [(d, 0.58, 0.9) for d in (2, 3, 4)]
+
+
+def test_latent_space_retrieves_what_a_search_over_all_pairs_finds(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(600)] + ["the", "of", "and", "to"] * 100
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([16, 28, 48]))) + ".") for i in range(12)]
+    docs = []
+    for d in range(70):
+        own = rng.choices(words, k=rng.randint(20, 160))
+        if d % 3:
+            body = items[d % 12][1].split(" ")
+            changed = rng.choice([0, 8, 5, 3])  # verbatim, and paraphrases of growing distance
+            body = [rng.choice(words) if changed and i % changed == 1 else w for i, w in enumerate(body)]
+            spot = rng.randrange(len(own))
+            own[spot:spot] = body
+        docs.append((d, " ".join(own)))
+    number: dict[str, int] = {}
+    coded = lambda text: np.array([number.setdefault(w, len(number)) for w in text.rstrip(".").split(" ")])
+    want = set()
+    for d, text in docs:
+        x = coded(text)
+        for i, item in items:
+            y = coded(item)
+            long = len(y) + max(2, len(y) // 4)
+            if max(contamination.common_length(y, x[a : a + long]) for a in range(len(x))) >= 0.7 * len(y):
+                want.add((d, i))
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    near = {(r.doc_id, r.item_id): r.path for r in got if r.common_share >= 0.7}
+    assert set(near) == want and len(want) > 30
+    assert sum(p == "cosine" for p in near.values()) >= 0.9 * len(want)
+    assert all(r.path == "cosine" for r in got if r.common_share < 0.7)  # paraphrases further off come through the latent space alone

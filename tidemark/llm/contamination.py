@@ -9,8 +9,10 @@ at least: an item that many copies hold makes its own words frequent, and they s
 Where an item can be is bounded exactly: a document must have ``loose`` of the item's words, and so must a stretch of it at most
 a quarter longer than the item. Each such stretch is compared: the longest common subsequence must reach ``near`` of the item's
 words, or ``loose`` of them when the words of the item's answer (its last sentence) are found in order around it to the same
-share as well. The best stretch that passes is reported, with the largest cosine of its surroundings' windows (SPANS words, one
-at every STEP words) with a part of the item. The cosine decides nothing unless ``cosine`` is raised: no gate on it keeps all.
+share as well. Of the latter, paraphrases, those are kept that the latent space retrieves: the largest cosine of the windows
+around the stretch (SPANS words, one at every STEP words) with a part of the item must reach ``cosine``. Verbatim items are kept
+whatever their cosine, as no gate on it keeps all of them. The best stretch that passes is reported with its cosine, and with the
+``path`` that found it: ``cosine`` where the latent space retrieves it, else ``words``.
 
 The benchmark is taken in blocks of BLOCK items, so what is sent to tasks is bounded. Null or empty documents and items
 match nothing. Repeated rows are reported as often as they come. Empty tables give no rows.
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import _shared, _text
 
 PASSAGE, STEP, RANK, SPARE, FLOOR, BLOCK = 32, 8, 64, 16, 0.05, 4000
+#: Least cosine at which the latent space retrieves an item.
+COSINE = 0.5
+FOUND = "item_id long, cosine double, common_share double, answer_share double, path string"
 #: Words of the windows that are compared; the short ones are for short items.
 SPANS = (16, PASSAGE)
 #: Counts of a row's words by item that are held at once; lengths of vectors are at least TINY.
@@ -266,20 +271,21 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], cosine: float, near: f
                         if share >= near or (share >= loose and told >= loose):
                             x, y = edge[r] + np.searchsorted(at[edge[r] : edge[r + 1]], [begun, ended])
                             alike = _likeness(at[x:y] - begun, vectors[term[x:y]], pieces[i], ended - begun)
-                            if alike >= cosine:
+                            if alike >= cosine or share >= near:
                                 found = max(found or (0.0, 0.0, 0.0), (alike, share, told), key=lambda f: f[1:])
                     if found:
                         out.append((begin + r, numbers[i], *found))
             if out:
                 docs_, items_, cos, lcs, told = zip(*out, strict=True)
-                yield pa.record_batch([ids.take(pa.array(docs_)), pa.array(items_, pa.int64()), pa.array(np.clip(cos, -1, 1)), pa.array(lcs), pa.array(told)], names=["doc_id", "item_id", "cosine", "common_share", "answer_share"])
+                path = ["cosine" if c >= cosine else "words" for c in cos]
+                yield pa.record_batch([ids.take(pa.array(docs_)), pa.array(items_, pa.int64()), pa.array(np.clip(cos, -1, 1)), pa.array(lcs), pa.array(told), pa.array(path)], names=["doc_id", "item_id", "cosine", "common_share", "answer_share", "path"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(search, f"doc_id {kind}, item_id long, cosine double, common_share double, answer_share double")
+    return docs.mapInArrow(search, f"doc_id {kind}, {FOUND}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = -1.0, near: float = 0.7, loose: float = 0.55) -> DataFrame:
-    """doc_id, item_id, cosine, common_share, answer_share of every document that holds a benchmark item."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, near: float = 0.7, loose: float = 0.55) -> DataFrame:
+    """doc_id, item_id, cosine, common_share, answer_share and path of every document that holds a benchmark item."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -293,7 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = -1.0, ne
                 found.append(part)
     if not found:
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, cosine double, common_share double, answer_share double")
+        return spark.createDataFrame([], f"doc_id {kind}, {FOUND}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
