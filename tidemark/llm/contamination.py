@@ -100,6 +100,7 @@ def latent(docs: DataFrame, vocabulary: np.ndarray, seed: int = 5) -> np.ndarray
     wide = RANK + SPARE
     random = np.random.default_rng(seed).normal(size=(len(vocabulary), wide)).astype(np.float32)
     weighted = (random * idf[:, None]).astype(np.float32)
+    narrow = np.min_scalar_type(len(vocabulary))  # few bits sort by radix
 
     def share(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(vocabulary), wide))
@@ -110,12 +111,12 @@ def latent(docs: DataFrame, vocabulary: np.ndarray, seed: int = 5) -> np.ndarray
                 if not len(at):
                     continue
                 passage, _ = _passages(first, at)
-                start = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(at))
-                y = np.diff(_sums(weighted[term])[start], axis=0)  # a row a passage
-                of = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                order = np.argsort(term, kind="stable")
-                edge = np.append(np.flatnonzero(np.diff(term[order], prepend=-1)), len(at))
-                total[term[order][edge[:-1]]] += np.diff(_sums(y[of[order]])[edge], axis=0)
+                start = np.flatnonzero(np.diff(passage, prepend=-1))
+                y = np.add.reduceat(weighted[term], start, axis=0)  # a row a passage
+                of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+                order = np.argsort(term.astype(narrow), kind="stable")
+                edge = np.flatnonzero(np.diff(term[order], prepend=-1))
+                total[term[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0)
         for at in range(0, len(total), 64):
             if total[at : at + 64].any():
                 yield pa.record_batch([pa.array([at // 64]), pa.array([total[at : at + 64].tobytes()])], names=["chunk", "share"])
