@@ -227,3 +227,41 @@ def test_barriers_fall_back_to_a_fixed_share_without_a_range(spark):
         hit = next((int(y >= x + 1.5 * atr) for y in ahead if y >= x + 1.5 * atr or y <= x - 1.5 * atr), 2)
         want.append(hit if len(ahead) == 3 else 2)
     assert got == want and {0, 2} <= set(want)
+
+
+def test_hurst_equals_its_definition(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    c = [100.0]
+    for i in range(149):
+        c.append(c[-1] * (1 + (rng.uniform(-0.02, 0.02) if i % 70 else 0)))
+    c[90:100] = [c[90]] * 10  # still for a while
+    m = regimes.market(frame(spark, {"a": [{"open": x, "high": x, "low": x, "close": x, "volume": 1.0} for x in c]}))
+
+    def exponent(w):
+        rs = []
+        for k in range(2, 21):
+            d = np.diff(np.log(w[: k * (len(w) // k)]))
+            parts = [d[i * k : (i + 1) * k] for i in range(len(d) // k)]
+            one = []
+            for x in parts:
+                away = np.cumsum(x - np.mean(x))
+                one.append((away.max() - away.min()) / (np.std(x) if np.std(x) > 0 else 1e-12))
+            rs.append(max(np.mean(one), 1e-12))
+        return float(np.clip(np.polyfit(np.log(range(2, 21)), np.log(rs), 1)[0], 0, 1))
+
+    got = regimes.hurst(m).orderBy("ts").collect()
+    for i, r in enumerate(got):
+        want = exponent(c[i - 59 : i + 1]) if i >= 59 else None
+        assert r.hurst == (None if want is None else pytest.approx(want, abs=1e-6))
+        assert r.regime == ("trend" if i >= 60 and want > 0.5 else "chop")
+    assert {r.regime for r in got} == {"trend", "chop"}
+
+
+def test_the_first_true_range_is_the_bar_s_own(spark):
+    b = bars(40)
+    got = signals.atr(frame(spark, {"a": b})).orderBy("ts").collect()
+    tr = [b[0]["high"] - b[0]["low"]] + [max(x["high"] - x["low"], abs(x["high"] - p["close"]), abs(x["low"] - p["close"])) for p, x in zip(b, b[1:], strict=False)]
+    assert [r.tr for r in got] == pytest.approx(tr)
+    assert [r.atr for r in got] == pytest.approx([mean(last(tr, i, 14)) for i in range(40)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,27 +133,36 @@ def diagnostics(regime: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("rows") / F.col("all")).drop("all")
 
 
-def hurst(m: DataFrame, n: int = 60, lags: tuple[int, ...] = (2, 4, 8, 12, 16, 20)) -> DataFrame:
-    """Slope of log rescaled range on log lag over the last n log returns; over 0.5 is trend. Arrow batches of frames."""
-    import numpy as np
+def rescaled_range(closes: np.ndarray, most: int = 20) -> np.ndarray:
+    """Of each row of closes the slope of log rescaled range on log lag over lags 2 to ``most``, within 0 and 1.
 
-    def one(x) -> float | None:
-        if x is None or len(x) < n:
-            return None
-        x, points = np.asarray(x, float), []
-        for k in lags:
-            parts = x[: len(x) // k * k].reshape(-1, k)
-            d = np.cumsum(parts - parts.mean(1, keepdims=True), 1)
-            s = parts.std(1)
-            ok = s > 0
-            if ok.any():
-                points.append((np.log(k), np.log(((d.max(1) - d.min(1))[ok] / s[ok]).mean())))
-        return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 2 else None
+    For a lag the row is cut to a multiple of it, its log returns into stretches of that length; a still stretch counts as 1e-12.
+    """
+    logs, found = np.log(closes), []
+    lags = [k for k in range(2, most + 1) if k < closes.shape[1] and closes.shape[1] // k * k - 1 >= k]
+    for k in lags:
+        moves = np.diff(logs[:, : closes.shape[1] // k * k], axis=1)
+        x = moves[:, : moves.shape[1] // k * k].reshape(len(moves), -1, k)
+        away = np.cumsum(x - x.mean(2, keepdims=True), axis=2)
+        deviation = x.std(2)
+        found.append(((away.max(2) - away.min(2)) / np.where(deviation > 0, deviation, 1e-12)).mean(1))
+    x, y = np.log(lags), np.log(np.maximum(np.stack(found, 1), 1e-12))
+    x = x - x.mean()
+    return np.clip(y @ x / (x @ x), 0, 1)
+
+
+def hurst(m: DataFrame, n: int = 60, threshold: float = 0.5) -> DataFrame:
+    """hurst over the last n closes, and regime: trend over the threshold; before n bars, and where it is unknown, chop. Batches of frames."""
 
     @F.pandas_udf("double")
     def exponent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield pd.Series([one(v) for v in x], dtype=float)
-
-    df = m.withColumn("lr", F.ln(F.col("close") / lag("close"))).withColumn("past", F.collect_list("lr").over(frame(n)))
-    return df.withColumn("hurst", exponent("past")).drop("past").withColumn("regime", F.when(F.col("hurst") > 0.5, "trend").when(F.col("hurst").isNotNull(), "chop"))
+        for frames in batches:
+            out = np.full(len(frames), np.nan)
+            whole = np.flatnonzero([v is not None and len(v) == n for v in frames])
+            if len(whole):
+                out[whole] = rescaled_range(np.stack(frames.iloc[whole].to_list()).astype(float))
+            yield pd.Series(out).where(~np.isnan(out), None).astype(float)
+
+    df = m.withColumn("__past", F.collect_list("close").over(frame(n))).withColumn("__k", F.row_number().over(by_symbol()) - 1)
+    df = df.withColumn("hurst", exponent("__past")).withColumn("hurst", F.when(~F.isnan("hurst"), F.col("hurst")))
+    return df.withColumn("regime", F.when((F.col("__k") >= n) & (F.col("hurst") > threshold), "trend").otherwise("chop")).drop("__past", "__k")

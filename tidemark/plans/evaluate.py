@@ -139,7 +139,19 @@ query("G22_corr_pairs", f"WITH v AS ({VALUED}), r AS (SELECT " + ", ".join(RANK.
 query("G23_vif", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS p FROM lineitem) SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, round(1 / (1 - p * p), 6) AS vif FROM c")(lambda s, d: rounded(V.vif(D.table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6, "vif").select("feature", "vif"))
 
 
-@query("G24_attribution")
+def q_attribution():
+    """Totals of the three variants, each walked bar by bar."""
+    sides = {"full": ("brk", "fall"), "entry": ("brk", "under"), "exit": ("above", "fall")}
+    parts = [f"""f0 AS (SELECT *, {q_roll('max', 'high', 40, 1)} AS t, {q_roll('min', 'low', 40, 1)} AS b, {q_roll('avg', 'close', 20)} AS m FROM bars),
+f1 AS (SELECT symbol, ts, close, coalesce(close > {q_lag('t')}, false)::INT AS brk, coalesce(close < {q_lag('b')}, false)::INT AS fall, coalesce(close > m, false)::INT AS above, coalesce(close < m, false)::INT AS under, row_number() {OVER} AS k FROM f0)"""]
+    for v, (e, x) in sides.items():
+        parts.append(f"""w_{v} AS (SELECT symbol, k, {e} AS pos FROM f1 WHERE k = 1 UNION ALL SELECT f1.symbol, f1.k, CASE WHEN w_{v}.pos = 0 AND f1.{e} = 1 THEN 1 WHEN w_{v}.pos = 1 AND f1.{x} = 1 THEN 0 ELSE w_{v}.pos END FROM w_{v} JOIN f1 ON f1.symbol = w_{v}.symbol AND f1.k = w_{v}.k + 1),
+h_{v} AS (SELECT f1.symbol, f1.ts, coalesce({q_lag('pos').replace('ORDER BY ts', 'ORDER BY f1.ts').replace('PARTITION BY symbol', 'PARTITION BY f1.symbol')}, 0) AS hd, coalesce(close / nullif(lag(close) OVER (PARTITION BY f1.symbol ORDER BY f1.ts), 0) - 1, 0) AS r FROM f1 JOIN w_{v} USING (symbol, k)),
+t_{v} AS (SELECT symbol, round(sum(hd * r - 0.001 * mv), 6) AS total FROM (SELECT *, abs(hd - coalesce({q_lag('hd')}, 0)) AS mv FROM h_{v}) GROUP BY 1)""")
+    return f"WITH RECURSIVE {DAILY}, {', '.join(parts)} SELECT symbol, f.total AS full, e.total AS entry, x.total AS exit, round(f.total - e.total, 6) AS exit_adds, round(f.total - x.total, 6) AS entry_adds FROM t_full f JOIN t_entry e USING (symbol) JOIN t_exit x USING (symbol)".replace("AS full,", 'AS "full",')
+
+
+@query("G24_attribution", q_attribution())
 def _(s, d):
     base = S.donchian(D.daily(s, d))
     variants = {"full": base, "entry": base.withColumn("exit", R.flag(F.col("close") < R.sma("close", 20))), "exit": base.withColumn("entry", R.flag(F.col("close") > R.sma("close", 20)))}
@@ -147,7 +159,7 @@ def _(s, d):
     for name, v in variants.items():
         one = V.strategy_eval(B.positions(v), 0.001).select("symbol", F.lit(name).alias("variant"), F.round("total", 6).alias("total"))
         out = one if out is None else out.unionByName(one)
-    return V.attribution(out)
+    return rounded(V.attribution(out), 6, "exit_adds", "entry_adds")
 
 
 SCALE = f"v AS (SELECT symbol, ts, CASE WHEN count(ret) {q_frame(20)} >= 20 THEN stddev_pop(ret) {q_frame(20)} * sqrt(365) END AS s FROM rr), w AS (SELECT *, CASE WHEN coalesce(s > 0, false) THEN least(1.5, greatest(0.25, 0.15 / s)) ELSE 1 END AS scale FROM v)"

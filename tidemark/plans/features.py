@@ -138,7 +138,15 @@ query("F67_market", f"WITH {MK} SELECT ts, round(close, 4) AS close, volume FROM
 query("F05_hurst")(lambda s, d: M.hurst(mk(s, d)).select("ts", F.round("hurst", 6).alias("hurst"), "regime"))
 
 
-@query("F36_regime_switched")
+from tidemark.plans.signals import SQL as RULES  # noqa: E402
+
+SWITCHED = f"""WITH t AS ({RULES['F01_donchian']}), c AS ({RULES['F13_rsi']}), s AS ({RULES['F23_roc']}), g AS ({SQL['F65_sma_filter']}),
+j AS (SELECT t.symbol, t.ts, g.regime, t.entry AS te, t.exit AS tx, c.entry AS ce, c.exit AS cx, s.entry AS se, s.exit AS sx, max(c.entry) OVER (PARTITION BY t.ts) = 0 AS silent
+  FROM t JOIN c USING (symbol, ts) JOIN s USING (symbol, ts) JOIN g USING (ts))
+SELECT symbol, ts, CASE WHEN regime = 'on' THEN te WHEN silent THEN se ELSE ce END AS entry, CASE WHEN regime = 'on' THEN tx WHEN silent THEN sx ELSE cx END AS exit FROM j"""
+
+
+@query("F36_regime_switched", SWITCHED)
 def _(s, d):
     bars = D.daily(s, d)
     regime = M.sma_filter(M.market(bars)).select("ts", F.when(F.col("regime") == "on", "trend").otherwise("chop").alias("regime"))
