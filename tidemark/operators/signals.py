@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import change, cross_down, cross_up, diff, ewm, flag, lag, mean_deviation, percent_rank, quantile, roll, running, sma, std, up_share
+from tidemark.functions.rolling import change, cross_up, diff, ewm, flag, lag, mean_deviation, percent_rank, quantile, roll, running, sma, std, up_share
 
 Rule = Callable[[DataFrame], DataFrame]
 RULES: dict[str, Rule] = {}
@@ -477,4 +477,4 @@ def regime_switched(trend: DataFrame, chop: DataFrame, second: DataFrame, regime
     return df.select(*key, pick("entry").alias("entry"), pick("exit").alias("exit"))
 
 
-__all__ = ["RULES", "apply_rule", "cross_down", "partial", "register"]
+__all__ = ["RULES", "apply_rule", "register"]
