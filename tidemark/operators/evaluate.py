@@ -155,17 +155,17 @@ def newey_west(returns: DataFrame, lags: int) -> DataFrame:
     return df.groupBy("symbol").agg(n.alias("n"), F.avg("ret").alias("mean"), variance.alias("lrv")).withColumn("t", F.when(F.col("lrv") > 0, F.col("mean") / F.sqrt(F.col("lrv") / F.col("n"))))
 
 
-def spa(returns: DataFrame, bench: DataFrame, lags: int = 4, alpha: float = 0.10) -> DataFrame:
+def spa(returns: DataFrame, bench: DataFrame, lags: int = 4, alpha: float = 0.10, strategies: int | None = None) -> DataFrame:
     """Per strategy (symbol): n, mean difference from a benchmark (ts, bench), its variance and studentised value, the threshold, and whether
     it survives. The variance takes the sample variance and twice the unweighted autocovariances; the threshold is Šidák's for the
-    number of strategies that have a value."""
+    number of strategies that have a value, or for ``strategies`` of them, so that one without a value does not ease it for the others."""
     diff = returns.join(bench, "ts").where("ret IS NOT NULL AND bench IS NOT NULL").select("symbol", "ts", (F.col("ret") - F.col("bench")).alias("d"))
     df = diff.withColumns({f"__{k}": F.lag("d", k).over(by_symbol()) for k in range(1, lags + 1)})
     n = F.count("d")
     together = sum((F.coalesce(F.covar_samp("d", f"__{k}"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
     out = df.groupBy("symbol").agg(n.alias("n"), F.avg("d").alias("mean"), F.greatest((F.var_samp("d") + 2 * together) / n, F.lit(0.0)).alias("variance"))
     out = out.withColumn("t", F.when((F.col("n") >= 3) & (F.col("variance") > 1e-18), F.col("mean") / F.sqrt("variance")))
-    m = out.agg(F.count("t")).first()[0]  # of one row a strategy
+    m = strategies or out.agg(F.count("t")).first()[0]  # of one row a strategy
     cut = NormalDist().inv_cdf((1 - alpha) ** (1 / max(1, m)))
     return out.withColumn("threshold", F.lit(cut)).withColumn("survives", F.coalesce(F.col("t") > cut, F.lit(False)))
 
