@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, change, corr, ewm, fill_forward, lag, sma, std, zscore
+from tidemark.functions.rolling import by_symbol, change, corr, ewm, fill_forward, lag, log_ratio, ratio, sma, std, zscore
 from tidemark.operators.align import asof, asof_columns, small
 from tidemark.operators.bars import dedup, resample
 from tidemark.operators.signals import bollinger, macd, rsi_simple
@@ -55,13 +55,16 @@ def higher_frame(df: DataFrame, rule: str, interval: str, prefix: str, leaky: bo
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """close, ret, log_ret, atr, atr_pct, sma_20, sma_50, rsi_14, vol_ma, vol_ratio of bars; means from the first bar on, RSI from 14 moves on."""
+    """close, ret, log_ret, atr, atr_pct, sma_20, sma_50, rsi_14, vol_ma, vol_ratio of bars; means from the first bar on, RSI from 14 moves on.
+
+    Next to a close of 0 the shares are infinite or NaN.
+    """
     p, d = lag("close"), F.col("close") - lag("close")
     df = bars.withColumns({"__tr": F.when(p.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p), F.abs(F.col("low") - p))), "__u": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__d": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
     df = ewm(ewm(df, "__u", "__eu", alpha=1 / 14), "__d", "__ed", alpha=1 / 14)
     moves = F.count("__u").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumns({"ret": change("close"), "log_ret": F.ln(F.col("close") / p), "atr": sma("__tr", 14, 1), "sma_20": sma("close", 20, 1), "sma_50": sma("close", 50, 1), "vol_ma": sma("volume", 20, 1), "rsi_14": F.when(moves >= 14, 100 - 100 / (1 + F.col("__eu") / F.when(F.col("__ed") == 0, 1e-9).otherwise(F.col("__ed"))))})
-    return df.withColumns({"atr_pct": F.col("atr") / F.col("close"), "vol_ratio": F.try_divide("volume", "vol_ma")}).select("symbol", "ts", *INDICATORS)
+    df = df.withColumns({"ret": ratio("close", p) - 1, "log_ret": log_ratio("close", p), "atr": sma("__tr", 14, 1), "sma_20": sma("close", 20, 1), "sma_50": sma("close", 50, 1), "vol_ma": sma("volume", 20, 1), "rsi_14": F.when(moves >= 14, 100 - 100 / (1 + F.col("__eu") / F.when(F.col("__ed") == 0, 1e-9).otherwise(F.col("__ed"))))})
+    return df.withColumns({"atr_pct": ratio("atr", "close"), "vol_ratio": F.try_divide("volume", "vol_ma")}).select("symbol", "ts", *INDICATORS)
 
 
 def timeframes(bars: DataFrame, frames: dict[str, str], lags: int = 1) -> DataFrame:
