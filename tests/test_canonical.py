@@ -115,3 +115,15 @@ def test_chain_features_stay_on_their_chain(spark):
     assert [got["btc", d] for d in range(4)] == [(None, None), (5.0, None), (5.0, None), (5.0, None)]
     assert [got["eth", d] for d in range(4)] == [(None, 7.0), (None, 7.0), (None, 7.0), (None, None)]
     assert {got["dog", d] for d in range(4)} == {(None, None)}
+
+
+def test_a_tie_is_rounded_as_the_sql_rounds_it(spark):
+    import duckdb
+
+    from tidemark.plans.canonical import round4
+
+    # 57.1 / 16 and the like: just under a tie in binary, a tie once scaled
+    x = [57.1 / 16, -57.1 / 16, 1.00005, 2.00015, 0.00005, 3.0, None, float("inf")]
+    got = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(round4("x").alias("y")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in x]
+    assert got == want and got[0] == 3.5688

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, change, corr, diff, ewm, lag, quantile, roll, sma, std
+from tidemark.functions.rolling import by_symbol, change, corr, diff, ewm, lag, log_ratio, quantile, ratio, roll, sma, std
 from tidemark.operators.align import asof, small
 from tidemark.operators.bars import true_range
 
@@ -69,7 +69,7 @@ def _graph() -> dict[str, Feature]:
     add("is_quarter_start", "month day", lambda: ((c("month") % 3 == 1) & (c("day") <= 5)).cast("int"))
     add("is_quarter_end", "month day", lambda: ((c("month") % 3 == 0) & (c("day") >= 25)).cast("int"))
 
-    add("ret_1", "close", lambda: F.ln(c("close") / lag("close")))
+    add("ret_1", "close", lambda: log_ratio("close", lag("close")))
     for n in (3, 6, 12, 24):
         add(f"ret_{n}", "ret_1", lambda n=n: roll(F.sum, "ret_1", n))
     for n in (12, 24):
@@ -114,8 +114,8 @@ def _graph() -> dict[str, Feature]:
         add(f"span_{tag}", f"high low {b}", lambda own=own: F.max("high").over(own()) - F.min("low").over(own()))
         frame = lambda k, ends=ends: ends().rowsBetween(-(k - 1), 0)
         before = lambda k, ends=ends: F.lag("close", k).over(ends())
-        made = {f"ret_{tag}": lambda before=before: c("close") / before(1) - 1, f"vol_{tag}": lambda frame=frame, n=n: F.when(F.count("close").over(frame(n)) >= n, F.stddev_samp("close").over(frame(n)))}
-        made |= {x: lambda k=k, before=before: c("close") / before(k) - 1 for x, k in moves.items()}
+        made = {f"ret_{tag}": lambda before=before: ratio("close", before(1)) - 1, f"vol_{tag}": lambda frame=frame, n=n: F.when(F.count("close").over(frame(n)) >= n, F.stddev_samp("close").over(frame(n)))}
+        made |= {x: lambda k=k, before=before: ratio("close", before(k)) - 1 for x, k in moves.items()}
         made[f"range_{tag}_pct"] = lambda tag=tag: c(f"span_{tag}") / (c("close") + TINY)
         for x, make in made.items():
             add(f"at_{x}", f"close {end} span_{tag}", make)
@@ -183,7 +183,7 @@ def cross_features(bars: DataFrame, benchmark: str, assets: dict[str, str]) -> D
     wide = wide.dropna(subset=["b", *[f"{a}_close" for a in assets]]).withColumn("symbol", F.lit(benchmark)).withColumn("b_ret", change("b"))
     for a in assets:
         p, v = f"{a}_close", f"{a}_volume"
-        wide = wide.withColumns({f"{a}_returns": change(p), f"{a}_btc_ratio": F.col(p) / F.col("b")})
+        wide = wide.withColumns({f"{a}_returns": change(p), f"{a}_btc_ratio": ratio(p, "b")})
         wide = wide.withColumns({f"{a}_btc_ratio_chg": change(f"{a}_btc_ratio"), f"{a}_volume_z": (F.col(v) - sma(v, 24)) / (std(v, 24) + 1e-9)})
         wide = wide.withColumns({f"{a}_btc_ret_rel_{n}": change(p, n) - change("b", n) for n in SPANS} | {f"btc_corr_{a}_{n}": corr("b_ret", f"{a}_returns", n) for n in SPANS})
     return wide.select("ts", *[x for a in assets for x in cross_names(a)])

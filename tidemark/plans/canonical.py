@@ -25,6 +25,11 @@ def fine(s, d):
     return B.ohlcv(D.event_ticks(s, d), "30 minutes")
 
 
+def round4(x):
+    """Scaled, rounded and scaled back, which is what ``round`` of the SQL does to a tie."""
+    return F.round(F.col(x).cast("double") * 1e4) / 1e4
+
+
 def daily(s, d):
     return D.event_ticks(s, d).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("price").alias("a"), F.max("price").alias("b"), F.min("price").alias("c"), F.sum("price").alias("d"), F.count("*").cast("double").alias("e"), F.sum("size").alias("f"))
 
@@ -118,7 +123,7 @@ def shown(names):
 
 
 def _group(key: str, cte: str, names, make) -> None:
-    QUERIES[key] = lambda s, d: make(s, d).select(*(["ts"] if cte == "crosses" else ["symbol", "ts"]), *[F.round(F.col(x).cast("double"), 4).alias(x) for x in names])
+    QUERIES[key] = lambda s, d: make(s, d).select(*(["ts"] if cte == "crosses" else ["symbol", "ts"]), *[round4(x).alias(x) for x in names])
     SQL[key] = f"WITH {FINE}, {CTE[cte]} SELECT {'ts' if cte == 'crosses' else 'symbol, ts'}, {shown(names)} FROM {cte}"
 
 
@@ -137,7 +142,7 @@ def whole(s, d):
     return N.block(fine(s, d), BENCHMARK, ASSETS, macro(s, d), micro(s, d), equities(s, d))
 
 
-QUERIES["F57_canonical_block"] = lambda s, d: whole(s, d).select("symbol", "ts", *[F.round(x, 4).alias(x) for x in N.CANONICAL])
+QUERIES["F57_canonical_block"] = lambda s, d: whole(s, d).select("symbol", "ts", *[round4(x).alias(x) for x in N.CANONICAL])
 SQL["F57_canonical_block"] = f"""WITH {FINE}, {', '.join(CTE.values())}, j AS (SELECT cal.symbol, cal.ts, {', '.join(N.CANONICAL)} FROM cal JOIN price USING (symbol, ts) JOIN frames USING (symbol, ts) JOIN macro USING (symbol, ts) JOIN micro USING (symbol, ts)
   JOIN eq USING (symbol, ts) LEFT JOIN crosses ON crosses.ts = cal.ts) SELECT symbol, ts, {shown(N.CANONICAL)} FROM j WHERE {' AND '.join(f'{x} IS NOT NULL' for x in N.CANONICAL)}"""
 del OVER
