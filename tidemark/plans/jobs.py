@@ -139,14 +139,38 @@ def numbered(s, d):
     return b.withColumn("ret", R.change("close")).withColumn("mom", R.change("close", 5)).withColumn("vr", F.col("volume") / R.sma("volume", 10)).withColumn("rn", F.row_number().over(R.by_symbol()) - 1)
 
 
+COLS = ["ret", "mom", "vr"]
+
+
+def kept(s, d):
+    """The numbered bars, written to the shared folder once: a fit reads its rows many times."""
+    path, df = folder(s, "panel"), numbered(s, d).select("symbol", "ts", "rn", "label", *COLS)
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
 def panel(s, d):
-    return numbered(s, d).dropna(subset=["ret", "mom", "vr"])
+    return kept(s, d).dropna(subset=COLS)
 
 
-COLS = ["ret", "mom", "vr"]
-query("M01_walk_forward")(lambda s, d: L.walk_forward(panel(s, d), COLS, V.wf_splits(numbered(s, d), 10, 70, 10, 2), folder=folder(s, "folds"), trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n")))
-query("M02_one_vs_rest")(lambda s, d: L.one_vs_rest(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, 1, 3)[0].groupBy("symbol").agg(F.avg("p").alias("p")))
+def parted(df, rn):
+    """Earlier and later rows."""
+    return df.where(F.col("rn") < rn), df.where(F.col("rn") >= rn)
+
+
+@query("M01_walk_forward")
+def _(s, d):
+    rows = kept(s, d)
+    return L.walk_forward(rows.dropna(subset=COLS), COLS, V.wf_splits(rows, 10, 70, 10, 2), folder=folder(s, "folds"), trees=5, depth=3).groupBy("fold", "cls").agg(F.count("*").alias("n"))
+
+
+query("M02_one_vs_rest")(lambda s, d: L.one_vs_rest(*parted(panel(s, d), 300), COLS, 1, 3)[0].groupBy("symbol").agg(F.avg("p").alias("p")))
 query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, folder(s, "own"), trees=3, depth=3))
-query("M04_compare_depths")(lambda s, d: s.createDataFrame(sorted(L.compare_depths(panel(s, d).where("rn < 300"), panel(s, d).where("rn >= 300"), COLS, (2, 4), trees=3)[0].items()), "depth int, macro_f1 double"))
+query("M04_compare_depths")(lambda s, d: s.createDataFrame(sorted(L.compare_depths(*parted(panel(s, d), 300), COLS, (2, 4), trees=3)[0].items()), "depth int, macro_f1 double"))
 query("M04_model_search")(lambda s, d: L.model_search(panel(s, d), COLS, 250, 350, {"maxDepth": [2, 4], "numTrees": [3, 6]}))
-query("M05_score")(lambda s, d: L.score(L.three_class(panel(s, d).where("rn < 300"), COLS, 3, 3), panel(s, d).where("rn >= 300"), COLS).select("symbol", "ts", "cls", "conf", "strength"))
+
+
+@query("M05_score")
+def _(s, d):
+    early, late = parted(panel(s, d), 300)
+    return L.score(L.three_class(early, COLS, 3, 3), late, COLS).select("symbol", "ts", "cls", "conf", "strength")
