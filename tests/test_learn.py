@@ -30,6 +30,12 @@ def test_every_symbol_has_its_own_model(spark, tmp_path):
     assert got[0].losses >= 2  # the own models of the symbols that go the other way are right
 
 
+def test_no_number_of_symbols_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(learn, "MOST_OWN", 1, raising=False)
+    got = learn.pooled_against_own(series(spark, dict.fromkeys(range(3), 60), ()), ["a", "b"], f"file://{tmp_path}/own", trees=2, depth=2).collect()
+    assert got[0].wins + got[0].losses + got[0].ties == 3
+
+
 def test_both_sides_are_one_estimator(spark, tmp_path):
     """With one symbol the pooled model is its own."""
     got = learn.pooled_against_own(series(spark, {1: 150}, ()), ["a", "b"], f"file://{tmp_path}/own", trees=5, depth=2).collect()
