@@ -46,3 +46,23 @@ def test_correlation_of_a_flat_series_is_null(spark):
 def test_flags_are_never_null(spark):
     rows = series(spark, [None, 1, math.pi]).withColumn("y", R.flag(F.col("close") > 2)).orderBy("ts").collect()
     assert [r.y for r in rows] == [0, 0, 1]
+
+
+@pytest.mark.parametrize("q", [0.5, 0.3])
+def test_sliding_quantile_equals_the_frame_s_own(spark, q):
+    rng = np.random.default_rng(5)
+    values = [None, None, *(None if i % 11 == 3 else math.nan if i % 29 == 5 else round(float(v), 1) for i, v in enumerate(rng.normal(size=90)))]
+    df = series(spark, values).unionByName(series(spark, [4, None, 2], "b"))
+    got = R.with_quantile(df.withColumn("want", R.quantile("close", q, 7, 1)), "close", "got", q, 7)
+    assert got.columns == ["symbol", "ts", "close", "volume", "want", "got"]
+    rows = got.collect()
+    assert len(rows) == len(values) + 3
+    assert all(r.got is None if r.want is None else (r.got == r.want or r.got != r.got and r.want != r.want) for r in rows)
+
+
+def test_no_regime_sorts_its_long_frame_for_each_row(spark):
+    from tidemark.operators import canonical, regimes
+
+    df = series(spark, [1, 2, 3]).withColumn("ts", F.timestamp_seconds("ts"))
+    for out in (regimes.four_state(df), canonical.resolve(df, ["regime_high_vol"])):
+        assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, change, corr, diff, ewm, lag, log_ratio, quantile, ratio, roll, sma, std
+from tidemark.functions.rolling import by_symbol, change, corr, diff, ewm, lag, log_ratio, ratio, roll, sma, std, with_quantile
 from tidemark.operators.align import asof, small
 from tidemark.operators.bars import true_range
 
@@ -42,20 +42,21 @@ SCALED = ("macd_hist", "macd_hist_smooth", "sma_dist_6", "sma_dist_12", "sma_cro
 
 @dataclass(frozen=True)
 class Feature:
-    """``make`` builds the column of the inputs' names; with ``span`` it is their exponential mean instead."""
+    """``make`` builds the column of the inputs' names; with ``span`` it is their exponential mean, with ``past`` the median of so many rows, instead."""
 
     name: str
     inputs: tuple[str, ...]
     make: Callable[[], Column] | None = None
     span: int | None = None
+    past: int | None = None
 
 
 def _graph() -> dict[str, Feature]:
     c = F.col
     found: list[Feature] = []
 
-    def add(name: str, inputs: str, make: Callable[[], Column] | None = None, span: int | None = None) -> None:
-        found.append(Feature(name, tuple(inputs.split()), make, span))
+    def add(name: str, inputs: str, make: Callable[[], Column] | None = None, span: int | None = None, past: int | None = None) -> None:
+        found.append(Feature(name, tuple(inputs.split()), make, span, past))
 
     parts = {"year": F.year, "month": F.month, "day_of_year": F.dayofyear, "weekday": F.weekday, "hour": F.hour, "minute": F.minute, "day": F.dayofmonth, "quarter": F.quarter}
     for name, part in parts.items():
@@ -99,7 +100,7 @@ def _graph() -> dict[str, Feature]:
     for x in SCALED:
         add(x, f"raw_{x} volatility_24", lambda x=x: c(f"raw_{x}") / (c("volatility_24") + TINY))
     add("vol_6d", "volatility_24", lambda: sma("volatility_24", 144))
-    add("vol_mid", "vol_6d", lambda: quantile("vol_6d", 0.5, 720, 1))
+    add("vol_mid", "vol_6d", past=720)
     add("regime_high_vol", "volatility_24 vol_mid", lambda: F.coalesce(c("volatility_24") > c("vol_mid"), F.lit(False)).cast("int"))
     add("regime_trending", "close sma24 bb_std", lambda: F.coalesce(F.abs((c("close") - c("sma24")) / (c("bb_std") + TINY)) > 1, F.lit(False)).cast("int"))
 
@@ -166,6 +167,8 @@ def resolve(df: DataFrame, wanted: list[str] | tuple[str, ...]) -> DataFrame:
         for f in now:
             if f.span:
                 df = ewm(df, f.inputs[0], f.name, span=f.span)
+            if f.past:
+                df = with_quantile(df, f.inputs[0], f.name, 0.5, f.past)
     extra = needed - set(wanted)
     # what a coarser bar does not have yet was carried as NaN, so that an older bar's value does not stand in for it
     carried = [x for x in FRAMES if x in needed]

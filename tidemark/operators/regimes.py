@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, change, diff, frame, lag, percent_rank, quantile, roll, running, sma, std
+from tidemark.functions.rolling import by_symbol, change, diff, frame, lag, percent_rank, roll, running, sma, std, with_quantile
 from tidemark.operators.signals import bollinger
 
 TINY = 1e-12
@@ -84,10 +84,11 @@ def method_regime(m: DataFrame, method: str, er: float = 0.35, warm: int = 30) -
 
 def four_state(bars: DataFrame, n: int = 24, days: int = 144, past: int = 720, band: int = 20) -> DataFrame:
     """Deviation of log returns over ``n`` bars against the median of its own mean, and the close's distance from its mean in band deviations."""
-    df = bars.withColumn("r", F.ln(F.col("close") / lag("close"))).withColumn("vol", std("r", n)).withColumn("calm", sma("vol", days)).withColumn("mid", quantile("calm", 0.5, past, 1))
+    df = bars.withColumn("r", F.ln(F.col("close") / lag("close"))).withColumn("vol", std("r", n)).withColumn("calm", sma("vol", days))
+    df = df.withColumn("far", F.coalesce(F.abs((F.col("close") - sma("close", n)) / (std("close", band) + 1e-10)) > 1, F.lit(False)))
+    df = with_quantile(df, "calm", "mid", 0.5, past)
     high = F.coalesce(F.col("vol") > F.col("mid"), F.lit(False))
-    far = F.coalesce(F.abs((F.col("close") - sma("close", n)) / (std("close", band) + 1e-10)) > 1, F.lit(False))
-    return df.withColumn("regime", F.concat(F.when(high, "high_vol").otherwise("low_vol"), F.lit("_"), F.when(far, "trend").otherwise("range")))
+    return df.withColumn("regime", F.concat(F.when(high, "high_vol").otherwise("low_vol"), F.lit("_"), F.when(F.col("far"), "trend").otherwise("range"))).drop("far")
 
 
 def counter_regime(m: DataFrame, threshold: float, k: int) -> DataFrame:
