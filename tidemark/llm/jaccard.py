@@ -213,7 +213,7 @@ def needs(n: np.ndarray, row: np.ndarray, band: np.ndarray, seg: np.ndarray, fil
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = _text.buffers(batch.column("text"))
     ids = np.asarray(batch.column("doc_id"))
-    for a, b, part, own in _text.slices(data, offsets):
+    for a, b, part, own in _text.slices(data, offsets, _text.NARROW):
         yield ids[a:b], *sets(part, own)
 
 

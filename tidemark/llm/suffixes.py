@@ -74,16 +74,17 @@ def stretches(named: DataFrame, parts: int) -> DataFrame:
             data, offsets = _text.buffers(batch.column("text"))
             ids, marks = np.asarray(batch.column("name")), np.asarray(batch.column("mark"))
             found = []
-            for a, b, part, own in _text.slices(data, offsets):
+            for a, b, part, own in _text.slices(data, offsets, _text.NARROW):
                 h = _text.Hashes(part)
                 row, x, z, s = _anchors.stretches(part, own, h)
                 found.append((h.of(s, s + _anchors.CORE), _text.Strings(part).of(x, z + WINDOW), ids[a:b][row], x - own[row], (z - x + 1) + ((s - x) << 16), marks[a:b][row]))
             if not found:
                 continue
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-            core = columns[0]
-            order = np.argsort(core, kind="stable")
-            columns = [c[order] for c in columns]
+            found.clear()
+            order = np.argsort(columns[0], kind="stable")
+            for i, c in enumerate(columns):  # one after another, so that few copies stand at a time
+                columns[i] = c[order]
             core = columns[0]
             start = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]])) if len(core) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(core)))
