@@ -54,3 +54,12 @@ def test_search_is_chronological_and_prunes(spark):
 def test_threads_keep_the_order_of_jobs(spark):
     assert learn.at_once(spark, [lambda k=k: spark.range(k).count() for k in range(5)], 3) == [0, 1, 2, 3, 4]
     assert learn.at_once(spark, []) == []
+
+
+def test_the_search_s_panel_holds_only_what_is_fitted(spark, monkeypatch):
+    from tidemark.plans import jobs
+
+    seen = []
+    monkeypatch.setattr(jobs.L, "model_search", lambda df, *_: seen.append(df.columns))
+    jobs.QUERIES["M04_model_search"](spark, "/root/testdata/sf0.001")
+    assert seen == [["rn", "label", *jobs.COLS]]

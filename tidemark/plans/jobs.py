@@ -142,15 +142,15 @@ def numbered(s, d):
 COLS = ["ret", "mom", "vr"]
 
 
-def kept(s, d):
-    """The numbered bars, written to the shared folder once: a fit reads its rows many times."""
-    path, df = folder(s, "panel"), numbered(s, d).select("symbol", "ts", "rn", "label", *COLS)
-    df.write.parquet(path)
+def kept(s, d, named=("symbol", "ts")):
+    """The numbered bars, written to the shared folder once: a fit reads its rows many times. What is not asked for takes no disk."""
+    path, df = folder(s, "panel"), numbered(s, d).select(*named, "rn", "label", *COLS)
+    df.write.option("compression", "zstd").parquet(path)
     return s.read.schema(df.schema).parquet(path)
 
 
-def panel(s, d):
-    return kept(s, d).dropna(subset=COLS)
+def panel(s, d, named=("symbol", "ts")):
+    return kept(s, d, named).dropna(subset=COLS)
 
 
 def parted(df, rn):
@@ -167,7 +167,7 @@ def _(s, d):
 query("M02_one_vs_rest")(lambda s, d: L.one_vs_rest(*parted(panel(s, d), 300), COLS, 1, 3)[0].groupBy("symbol").agg(F.avg("p").alias("p")))
 query("M03_pooled_against_own")(lambda s, d: L.pooled_against_own(panel(s, d), COLS, folder(s, "own"), trees=3, depth=3))
 query("M04_compare_depths")(lambda s, d: s.createDataFrame(sorted(L.compare_depths(*parted(panel(s, d), 300), COLS, (2, 4), trees=3)[0].items()), "depth int, macro_f1 double"))
-query("M04_model_search")(lambda s, d: L.model_search(panel(s, d), COLS, 250, 350, {"maxDepth": [2, 4], "numTrees": [3, 6]}))
+query("M04_model_search")(lambda s, d: L.model_search(panel(s, d, ()), COLS, 250, 350, {"maxDepth": [2, 4], "numTrees": [3, 6]}))
 
 
 @query("M05_score")
