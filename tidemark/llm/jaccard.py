@@ -39,6 +39,8 @@ WORDS = 5  # of a shingle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of one signature in one batch from which they travel as one.
 OFTEN = 32
+#: Bytes of text whose signatures a task holds at a time; numpy holds some 15 times as much.
+DEALT = 4 << 20
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 8
 _ODD = [f"odd{i}" for i in range(SKETCH)]
@@ -217,6 +219,12 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield ids[a:b], *sets(part, own)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by about DEALT bytes of text; a longer text comes alone."""
+    for a, b, *_ in _text.slices(*_text.buffers(batch.column("text")), DEALT):
+        yield batch.slice(a, b - a)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), n, key_a, key_b: size and name of each row's set."""
 
@@ -237,50 +245,53 @@ def suspects(docs: DataFrame, parts: int, allocated: tuple[int, ...] = USUAL) ->
 
     def deal(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            rows, ids, spares = [], [], []
-            met: set[tuple[int, int]] = set()
-            for own_ids, shingle, at in _each(batch):
-                a, b = set_keys(shingle, at)
-                fresh = np.zeros(len(own_ids), bool)
-                for i, k in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                    if k not in met:  # copies within the batch: one stands for all
-                        met.add(k)
-                        fresh[i] = True
-                row, band, seg, sig, filled = signatures(shingle, at, allocated)
-                keep = fresh[row]
-                ahead = sum(map(len, ids))
-                rows.append((row[keep] + ahead, band[keep], seg[keep], sig[keep]))
-                key, need, spare = needs(np.diff(at), row, band, seg, filled, allocated)
-                spares.append((spare, key + 64 * ahead))
-                ids.append(a)
-            if not rows:
-                continue
-            row, band, seg, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-            doc = np.concatenate(ids)
-            spare_of = [np.concatenate(x) for x in zip(*spares, strict=True)]
-            order = np.argsort(sig, kind="stable")
-            row, band, seg, sig = row[order], band[order], seg[order], sig[order]
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(sig)))
-            often = np.repeat(size >= OFTEN, size)
-            first = np.zeros(len(sig), bool)
-            first[start] = True
-            bucket = ((sig >> np.uint64(48)) % np.uint64(parts)).astype(np.int32)
-            # what is met often here is shared for certain; one entry of it tells the other batches
-            k, back = np.unique(row * 64 + band, return_inverse=True)
-            if len(k):
-                lines = np.stack([k % 64, np.bincount(back, often, len(k)).astype(np.int64), spare_of[0][np.searchsorted(spare_of[1], k)]])
-                yield pa.record_batch([pa.array(np.full(1, -1, np.int32)), pa.array([doc[k // 64].tobytes()]), pa.array([lines.tobytes()]), pa.array([b""]), pa.array([b""])], names=["bucket", "docs", "band", "row", "sig"])
-            out = np.flatnonzero(~often | first)
-            out = out[np.argsort(bucket[out], kind="stable")]
-            edge = np.searchsorted(bucket[out], np.arange(parts + 1))
-            for p in range(parts):
-                part = out[edge[p] : edge[p + 1]]
-                if len(part):
-                    k, back = np.unique(row[part] * 64 + band[part], return_inverse=True)
-                    mark = np.where(often[part], 0x80000000, 0).astype(np.uint32) | back.astype(np.uint32)
-                    six = sig[part].view(np.uint8).reshape(-1, 8)[:, :6]
-                    yield pa.record_batch([pa.array(np.full(1, p, np.int32)), pa.array([doc[k // 64].tobytes()]), pa.array([(k % 64).astype(np.uint8).tobytes()]), pa.array([mark.tobytes()]), pa.array([np.ascontiguousarray(six.T).tobytes()])], names=["bucket", "docs", "band", "row", "sig"])
+            met: set[tuple[int, int]] = set()  # copies within the batch: one stands for all
+            for piece in _pieces(batch):
+                yield from dealt_piece(piece, met)
+
+    def dealt_piece(piece: pa.RecordBatch, met: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        rows, ids, spares = [], [], []
+        for own_ids, shingle, at in _each(piece):
+            a, b = set_keys(shingle, at)
+            fresh = np.zeros(len(own_ids), bool)
+            for i, k in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                if k not in met:
+                    met.add(k)
+                    fresh[i] = True
+            row, band, seg, sig, filled = signatures(shingle, at, allocated)
+            keep = fresh[row]
+            ahead = sum(map(len, ids))
+            rows.append((row[keep] + ahead, band[keep], sig[keep]))
+            key, need, spare = needs(np.diff(at), row, band, seg, filled, allocated)
+            spares.append((spare, key + 64 * ahead))
+            ids.append(a)
+        row, band, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
+        doc = np.concatenate(ids)
+        spare_of = [np.concatenate(x) for x in zip(*spares, strict=True)]
+        rows.clear()
+        order = np.argsort(sig, kind="stable")
+        row, band, sig = row[order], band[order], sig[order]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(sig)))
+        often = np.repeat(size >= OFTEN, size)
+        first = np.zeros(len(sig), bool)
+        first[start] = True
+        bucket = ((sig >> np.uint64(48)) % np.uint64(parts)).astype(np.int32)
+        # what is met often here is shared for certain; one entry of it tells the other pieces
+        k, back = np.unique(row * 64 + band, return_inverse=True)
+        if len(k):
+            lines = np.stack([k % 64, np.bincount(back, often, len(k)).astype(np.int64), spare_of[0][np.searchsorted(spare_of[1], k)]])
+            yield pa.record_batch([pa.array(np.full(1, -1, np.int32)), pa.array([doc[k // 64].tobytes()]), pa.array([lines.tobytes()]), pa.array([b""]), pa.array([b""])], names=["bucket", "docs", "band", "row", "sig"])
+        out = np.flatnonzero(~often | first)
+        out = out[np.argsort(bucket[out], kind="stable")]
+        edge = np.searchsorted(bucket[out], np.arange(parts + 1))
+        for p in range(parts):
+            part = out[edge[p] : edge[p + 1]]
+            if len(part):
+                k, back = np.unique(row[part] * 64 + band[part], return_inverse=True)
+                mark = np.where(often[part], 0x80000000, 0).astype(np.uint32) | back.astype(np.uint32)
+                six = sig[part].view(np.uint8).reshape(-1, 8)[:, :6]
+                yield pa.record_batch([pa.array(np.full(1, p, np.int32)), pa.array([doc[k // 64].tobytes()]), pa.array([(k % 64).astype(np.uint8).tobytes()]), pa.array([mark.tobytes()]), pa.array([np.ascontiguousarray(six.T).tobytes()])], names=["bucket", "docs", "band", "row", "sig"])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         names = ["key_a", "band", "shared", "spare"]
