@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import jaccard
+from tidemark.llm import collocations, jaccard
 
 
 class Caught(Exception):
@@ -42,3 +42,7 @@ def texts() -> pa.RecordBatch:
 
 def test_signatures_are_dealt_out_in_pieces(texts):
     assert peak(lambda docs: jaccard.suspects(docs, 50), texts) < 45
+
+
+def test_counted_pairs_are_handed_on(texts):
+    assert peak(lambda docs: collocations._bloom(docs, 30, lambda w: iter([np.unique(w.hashes()[1][w.pairs()], return_counts=True)])), texts) < 75

@@ -36,9 +36,11 @@ WIDTH = 4
 #: Bits of the Bloom filter of frequent pairs (8 MB), a fixed bound of what is sent to every task.
 BITS = 1 << 26
 #: Bytes of text whose graph a task builds at a time; a longer text is taken alone. Numpy holds some 40 times as much.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: The same where phrases are only counted.
+COUNTED = 1 << 19
 #: Distinct pairs that a task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 500_000
 #: Parts of a language in which the best are found before they meet.
 SHARES = 16
 STRETCH = "lang string, words string, n long, ended boolean"
@@ -160,22 +162,29 @@ def stretches(words: Words, reads: np.ndarray, wanted: np.ndarray) -> list[tuple
     return out
 
 
-def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+def _chunks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[Words]:
+    """The words of about ``most`` bytes of text at a time. Who asks for the next ones holds the last ones no more."""
     held, size = [], 0
+
+    def words() -> Words:
+        texts, langs = pa.concat_arrays([x for x, _ in held]), [y for _, ys in held for y in ys]
+        held.clear()
+        return Words(texts, langs)
+
     for batch in parts:
         lang, text = batch.column("lang").to_pylist(), batch.column("text")
         _, offsets = _text.buffers(text)
         at = 0
         while at < len(lang):  # rows until the chunk is full, one at least
-            end = min(len(lang), max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK - size, "right")) - 1))
+            end = min(len(lang), max(at + 1, int(np.searchsorted(offsets, offsets[at] + most - size, "right")) - 1))
             held.append((text.slice(at, end - at).cast(pa.large_string()), lang[at:end]))
             size += int(offsets[end] - offsets[at])
             at = end
-            if size >= CHUNK:
-                yield Words(pa.concat_arrays([x for x, _ in held]), [y for _, ys in held for y in ys])
-                held, size = [], 0
+            if size >= most:
+                yield words()
+                size = 0
     if held:
-        yield Words(pa.concat_arrays([x for x, _ in held]), [y for _, ys in held for y in ys])
+        yield words()
 
 
 def _bloom(docs: DataFrame, least: int, found) -> np.ndarray:
@@ -186,13 +195,14 @@ def _bloom(docs: DataFrame, least: int, found) -> np.ndarray:
             return _text.batches({"h": h.view(np.int64), "n": n}, pa.schema([("h", pa.int64()), ("n", pa.int64())]), 1 << 16)
 
         h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for words in _chunks(parts):
+        for words in _chunks(parts, COUNTED):
             for more, k in found(words):
                 h, at = np.unique(np.concatenate([h, more]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n, k]), len(h)).astype(np.int64)
+            words = more = k = at = None  # before the next ones are read
             if len(h) >= HELD:
                 yield from out()
-                h, n = h[:0], n[:0]
+                h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield from out()
 
     often = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -236,7 +246,7 @@ def paths(docs: DataFrame, least: int) -> DataFrame:
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, rest = sent.value
-        for words in _chunks(parts):
+        for words in _chunks(parts, CHUNK):
             one, two, three = words.hashes()
             reads, wanted = reach(words.pairs() & holds(pairs, two), holds(rest, three)), holds(rest, one)
             for first, last, n, ended in stretches(words, reads, wanted):
@@ -246,6 +256,7 @@ def paths(docs: DataFrame, least: int) -> DataFrame:
                     yield pa.record_batch([lang, words.phrases(a, b), pa.array(n[at : at + (1 << 14)], pa.int64()), pa.array(np.full(len(a), ended))], schema=_FIELDS)
             left = np.bincount(words.lang[(reads == 1) & ~wanted], minlength=len(words.names))  # only their number counts
             yield pa.record_batch([pa.array(words.names, pa.string()), pa.array([""] * len(left), pa.large_string()), pa.array(left, pa.int64()), pa.array([True] * len(left))], schema=_FIELDS)
+            words = one = two = three = reads = wanted = first = last = n = ended = a = b = lang = None  # before the next ones are read
 
     return docs.mapInArrow(build, STRETCH)
 
