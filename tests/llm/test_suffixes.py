@@ -107,3 +107,17 @@ def test_loser_tree_equals_sorting():
         assert order == sorted(every)
         for a, b, (_, _, shared) in zip(order, order[1:], out[1:], strict=False):
             assert shared == next((i for i in range(6) if a[i] != b[i]), 6)
+
+
+def test_spans_of_many_rows_are_united_at_once():
+    rng = np.random.default_rng(4)
+    row, start = rng.integers(0, 50, 900), rng.integers(0, 3000, 900)
+    end = start + rng.integers(1, 60, 900)
+    found = list(zip(*(x.tolist() for x in suffixes._union(row, start, end)), strict=True))
+    expected = []
+    for r in range(50):
+        held = {i for a, b in zip(start[row == r].tolist(), end[row == r].tolist(), strict=True) for i in range(2 * a, 2 * b + 1)}  # touching spans are one
+        edges = sorted(i for i in held if (i - 1 in held) != (i + 1 in held))
+        expected += [(r, a // 2, b // 2) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    assert found == expected
+    assert all(len(x) == 0 for x in suffixes._union(*[np.zeros(0, np.int64)] * 3))

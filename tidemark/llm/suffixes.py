@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,14 +239,16 @@ def covered(named: DataFrame) -> DataFrame:
     return marked.groupBy("name", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def _union(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows in order, those of a row that touch or overlap as one."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    far = np.int64(1 + end.max())  # rows lie apart by more than any span reaches
+    reach = np.maximum.accumulate(end + row * far) - row * far
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > reach[:-1])]))
+    return row[new], start[new], reach[np.append(new[1:], len(row)) - 1]
 
 
 def cut(docs: DataFrame, *carried: str) -> DataFrame:
@@ -259,20 +262,20 @@ def cut(docs: DataFrame, *carried: str) -> DataFrame:
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             data, offsets = _text.buffers(batch.column("text"))
-            column = batch.column("spans")
-            removed, spans, kept = [], [], []
-            for i in range(len(offsets) - 1):
-                own = data[offsets[i] : offsets[i + 1]].tobytes()
-                gone = _union([(s["start"], s["end"]) for s in column[i].as_py()]) if column[i].is_valid else []
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(own[at:a])
-                    at = b
-                kept.append(b"".join([*parts, own[at:]]))
-                removed.append(sum(b - a for a, b in gone))
-                spans.append([{"start": a, "end": b} for a, b in gone])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column("row"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            column, n = batch.column("spans"), len(offsets) - 1
+            count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            asked = column.flatten()
+            row, start, end = _union(np.repeat(np.arange(n), count), np.asarray(asked.field("start")), np.asarray(asked.field("end")))
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[offsets[row] + start] += 1
+            edge[offsets[row] + end] -= 1  # a span may end where another row's begins
+            stays = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            removed = np.bincount(row, end - start, n).astype(np.int64)
+            held = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(held.astype(np.int64)), pa.py_buffer(data[stays])]).cast(pa.binary())
+            first = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
+            yield pa.record_batch([batch.column("row"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(first).astype(np.int64)), kept, spans], names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     kind = named.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
