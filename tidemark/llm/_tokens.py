@@ -10,15 +10,22 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain, filterfalse, pairwise
+from itertools import pairwise
 
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that its memory starts anew.
-MEMORY = 600_000
+MEMORY = 1_200_000
 _UNSAFE = re.compile(r"\s ")
 
 
+class _Known(dict):
+    """Ids by piece; a piece that is not known stands for itself."""
+
+    def __missing__(self, piece: str) -> str:
+        return piece
+
+
 class Encoder:
     def __init__(self, path: str, end_id: int = 0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,7 +34,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}  # by piece without the space before it
+        self.known: dict[str, bytes] = _Known()  # by piece without the space before it
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte-level token has a character for each byte
@@ -39,18 +46,19 @@ class Encoder:
             cut.append([] if not text else None if _UNSAFE.search(text) else text.split(" "))
         # in these texts only the last piece can be empty or end in white space
         loose = {pieces[-1] for pieces in cut if pieces and len(pieces) > 1 and (not pieces[-1] or pieces[-1][-1].isspace())}
-        new = self._unknown(cut)
+        look = self.known.__getitem__
+        found = [list(map(look, pieces[1:])) if pieces else [] for pieces in cut]
+        new = {x for own in found for x in own if type(x) is str}
         if new and len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = self._unknown(cut)
+            self.known.clear()
         self._learn(list(new - loose))
         for x in new & loose:  # a space may not follow these
             self.known[x] = self._alone(" " + x)
-        known, end = self.known.__getitem__, self.end
-        return [(self._alone(text) if pieces is None else self._alone(pieces[0]) + b"".join(map(known, pieces[1:])) if pieces else b"") + end for text, pieces in zip(texts, cut, strict=True)]
-
-    def _unknown(self, cut: list[list[str] | None]) -> set[str]:
-        return set(filterfalse(self.known.__contains__, chain.from_iterable(pieces[1:] for pieces in cut if pieces)))
+        out = []
+        for text, pieces, own in zip(texts, cut, found, strict=True):
+            first = self._alone(text) if pieces is None else self._alone(pieces[0]) if pieces else b""
+            out.append(first + b"".join([look(x) if type(x) is str else x for x in own]) + self.end)
+        return out
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""

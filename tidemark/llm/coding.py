@@ -4,15 +4,16 @@ A file part holds segments of whole documents. A segment's ids are cut into bloc
 independently: every block starts from reset models, has its own bytes and its own crc32, and is coded side by side with
 the others, one numpy lane a block, so that one step of the coder serves all blocks of the segment.
 
-Each id is coded in one or two events. Two tables of the block, indexed by the last two ids (order 2) and by the last id
-(order 1), hold the id that followed last and how often it was right in a row. The first event has three outcomes: the
-order-2 guess, the order-1 guess, neither. The chance of the first outcome mixes two adaptive estimates, one met under
-the confidence of the order-2 guess, one under that of the order-1 guess and whether both agree, in the logistic domain
-with weights learnt online; all in integers, so that the decoder repeats it exactly. An id that is neither guess
-is coded by the order-0 model: the segment's id frequencies, sent once in its head.
-
-The range coder keeps 64 bits of low and range and gives out 16 bits at a time; a range that would get too small at an
-undecided carry is cut at the carry. Null texts count as empty; an empty table gives no rows.
+Each id is coded in one step. Two tables of the block, indexed by the last two ids (order 2) and by the last id
+(order 1), hold the id that followed last and whether it had been right. The step has three outcomes: the order-2 guess,
+the order-1 guess, neither. The chance of the first mixes two adaptive estimates, one met under the mark of the order-2
+guess, one under that of the order-1 guess and whether both agree, in the logistic domain with weights learnt online; all
+in integers, so that the decoder repeats it exactly. Tables learn from every id, chances and weights at the steps in
+TURNS, from the counts since the last one. An id that is neither guess is coded within the third outcome by the order-0
+model: the segment's id frequencies, sent once in its head.
+
+The range coder keeps 64 bits of low and range and gives out 32 bits once the range is below 2**32; a carry goes into the
+words given out before. Null texts count as empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,83 +30,121 @@ from tidemark.llm import _shared, _tokens
 
 BLOCK = 1024  # ids of a block
 LANES = 2048  # blocks that are coded side by side
-SLOTS = 2048  # entries of each table
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _U12 = np.uint64(16), np.uint64(12)
+SLOTS = 512  # entries of each table
+#: Steps after which chances and weights are set anew.
+TURNS = frozenset([16, 64, 256, 512])
+ROWS = 8  # steps whose codes the coder works out at once
+_LOW = np.uint64(1 << 32)
+_U32, _U28, _U16, _U12 = np.uint64(32), np.uint64(28), np.uint64(16), np.uint64(12)
+_WORDS = BLOCK + 2  # an id gives out a word at most, the end two
 
 
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
     """Integer tables: stretch of a 12-bit chance to -2047..2047 and squash back; built by rule from integers alone."""
     knots = [round(4096 / (1 + 2.718281828 ** (-x / 256))) for x in range(-2048, 2049)]
-    squash = np.clip(np.array(knots, np.int32), 1, 4095)
-    stretch = np.clip(np.searchsorted(squash, np.arange(4096)) - 2048, -2047, 2047).astype(np.int32)
+    squash = np.clip(np.array(knots), 1, 4095)
+    stretch = np.clip(np.searchsorted(squash, np.arange(4096)) - 2048, -2047, 2047)
     return stretch, squash
 
 
 _STRETCH, _SQUASH = _logistic()
+_WRONG = np.array([[2], [8]], np.int32)  # marks of both tables
+_RIGHT = 2 * _WRONG
+_OUTCOME = np.array([2, 1, 0, 0])  # by whether the order-1 and twice whether the order-2 guess is right
 
 
 class Models:
-    """Guesses and chances of all lanes, advanced by the ids that were coded."""
+    """Guesses and chances of all lanes, advanced by the ids that were coded.
+
+    An entry is 32 times the guessed id + 1, and a mark in two bits of its table's own: 1, or 2 if the guess was right at
+    last. A lane's context is one of 24: the marks of both guesses (0: none) and whether they agree.
+    """
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in (1, 2)]  # (guess + 1) * 8 + sure: one look a table
-        self.chance = [np.full(lanes * 8, 2048, np.int32), np.full(lanes * 16, 1024, np.int32)]
-        self.second = np.full(lanes * 16, 1024, np.int32)
-        self.weight = [np.full(lanes, 1 << 15, np.int32) for _ in (1, 2)]
-        self.last = np.zeros(lanes, np.int64)
+        own = np.arange(lanes, dtype=np.int64)
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # order 1, then order 2
+        self.base = np.stack([own, own + lanes]) * SLOTS
+        self.lane = own * 24
+        self.hash = np.zeros((2, lanes), np.int64)
         self.before = np.zeros(lanes, np.int64)
+        self.met: list[np.ndarray] = []  # contexts * 4 + outcomes since chances were set
+        self.weight = [np.full(lanes, 1 << 15, np.int64) for _ in (1, 2)]
+        self.seen2, self.right2 = np.full((lanes, 3), 4, np.int64), np.full((lanes, 3), 2, np.int64)
+        self.seen1, self.right1, self.late1 = np.full((lanes, 8), 4, np.int64), np.full((lanes, 8), 1, np.int64), np.full((lanes, 8), 1, np.int64)
+        self.mix()
 
     def keep(self, lanes: int) -> None:
         """Only the first lanes go on; the others' blocks have ended."""
-        self.base, self.last, self.before = self.base[:lanes], self.last[:lanes], self.before[:lanes]
-        self.weight = [w[:lanes] for w in self.weight]
-
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 guess, order-1 guess, chance of the first and of the second of 4096); -1: no guess, chance 0."""
-        base = self.base
-        self.at1 = base * SLOTS + ((self.last * 40503) >> 3) % SLOTS
-        self.at2 = base * SLOTS + ((self.last * 40503 + self.before * 60493) >> 4) % SLOTS
-        e1, e2 = self.table[0][self.at1], self.table[1][self.at2]
-        g1, g2 = (e1 >> 3) - 1, (e2 >> 3) - 1
-        self.s1, self.s2 = e1 & 7, e2 & 7
-        same = g1 == g2
-        self.c2 = base * 8 + self.s2
-        self.c1 = base * 16 + 2 * self.s1 + same
-        self.p2, self.p1 = self.chance[0][self.c2], self.chance[1][self.c1]
-        self.t2, self.t1 = _STRETCH[self.p2], _STRETCH[self.p1]
-        self.mixed = _SQUASH[np.clip((self.weight[0] * self.t2 + self.weight[1] * self.t1) >> 16, -2047, 2047) + 2048]
-        first = np.where(g2 >= 0, self.mixed, 0)
-        self.q = self.second[self.c1]
+        self.base, self.lane, self.hash, self.before = self.base[:, :lanes], self.lane[:lanes], self.hash[:, :lanes], self.before[:lanes]
+
+    def mix(self) -> None:
+        """For each lane and context the chances, of 4096, of the order-2 guess and of the order-1 guess, which are 0 where there is none."""
+        self.t2 = _STRETCH[(self.right2 << 12) // (self.seen2 + 1)]
+        self.t1 = _STRETCH[(self.right1 << 12) // (self.seen1 + 1)]
+        both = (self.weight[0][:, None] * self.t2)[:, :, None] + (self.weight[1][:, None] * self.t1)[:, None, :]
+        self.mixed = _SQUASH[np.clip(both >> 16, -2047, 2047) + 2048]
+        first = np.minimum(self.mixed, 4000)
+        first[:, 0] = 0
         rest = 4096 - first
-        second = np.where((g1 >= 0) & ~same, np.minimum((rest * self.q) >> 12, rest - 1), 0)
-        first = np.minimum(first, 4095 - second)
-        return g2, g1, first, second
-
-    def learn(self, ids: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
-        hit2, hit1 = ids == g2, ids == g1
-        error = np.where(g2 >= 0, (hit2.astype(np.int32) << 12) - self.mixed, 0)
-        self.weight[0] = np.clip(self.weight[0] + ((self.t2 * error) >> 9), -(1 << 18), 1 << 18)
-        self.weight[1] = np.clip(self.weight[1] + ((self.t1 * error) >> 9), -(1 << 18), 1 << 18)
-        bit = hit2.astype(np.int32) * 4095
-        self.chance[0][self.c2] = np.clip(self.p2 + ((bit - self.p2) >> 4), 16, 4080)
-        self.chance[1][self.c1] = np.clip(self.p1 + ((bit - self.p1) >> 4), 16, 4080)
-        self.second[self.c1] = np.where(hit2, self.q, np.clip(self.q + ((hit1.astype(np.int32) * 4095 - self.q) >> 4), 16, 3000))
-        entry = (ids + 1) << 3
-        self.table[0][self.at1] = entry + np.where(hit1, np.minimum(self.s1 + 1, 7), 0)
-        self.table[1][self.at2] = entry + np.where(hit2, np.minimum(self.s2 + 1, 7), 0)
-        self.before, self.last = self.last, ids.astype(np.int64)
+        late = (self.late1 << 12) // (self.seen1 - self.right1 + self.late1 + 1)
+        second = np.clip((rest * late[:, None, :]) >> 12, 1, rest - 1)
+        second[:, :, :2] = 0
+        second[:, :, 1::2] = 0
+        self.first, self.second = first.ravel(), second.ravel()
+
+    def turn(self) -> None:
+        """Chances and weights learn from what was met since the last time."""
+        met = np.bincount(np.concatenate(self.met), minlength=96 * len(self.seen2)).reshape(-1, 3, 8, 4)
+        self.met = []
+        right, late = met[..., 0], met[..., 1]
+        n = right + late + met[..., 2]
+        error = (right << 12) - n * self.mixed
+        error[:, 0] = 0
+        for weight, t, e in zip(self.weight, (self.t2, self.t1), (error.sum(2), error.sum(1)), strict=True):
+            weight += (t * e).sum(1) >> 12
+            np.clip(weight, -(1 << 18), 1 << 18, out=weight)
+        self.seen2 += n.sum(2)
+        self.right2 += right.sum(2)
+        self.seen1 += n.sum(1)
+        self.right1 += right.sum(1)
+        self.late1 += late.sum(1)
+        self.mix()
+
+    def look(self) -> np.ndarray:
+        """The lanes' contexts; ``entry`` holds both guesses."""
+        self.at = ((self.hash >> 6) & (SLOTS - 1)) + self.base
+        self.entry = self.table.take(self.at)
+        one, two = self.entry
+        return self.lane + (((one | two) & 30) + ((one ^ two) < 32))
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Whether the order-1 and the order-2 guess were right."""
+        new = ((ids + 1) << 5).astype(np.int32)
+        right = (self.entry ^ new) < 32
+        self.table[self.at] = np.where(right, new + _RIGHT, new + _WRONG)
+        np.multiply(ids, 40503, out=self.hash[0])
+        np.add(self.hash[0], self.before, out=self.hash[1])
+        self.before = ids * 60493
+        return right
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, their frequencies as 16-bit shares that sum to 65536)."""
-    known, n = np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    known = np.flatnonzero(n)
+    n = n[known]
     share = np.maximum(1, n * (65536 - len(known)) // n.sum())
     share[np.argmax(share)] += 65536 - share.sum()
     return known, share
 
 
+def _spread(known: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By id: the ids' shares before it and its own."""
+    before, own = np.zeros(65536, np.uint64), np.zeros(65536, np.uint64)
+    before[known], own[known] = np.cumsum(share) - share, share
+    return before, own
+
+
 def _lanes(n: int) -> tuple[int, np.ndarray]:
     """Number of blocks of n ids and the ids of each, longest first."""
     size = np.full(-(-n // BLOCK), BLOCK)
@@ -117,53 +156,78 @@ def _lanes(n: int) -> tuple[int, np.ndarray]:
 def encode(ids: np.ndarray) -> tuple[bytes, list[dict]]:
     """(head with the order-0 model, blocks with n_ids, crc32 and payload) of at most LANES * BLOCK ids below 65536."""
     known, share = order0(ids)
+    if known[-1] > 65535:
+        raise ValueError(f"id {known[-1]} does not fit 16 bits")
     head = known.astype("<u2").tobytes() + (share - 1).astype("<u2").tobytes()
-    low0 = np.cumsum(share) - share
-    slot = np.zeros(65536, np.int64)
-    slot[known] = np.arange(len(known))
+    before, share_of = _spread(known, share)
     lanes, size = _lanes(len(ids))
-    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid = np.zeros(lanes * BLOCK, np.int64)
     grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, BLOCK)
+    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    out = np.zeros((lanes, 2 * BLOCK + 8), "<u2")
-    fill = np.zeros(lanes, np.int64)
-    models, live = Models(lanes), lanes
-    with np.errstate(over="ignore"):
-        for step in range(BLOCK):
-            if step >= size[live - 1]:
-                live -= 1
-                models.keep(live)
-                if not live:
-                    break
-            x, lo, sp = grid[:live, step], low[:live], span[:live]
-            g2, g1, first, second = models.look()
-            hit2 = x == g2
-            hit1 = (x == g1) & ~hit2 & (second > 0)
-            part = sp >> _U12
-            start = np.where(hit2, 0, np.where(hit1, first, first + second)).astype(np.uint64)
-            width = np.where(hit2, first, np.where(hit1, second, 4096 - first - second)).astype(np.uint64)
-            lo = lo + part * start
-            sp = part * width
-            own = np.flatnonzero(~(hit2 | hit1))
-            k = slot[x[own]]
-            part = sp[own] >> _U16
-            lo[own] += part * low0[k].astype(np.uint64)
-            sp[own] = part * share[k].astype(np.uint64)
-            models.learn(x, g2, g1)
-            while len(todo := np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _LOW))):
-                a, b = lo[todo], sp[todo]
-                b = np.where((a ^ (a + b)) < _TOP, b, (np.uint64(0) - a) & (_LOW - np.uint64(1)))
-                out[todo, fill[todo]] = (a >> np.uint64(48)).astype(np.uint16)
-                fill[todo] += 1
-                lo[todo], sp[todo] = a << _U16, b << _U16
-            low[:live], span[:live] = lo, sp
-    for _ in range(4):
-        out[np.arange(lanes), fill] = (low >> np.uint64(48)).astype(np.uint16)
-        fill += 1
-        low <<= _U16
+    out = np.zeros(lanes * _WORDS, "<u4")
+    first = np.arange(lanes) * _WORDS
+    fill = first.copy()
+    models, live, rows = Models(lanes), lanes, []
+
+    def give() -> None:
+        """Codes the steps met since the last time, under the chances of the models."""
+        nonlocal low, span
+        x, met = np.concatenate(rows), np.concatenate(models.met[-len(rows) :])
+        context, outcome = met >> 2, met & 3
+        a, b = models.first.take(context), models.second.take(context)
+        rest, later = (4096 - a - b).view(np.uint64), outcome == 1
+        start, width = a * later, np.where(later, b, a)
+        start, width = (start << 16).view(np.uint64), (width << 16).view(np.uint64)
+        own = outcome == 2
+        np.copyto(start, ((a + b) << 16).view(np.uint64) + rest * before.take(x), where=own)
+        np.copyto(width, rest * share_of.take(x), where=own)
+        at = 0
+        for row in rows:
+            n = len(row)
+            if n < len(low):
+                ended.append((low[n:], fill[n:]))
+                low, span = low[:n], span[:n]
+            part = span >> _U28
+            more = part * start[at : at + n]
+            low = low + more
+            span = part * width[at : at + n]
+            at += n
+            over = np.flatnonzero(low < more)
+            back = fill[over] - 1
+            while len(back):
+                out[back] += np.uint32(1)
+                back = back[out[back] == 0] - 1
+            todo = np.flatnonzero(span < _LOW)
+            a, place = low[todo], fill[todo]
+            out[place] = a >> _U32
+            fill[todo] = place + 1
+            low[todo] = a << _U32
+            span[todo] <<= _U32
+        rows.clear()
+
+    ended: list[tuple[np.ndarray, np.ndarray]] = []
+    for step in range(size[0]):
+        if step == size[live - 1]:
+            live -= 1
+            models.keep(live)
+        if len(rows) == ROWS:
+            give()
+        if step in TURNS:
+            models.turn()
+        x = grid[step, :live]
+        context = models.look()
+        right = models.learn(x)
+        rows.append(x)
+        models.met.append((context << 2) + _OUTCOME[right[0] + 2 * right[1].view(np.int8)])
+    give()
+    for rest, place in [(low, fill[: len(low)]), *ended]:
+        out[place], out[place + 1] = rest >> _U32, rest & (_LOW - np.uint64(1))
+        place += 2
     raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
-    blocks = [{"n_ids": int(n), "crc32": zlib.crc32(raw[4 * BLOCK * i : 4 * (BLOCK * i + int(n))]), "payload": out[i, : fill[i]].tobytes()} for i, n in enumerate(size)]
+    words = memoryview(out.view(np.uint8))
+    ends = zip(size.tolist(), first.tolist(), fill.tolist(), strict=True)
+    blocks = [{"n_ids": n, "crc32": zlib.crc32(raw[4 * BLOCK * i : 4 * (BLOCK * i + n)]), "payload": bytes(words[4 * a : 4 * b])} for i, (n, a, b) in enumerate(ends)]
     return head, blocks
 
 
@@ -171,57 +235,53 @@ def decode(head: bytes, blocks: list[dict]) -> np.ndarray:
     """The ids; a block whose checksum differs raises ValueError."""
     table = np.frombuffer(head, "<u2").astype(np.int64).reshape(2, -1)
     known, share = table[0], table[1] + 1
-    low0 = np.cumsum(share) - share
-    at_slot = np.repeat(np.arange(len(known)), share)
+    before, own = _spread(known, share)
+    id_at = np.repeat(known, share)
     size = np.array([b["n_ids"] for b in blocks])
     lanes = len(blocks)
-    words = max(len(b["payload"]) for b in blocks) // 2 + 4
-    code_words = np.zeros((lanes, words), np.uint64)
+    words = np.zeros((lanes, _WORDS + 1), "<u4")
     for i, b in enumerate(blocks):
-        own = np.frombuffer(b["payload"], "<u2")
-        code_words[i, : len(own)] = own
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for i in range(4):
-        code = (code << _U16) | code_words[:, i]
-    read = np.full(lanes, 4, np.int64)
-    grid = np.zeros((lanes, BLOCK), np.int32)
+        payload = np.frombuffer(b["payload"], "<u4")
+        words[i, : len(payload)] = payload
+    code = (words[:, 0].astype(np.uint64) << _U32) | words[:, 1]
+    words = words.ravel()
+    read = np.arange(lanes) * (_WORDS + 1) + 2
+    span = np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+    grid = np.zeros((BLOCK, lanes), np.int32)
     models, live = Models(lanes), lanes
-    with np.errstate(over="ignore"):
-        for step in range(BLOCK):
-            if step >= size[live - 1]:
-                live -= 1
-                models.keep(live)
-                if not live:
-                    break
-            lo, sp, co = low[:live], span[:live], code[:live]
-            g2, g1, first, second = models.look()
-            part = sp >> _U12
-            value = np.minimum((co - lo) // part, np.uint64(4095)).astype(np.int64)
-            hit2 = value < first
-            hit1 = ~hit2 & (value < first + second)
-            start = np.where(hit2, 0, np.where(hit1, first, first + second)).astype(np.uint64)
-            width = np.where(hit2, first, np.where(hit1, second, 4096 - first - second)).astype(np.uint64)
-            lo = lo + part * start
-            sp = part * width
-            x = np.where(hit2, g2, g1)
-            own = np.flatnonzero(~(hit2 | hit1))
-            part = sp[own] >> _U16
-            k = at_slot[np.minimum((co[own] - lo[own]) // part, np.uint64(65535)).astype(np.int64)]
-            x[own] = known[k]
-            lo[own] += part * low0[k].astype(np.uint64)
-            sp[own] = part * share[k].astype(np.uint64)
-            models.learn(x, g2, g1)
-            grid[:live, step] = x
-            co = co.copy()
-            while len(todo := np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _LOW))):
-                a, b = lo[todo], sp[todo]
-                b = np.where((a ^ (a + b)) < _TOP, b, (np.uint64(0) - a) & (_LOW - np.uint64(1)))
-                co[todo] = (co[todo] << _U16) | code_words[todo, np.minimum(read[todo], words - 1)]
-                read[todo] += 1
-                lo[todo], sp[todo] = a << _U16, b << _U16
-            low[:live], span[:live], code[:live] = lo, sp, co
-    ids = np.concatenate([grid[i, :n] for i, n in enumerate(size)]).astype("<u4")
+    for step in range(size[0]):
+        if step == size[live - 1]:
+            live -= 1
+            models.keep(live)
+            code, span = code[:live], span[:live]
+        if step in TURNS:
+            models.turn()
+        if step == 0 or step in TURNS:
+            upper1 = models.first.astype(np.uint64) << _U16
+            upper2 = upper1 + (models.second.astype(np.uint64) << _U16)
+        context = models.look()
+        part = span >> _U28
+        end1, end2 = part * upper1.take(context), part * upper2.take(context)
+        hit2, hit = code < end1, code < end2
+        unit = (part << _U12) - (end2 >> _U16)
+        x = id_at.take(((code - end2) // unit).view(np.int64), mode="clip")
+        start, span = unit * before.take(x), unit * own.take(x)
+        start += end2
+        guess = (models.entry >> 5) - 1
+        for where, end, width, ids in ((hit, end1, end2 - end1, guess[0]), (hit2, np.uint64(0), end1, guess[1])):
+            np.copyto(start, end, where=where)
+            np.copyto(span, width, where=where)
+            np.copyto(x, ids, where=where)
+        code = code - start
+        grid[step, :live] = x
+        models.learn(x)
+        models.met.append((context << 2) + (2 - hit.astype(np.int8) - hit2))
+        todo = np.flatnonzero(span < _LOW)
+        place = read[todo]
+        code[todo] = (code[todo] << _U32) | words[place]
+        read[todo] = place + 1
+        span[todo] <<= _U32
+    ids = np.ascontiguousarray(grid.T).ravel()[: (lanes - 1) * BLOCK + size[-1]].astype("<u4")
     raw, at = memoryview(ids.tobytes()), 0
     for i, b in enumerate(blocks):
         if zlib.crc32(raw[at : at + 4 * b["n_ids"]]) != b["crc32"]:
