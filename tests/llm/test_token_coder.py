@@ -1,9 +1,9 @@
-"""The coder of token-id files: its cost a block, carries, damage, ids it cannot hold."""
+"""Token-id files: the cost of the coder, carries, damage, ids it cannot hold; what the encoder remembers."""
 
 import numpy as np
 import pytest
 
-from tidemark.llm import coding
+from tidemark.llm import _tokens, coding
 
 
 def test_chances_are_set_a_few_times_a_block(monkeypatch):
@@ -39,3 +39,27 @@ def test_damaged_payloads_are_found():
 def test_ids_over_16_bits_are_refused():
     with pytest.raises(ValueError):
         coding.encode(np.array([3, 65_536]))
+
+
+def test_words_and_tails_met_before_are_not_encoded_again(monkeypatch):
+    encoder = _tokens.Encoder(_tokens.default_path())
+    encoder.encode(["x alpha beta, gamma.\nThis"])
+    asked, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: (asked.extend(pieces), learn(pieces)))
+    texts = ["x alpha, beta.\nThis gamma, delta.\nThis gamma.\nThis alpha.\nThis", "x été, été ÿ, don't, don't. a,b, a.b.\n", "x œuvre, Ünder: a::b a: b:", "x a.\n\nb c,\td b, a é.́"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert not {"alpha,", "beta.\nThis", "gamma,", "gamma.\nThis"} & set(asked)
+    assert {"delta", "été"} <= set(asked)
+    assert got == [[*encoder.library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_a_full_memory_keeps_what_was_met_first(monkeypatch):
+    monkeypatch.setattr(_tokens, "MEMORY", 40)
+    encoder = _tokens.Encoder(_tokens.default_path())
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        texts = [" ".join(["of", "the,", *(f"w{k}x." for k in rng.integers(0, 500, 6)), "end"]) for _ in range(2)]
+        want = [[*encoder.library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+        assert len(encoder.known) <= 60
+    assert "the," in encoder.known and "end" in encoder.known

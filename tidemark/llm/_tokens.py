@@ -2,7 +2,9 @@
 
 A byte-level BPE of the usual pre-tokenisation never joins a character that is not white space to a space after it,
 so a text may be cut before each such space and the pieces encoded alone. Pieces recur, so most cost one dictionary
-look-up. A text in which a space follows white space is given to the library whole. The result equals the library's.
+look-up. Nor does it join a letter to a mark or line break after it, so a new piece that is a word and such a tail, both met
+before, is put together from their ids. A text in which a space follows white space is given to the library whole. The
+result equals the library's.
 """
 
 from __future__ import annotations
@@ -10,19 +12,27 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from itertools import pairwise
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond that its memory starts anew.
+#: Pieces that a worker remembers; beyond that it forgets the half met last, as frequent ones are met early.
 MEMORY = 1_200_000
-_UNSAFE = re.compile(r"\s ")
+#: Each white space before a space.
+_UNSAFE = [c + " " for c in map(chr, range(0x110000)) if c.isspace()]
+#: A word of letters that are letters in every version of Unicode, and what follows it.
+_TAILED = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?\n].*)", re.DOTALL)
 
 
 class _Known(dict):
-    """Ids by piece; a piece that is not known stands for itself."""
+    """Ids by piece; a piece that is not known stands for itself and is noted."""
+
+    def __init__(self):
+        self.missed: list[str] = []
 
     def __missing__(self, piece: str) -> str:
+        self.missed.append(piece)
         return piece
 
 
@@ -34,7 +44,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = _Known()  # by piece without the space before it
+        self.known = _Known()  # by piece without the space before it
+        self.tails: dict[str, bytes] = {}  # by what follows a word within its piece
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte-level token has a character for each byte
@@ -43,15 +54,18 @@ class Encoder:
         """Of each text (null: empty) its ids and the end id, as little-endian unsigned 32-bit integers."""
         cut: list[list[str] | None] = []
         for text in texts:
-            cut.append([] if not text else None if _UNSAFE.search(text) else text.split(" "))
+            cut.append([] if not text else None if any(map(text.__contains__, _UNSAFE)) else text.split(" "))
         # in these texts only the last piece can be empty or end in white space
         loose = {pieces[-1] for pieces in cut if pieces and len(pieces) > 1 and (not pieces[-1] or pieces[-1][-1].isspace())}
         look = self.known.__getitem__
         found = [list(map(look, pieces[1:])) if pieces else [] for pieces in cut]
-        new = {x for own in found for x in own if type(x) is str}
+        new = set(self.known.missed)
+        self.known.missed.clear()
         if new and len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-        self._learn(list(new - loose))
+            while len(self.known) > MEMORY // 2:
+                self.known.popitem()
+            self.tails.clear()
+        self._extend(new - loose)
         for x in new & loose:  # a space may not follow these
             self.known[x] = self._alone(" " + x)
         out = []
@@ -60,6 +74,25 @@ class Encoder:
             out.append(first + b"".join([look(x) if type(x) is str else x for x in own]) + self.end)
         return out
 
+    def _extend(self, new: set[str]) -> None:
+        """Makes these pieces known, from their words and tails where it can."""
+        whole, joint, first = set(), [], {}
+        for x in new:
+            if cut := _TAILED.fullmatch(x):
+                word, tail = cut.groups()
+                if word not in self.known:
+                    whole.add(word)
+                if tail in self.tails or tail in first:
+                    joint.append((x, word, tail))
+                    continue
+                first[tail] = x, word
+            whole.add(x)
+        self._learn(list(whole))
+        for tail, (x, word) in first.items():
+            self.tails[tail] = self.known[x][len(self.known[word]) :]
+        for x, word, tail in joint:
+            self.known[x] = self.known[word] + self.tails[tail]
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
@@ -72,7 +105,7 @@ class Encoder:
             groups = [pieces[i : i + 128] for i in range(at, min(at + 16384, len(pieces)), 128)]
             joined = [" " + " ".join(g) for g in groups]
             for group, text, got in zip(groups, joined, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, "<u4")
+                ids = np.frombuffer(array("I", got.ids), np.uint32)
                 data = np.frombuffer(text.encode(), np.uint8)
                 starts = np.append(np.flatnonzero(data == 0x20), len(data))
                 edge = (4 * np.searchsorted(np.cumsum(self.size[ids]), starts, "right")).tolist()

@@ -4,13 +4,13 @@ A file part holds segments of whole documents. A segment's ids are cut into bloc
 independently: every block starts from reset models, has its own bytes and its own crc32, and is coded side by side with
 the others, one numpy lane a block, so that one step of the coder serves all blocks of the segment.
 
-Each id is coded in one step. Two tables of the block, indexed by the last two ids (order 2) and by the last id
-(order 1), hold the id that followed last and whether it had been right. The step has three outcomes: the order-2 guess,
-the order-1 guess, neither. The chance of the first mixes two adaptive estimates, one met under the mark of the order-2
-guess, one under that of the order-1 guess and whether both agree, in the logistic domain with weights learnt online; all
-in integers, so that the decoder repeats it exactly. Tables learn from every id, chances and weights at the steps in
-TURNS, from the counts since the last one. An id that is neither guess is coded within the third outcome by the order-0
-model: the segment's id frequencies, sent once in its head.
+Each id is coded in one step. A table of the block, indexed by the last id (order 1), holds the id that followed last,
+whether it had been right, and a tag of the id before (order 2). A step has two outcomes: the guess, or not. Its chance
+mixes two adaptive estimates, one met under the mark of order 1, one under whether the tag of order 2 agrees and whether
+the guess before was right, in the logistic domain with weights learnt online; all in integers, so that the decoder
+repeats it exactly. The table learns from every id, chances and weights at the steps in TURNS, from the counts since the
+last one. An id that is not the guess is coded within the second outcome by the order-0 model: the segment's id
+frequencies, sent once in its head.
 
 The range coder keeps 64 bits of low and range and gives out 32 bits once the range is below 2**32; a carry goes into the
 words given out before. Null texts count as empty; an empty table gives no rows.
@@ -35,7 +35,7 @@ SLOTS = 512  # entries of each table
 TURNS = frozenset([16, 64, 256, 512])
 ROWS = 8  # steps whose codes the coder works out at once
 _LOW = np.uint64(1 << 32)
-_U32, _U28, _U16, _U12 = np.uint64(32), np.uint64(28), np.uint64(16), np.uint64(12)
+_U32, _U28, _U16, _U12, _ALL = np.uint64(32), np.uint64(28), np.uint64(16), np.uint64(12), np.uint64(4096)
 _WORDS = BLOCK + 2  # an id gives out a word at most, the end two
 
 
@@ -48,84 +48,70 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
 
 
 _STRETCH, _SQUASH = _logistic()
-_WRONG = np.array([[2], [8]], np.int32)  # marks of both tables
-_RIGHT = 2 * _WRONG
-_OUTCOME = np.array([2, 1, 0, 0])  # by whether the order-1 and twice whether the order-2 guess is right
 
 
 class Models:
     """Guesses and chances of all lanes, advanced by the ids that were coded.
 
-    An entry is 32 times the guessed id + 1, and a mark in two bits of its table's own: 1, or 2 if the guess was right at
-    last. A lane's context is one of 24: the marks of both guesses (0: none) and whether they agree.
+    An entry is 128 times the guessed id + 1, four times the tag, and a mark: 1, or 2 if the guess was right at last. A
+    lane's context is one of 12: the mark (0: no guess), whether the tag agrees, whether the guess before was right.
     """
 
     def __init__(self, lanes: int):
         own = np.arange(lanes, dtype=np.int64)
-        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # order 1, then order 2
-        self.base = np.stack([own, own + lanes]) * SLOTS
-        self.lane = own * 24
-        self.hash = np.zeros((2, lanes), np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.met: list[np.ndarray] = []  # contexts * 4 + outcomes since chances were set
-        self.weight = [np.full(lanes, 1 << 15, np.int64) for _ in (1, 2)]
-        self.seen2, self.right2 = np.full((lanes, 3), 4, np.int64), np.full((lanes, 3), 2, np.int64)
-        self.seen1, self.right1, self.late1 = np.full((lanes, 8), 4, np.int64), np.full((lanes, 8), 1, np.int64), np.full((lanes, 8), 1, np.int64)
+        self.table = np.zeros(lanes * SLOTS, np.int64)
+        self.base, self.lane = own * SLOTS, own * 12
+        self.hash = self.tag = np.zeros(lanes, np.int64)
+        self.right = np.zeros(lanes, bool)
+        self.met: list[np.ndarray] = []  # contexts * 2 + whether the guess was right, since chances were set
+        self.weight = [np.full((lanes, 1), 1 << 15, np.int64) for _ in (1, 2)]
+        self.seen = [np.full((lanes, 3), 4, np.int64), np.full((lanes, 4), 4, np.int64)]
+        self.hits = [np.full((lanes, 3), 1, np.int64), np.full((lanes, 4), 1, np.int64)]
         self.mix()
 
     def keep(self, lanes: int) -> None:
         """Only the first lanes go on; the others' blocks have ended."""
-        self.base, self.lane, self.hash, self.before = self.base[:, :lanes], self.lane[:lanes], self.hash[:, :lanes], self.before[:lanes]
+        self.base, self.lane, self.hash, self.tag, self.right = (x[:lanes] for x in (self.base, self.lane, self.hash, self.tag, self.right))
 
     def mix(self) -> None:
-        """For each lane and context the chances, of 4096, of the order-2 guess and of the order-1 guess, which are 0 where there is none."""
-        self.t2 = _STRETCH[(self.right2 << 12) // (self.seen2 + 1)]
-        self.t1 = _STRETCH[(self.right1 << 12) // (self.seen1 + 1)]
-        both = (self.weight[0][:, None] * self.t2)[:, :, None] + (self.weight[1][:, None] * self.t1)[:, None, :]
-        self.mixed = _SQUASH[np.clip(both >> 16, -2047, 2047) + 2048]
-        first = np.minimum(self.mixed, 4000)
-        first[:, 0] = 0
-        rest = 4096 - first
-        late = (self.late1 << 12) // (self.seen1 - self.right1 + self.late1 + 1)
-        second = np.clip((rest * late[:, None, :]) >> 12, 1, rest - 1)
-        second[:, :, :2] = 0
-        second[:, :, 1::2] = 0
-        self.first, self.second = first.ravel(), second.ravel()
+        """For each lane and context the chance of the guess, of 4096; 0 where there is none."""
+        self.stretched = [_STRETCH[(hits << 12) // (seen + 1)] for hits, seen in zip(self.hits, self.seen, strict=True)]
+        one, two = (w * t for w, t in zip(self.weight, self.stretched, strict=True))
+        self.mixed = _SQUASH[np.clip((one[:, :, None] + two[:, None, :]) >> 16, -2047, 2047) + 2048]
+        chance = np.minimum(self.mixed, 4000)
+        chance[:, 0] = 0
+        self.chance = chance.ravel().astype(np.uint64)
 
     def turn(self) -> None:
         """Chances and weights learn from what was met since the last time."""
-        met = np.bincount(np.concatenate(self.met), minlength=96 * len(self.seen2)).reshape(-1, 3, 8, 4)
+        met = np.bincount(np.concatenate(self.met), minlength=24 * len(self.mixed)).reshape(-1, 3, 4, 2)
         self.met = []
-        right, late = met[..., 0], met[..., 1]
-        n = right + late + met[..., 2]
-        error = (right << 12) - n * self.mixed
+        hits = met[..., 1]
+        n = hits + met[..., 0]
+        error = (hits << 12) - n * self.mixed
         error[:, 0] = 0
-        for weight, t, e in zip(self.weight, (self.t2, self.t1), (error.sum(2), error.sum(1)), strict=True):
-            weight += (t * e).sum(1) >> 12
-            np.clip(weight, -(1 << 18), 1 << 18, out=weight)
-        self.seen2 += n.sum(2)
-        self.right2 += right.sum(2)
-        self.seen1 += n.sum(1)
-        self.right1 += right.sum(1)
-        self.late1 += late.sum(1)
+        for k, axis in ((0, 2), (1, 1)):
+            weight = self.weight[k] + ((self.stretched[k] * error.sum(axis)).sum(1, keepdims=True) >> 12)
+            self.weight[k] = np.clip(weight, -(1 << 18), 1 << 18)
+            self.seen[k] += n.sum(axis)
+            self.hits[k] += hits.sum(axis)
         self.mix()
 
     def look(self) -> np.ndarray:
-        """The lanes' contexts; ``entry`` holds both guesses."""
+        """The lanes' contexts; ``entry`` holds the guess."""
         self.at = ((self.hash >> 6) & (SLOTS - 1)) + self.base
         self.entry = self.table.take(self.at)
-        one, two = self.entry
-        return self.lane + (((one | two) & 30) + ((one ^ two) < 32))
+        agrees = ((self.entry ^ self.tag) & 124) == 0
+        return ((((self.entry & 3) << 1) + agrees) << 1) + self.right + self.lane
 
     def learn(self, ids: np.ndarray) -> np.ndarray:
-        """Whether the order-1 and the order-2 guess were right."""
-        new = ((ids + 1) << 5).astype(np.int32)
-        right = (self.entry ^ new) < 32
-        self.table[self.at] = np.where(right, new + _RIGHT, new + _WRONG)
-        np.multiply(ids, 40503, out=self.hash[0])
-        np.add(self.hash[0], self.before, out=self.hash[1])
-        self.before = ids * 60493
-        return right
+        """Whether the guess was right."""
+        new = ((ids + 1) << 7) + self.tag + 1
+        self.right = (self.entry ^ new) < 128
+        self.table[self.at] = new + self.right
+        self.tag = (self.hash >> 14) & 124
+        self.hash = ids * 40503
+        return self.right
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +160,10 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[dict]]:
         """Codes the steps met since the last time, under the chances of the models."""
         nonlocal low, span
         x, met = np.concatenate(rows), np.concatenate(models.met[-len(rows) :])
-        context, outcome = met >> 2, met & 3
-        a, b = models.first.take(context), models.second.take(context)
-        rest, later = (4096 - a - b).view(np.uint64), outcome == 1
-        start, width = a * later, np.where(later, b, a)
-        start, width = (start << 16).view(np.uint64), (width << 16).view(np.uint64)
-        own = outcome == 2
-        np.copyto(start, ((a + b) << 16).view(np.uint64) + rest * before.take(x), where=own)
-        np.copyto(width, rest * share_of.take(x), where=own)
+        chance, other = models.chance.take(met >> 1), met & 1 == 0
+        rest, end = _ALL - chance, chance << _U16
+        start = np.where(other, end + rest * before.take(x), np.uint64(0))
+        width = np.where(other, rest * share_of.take(x), end)
         at = 0
         for row in rows:
             n = len(row)
@@ -193,12 +175,12 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[dict]]:
             low = low + more
             span = part * width[at : at + n]
             at += n
-            over = np.flatnonzero(low < more)
+            over = (low < more).nonzero()[0]
             back = fill[over] - 1
             while len(back):
                 out[back] += np.uint32(1)
                 back = back[out[back] == 0] - 1
-            todo = np.flatnonzero(span < _LOW)
+            todo = (span < _LOW).nonzero()[0]
             a, place = low[todo], fill[todo]
             out[place] = a >> _U32
             fill[todo] = place + 1
@@ -217,9 +199,8 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[dict]]:
             models.turn()
         x = grid[step, :live]
         context = models.look()
-        right = models.learn(x)
         rows.append(x)
-        models.met.append((context << 2) + _OUTCOME[right[0] + 2 * right[1].view(np.int8)])
+        models.met.append((context << 1) + models.learn(x))
     give()
     for rest, place in [(low, fill[: len(low)]), *ended]:
         out[place], out[place + 1] = rest >> _U32, rest & (_LOW - np.uint64(1))
@@ -257,26 +238,23 @@ def decode(head: bytes, blocks: list[dict]) -> np.ndarray:
         if step in TURNS:
             models.turn()
         if step == 0 or step in TURNS:
-            upper1 = models.first.astype(np.uint64) << _U16
-            upper2 = upper1 + (models.second.astype(np.uint64) << _U16)
+            upper = models.chance << _U16
         context = models.look()
         part = span >> _U28
-        end1, end2 = part * upper1.take(context), part * upper2.take(context)
-        hit2, hit = code < end1, code < end2
-        unit = (part << _U12) - (end2 >> _U16)
-        x = id_at.take(((code - end2) // unit).view(np.int64), mode="clip")
+        end = part * upper.take(context)
+        hit = code < end
+        unit = (part << _U12) - (end >> _U16)
+        x = id_at.take(((code - end) // unit).view(np.int64), mode="clip")
         start, span = unit * before.take(x), unit * own.take(x)
-        start += end2
-        guess = (models.entry >> 5) - 1
-        for where, end, width, ids in ((hit, end1, end2 - end1, guess[0]), (hit2, np.uint64(0), end1, guess[1])):
-            np.copyto(start, end, where=where)
-            np.copyto(span, width, where=where)
-            np.copyto(x, ids, where=where)
+        start += end
+        np.copyto(start, np.uint64(0), where=hit)
+        np.copyto(span, end, where=hit)
+        np.copyto(x, (models.entry >> 7) - 1, where=hit)
         code = code - start
         grid[step, :live] = x
         models.learn(x)
-        models.met.append((context << 2) + (2 - hit.astype(np.int8) - hit2))
-        todo = np.flatnonzero(span < _LOW)
+        models.met.append((context << 1) + hit)
+        todo = (span < _LOW).nonzero()[0]
         place = read[todo]
         code[todo] = (code[todo] << _U32) | words[place]
         read[todo] = place + 1
