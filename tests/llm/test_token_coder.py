@@ -1,9 +1,11 @@
 """Token-id files: the cost of the coder, carries, damage, ids it cannot hold; what the encoder remembers."""
 
+import zlib
+
 import numpy as np
 import pytest
 
-from tidemark.llm import _tokens, coding
+from tidemark.llm import _shared, _tokens, coding
 
 
 def test_chances_are_set_a_few_times_a_block(monkeypatch):
@@ -63,3 +65,12 @@ def test_a_full_memory_keeps_what_was_met_first(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
         assert len(encoder.known) <= 60
     assert "the," in encoder.known and "end" in encoder.known
+
+
+def test_ids_are_read_only_when_asked_for(spark):
+    docs = spark.createDataFrame([(i, f"row {i} " * (700 * (i == 3) + i)) for i in range(9)], "doc_id long, text string")
+    path = _shared.shared_folder(spark, "t")
+    coding.write(docs, _tokens.default_path(), path, 2)
+    whole, bare = (coding.read(spark, path, **x).toPandas().sort_values("doc_id") for x in ({}, {"with_ids": False}))
+    assert [*bare] == ["doc_id", "start", "n_tokens", "ids_crc32"] and bare.values.tolist() == whole[[*bare]].values.tolist()
+    assert [zlib.crc32(x) for x in whole.ids] == bare.ids_crc32.tolist()

@@ -18,7 +18,7 @@ from itertools import pairwise
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it forgets the half met last, as frequent ones are met early.
-MEMORY = 1_200_000
+MEMORY = 1_500_000
 #: Each white space before a space.
 _UNSAFE = [c + " " for c in map(chr, range(0x110000)) if c.isspace()]
 #: A word of letters that are letters in every version of Unicode, and what follows it.
@@ -46,6 +46,7 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.known = _Known()  # by piece without the space before it
         self.tails: dict[str, bytes] = {}  # by what follows a word within its piece
+        self.starts: dict[str, bytes] = {}  # by a text's first piece
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte-level token has a character for each byte
@@ -65,12 +66,13 @@ class Encoder:
             while len(self.known) > MEMORY // 2:
                 self.known.popitem()
             self.tails.clear()
+            self.starts.clear()
         self._extend(new - loose)
         for x in new & loose:  # a space may not follow these
             self.known[x] = self._alone(" " + x)
         out = []
         for text, pieces, own in zip(texts, cut, found, strict=True):
-            first = self._alone(text) if pieces is None else self._alone(pieces[0]) if pieces else b""
+            first = self._alone(text) if pieces is None else self._start(pieces[0]) if len(pieces) > 1 else self._alone(text) if text else b""
             out.append(first + b"".join([look(x) if type(x) is str else x for x in own]) + self.end)
         return out
 
@@ -93,6 +95,13 @@ class Encoder:
         for x, word, tail in joint:
             self.known[x] = self.known[word] + self.tails[tail]
 
+    def _start(self, piece: str) -> bytes:
+        if piece not in self.starts:
+            if len(self.starts) >= MEMORY // 8:
+                self.starts.clear()
+            self.starts[piece] = self._alone(piece)
+        return self.starts[piece]
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 

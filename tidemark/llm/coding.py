@@ -323,8 +323,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, parts: int) -> None:
     ordered.mapInArrow(code, FILE).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Of each document: doc_id, start, n_tokens, ids_crc32, and ids as little-endian unsigned 32-bit integers."""
+def _pieces(row: pa.ListScalar) -> Iterator[tuple[bytes, list[dict]]]:
+    """(head, blocks) of a segment's pieces, column by column: dictionaries made by Arrow cost many times as much."""
+    heads, blocks = row.values.flatten()
+    for k, head in enumerate(heads.to_pylist()):
+        n_ids, crc32, payload = (x.to_pylist() for x in blocks[k].values.flatten())
+        yield head, [{"n_ids": n, "crc32": c, "payload": p} for n, c, p in zip(n_ids, crc32, payload, strict=True)]
+
+
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Of each document: doc_id, start, n_tokens, ids_crc32, and (unless not asked for) ids as little-endian unsigned 32-bit integers."""
     file = spark.read.schema(FILE).parquet(path)
     totals = sorted((r["part"], r["n"]) for r in file.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each file part
     base, at = {}, 0
@@ -334,9 +342,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def back(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
+            small, pieces = batch.select(["part", "first_id", "doc_ids", "doc_tokens"]), batch.column("pieces")
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                raw = b"".join(decode(p["head"], p["blocks"]).tobytes() for p in row["pieces"])
+                row = small.slice(i, 1).to_pylist()[0]
+                raw = b"".join(decode(head, blocks).tobytes() for head, blocks in _pieces(pieces[i]))
                 size = np.array(row["doc_tokens"], np.int64)
                 end = np.cumsum(size)
                 start = end - size
@@ -345,14 +354,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(own), 1024):
                     sub = own[k : k + 1024]
                     yield pa.record_batch(
-                        [pa.array(row["doc_ids"][k : k + 1024], pa.int64()), pa.array(start[k : k + 1024] + row["first_id"] + base[row["part"]]), pa.array(size[k : k + 1024]), pa.array([zlib.crc32(x) for x in sub], pa.int64()), pa.array([bytes(x) for x in sub], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                        [pa.array(row["doc_ids"][k : k + 1024], pa.int64()), pa.array(start[k : k + 1024] + row["first_id"] + base[row["part"]]), pa.array(size[k : k + 1024]), pa.array([zlib.crc32(x) for x in sub], pa.int64()), *([pa.array([bytes(x) for x in sub], pa.binary())] if with_ids else [])],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                     )
 
-    return file.mapInArrow(back, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return file.mapInArrow(back, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shared.shared_folder(spark, "token-file")
     write(_shared.read(spark, sf_dir, "documents"), _tokens.default_path(), path, _shared.tasks(spark))
-    return read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, path, with_ids=False)
