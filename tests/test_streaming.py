@@ -58,3 +58,20 @@ def test_spikes_from_a_price_of_zero(spark, tmp_path):
     got = [(r.price, r.move) for r in out.orderBy("ts").collect()]
     assert [p for p, _ in got] == [0.0, 0.0, 3.0, 6.0]
     assert got[0][1] == -1.0 and got[1][1] != got[1][1] and got[2][1] == float("inf") and got[3][1] == 1.0
+
+
+def test_moves_are_rounded_as_the_sql_rounds_them(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import jobs as plans
+
+    # 12.81 / 6.4 - 1 = 1.0015625 and the like are ties; from zero a move is infinite or NaN
+    prices = [6.4, 12.81, 6.4, 19.37, 6.4, 32.29, 0.0, 0.0, 6.4, 13.01]
+    rows = [(i, T0 + timedelta(minutes=i), 1, "a", p) for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = plans.QUERIES["H05_spike_alerts"](spark, f"file://{tmp_path}").orderBy("ts").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"{plans.SQL['H05_spike_alerts']} ORDER BY ts").fetchall()
+    assert [(r.ts, r.price, str(r.move)) for r in got] == [(ts, price, str(move)) for _, ts, price, move in want]
+    assert got[0].move == 1.001562 and len(got) == 7

@@ -61,11 +61,16 @@ def plain(df):
     return df.where("symbol <> '~end'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def scaled(c, n):
+    """Scaled, rounded and scaled back, which is what ``round`` of the SQL does to a tie."""
+    return F.round(F.col(c) * 10.0**n) / 10.0**n
+
+
 query("H01_deduplicated", f"WITH {EVENT} SELECT symbol, tie, price FROM ticks")(lambda s, d: plain(drain(s, J.deduplicated(stream(s, d), ["tie"], "40 days"))).select("symbol", "tie", "price"))
 query("H02_live_ohlcv", f"WITH {EVENT} SELECT symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, round(first(price ORDER BY ticks.ts, tie), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low, round(last(price ORDER BY ticks.ts, tie), 4) AS close, round(sum(size), 4)::DOUBLE AS volume FROM ticks GROUP BY symbol, date_trunc('hour', ticks.ts)")(lambda s, d: rounded(plain(drain(s, J.live_ohlcv(stream(s, d), "1 hour", "1 hour")))))
 query("H03_taker_flow", f"WITH {EVENT} SELECT symbol, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') AS ts, sum(CASE WHEN side = 1 THEN size ELSE 0 END)::DOUBLE AS buy, sum(CASE WHEN side <> 1 THEN size ELSE 0 END)::DOUBLE AS sell, count(*) AS trades FROM ticks GROUP BY symbol, time_bucket(INTERVAL '5 minutes', ticks.ts, TIMESTAMP '1970-01-01')")(lambda s, d: plain(drain(s, J.taker_flow(stream(s, d), delay="1 hour"))))
 query("H04_live_breadth", f"WITH {EVENT} SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS ts, sum(size)::DOUBLE AS volume, count(*) AS n, round(avg(price), 6) AS mean FROM ticks GROUP BY time_bucket(INTERVAL '10 minutes', ticks.ts, TIMESTAMP '1970-01-01')")(lambda s, d: rounded(drain(s, J.live_breadth(stream(s, d), delay="1 hour")).withColumn("ts", F.col("ts").cast("timestamp_ntz")), 6, "mean"))
-query("H05_spike_alerts", f"WITH {EVENT}, m AS (SELECT symbol, ts, price, price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, tie) - 1 AS move FROM ticks) SELECT symbol, ts, price, round(move, 6) AS move FROM m WHERE abs(move) > 0.8")(lambda s, d: rounded(plain(drain(s, J.spike_alerts(stream(s, d), 0.8))), 6, "move"))
+query("H05_spike_alerts", f"WITH {EVENT}, m AS (SELECT symbol, ts, price, price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, tie) - 1 AS move FROM ticks) SELECT symbol, ts, price, round(move, 6) AS move FROM m WHERE abs(move) > 0.8")(lambda s, d: plain(drain(s, J.spike_alerts(stream(s, d), 0.8))).withColumn("move", scaled("move", 6)))
 query("H06_venue_deviation", f"WITH {EVENT}, g AS (SELECT symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*) AS n, median(price) AS c, list(price) AS l FROM ticks GROUP BY 1, 2) SELECT symbol, ts, n, round(c, 6) AS consensus, round(list_max(list_transform(l, lambda x: abs(x / c - 1))), 6) AS deviation FROM g")(lambda s, d: rounded(plain(drain(s, J.venue_deviation(stream(s, d).withColumn("close", F.col("price")), "1 hour", "1 hour", 0.5))), 6, "consensus", "deviation").select("symbol", "ts", "n", "consensus", "deviation"))
 query("H09_stale_symbols")(lambda s, d: drain(s, J.stale_symbols(stream(s, d), 60, "10 minutes")))
 @query("H08_log_alerts", "WITH l AS (SELECT lower(unnest(string_split(text, chr(10)))) AS line FROM documents), c AS (SELECT CASE WHEN regexp_matches(line, 'all rights reserved') THEN 'benign' WHEN regexp_matches(line, 'license|error') THEN 'alert' WHEN regexp_matches(line, 'the') THEN 'worker' WHEN regexp_matches(line, 'der') THEN 'suspect' ELSE 'other' END AS kind FROM l) SELECT kind, count(*) AS n FROM c WHERE kind IN ('alert', 'suspect') GROUP BY 1")
