@@ -42,6 +42,18 @@ def test_both_sides_are_one_estimator(spark, tmp_path):
     assert (got[0].wins, got[0].losses, got[0].ties) == (0, 0, 1)
 
 
+def test_own_fits_share_weights_and_files(spark, tmp_path, monkeypatch):
+    """Weights of all symbols are made at once, and symbols share files, so neither plans nor files grow by one each for a symbol."""
+    monkeypatch.setattr(learn, "at_once", lambda spark, jobs, most=8: [[(s, 0.5) for s in range(6)]])  # the fits themselves are not run
+    df = series(spark, dict.fromkeys(range(6), 90), ())
+    learn.pooled_against_own(df, ["a", "b"], f"file://{tmp_path}/own", trees=2, depth=2)
+    assert len([x for x in (tmp_path / "own" / "rows").iterdir() if "=" in x.name]) == 1
+    rows = spark.read.parquet(f"file://{tmp_path}/own/rows").where("early")
+    for s in range(6):
+        want = {r.label: r.weight for r in learn.weighted(df.where((F.col("symbol") == s) & (F.col("rn") < 63))).select("label", "weight").distinct().collect()}
+        assert {(r.label, r.weight) for r in rows.where(F.col("symbol") == s).select("label", "weight").distinct().collect()} == set(want.items()) and len(want) == 3
+
+
 def test_search_is_chronological_and_prunes(spark):
     df = series(spark, {1: 300}, ()).withColumn("late", F.when(F.col("rn") >= 250, F.col("label")).otherwise(0).cast("double"))
     got = {r.case: r for r in learn.model_search(df, ["a", "b", "late"], 200, 250, {"maxDepth": [1, 3], "numTrees": [4]}, least=1).collect()}

@@ -28,13 +28,24 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(k).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))), label)
 
 
+def classed(df: DataFrame, label: str = "label") -> DataFrame:
+    return df.withColumn(label, F.col(label).cast("double").alias(label, metadata=CLASSES))
+
+
+def vectors(columns: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
+
+
 def assembled(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    df = df.withColumn(label, F.col(label).cast("double").alias(label, metadata=CLASSES))
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
+    return vectors(columns).transform(classed(df, label))
+
+
+def forest(trees: int = 20, depth: int = 5, seed: int = 1) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
 
 
 def three_class(train: DataFrame, columns: list[str], trees: int = 20, depth: int = 5, seed: int = 1):
-    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(weighted(train), columns))
+    return forest(trees, depth, seed).fit(assembled(weighted(train), columns))
 
 
 def score(model, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,30 +107,46 @@ def one_vs_rest(train: DataFrame, test: DataFrame, columns: list[str], side: int
     return out.withColumn("p", vector_to_array("probability")[1]), BinaryClassificationEvaluator().evaluate(out)
 
 
+#: Symbols whose rows share a folder, about; lanes in which own fits run one after another, each a few jobs of one short task.
+BESIDE, LANES = 32, 16
+
+
 def pooled_against_own(df: DataFrame, columns: list[str], folder: str, number: str = "rn", cut: float = 0.7, **options) -> DataFrame:
     """Directional accuracy of one model over all symbols and of every symbol's own model, the same estimator, on the same test rows, paired
     by symbol in a sign test: wins are the pooled model's. A symbol on whose test rows one of the two tells no direction, or whose
-    training rows are of one class, has no pair. However many symbols there are, each is fitted, by a few jobs of its own."""
+    training rows are of one class, has no pair. However many symbols there are, each is fitted, by a few jobs of its own.
+
+    What the own fits share is done for all of them at once: class weights, and a layout in which a fit finds its rows in one file.
+    """
     spark = df.sparkSession
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    early = F.col(number) < cut * n
-    kept = df.select("symbol", number, "label", *columns, early.alias("__early")).dropna(subset=columns)
-    kept.write.partitionBy("symbol").parquet(f"{folder}/rows")
+    parts = -(-df.select("symbol").distinct().count() // BESIDE) or 1
+    kept = df.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(parts)).cast("int")).repartition("part")
+    of = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("part", "symbol", *by))
+    kept = kept.withColumn("early", F.col(number) < cut * of()).dropna(subset=[*columns, "label"])
+    classes = F.size(F.collect_set("label").over(Window.partitionBy("part", "symbol", "early")))
+    # the key is a text: compiled code does not hold texts that are compared with, so all fits share it
+    kept = kept.withColumns({"weight": of("early") / (classes * of("early", "label")), "key": F.hex(F.col("symbol").cast("string"))})
+    kept = kept.select("symbol", "key", number, "label", *columns, "early", "weight", "part").sortWithinPartitions("part", "key", number)
+    kept.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/rows")
     rows = spark.read.schema(kept.schema).parquet(f"{folder}/rows")
-    classes = rows.where("__early").groupBy("symbol").agg(F.countDistinct("label").alias("classes")).where("classes > 1").join(rows.where("NOT __early").select("symbol").distinct(), "symbol", "left_semi")
-    symbols = [r[0] for r in classes.orderBy("symbol").collect()]
-
-    def told(train: DataFrame, test: DataFrame) -> DataFrame:
-        out = score(three_class(train, columns, **options), test, columns).where("cls <> 2")
-        return out.groupBy("symbol").agg(F.avg((F.col("cls") == F.col("label")).cast("double")).alias("hit"))
-
-    def own(symbol: object) -> list:
-        mine = rows.where(F.col("symbol") == symbol)
-        return told(mine.where("__early"), mine.where("NOT __early")).collect()  # one row
-
-    hits = [tuple(r) for part in at_once(spark, [partial(own, x) for x in symbols]) for r in part]
+    fitted = rows.groupBy("part", "symbol", "key").agg(F.countDistinct(F.when(F.col("early"), F.col("label"))).alias("classes"), F.max(~F.col("early")).alias("judged")).where("classes > 1 AND judged")
+    symbols = fitted.select("part", "symbol", "key").orderBy("part", "symbol").collect()
+    ready = classed(rows)  # filters do not pass the making of vectors, so that follows them
+    hit = "CASE WHEN prediction <> 2 THEN CAST(prediction = label AS DOUBLE) END"
+
+    def own(mine: list) -> list:
+        estimator, vector, found = forest(**options), vectors(columns), []
+        for part, symbol, key in mine:
+            of_symbol = ready.where(f"part = {part} AND key = '{key}'")
+            model = estimator.fit(vector.transform(of_symbol.where("early")))
+            told = model.transform(vector.transform(of_symbol.where("NOT early").coalesce(1)))
+            found.append((symbol, told.selectExpr(f"avg({hit})").first()[0]))
+        return found
+
+    hits = [x for lane in at_once(spark, [partial(own, symbols[k::LANES]) for k in range(min(LANES, len(symbols)))], LANES) for x in lane if x[1] is not None]
     single = spark.createDataFrame(hits, kept.select("symbol").schema.add("y", "double"))
-    pooled = told(rows.where("__early"), rows.where("NOT __early")).withColumnRenamed("hit", "x")
+    train = rows.where("early").drop("weight", "key", number)
+    pooled = three_class(train, columns, **options).transform(assembled(rows.where("NOT early"), columns)).groupBy("symbol").agg(F.expr(f"avg({hit})").alias("x")).where("x IS NOT NULL")
     return sign_test(pooled.join(single, "symbol").withColumn("all", F.lit("all")), "all")
 
 
